@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import pieces
+from rasterloom.llm import exact_dedup, packing, pieces, quality
 from rasterloom.llm.common import table
 
 
@@ -17,12 +17,37 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_quality": op6_quality,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents
+        ), g AS (
+            SELECT bare, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM t GROUP BY bare
+        )
+        SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.bare) AS text_sha256 FROM t JOIN g USING (bare)
+    """,
+}
