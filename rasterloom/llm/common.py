@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A frame whose rows come in the same order and partitions whenever it is evaluated: a scan with projections and
+    filters as it is, anything else from a table. What numbers rows more than once starts from this."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m for m in re.findall(r"^[\s:+\-|']*(\w+)", plan, re.M)}
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "RelationV2"} else stored(df, "settled")
+
+
 def in_slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts, each of one text or of at most `limit` characters."""
     start = size = 0
@@ -73,7 +83,7 @@ def in_slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]
 def batches_of(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch with their texts (null as empty), bounded in characters, so that big batches don't meet in memory."""
     lengths = batch.column(column)
-    sizes = pa.compute.fill_null(pa.compute.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

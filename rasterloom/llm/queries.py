@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import exact_dedup, packing, pieces, quality
+from rasterloom.llm import exact_dedup, near_dedup, packing, pieces, quality
 from rasterloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_quality": op6_quality,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_near_dedup": op8_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
