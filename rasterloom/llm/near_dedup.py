@@ -123,7 +123,8 @@ def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, hub
     docs = settled(docs)
     signed = Stage(signatures(docs, bands, width), "signatures")
     firsts = Stage(signed.df.where("words is not null").groupBy("words").agg(F.min("row").alias("rep")), "representatives")
-    named = Stage(signed.df.select("row", "doc_id", "n_shingles", "words").join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
+    keyed = signed.df.select("row", "doc_id", "n_shingles", F.coalesce("words", F.col("row").cast("binary")).alias("words"))  # no row waits for a null
+    named = Stage(keyed.join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
     own = signed.df.join(firsts.df.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
     sizes = Stage(own.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = Stage(own.join(sizes.df, "bucket").select("bucket", "rep", "hub", "n"), "members")
