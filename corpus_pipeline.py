@@ -1,17 +1,46 @@
-"""The corpus pipeline: quality classifier, exact dedup, MinHash near-dedup, best-fit packing."""
+"""The corpus pipeline: quality classifier, exact dedup, MinHash near-dedup, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and read again as the next stage's documents.
+All but the last keep the columns of `documents`; the last gives the packed pieces of every document that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from rasterloom.llm import exact_dedup, near_dedup, packing, quality
+from rasterloom.llm.common import kept_rows, settled, stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from the labelled ones among them."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one that the exact dedup keeps."""
+    docs = settled(docs)
+    return kept_rows(docs, exact_dedup.decide(docs))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least id."""
+    docs = settled(docs)
+    return kept_rows(docs, near_dedup.decide(docs))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("minhash near-dedup", near_stage), ("best-fit packing", packing_stage)]
+
+#: The classifier's scores aren't expressible in SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rasterloom.llm.common import stored, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

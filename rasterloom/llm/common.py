@@ -67,6 +67,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "RelationV2"} else stored(df, "settled")
 
 
+#: Up to so many row numbers (of 8 bytes) are broadcast; beyond, rows are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def checked(side: DataFrame) -> DataFrame:
+    """A stored frame of row numbers, broadcast where it is small enough."""
+    return F.broadcast(side) if side.count() <= MOST_BROADCAST else side
+
+
+def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that the decisions (row, kept) keep."""
+    dropped = stored(decisions.where("not kept").select(F.col("row").alias("__row")), "dropped")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(checked(dropped), "__row", "left_anti").drop("__row")
+
+
 def in_slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of a list of texts, each of one text or of at most `limit` characters."""
     start = size = 0

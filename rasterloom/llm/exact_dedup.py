@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Stage
+from rasterloom.llm.common import Stage, settled
 
 BLOCK_BYTES = 4096
 WHITE = r"[\x20\x09-\x0D]+"
@@ -33,7 +33,7 @@ def blocks_of(docs: DataFrame, block_bytes: int, bits: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, WHITE, "").cast("binary").alias("data"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("data") / F.lit(block_bytes))).cast("int"))
-    facts = F.struct("doc_id", "n_chars", F.sha2("data", 256).alias("text_sha256"), "n_blocks")
+    facts = F.struct("row", "doc_id", "n_chars", F.sha2("data", 256).alias("text_sha256"), "n_blocks")
     cut = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("data"), i * block_bytes + 1, F.lit(block_bytes)))
     exploded = rows.select("row", F.when(F.lit(True), facts).alias("facts"), F.posexplode(cut).alias("at", "block"))
     exploded = exploded.withColumn("facts", F.when(F.col("at") == 0, F.col("facts")))
@@ -85,6 +85,14 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64)
     return found
 
 
+def decide(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
+    """What `dedup` returns, and the number of each row of `docs` (monotonically_increasing_id of the settled frame)."""
+    rank = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
+    rows = Stage(identities(settled(docs), block_bytes, bits).withColumn("rank", rank), "identities").df
+    groups = Stage(rows.groupBy("n_blocks", "name").agg(F.min("rank").alias("first"), F.count("*").alias("group_size")), "groups").df
+    return rows.join(groups, ["n_blocks", "name"]).select("row", "doc_id", F.col("first.c").alias("keep_id"), "group_size", (F.col("rank") == F.col("first")).alias("kept"), "text_sha256")
+
+
 def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -93,7 +101,4 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64) -> Da
     one is kept. Null counts as the empty text; empty texts are a group of their own; an empty table gives no rows; other
     columns aren't looked at. block_bytes and bits change the work, never the result.
     """
-    named = identities(docs, block_bytes, bits).withColumn("rank", F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.monotonically_increasing_id().alias("d")))
-    rows = Stage(named, "identities").df
-    groups = Stage(rows.groupBy("n_blocks", "name").agg(F.min("rank").alias("first"), F.count("*").alias("group_size")), "groups").df
-    return rows.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("first.c").alias("keep_id"), "group_size", (F.col("rank") == F.col("first")).alias("kept"), "text_sha256")
+    return decide(docs, block_bytes, bits).drop("row")

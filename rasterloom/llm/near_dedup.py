@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Stage, batches_of, settled, words_bytes
+from rasterloom.llm.common import Stage, batches_of, checked, settled, words_bytes
 from rasterloom.llm.components import components
 from rasterloom.llm.hashing import mix, shingles
 
@@ -31,8 +31,6 @@ SIMILARITY = (75, 100)
 BANDS, BINS_PER_BAND = 48, 5
 #: Members of a bucket that serve as hubs in a later round.
 HUBS = 16
-#: Up to so many ids (of 8 bytes) are broadcast; beyond, texts are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 
 
 @lru_cache(4)
@@ -114,8 +112,7 @@ def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> Stage:
     rows = wanted.join(reps.select("rep", "row"), "rep")
     rows = Stage(rows.select("row", "rep"), "wanted")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    side = F.broadcast(rows.df) if rows.df.count() <= MOST_BROADCAST else rows.df
-    return Stage(numbered.join(side, "row").select("rep", "text"), "texts")
+    return Stage(numbered.join(checked(rows.df), "row").select("rep", "text"), "texts")
 
 
 def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, hubs: int = HUBS) -> DataFrame:
@@ -123,7 +120,7 @@ def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, hub
     docs = settled(docs)
     signed = Stage(signatures(docs, bands, width), "signatures")
     firsts = Stage(signed.df.where("words is not null").groupBy("words").agg(F.min("row").alias("rep")), "representatives")
-    keyed = signed.df.select("row", "doc_id", "n_shingles", F.coalesce("words", F.col("row").cast("binary")).alias("words"))  # no row waits for a null
+    keyed = signed.df.select("row", "doc_id", "n_shingles", F.coalesce("words", F.col("row").cast("string").cast("binary")).alias("words"))  # no row waits for a null
     named = Stage(keyed.join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
     own = signed.df.join(firsts.df.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
     sizes = Stage(own.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -166,6 +163,14 @@ def hubs_of(left: DataFrame, served: int, hubs: int) -> DataFrame:
     return left.withColumn("rank", rank).where((F.col("rank") > served) & (F.col("rank") <= served + hubs)).select("bucket", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
 
 
+def decide(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
+    """What `near_duplicates` returns, and the number of each row of `docs` (monotonically_increasing_id of the settled frame)."""
+    rows = Stage(classes(docs, bands, width), "classes").df
+    rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    heads = Stage(rows.groupBy("component").agg(F.min(rank).alias("head")), "heads").df
+    return rows.join(heads, "component").select("row", "doc_id", "n_shingles", F.col("head.b").alias("component_id"), (F.col("row") == F.col("head.c")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
@@ -174,7 +179,4 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_B
     links reach. Repeated rows are in one component and only the first row of its least doc_id is kept; a null id is
     greater than any other. An empty table gives no rows; other columns aren't looked at.
     """
-    rows = Stage(classes(docs, bands, width), "classes").df
-    rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
-    heads = Stage(rows.groupBy("component").agg(F.min(rank).alias("head")), "heads").df
-    return rows.join(heads, "component").select("doc_id", "n_shingles", F.col("head.b").alias("component_id"), (F.col("row") == F.col("head.c")).alias("kept"))
+    return decide(docs, bands, width).drop("row")

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import exact_dedup, extraction, near_dedup, packing, pieces, quality, syncmers, urls, warc
+from rasterloom.llm import exact_dedup, extraction, near_dedup, packing, pieces, quality, suffix_tree, syncmers, urls, warc
 from rasterloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_extraction": op4_extraction,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
