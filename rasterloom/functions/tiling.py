@@ -143,7 +143,8 @@ def flipped_row(ty: Column, zoom: Column) -> Column:
 
 def quadkey(tx: Column, ty: Column, zoom: Column) -> Column:
     row = flipped_row(ty, zoom)
-    digits = F.transform(F.sequence(zoom, F.lit(1), F.lit(-1)), lambda i: (F.floor(tx / F.pow(F.lit(2.0), i - 1)) % 2 + 2 * (F.floor(row / F.pow(F.lit(2.0), i - 1)) % 2)).cast("int").cast("string"))
+    bit = lambda v, i: F.pmod(F.floor(v / F.pow(F.lit(2.0), i - 1)), F.lit(2))
+    digits = F.transform(F.sequence(zoom, F.lit(1), F.lit(-1)), lambda i: (bit(tx, i) + 2 * bit(row, i)).cast("int").cast("string"))
     return F.when(zoom <= 0, F.lit("")).otherwise(F.concat_ws("", digits))
 
 

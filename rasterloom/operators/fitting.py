@@ -62,7 +62,7 @@ def helmert_fit(pairs: DataFrame, limit: float = 1e-10, rounds: int = 100) -> Da
         return pd.DataFrame([[*p, *sc, *tc, sigma]], columns=columns)
 
     columns = ["dx", "dy", "dz", "rx", "ry", "rz", "scale", "sx", "sy", "sz", "tx", "ty", "tz", "sigma"]
-    return pairs.groupBy(F.lit(1)).applyInPandas(solve, ", ".join(f"{c} double" for c in columns))
+    return pairs.groupBy().applyInPandas(solve, ", ".join(f"{c} double" for c in columns))
 
 
 def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0) -> DataFrame:

@@ -1 +1,212 @@
-"""Queries."""
+"""Queries on masks, mosaics, resampling and stacks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rasterloom.operators import grids as G
+from rasterloom.operators import rasters as X
+from rasterloom.operators import regions
+from rasterloom.plans import views as V
+from rasterloom.plans.catalogue import register
+
+RING = [(5.3, 3.2), (80.7, 10.1), (95.2, 60.4), (40.5, 90.6), (10.1, 50.9)]
+CROSS = " + ".join(f"CASE WHEN (({y1}::DOUBLE > y) <> ({y2}::DOUBLE > y)) AND x < ({x2 - x1!r}::DOUBLE) * (y - {y1}::DOUBLE) / {y2 - y1!r}::DOUBLE + {x1}::DOUBLE THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1]))
+XY = f"(SELECT *, col + 0.5::DOUBLE AS x, row + 0.5::DOUBLE AS y FROM {V.PX_EV})"
+
+
+def centre(c: str):
+    return F.col(c) + 0.5
+
+
+@register("mask_apply", f"SELECT row, col, CASE WHEN masked THEN -1.0::DOUBLE ELSE v END AS v FROM {V.PX_EV}")
+def _(spark, d):
+    px = V.px_ev(spark, d)
+    return X.apply_mask(px.select("row", "col", "v"), px.select("row", "col", F.col("masked").cast("int").alias("mask")), "v", 1, -1.0)
+
+
+@register("clip_polygon", f"SELECT row, col, CASE WHEN ({CROSS}) % 2 = 1 THEN v ELSE -9.0::DOUBLE END AS v FROM {XY} WHERE x BETWEEN 5.3::DOUBLE AND 95.2::DOUBLE AND y BETWEEN 3.2::DOUBLE AND 90.6::DOUBLE")
+def _(spark, d):
+    return X.clip(V.px_ev(spark, d), centre("col"), centre("row"), RING, "v", -9.0).select("row", "col", "v")
+
+
+@register("burn_polygon", f"SELECT row, col, CASE WHEN ({CROSS}) % 2 = 1 THEN 0 ELSE 1 END AS mask FROM {XY}")
+def _(spark, d):
+    return X.burn(V.px_ev(spark, d), centre("col"), centre("row"), [RING]).select("row", "col", "mask")
+
+
+@register("clip_by_window", f"SELECT CAST(row // 32 AS INTEGER) AS win_row, CAST(col // 32 AS INTEGER) AS win_col, count(*) AS n, round(sum(v), 4) AS s FROM {XY} WHERE ({CROSS}) % 2 = 1 GROUP BY 1, 2")
+def _(spark, d):
+    clipped = X.clip(V.px_ev(spark, d), centre("col"), centre("row"), RING, "v", float("-inf")).where("v > double('-Infinity')")
+    return G.in_windows(clipped, 32).groupBy("win_row", "win_col").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("s"))
+
+
+_FILL = f"SELECT row, col, CASE WHEN dn > 40 OR coalesce(col >= min(CASE WHEN dn > 40 THEN col END) OVER w AND col < max(CASE WHEN dn > 40 THEN col END) OVER w, false) THEN 1 ELSE 0 END AS filled FROM {V.PX_EV} WINDOW w AS (PARTITION BY row)"
+
+
+@register("row_fill", _FILL)
+def _(spark, d):
+    return X.row_fill(V.px_ev(spark, d), F.col("dn") > 40).select("row", "col", "filled")
+
+
+def overlapping(spark, d):
+    """Three datasets that overlap: the raster, and it shifted by 20 and 40 columns; masked pixels are nodata."""
+    px = V.px_ev(spark, d).withColumn("v", F.when(F.col("masked"), -1.0).otherwise(F.col("v")))
+    return px.select("row", F.explode(F.array(*[F.struct(F.lit(k).alias("ord"), (F.col("col") + 20 * k).alias("col")) for k in range(3)])).alias("s"), "v").select("row", "s.col", "s.ord", (F.col("v") + F.when(F.col("v") >= 0, F.col("s.ord")).otherwise(0)).alias("v"))
+
+
+_OVER = f"(SELECT row, col + 20 * k AS col, CAST(k AS INTEGER) AS ord, CASE WHEN masked THEN -1.0::DOUBLE ELSE v + k END AS v FROM {V.PX_EV}, range(0, 3) t(k))"
+
+
+@register("mosaic_first", f"SELECT row, col, coalesce(arg_min(v, ord) FILTER (WHERE v <> -1), -1.0::DOUBLE) AS v FROM {_OVER} GROUP BY row, col")
+def _(spark, d):
+    return X.mosaic(overlapping(spark, d), "v", "ord", "first", -1.0)
+
+
+@register("mosaic_last", f"SELECT row, col, arg_max(v, ord) AS v FROM {_OVER} GROUP BY row, col")
+def _(spark, d):
+    return X.mosaic(overlapping(spark, d), "v", "ord", "last")
+
+
+@register("mosaic_fill_nodata", f"SELECT row, col, coalesce(arg_min(v, ord) FILTER (WHERE v <> -1), -1.0::DOUBLE) AS v FROM {_OVER} WHERE col BETWEEN 30 AND 110 GROUP BY row, col")
+def _(spark, d):
+    return X.mosaic(overlapping(spark, d).where("col between 30 and 110"), "v", "ord", "fill", -1.0)
+
+
+@register("mosaic_by_date", f"SELECT year(date) AS y, cell, arg_min(v, ord) AS v FROM {V.STACK_ORD} GROUP BY 1, 2")
+def _(spark, d):
+    return X.mosaic(V.stack_ord(spark, d).withColumn("y", F.year("date")), "v", "ord", "first", cell=["y", "cell"])
+
+
+_GRID = f"(SELECT CAST(least(floor((85 - lat) / 5), 33) AS INTEGER) AS row, CAST(least(floor((lon + 180) / 5), 71) AS INTEGER) AS col, z, id FROM {V.PT_CUST})"
+
+
+@register("points_to_grid", f"SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, coalesce(v, -1.0::DOUBLE) AS v FROM range(0, 34) a(r) CROSS JOIN range(0, 72) b(c) LEFT JOIN (SELECT row, col, arg_max(z, id) AS v FROM {_GRID} GROUP BY row, col) g ON g.row = r AND g.col = c")
+def _(spark, d):
+    p = V.pt_cust(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "z")
+    return X.points_to_grid(p, -180.0, 85.0, 72, 34, 5.0)
+
+
+@register("antimeridian_split", f"SELECT id, CASE WHEN span <= 180 THEN 0 WHEN lon >= 0 THEN 1 ELSE 2 END AS part FROM {V.PT_CUST}, (SELECT max(lon) - min(lon) AS span FROM {V.PT_CUST})")
+def _(spark, d):
+    return X.antimeridian_parts(V.pt_cust(spark, d), "lon").select("id", "part")
+
+
+_COARSE = f"(SELECT CAST(row // 4 AS INTEGER) AS row, CAST(col // 4 AS INTEGER) AS col, v, dn FROM {V.PX_EV})"
+_METHODS = {"average": "round(avg(v), 6)", "min": "min(v)", "max": "max(v)", "sum": "round(sum(v), 4)", "med": "round(quantile_cont(v, 0.5), 6)", "q1": "round(quantile_cont(v, 0.25), 6)", "q3": "round(quantile_cont(v, 0.75), 6)"}
+
+for _m, _e in _METHODS.items():
+
+    @register(f"resample_{_m}", f"SELECT row, col, {_e} AS v FROM {_COARSE} GROUP BY row, col")
+    def _(spark, d, m=_m):
+        out = X.resample(V.px_ev(spark, d), "v", 4, m)
+        return out if m in ("min", "max") else out.withColumn("v", F.round("v", 4 if m == "sum" else 6))
+
+
+@register("resample_mode", f"SELECT row, col, dn FROM (SELECT row, col, dn, row_number() OVER (PARTITION BY row, col ORDER BY count(*) DESC, dn) AS r FROM {_COARSE} GROUP BY row, col, dn) WHERE r = 1")
+def _(spark, d):
+    return X.resample(V.px_ev(spark, d), "dn", 4, "mode")
+
+
+@register("resample_nearest", f"SELECT CAST(row // 4 AS INTEGER) AS row, CAST(col // 4 AS INTEGER) AS col, v FROM {V.PX_EV} WHERE row % 4 = 2 AND col % 4 = 2")
+def _(spark, d):
+    return X.resample(V.px_ev(spark, d), "v", 4, "nearest")
+
+
+@register("refine_nearest", f"SELECT row * 2 + a AS row, col * 2 + b AS col, v FROM {V.PX_EV}, range(0, 2) s(a), range(0, 2) t(b) WHERE row < 40")
+def _(spark, d):
+    return X.refine(V.px_ev(spark, d).where("row < 40").select("row", "col", "v"), 2)
+
+
+@register("bilinear_resample", f"WITH p AS (SELECT row, col, v FROM {V.PX_EV}), t AS (SELECT row * 1000 + col AS id, row + 0.25::DOUBLE AS r, col + 0.75::DOUBLE AS c FROM p WHERE row % 2 = 0), k AS (SELECT id, CAST(floor(r) AS BIGINT) + i AS row, CAST(floor(c) AS BIGINT) + j AS col, (CASE WHEN i = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * (CASE WHEN j = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM t, range(0, 2) a(i), range(0, 2) b(j)) SELECT id, round(sum(w * v) / sum(w), 6) AS value FROM k JOIN p USING (row, col) GROUP BY id")
+def _(spark, d):
+    px = V.px_ev(spark, d).select("row", "col", "v")
+    t = px.where("row % 2 = 0").select((F.col("row") * 1000 + F.col("col")).alias("id"), (F.col("row") + 0.25).alias("r"), (F.col("col") + 0.75).alias("c"))
+    return X.bilinear_resample(px, "v", t).select("id", F.round("value", 6).alias("value"))
+
+
+def _level(k: int) -> str:
+    return f"SELECT {k} AS level, row, col, v FROM l{k}"
+
+
+@register("pyramid_levels", f"WITH l0 AS (SELECT row, col, CAST(v AS DOUBLE) AS v FROM {V.PX_EV}), " + ", ".join(f"l{k} AS (SELECT CAST(row // 2 AS INTEGER) AS row, CAST(col // 2 AS INTEGER) AS col, avg(v) AS v FROM l{k - 1} GROUP BY 1, 2)" for k in (1, 2, 3)) + " SELECT level, row, col, round(v, 7) AS v FROM (" + " UNION ALL ".join(_level(k) for k in (1, 2, 3)) + ")")
+def _(spark, d):
+    return X.pyramid(V.px_ev(spark, d), "v", 3).withColumn("v", F.round("v", 7))
+
+
+_YEARS = f"(SELECT year(date) AS y, cell, sum(v) AS v FROM {V.STACK_ORD} GROUP BY 1, 2)"
+
+
+@register("year_diff", f"SELECT t.cell, round(coalesce((t.v - l.v) * 1e-4, -999), 4) AS diff, round(coalesce((t.v - l.v) / nullif(l.v, 0), -999), 4) AS change FROM {_YEARS} t JOIN {_YEARS} l ON t.cell = l.cell AND t.y = 1997 AND l.y = 1996")
+def _(spark, d):
+    s = V.stack_ord(spark, d).groupBy(F.year("date").alias("y"), "cell").agg(F.sum("v").alias("v"))
+    out = X.year_difference(s, "cell", "v", F.col("y") == 1997, F.col("y") == 1996)
+    return out.select("cell", F.round("diff", 4).alias("diff"), F.round("change", 4).alias("change"))
+
+
+@register("temporal_mean", f"SELECT cell, round(avg(CASE WHEN v >= 1500 THEN v END), 4) AS v FROM {V.STACK_ORD} GROUP BY cell")
+def _(spark, d):
+    s = V.stack_ord(spark, d).withColumn("v", F.when(F.col("v") < 1500, -3000.0).otherwise(F.col("v")))
+    return X.temporal_mean(s, ["cell"], "v", -3000.0).withColumn("v", F.round("v", 4))
+
+
+@register("group_by_date", f"SELECT date, count(*) AS n, sum(ord) AS s FROM {V.STACK_ORD} GROUP BY date HAVING count(*) > 1")
+def _(spark, d):
+    return V.stack_ord(spark, d).groupBy("date").agg(F.count("*").alias("n"), F.sum("ord").alias("s")).where("n > 1")
+
+
+@register("distinct_dates", f"SELECT DISTINCT date FROM {V.STACK_ORD}")
+def _(spark, d):
+    return V.stack_ord(spark, d).select("date").distinct()
+
+
+@register("destripe_rows", f"WITH e AS (SELECT col, max(CASE WHEN row = 9 THEN dn END) AS a, max(CASE WHEN row = 12 THEN dn END) AS e FROM {V.PX_EV} WHERE row IN (9, 12) GROUP BY col) SELECT p.row, p.col, CASE WHEN p.row IN (10, 11) THEN CAST(a + floor((e - a) / 3.0::DOUBLE) * (p.row - 9) AS BIGINT) ELSE CAST(dn AS BIGINT) END AS dn FROM {V.PX_EV} p LEFT JOIN e USING (col)")
+def _(spark, d):
+    return X.destripe(V.px_ev(spark, d), "dn", 10, 2).select("row", "col", F.col("dn").cast("long").alias("dn"))
+
+
+@register("alpha_band", f"SELECT row, col, dn, CASE WHEN dn = 20 AND v < 30 THEN 0 ELSE 255 END AS alpha FROM {V.PX_EV}")
+def _(spark, d):
+    return V.px_ev(spark, d).select("row", "col", "dn", F.when((F.col("dn") == 20) & (F.col("v") < 30), 0).otherwise(255).alias("alpha"))
+
+
+@register("transparent_tiles", f"SELECT CAST(row // 8 AS INTEGER) AS win_row, CAST(col // 8 AS INTEGER) AS win_col FROM {V.PX_EV} GROUP BY 1, 2 HAVING max(CASE WHEN masked THEN 0 ELSE 255 END) > 0")
+def _(spark, d):
+    return G.in_windows(V.px_ev(spark, d), 8).groupBy("win_row", "win_col").agg(F.max(F.when(F.col("masked"), 0).otherwise(255)).alias("a")).where("a > 0").select("win_row", "win_col")
+
+
+@register("composite_bands", f"SELECT row, col, max(CASE WHEN band = 'a' THEN x END) AS a, max(CASE WHEN band = 'b' THEN x END) AS b FROM (SELECT row, col, unnest(['a', 'b']) AS band, unnest([v, v * 2]) AS x FROM {V.PX_EV}) GROUP BY row, col")
+def _(spark, d):
+    px = V.px_ev(spark, d).select("row", "col", F.explode(F.create_map(F.lit("a"), F.col("v"), F.lit("b"), F.col("v") * 2)).alias("band", "x"))
+    return px.groupBy("row", "col").pivot("band", ["a", "b"]).agg(F.max("x"))
+
+
+@register("subset_by_coordinates", f"SELECT row, col, v FROM {V.PX_EV} WHERE row BETWEEN 7 AND 63 AND col BETWEEN 14 AND 80")
+def _(spark, d):
+    return V.px_ev(spark, d).where(F.col("row").between(7, 63) & F.col("col").between(14, 80)).select("row", "col", "v")
+
+
+@register("footprint_box", f"SELECT min(col) AS xmin, min(row) AS ymin, max(col) + 1 AS xmax, max(row) + 1 AS ymax FROM {V.PX_EV} WHERE masked")
+def _(spark, d):
+    return regions.footprint(V.px_ev(spark, d), F.col("masked"))
+
+
+@register("dissolve_cells", f"SELECT class, count(*) AS cells, min(col) AS xmin, min(row) AS ymin, max(col) + 1 AS xmax, max(row) + 1 AS ymax FROM (SELECT DISTINCT dn % 5 AS class, row // 3 AS row, col // 3 AS col FROM {V.PX_EV}) GROUP BY class")
+def _(spark, d):
+    px = V.px_ev(spark, d).select((F.col("dn") % 5).alias("class"), F.expr("row div 3").alias("row"), F.expr("col div 3").alias("col"))
+    return regions.dissolve(px, "class")
+
+
+@register("ccl_polygons")
+def _(spark, d):
+    return regions.regions(V.px_ev(spark, d), F.col("dn") > 60, 64).select("win_row", "win_col", "region", "cells", "wkt")
+
+
+@register("sieve_regions")
+def _(spark, d):
+    return regions.sieve(regions.regions(V.px_ev(spark, d), F.col("dn") > 20, 64), 3).select("win_row", "win_col", "region", "cells")
+
+
+@register("reproject_mercator")
+def _(spark, d):
+    return X.to_mercator(V.px_ev(spark, d), "v", 100, 100, -60.0, 60.0)
