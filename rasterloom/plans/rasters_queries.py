@@ -129,9 +129,9 @@ def _level(k: int) -> str:
     return f"SELECT {k} AS level, row, col, v FROM l{k}"
 
 
-@register("pyramid_levels", f"WITH l0 AS (SELECT row, col, CAST(v AS DOUBLE) AS v FROM {V.PX_EV}), " + ", ".join(f"l{k} AS (SELECT CAST(row // 2 AS INTEGER) AS row, CAST(col // 2 AS INTEGER) AS col, avg(v) AS v FROM l{k - 1} GROUP BY 1, 2)" for k in (1, 2, 3)) + " SELECT level, row, col, round(v, 7) AS v FROM (" + " UNION ALL ".join(_level(k) for k in (1, 2, 3)) + ")")
+@register("pyramid_levels", f"WITH l0 AS (SELECT row, col, CAST(v AS DOUBLE) AS v FROM {V.PX_EV}), " + ", ".join(f"l{k} AS (SELECT CAST(row // 2 AS INTEGER) AS row, CAST(col // 2 AS INTEGER) AS col, avg(v) AS v FROM l{k - 1} GROUP BY 1, 2)" for k in (1, 2, 3)) + " SELECT level, row, col, round(v, 9) AS v FROM (" + " UNION ALL ".join(_level(k) for k in (1, 2, 3)) + ")")
 def _(spark, d):
-    return X.pyramid(V.px_ev(spark, d), "v", 3).withColumn("v", F.round("v", 7))
+    return X.pyramid(V.px_ev(spark, d), "v", 3).withColumn("v", F.round("v", 9))
 
 
 _YEARS = f"(SELECT year(date) AS y, cell, sum(v) AS v FROM {V.STACK_ORD} GROUP BY 1, 2)"
