@@ -20,6 +20,8 @@ from rasterloom.llm.common import batches_of, crc32_mod5
 
 THRESHOLD = 0.3
 LEVEL = 3
+#: Smaller dictionaries than this aren't worth training.
+LEAST_TRAINED = 32_768
 
 
 @dataclass(frozen=True)
@@ -95,16 +97,18 @@ class CompressionModel:
         self.weights = w.tolist()
 
 
-def build_dictionary(texts: list[bytes], size: int) -> tuple[bytes, bool]:
-    """A trained dictionary, or the texts themselves where there are too few to train one; and whether it is the latter."""
+def build_dictionaries(texts: dict[int, list[bytes]], most: int) -> tuple[dict[int, bytes], bool]:
+    """A dictionary of each class, of one size: trained, and a quarter of the smaller class at most; where that is too
+    little to train on, the texts themselves. Also whether they are the latter."""
     import zstandard
 
-    if sum(map(len, texts)) >= 8 * size and len(texts) >= 16:
+    size = min(most, min(sum(map(len, t)) for t in texts.values()) // 4)
+    if size >= LEAST_TRAINED:
         try:
-            return zstandard.train_dictionary(size, texts).as_bytes(), False
+            return {c: zstandard.train_dictionary(size, t).as_bytes() for c, t in texts.items()}, False
         except zstandard.ZstdError:
             pass
-    return (b"\n".join(texts) or b"\n")[-size:].ljust(8), True
+    return {c: (b"\n".join(t) or b"\n")[-most:].ljust(8) for c, t in texts.items()}, True
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bounds: SampleBounds = SampleBounds()) -> CompressionModel:
@@ -133,10 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bounds:
     if first[0] or first[1]:
         for doc_id, label, text in texts(first[0] | first[1]).collect():  # at most 2 * dictionary_rows texts of max_chars
             samples[label].append((doc_id, text.encode("utf-8", "surrogatepass")))
-    built = {c: build_dictionary([t for _, t in sorted(samples[c])], bounds.dictionary_bytes) for c in (0, 1)}
-    if built[0][1] != built[1][1]:  # both trained or both raw, so that the sizes can be compared
-        built = {c: ((b"\n".join(t for _, t in sorted(samples[c])) or b"\n")[-bounds.dictionary_bytes :].ljust(8), True) for c in (0, 1)}
-    model = CompressionModel(built[1][0], built[0][0], built[0][1])
+    built, raw = build_dictionaries({c: [t for _, t in sorted(samples[c])] for c in (0, 1)}, bounds.dictionary_bytes)
+    model = CompressionModel(built[1], built[0], raw)
     good, bad = totals.get(1, 0), totals.get(0, 0)
     model.weights[0] = float(np.log((good + 1) / (bad + 1)))
     found = np.array(with_sizes(texts(rest), model, "label long").select("doc_id", "label", "n_bytes", "good_bytes", "bad_bytes").orderBy("doc_id").collect(), dtype=float) if rest else np.empty((0, 5))
