@@ -104,6 +104,42 @@ def bilinear_resample(px: DataFrame, value: str, targets: DataFrame) -> DataFram
     return wanted.join(px.select(*CELL, F.col(value).alias("v")), CELL).groupBy("id").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
 
 
+def kernel_weight(t: Column, kind: str) -> Column:
+    """Weight of a pixel at a distance t in pixels: cubic (reach 2), cubicspline (reach 2) or lanczos (reach 3)."""
+    a = F.abs(t)
+    if kind == "cubic":
+        near, far = 1.5 * a * a * a - 2.5 * a * a + 1, -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2
+        return F.when(a < 1, near).when(a < 2, far).otherwise(0.0)
+    if kind == "cubicspline":
+        return F.when(a < 1, (4 - 6 * a * a + 3 * a * a * a) / 6).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0)
+    if kind == "lanczos":
+        pi = 3.141592653589793
+        return F.when(a == 0, 1.0).when(a < 3, F.try_divide(3 * F.sin(pi * a) * F.sin(pi * a / 3), pi * pi * a * a)).otherwise(0.0)
+    raise ValueError("kind must be cubic, cubicspline or lanczos")
+
+
+def kernel_resample(px: DataFrame, value: str, targets: DataFrame, kind: str = "cubic") -> DataFrame:
+    """Values at fractional places (id, r, c) by a kernel over the pixels around; weights are normalised over those there are."""
+    reach = 3 if kind == "lanczos" else 2
+    steps = F.sequence(F.lit(1 - reach), F.lit(reach))
+    t = targets.withColumn("__i", F.explode(steps)).withColumn("__j", F.explode(steps))
+    row, col = F.floor("r") + F.col("__i"), F.floor("c") + F.col("__j")
+    wanted = t.select("id", row.alias("row"), col.alias("col"), (kernel_weight(F.col("r") - row, kind) * kernel_weight(F.col("c") - col, kind)).alias("w"))
+    joined = wanted.join(px.select(*CELL, F.col(value).alias("v")), CELL)
+    return joined.groupBy("id").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("value"))
+
+
+def smoothed(cells: DataFrame, x: str, y: str, value: str, sigma: float = 1.3) -> DataFrame:
+    """Gaussian smoothing of sparse cells: each is spread over its neighbourhood, and what arrives is summed."""
+    reach = int(4 * sigma + 0.5)
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    line = lambda d: F.exp(-0.5 * (d / sigma) * (d / sigma))
+    total = F.aggregate(F.transform(steps, lambda d: line(d.cast("double"))), F.lit(0.0), lambda s, v: s + v)
+    spread = cells.withColumn("__i", F.explode(steps)).withColumn("__j", F.explode(steps))
+    w = line(F.col("__i").cast("double")) * line(F.col("__j").cast("double")) / (total * total)
+    return spread.select((F.col(x) + F.col("__i")).alias(x), (F.col(y) + F.col("__j")).alias(y), (F.col(value) * w).alias(value)).groupBy(x, y).agg(F.sum(value).alias(value))
+
+
 def pyramid(px: DataFrame, value: str, levels: int) -> DataFrame:
     """Levels 1..levels of 2 x 2 means (of the pixels there are), each from the one before: level, row, col, value."""
     out, level = None, px.select(*CELL, F.col(value).cast("double").alias(value))

@@ -153,3 +153,31 @@ def test_partitions_do_not_matter(spark):
     px = spark.range(400).select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), ((F.col("id") * 37) % 101).alias("v"))
     runs = [sorted(map(tuple, S.linear_stretch(px.repartition(n), "v").select("row", "col", "out").collect())) for n in (1, 7)]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("kind", ["cubic", "cubicspline", "lanczos"])
+def test_kernels_keep_constants_and_match_numpy(spark, kind):
+    rng = np.random.default_rng(2)
+    v = rng.uniform(0, 9, (12, 12))
+    px = spark.createDataFrame([(r, c, float(v[r, c]), 3.0) for r in range(12) for c in range(12)], "row long, col long, v double, k double")
+    t = spark.createDataFrame([(0, 5.3, 6.8), (1, 0.2, 11.0)], "id long, r double, c double")
+    assert [x.value for x in rasters.kernel_resample(px, "k", t, kind).collect()] == pytest.approx([3.0, 3.0])
+
+    def weight(d):
+        a = abs(d)
+        if kind == "cubic":
+            return 1.5 * a**3 - 2.5 * a**2 + 1 if a < 1 else -0.5 * a**3 + 2.5 * a**2 - 4 * a + 2 if a < 2 else 0
+        if kind == "cubicspline":
+            return (4 - 6 * a**2 + 3 * a**3) / 6 if a < 1 else (2 - a) ** 3 / 6 if a < 2 else 0
+        return float(np.sinc(a) * np.sinc(a / 3)) if a < 3 else 0
+
+    w = np.array([[weight(5.3 - r) * weight(6.8 - c) for c in range(12)] for r in range(12)])
+    got = {x.id: x.value for x in rasters.kernel_resample(px, "v", t, kind).collect()}
+    assert got[0] == pytest.approx((w * v).sum() / w.sum())
+
+
+def test_smoothing_keeps_the_sum(spark):
+    cells = spark.createDataFrame([(5, 5, 2.0), (9, 5, 1.0)], "x int, y int, n double")
+    out = rasters.smoothed(cells, "x", "y", "n")
+    assert out.agg(F.sum("n")).first()[0] == pytest.approx(3.0)
+    assert out.orderBy(F.desc("n")).first().x == 5
