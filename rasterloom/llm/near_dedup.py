@@ -6,8 +6,8 @@ buckets. Documents of equal word sequences are one representative, so copies cos
 
 In each bucket the least representative is the hub of a star, and only its edges are candidates. An edge is confirmed on
 full shingle sets. Buckets whose members then lie in several components have further stars, from the next members, to those
-of other components only, until no member of any bucket is left unserved: no link that shares a bucket is lost, while
-a round's pairs stay linear in the buckets' sizes. Documents with similarity of 0.75 share no bucket with a chance of 2e-6.
+of other components only, until no member of any bucket is left unserved: no link that shares a bucket is lost. Sizes and
+sketches are compared within the join that makes the stars, so that only pairs that may be links become rows. Documents with similarity of 0.75 share no bucket with a chance of 2e-6.
 """
 
 from __future__ import annotations
@@ -18,19 +18,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import Stage, batches_of, checked, settled, words_bytes
-from rasterloom.llm.components import components
+from rasterloom.llm.components import components, extended
 from rasterloom.llm.hashing import mix, shingles
 
 WORDS = 5
 #: Similarity as a fraction: links have 100 * intersection >= 75 * union.
 SIMILARITY = (75, 100)
 BANDS, BINS_PER_BAND = 48, 5
-#: Members of a bucket that serve as hubs in a later round.
-HUBS = 16
+#: An odd sketch has so many bits; each shingle of the set, or of a sample of it by hash, flips one. What differs between two
+#: sketches tells the size of the symmetric difference. Pairs that differ by six standard deviations more than a link may are
+#: passed over, which a link is with a chance of 1e-9; all others are confirmed on full sets.
+SKETCH_BITS, SKETCH_SHINGLES = 1024, 512
+SKETCH_WORDS = SKETCH_BITS // 64
+#: Hubs of a bucket in the first further round, and how many times as many each round has as the one before.
+FIRST_HUBS, MORE_HUBS = 8, 32
 
 
 @lru_cache(4)
@@ -66,25 +71,65 @@ def band_hashes(values: np.ndarray, bands: int, width: int) -> np.ndarray:
     return mix((mix(values.reshape(bands, width)) * odd).sum(1, dtype=np.uint64) + salt).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> tuple[int, list[int], np.ndarray]:
+    """The level at which at most SKETCH_SHINGLES shingles are expected, and for it and the next: shingles, and the bits."""
+    level = max(0, (max(len(hashes), 1) - 1) // SKETCH_SHINGLES).bit_length()
+    counts, words = [], []
+    for at in (level, level + 1):
+        some = hashes[hashes & np.uint64((1 << at) - 1) == 0]
+        parity = np.bincount((some >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+        counts.append(len(some))
+        words.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+    return level, counts, np.concatenate(words)
+
+
+def sketches_of(signed: DataFrame, wanted: DataFrame) -> Stage:
+    """Two rows for each wanted row number: its sketch at its own level and at the next. rep, n, l (own level), at, c, s0.."""
+    rows = signed.select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "l", "c", "s").join(wanted, "rep")
+    rows = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1))))
+    words = [F.get("s", F.col("next") * SKETCH_WORDS + i).alias(f"s{i}") for i in range(SKETCH_WORDS)]
+    return Stage(rows.select("rep", "n", "l", (F.col("l") + F.col("next")).alias("at"), F.get("c", F.col("next")).alias("c"), *words), "sketches")
+
+
+def named(sketches: DataFrame, prefix: str, rep: str) -> DataFrame:
+    """Sketches with their columns under a prefix (but `at`), and the number of the row as `rep`."""
+    return sketches.select(F.col("rep").alias(rep), "at", *[F.col(c).alias(prefix + c) for c in sketches.columns if c not in ("rep", "at")])
+
+
+def plausible(left: str, right: str) -> Column:
+    """Whether two documents, with sketches of one level under two prefixes, may be linked: that level is the greater of
+    their own, their sizes allow it, and their sketches don't differ by more than a link's."""
+    part, whole = SIMILARITY
+    a, b = (lambda c: F.col(left + c)), (lambda c: F.col(right + c))
+    differing = sum((F.bit_count(a(f"s{i}").bitwiseXOR(b(f"s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    most = (a("c") + b("c")) * ((whole - part) / (whole + part))  # of a link's symmetric difference
+    expected = SKETCH_BITS / 2 * (1 - F.exp(-2.0 / SKETCH_BITS * most))
+    spread = F.sqrt(2 * most * most / SKETCH_BITS + F.when(F.col("at") > 0, 1.5 * most).otherwise(0.0) + 1)
+    return (F.col("at") == F.greatest(a("l"), b("l"))) & (F.least(a("n"), b("n")) * whole >= F.greatest(a("n"), b("n")) * part) & (differing <= expected + 6 * spread)
+
+
 def signatures(docs: DataFrame, bands: int, width: int) -> DataFrame:
-    """row, doc_id, n_shingles, words (digest of the word sequence; null without words) and the bands of every document."""
+    """row, doc_id, n_shingles, words (digest of the word sequence; null without words), bands, and sketch (level l, counts c,
+    bits s) of every document."""
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("l", pa.int32()), ("c", pa.list_(pa.int32())), ("s", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in batches_of(batch, "text"):
-                counts, digests, found = [], [], []
+                counts, digests, found, sketches = [], [], [], []
                 for text in texts:
                     words = words_bytes(text)
                     own = shingles(words, WORDS)
                     counts.append(len(own))
                     digests.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
-                    found.append(band_hashes(signature(own, bands * width), bands, width) if words else np.empty(0, np.int64))
+                    values = signature(own, bands * width) if words else None
+                    found.append(band_hashes(values, bands, width) if words else np.empty(0, np.int64))
+                    sketches.append(sketch(own))
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32), np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(c, schema.field(n).type) for c, n in zip(zip(*sketches), "lcs"))], schema=schema)
 
-    return source.mapInArrow(sign, "row long, doc_id long, n_shingles long, words binary, bands array<long>")
+    return source.mapInArrow(sign, "row long, doc_id long, n_shingles long, words binary, bands array<long>, l int, c array<int>, s array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -115,44 +160,48 @@ def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> Stage:
     return Stage(numbered.join(checked(rows.df), "row").select("rep", "text"), "texts")
 
 
-def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, hubs: int = HUBS) -> DataFrame:
+def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
     """row, doc_id, n_shingles and component (the least row that links reach) of every row of `docs`."""
     docs = settled(docs)
     signed = Stage(signatures(docs, bands, width), "signatures")
     firsts = Stage(signed.df.where("words is not null").groupBy("words").agg(F.min("row").alias("rep")), "representatives")
     keyed = signed.df.select("row", "doc_id", "n_shingles", F.coalesce("words", F.col("row").cast("string").cast("binary")).alias("words"))  # no row waits for a null
-    named = Stage(keyed.join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
+    labels = Stage(keyed.join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
     own = signed.df.join(firsts.df.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
     sizes = Stage(own.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = Stage(own.join(sizes.df, "bucket").select("bucket", "rep", "hub", "n"), "members")
+    reps = labels.df.where("row = rep").select("row", "rep")
+    wanted = Stage(members.df.select("rep").distinct(), "wanted")
+    sketches = sketches_of(signed.df, wanted.df)
     signed.drop()
-    reps = named.df.where("row = rep").select("row", "rep")
-    texts = texts_of(docs, reps, members.df.select("rep").distinct())
-
-    pairs = Stage(members.df.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = Stage(confirm(pairs.df, texts.df), "links")
-    tried, linked = pairs.df, links.df
-    found = components(linked)
-    served = 1
+    texts = texts_of(docs, reps, wanted.df)
+
+    stars = members.df.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    drawn = stars.join(named(sketches.df, "b_", "b"), "b").join(named(sketches.df, "a_", "a"), ["a", "at"])
+    pairs = Stage(drawn.where(plausible("a_", "b_")).select("a", "b"), "pairs")
+    tried = pairs.df
+    found = components(Stage(confirm(tried, texts.df), "links").df)
+    served, more_hubs = 1, FIRST_HUBS
     crowded = members.df.where("n > 2").select("bucket", "rep")
     while True:
-        # buckets whose members lie in several components, and of those the members not yet served, in order
+        # buckets whose members lie in several components, while some of their members haven't served
         labelled = crowded.join(found.df.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where(F.col("c") < F.col("d")).where(F.col("n") > served + 1)
         left = Stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "left")
         if left.df.isEmpty():
             break
-        hub_rows = hubs_of(left.df, served, hubs)
-        fresh = left.df.join(hub_rows, "bucket").where("rep > hub and component <> hub_component").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-        fresh = Stage(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+        others = left.df.join(named(sketches.df, "rep_", "rep"), "rep")
+        hubs = hubs_of(left.df, served, more_hubs).join(named(sketches.df, "hub_", "hub"), "hub")
+        candidates = others.join(hubs, ["bucket", "at"]).where(F.expr("rep > hub and component <> hub_component") & plausible("rep_", "hub_"))
+        fresh = Stage(candidates.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = Stage(confirm(fresh.df, texts.df), "links")
-        tried, linked = tried.unionByName(fresh.df), linked.unionByName(more.df)
+        tried = tried.unionByName(fresh.df)
         if not more.df.isEmpty():
-            found.drop()
-            found = components(linked)
+            found = extended(found.df, more.df)
         crowded = left.df.select("bucket", "rep")
-        served += hubs
-    out = named.df.join(found.df.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        served += more_hubs
+        more_hubs *= MORE_HUBS
+    out = labels.df.join(found.df.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
 
 
