@@ -73,7 +73,7 @@ def _(spark, d):
     return X.mosaic(overlapping(spark, d).where("col between 30 and 110"), "v", "ord", "fill", -1.0)
 
 
-@register("mosaic_by_date", f"SELECT year(date) AS y, cell, arg_min(v, ord) AS v FROM {V.STACK_ORD} GROUP BY 1, 2")
+@register("mosaic_by_date", f"SELECT CAST(year(date) AS INTEGER) AS y, cell, arg_min(v, ord) AS v FROM {V.STACK_ORD} GROUP BY 1, 2")
 def _(spark, d):
     return X.mosaic(V.stack_ord(spark, d).withColumn("y", F.year("date")), "v", "ord", "first", cell=["y", "cell"])
 
@@ -150,7 +150,7 @@ def _(spark, d):
     return X.temporal_mean(s, ["cell"], "v", -3000.0).withColumn("v", F.round("v", 4))
 
 
-@register("group_by_date", f"SELECT date, count(*) AS n, sum(ord) AS s FROM {V.STACK_ORD} GROUP BY date HAVING count(*) > 1")
+@register("group_by_date", f"SELECT date, count(*) AS n, CAST(sum(ord) AS BIGINT) AS s FROM {V.STACK_ORD} GROUP BY date HAVING count(*) > 1")
 def _(spark, d):
     return V.stack_ord(spark, d).groupBy("date").agg(F.count("*").alias("n"), F.sum("ord").alias("s")).where("n > 1")
 

@@ -173,7 +173,7 @@ def _(spark, d):
     return S.histogram2d(V.pt_cust(spark, d), "lon", "lat", (-180.0, 180.0), (-90.0, 90.0)).select("xbin", "ybin", F.round("log_n", 6).alias("log_n"))
 
 
-@register("latest_calibration", "SELECT o_custkey AS key, max(year(o_orderdate)) AS y, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS gain FROM orders WHERE year(o_orderdate) <= 1996 GROUP BY o_custkey")
+@register("latest_calibration", "SELECT o_custkey AS key, CAST(max(year(o_orderdate)) AS INTEGER) AS y, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS gain FROM orders WHERE year(o_orderdate) <= 1996 GROUP BY o_custkey")
 def _(spark, d):
     o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("gain"))
     o = o.where(F.col("y") <= 1996)
