@@ -84,11 +84,11 @@ def sketch(hashes: np.ndarray) -> tuple[int, list[int], np.ndarray]:
 
 
 def sketches_of(signed: DataFrame, wanted: DataFrame) -> Stage:
-    """Two rows for each wanted row number: its sketch at its own level and at the next. rep, n, l (own level), at, c, s0.."""
-    rows = signed.select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "l", "c", "s").join(wanted, "rep")
+    """Two rows for each wanted row number: its sketch at its own level and at the next. rep, n, l (own level), at, c, s0.., bands"""
+    rows = signed.select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "l", "c", "s", "bands").join(wanted, "rep")
     rows = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1))))
     words = [F.get("s", F.col("next") * SKETCH_WORDS + i).alias(f"s{i}") for i in range(SKETCH_WORDS)]
-    return Stage(rows.select("rep", "n", "l", (F.col("l") + F.col("next")).alias("at"), F.get("c", F.col("next")).alias("c"), *words), "sketches")
+    return Stage(rows.select("rep", "n", "l", (F.col("l") + F.col("next")).alias("at"), F.get("c", F.col("next")).alias("c"), *words, "bands"), "sketches")
 
 
 def named(sketches: DataFrame, prefix: str, rep: str) -> DataFrame:
@@ -192,7 +192,9 @@ def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) ->
             break
         others = left.df.join(named(sketches.df, "rep_", "rep"), "rep")
         hubs = hubs_of(left.df, served, more_hubs).join(named(sketches.df, "hub_", "hub"), "hub")
-        candidates = others.join(hubs, ["bucket", "at"]).where(F.expr("rep > hub and component <> hub_component") & plausible("rep_", "hub_"))
+        # a pair is made in the least bucket that both are in, whose turn comes in some round
+        owner = F.array_min(F.array_intersect("rep_bands", "hub_bands")) == F.col("bucket")
+        candidates = others.join(hubs, ["bucket", "at"]).where(F.expr("rep > hub and component <> hub_component") & plausible("rep_", "hub_") & owner)
         fresh = Stage(candidates.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         more = Stage(confirm(fresh.df, texts.df), "links")
         tried = tried.unionByName(fresh.df)
