@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.geometry import polynomial_terms
@@ -36,33 +36,52 @@ def residuals(points: DataFrame, target: str, fit: DataFrame, degree: int = 1, x
 
 def helmert_fit(pairs: DataFrame, limit: float = 1e-10, rounds: int = 100) -> DataFrame:
     """Seven parameters from pairs (x, y, z, u, v, w) by repeated linear solutions about the points' centres, and the residual
-    standard deviation. Pairs are control points: a handful, in one group."""
+    standard deviation. What is solved comes from centres and co-moments, which are aggregates over all pairs."""
+    names = ["x", "y", "z", "u", "v", "w"]
+    rows = pairs.select(*[F.col(c).cast("double").alias(c) for c in names])
+    moments = [F.covar_pop(a, b).alias(f"{a}{b}") for i, a in enumerate(names) for b in names[i:]]
 
-    def solve(df: pd.DataFrame) -> pd.DataFrame:
-        s, t = df[["x", "y", "z"]].to_numpy(float), df[["u", "v", "w"]].to_numpy(float)
-        sc, tc = s.mean(0), t.mean(0)
-        s, t = s - sc, t - tc
-        p = np.zeros(7)
-        for _ in range(rounds):
-            r = np.array([[1, p[5], -p[4]], [-p[5], 1, p[3]], [p[4], -p[3], 1]])
-            k = 1 + p[6]
-            b = (t - p[:3] - k * s @ r.T).ravel()
-            design = np.zeros((len(s), 3, 7))
-            design[:, :, :3] = np.eye(3)
-            x, y, z = s.T
-            design[:, 0, 4], design[:, 0, 5] = -k * z, k * y
-            design[:, 1, 3], design[:, 1, 5] = k * z, -k * x
-            design[:, 2, 3], design[:, 2, 4] = -k * y, k * x
-            design[:, :, 6] = s @ r.T
-            step = np.linalg.lstsq(design.reshape(-1, 7), b, rcond=None)[0]
-            p += step
-            if np.abs(step).sum() <= limit:
-                break
-        sigma = float(np.sqrt(b @ b / max(1, b.size - 7)))
-        return pd.DataFrame([[*p, *sc, *tc, sigma]], columns=columns)
+    def turn(p: np.ndarray) -> np.ndarray:
+        return np.array([[1, p[5], -p[4]], [-p[5], 1, p[3]], [p[4], -p[3], 1]])
 
-    columns = ["dx", "dy", "dz", "rx", "ry", "rz", "scale", "sx", "sy", "sz", "tx", "ty", "tz", "sigma"]
-    return pairs.groupBy().applyInPandas(solve, ", ".join(f"{c} double" for c in columns))
+    def solve(batches):
+        for df in batches:
+            out = []
+            for r in df.to_dict("records"):
+                if not r["n"]:
+                    continue
+                # means of products of (1, x, y, z, u, v, w), each about its centre
+                m = np.zeros((7, 7))
+                m[0, 0] = 1
+                for i, a in enumerate(names):
+                    for j, b in enumerate(names[i:], i):
+                        m[i + 1, j + 1] = m[j + 1, i + 1] = r[a + b]
+                p = np.zeros(7)
+                for _ in range(rounds):
+                    k = 1 + p[6]
+                    # rows: coordinates; what is missed, and its derivatives by parameter, as weights of the seven
+                    miss = np.column_stack([-p[:3], -k * turn(p), np.eye(3)])
+                    design = np.zeros((3, 7, 7))
+                    for i in range(3):
+                        design[i, i, 0] = 1
+                    design[0, 4, 3], design[0, 5, 2] = -k, k
+                    design[1, 3, 3], design[1, 5, 1] = k, -k
+                    design[2, 3, 2], design[2, 4, 1] = -k, k
+                    design[:, 6, 1:4] = turn(p)
+                    normal, right = sum(d @ m @ d.T for d in design), sum(d @ m @ e for d, e in zip(design, miss))
+                    step = np.linalg.lstsq(normal, right, rcond=None)[0]
+                    p += step
+                    if np.abs(step).sum() <= limit:
+                        break
+                out.append([*p, *(r["m" + c] for c in names), *(1 + p[6]) * turn(p).ravel()])
+            yield pd.DataFrame(out, columns=columns + turned)
+
+    columns = ["dx", "dy", "dz", "rx", "ry", "rz", "scale", "sx", "sy", "sz", "tx", "ty", "tz"]
+    turned = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    fit = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias("m" + c) for c in names], *moments).mapInPandas(solve, ", ".join(f"{c} double" for c in columns + turned))
+    missed = [F.col("uvw"[i]) - F.col("t" + "xyz"[i]) - F.col("d" + "xyz"[i]) - sum(F.col(f"r{i}{j}") * (F.col("xyz"[j]) - F.col("s" + "xyz"[j])) for j in range(3)) for i in range(3)]
+    # sigma by a pass of its own: taken from the moments, it would cancel
+    return rows.crossJoin(F.broadcast(fit)).groupBy(*columns).agg(F.sqrt(F.sum(sum(e * e for e in missed)) / F.greatest(F.lit(1), 3 * F.count("*") - 7)).alias("sigma"))
 
 
 def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0) -> DataFrame:
@@ -94,31 +113,45 @@ def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nug
 
 
 def ransac(pairs: DataFrame, threshold: float, by: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
-    """Control points (x, y, xr, yr) of each group that agree with the best of `rounds` seeded homographies."""
+    """Control points (x, y, xr, yr) of each group that agree with the best of `rounds` seeded homographies.
+
+    Homographies come from up to 4 * rounds points of a group, chosen by hash; all points of all groups are judged by each of
+    their group's, which is an aggregate. Groups of fewer than four points are kept as they are.
+    """
+    coordinates = ["x", "y", "xr", "yr"]
 
     def homography(s: np.ndarray, t: np.ndarray) -> np.ndarray:
         rows = []
         for (x, y), (u, v) in zip(s, t):
             rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-        return np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
+        return np.linalg.svd(np.array(rows))[2][-1]
 
-    def keep(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["x", "y", "xr", "yr"])
+    def models(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(coordinates).reset_index(drop=True)
         s, t = df[["x", "y"]].to_numpy(float), df[["xr", "yr"]].to_numpy(float)
-        if len(df) < 4:
-            return df
-        rng, best = np.random.default_rng(seed), np.zeros(len(df), bool)
-        ones = np.column_stack([s, np.ones(len(s))])
-        for _ in range(rounds):
+        rng, out = np.random.default_rng(seed), []
+        for k in range(rounds if len(df) >= 4 else 0):
             pick = rng.choice(len(df), 4, replace=False)
-            q = ones @ homography(s[pick], t[pick]).T
-            with np.errstate(all="ignore"):
-                inside = np.hypot(*(q[:, :2] / q[:, 2:] - t).T) < threshold
-            if inside.sum() > best.sum():
-                best = inside
-        return df[best]
-
-    return pairs.groupBy(*by).applyInPandas(keep, pairs.schema)
+            out.append([*df.loc[0, by], k, *homography(s[pick], t[pick])])
+        return pd.DataFrame(out, columns=[*by, "__round", *cells])
+
+    cells = [f"__h{i}" for i in range(9)]
+    hashed = pairs.select(*by, *coordinates, F.xxhash64(F.lit(seed), *coordinates).alias("__hash")).withColumn("__bucket", F.pmod("__hash", F.lit(rounds)))
+    order = Window.partitionBy(*by, "__bucket").orderBy("__hash", *coordinates)
+    chosen = hashed.withColumn("__r", F.row_number().over(order)).where("__r <= 4").select(*by, *coordinates)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*by).schema)
+    found = chosen.groupBy(*by).applyInPandas(models, f"{kinds}, __round int, " + ", ".join(f"{c} double" for c in cells))
+
+    h = [F.col(c) for c in cells]
+    row = lambda i: h[i] * F.col("x") + h[i + 1] * F.col("y") + h[i + 2]
+    miss = lambda i, to: F.try_divide(row(i), row(6)) - F.col(to)
+    inside = F.coalesce(F.sqrt(miss(0, "xr") * miss(0, "xr") + miss(3, "yr") * miss(3, "yr")) < threshold, F.lit(False))
+    counts = pairs.join(F.broadcast(found), by).groupBy(*by, "__round").agg(F.sum(inside.cast("long")).alias("__n"))
+    best = counts.groupBy(*by).agg(F.max_by("__round", F.struct("__n", -F.col("__round"))).alias("__round"))
+    chosen_model = found.join(best, [*by, "__round"])
+    small = pairs.groupBy(*by).agg(F.count("*").alias("__n")).where("__n < 4").select(*by, F.lit(True).alias("__few"))
+    judged = pairs.join(F.broadcast(chosen_model), by, "left").join(F.broadcast(small), by, "left")
+    return judged.where(F.col("__few") | inside).select(*pairs.columns)
 
 
 def rpc_corners(scenes: DataFrame, rounds: int = 20) -> DataFrame:

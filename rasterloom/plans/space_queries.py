@@ -87,6 +87,19 @@ def _(spark, d):
     return dist.select("a", "b", *[F.round(Y.covariance(m, F.col("d"), 0.5, 2.0, 40.0), 6).alias(m) for m in _SHAPES])
 
 
+_D = "sqrt(pow(p.lon - q.lon, 2) + pow(p.lat - q.lat, 2))"
+
+
+@register("variogram_cov_whole", "SELECT a, b, " + ", ".join(f"round(CASE WHEN d = 0 THEN 2.5::DOUBLE ELSE 2.0::DOUBLE * ({e}) END, 6) AS {n}" for n, e in _SHAPES.items()) + f" FROM (SELECT p.id AS a, q.id AS b, {_D} AS d FROM {V.PT_CUST} p, {V.PT_CUST} q WHERE q.id % 20 = 0)")
+def _(spark, d):
+    """All points against the stated ones."""
+    p = V.pt_cust(spark, d)
+    stated = p.where("id % 20 = 0").select(F.col("id").alias("b"), F.col("lon").alias("u"), F.col("lat").alias("w"))
+    pairs = p.select(F.col("id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y")).crossJoin(F.broadcast(stated))
+    dist = pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("u"), F.lit(2.0)) + F.pow(F.col("y") - F.col("w"), F.lit(2.0))))
+    return dist.select("a", "b", *[F.round(Y.covariance(m, F.col("d"), 0.5, 2.0, 40.0), 6).alias(m) for m in _SHAPES])
+
+
 @register("helmert_apply", f"SELECT id, round(10 + 1.5::DOUBLE * (lon + 0.3::DOUBLE * lat - 0.2::DOUBLE * z), 6) AS x, round(20 + 1.5::DOUBLE * (-0.3::DOUBLE * lon + lat + 0.1::DOUBLE * z), 6) AS y, round(30 + 1.5::DOUBLE * (0.2::DOUBLE * lon - 0.1::DOUBLE * lat + z), 6) AS h FROM {V.PT_CUST}")
 def _(spark, d):
     x, y, h = T.helmert(F.col("lon"), F.col("lat"), F.col("z"), [10.0, 20.0, 30.0, 0.1, 0.2, 0.3, 0.5])
@@ -127,7 +140,7 @@ def _(spark, d):
 
 @register("helmert_solve")
 def _(spark, d):
-    p = V.pt_cust(spark, d).where("id < 8")
+    p = V.pt_cust(spark, d)
     x, y, h = T.helmert(F.col("lon"), F.col("lat"), F.col("z") / 100, [1.0, 2.0, 3.0, 1e-4, 2e-4, 3e-4, 1e-5])
     pairs = p.select(F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("z") / 100).alias("z"), x.alias("u"), y.alias("v"), h.alias("w"))
     fit = fitting.helmert_fit(pairs)
@@ -142,7 +155,7 @@ def _(spark, d):
 
 @register("ransac_gcps")
 def _(spark, d):
-    p = V.pt_cust(spark, d).where("id < 200").select((F.col("id") % 2).alias("part"), F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("lon") * 1.5 + 2 + F.when(F.col("id") % 9 == 0, 40).otherwise(0)).alias("xr"), (F.col("lat") * 1.5 - 1).alias("yr"))
+    p = V.pt_cust(spark, d).select((F.col("id") % 2).alias("part"), F.col("lon").alias("x"), F.col("lat").alias("y"), (F.col("lon") * 1.5 + 2 + F.when(F.col("id") % 9 == 0, 40).otherwise(0)).alias("xr"), (F.col("lat") * 1.5 - 1).alias("yr"))
     return fitting.ransac(p, 1e-3, ["part"]).groupBy("part").agg(F.count("*").alias("kept"))
 
 

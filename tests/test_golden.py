@@ -181,3 +181,40 @@ def test_smoothing_keeps_the_sum(spark):
     out = rasters.smoothed(cells, "x", "y", "n")
     assert out.agg(F.sum("n")).first()[0] == pytest.approx(3.0)
     assert out.orderBy(F.desc("n")).first().x == 5
+
+
+def test_helmert_fit_is_over_all_pairs(spark):
+    """Two halves of a table, moved by different amounts: the fit is that of least squares over both."""
+    rng = np.random.default_rng(4)
+    s = rng.uniform(-50, 50, (60, 3))
+    t = s * 1.001 + [1, 2, 3] + rng.normal(0, 0.01, (60, 3)) + (np.arange(60) >= 30)[:, None] * 0.5
+    pts = spark.createDataFrame([tuple(map(float, [*a, *b])) for a, b in zip(s, t)], "x double, y double, z double, u double, v double, w double")
+    got = fitting.helmert_fit(pts.repartition(5)).first()
+    k, r = 1 + got.scale, np.array([[1, got.rz, -got.ry], [-got.rz, 1, got.rx], [got.ry, -got.rx, 1]])
+    left = t - t.mean(0) - [got.dx, got.dy, got.dz] - k * (s - s.mean(0)) @ r.T
+    assert got.sigma == pytest.approx(np.sqrt((left**2).sum() / (180 - 7)))
+    for column, step in ((0, 1e-3), (1, 1e-3), (2, 1e-3)):
+        moved = r.copy()
+        i, j = [(1, 2), (2, 0), (0, 1)][column]
+        moved[i, j] += step
+        moved[j, i] -= step
+        assert ((t - t.mean(0) - k * (s - s.mean(0)) @ moved.T) ** 2).sum() > (left**2).sum()
+
+
+def test_ransac_judges_every_point_and_small_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(x), float(y), float(2 * x + 1 + (50 if i % 5 == 0 else 0)), float(y - 3)) for g in (1, 2) for i, (x, y) in enumerate(rng.uniform(0, 100, (3000, 2)))]
+    few = [(3, 0.0, 0.0, 9.0, 9.0), (3, 1.0, 0.0, 3.0, 4.0)]
+    kept = fitting.ransac(spark.createDataFrame(rows + few, "g int, x double, y double, xr double, yr double").repartition(3), 1e-6, ["g"])
+    assert {r.g: r["count"] for r in kept.groupBy("g").count().collect()} == {1: 2400, 2: 2400, 3: 2}
+
+
+def test_fits_use_the_whole_table(spark):
+    from rasterloom.plans import catalogue, views
+
+    sf = "/root/testdata/sf0.01"
+    ids = {r.id for r in views.pt_cust(spark, sf).select("id").collect()}
+    kept = {r.part: r.kept for r in catalogue.QUERIES["ransac_gcps"](spark, sf).collect()}
+    assert kept == {k: sum(i % 2 == k and i % 9 != 0 for i in ids) for k in (0, 1)}
+    helmert = catalogue.QUERIES["helmert_solve"](spark, sf).first()
+    assert list(helmert) == pytest.approx([1e-4, 2e-4, 3e-4, 1e-5, 0], abs=2e-6)
