@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.geometry import polynomial_terms
+from rasterloom.operators.spatial import nearest
 
 
 def polynomial_fit(points: DataFrame, target: str, degree: int = 1, x: str = "x", y: str = "y") -> DataFrame:
@@ -84,19 +85,25 @@ def helmert_fit(pairs: DataFrame, limit: float = 1e-10, rounds: int = 100) -> Da
     return rows.crossJoin(F.broadcast(fit)).groupBy(*columns).agg(F.sqrt(F.sum(sum(e * e for e in missed)) / F.greatest(F.lit(1), 3 * F.count("*") - 7)).alias("sigma"))
 
 
-def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0) -> DataFrame:
-    """Ordinary kriging of queries (q, x, y) from points (x, y, z). Points are a checked few hundred: the system is dense."""
-    rows = points.select("x", "y", "z").limit(2001).collect()
-    if len(rows) > 2000:
-        raise ValueError("too many points for a dense system; krige by neighbourhoods")
-    p = np.array([tuple(r) for r in rows], float)
+#: Up to so many points are kriged as one dense system.
+MOST_DENSE = 2000
+
+
+def covariance(d: np.ndarray, model: str, nugget: float, sill: float, reach: float) -> np.ndarray:
+    r = np.minimum(d / reach, 1)
+    c = {"exponential": np.exp(-3 * d / reach), "spherical": 1 - r * (1.5 - 0.5 * r * r), "gaussian": np.exp(-3 * (d / reach) ** 2), "linear": 1 - r}[model]
+    return np.where(d == 0, nugget + sill, sill * c)
 
-    def cov(d: np.ndarray) -> np.ndarray:
-        r = np.minimum(d / reach, 1)
-        c = {"exponential": np.exp(-3 * d / reach), "spherical": 1 - r * (1.5 - 0.5 * r * r), "gaussian": np.exp(-3 * (d / reach) ** 2), "linear": 1 - r}[model]
-        return np.where(d == 0, nugget + sill, sill * c)
 
+def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0, near: int = 16) -> DataFrame:
+    """Ordinary kriging of queries (q, x, y) from points (x, y, z): one dense system of up to 2,000 points, and beyond, a system
+    of the `near` nearest points (id, x, y, z) for each query."""
+    rows = points.select("x", "y", "z").limit(MOST_DENSE + 1).collect()
+    if len(rows) > MOST_DENSE:
+        return krige_near(points, queries, model, nugget, sill, reach, near)
+    p = np.array([tuple(r) for r in rows], float)
     n = len(p)
+    cov = lambda d: covariance(d, model, nugget, sill, reach)
     a = np.ones((n + 1, n + 1))
     a[:n, :n] = cov(np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1]))
     a[n, n] = 0
@@ -112,6 +119,33 @@ def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nug
     return queries.select("q", "x", "y").mapInPandas(run, "q long, value double, variance double")
 
 
+def krige_near(points: DataFrame, queries: DataFrame, model: str, nugget: float, sill: float, reach: float, near: int) -> DataFrame:
+    """Ordinary kriging of each query (q, x, y) from its `near` nearest points (id, x, y, z)."""
+    n, w, h = points.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    # cells of about as many points as are wanted, however many there are in all
+    size = float(np.sqrt(max(w, 1e-9) * max(h, 1e-9) * near / n))
+    found = nearest(queries, points, near, size)
+    point = F.struct("rank", F.col("px").alias("x"), F.col("py").alias("y"), "z", "d")
+    lists = found.groupBy("q").agg(F.array_sort(F.collect_list(point)).alias("p")).select("q", *[F.col("p")[c].alias(c) for c in ("x", "y", "z", "d")])
+
+    def run(batches):
+        for df in batches:
+            value, variance = np.zeros(len(df)), np.zeros(len(df))
+            sizes = df["z"].map(len).to_numpy()
+            for k in np.unique(sizes):
+                at = np.flatnonzero(sizes == k)
+                x, y, z, d = (np.stack(df[c].to_numpy()[at]).astype(float) for c in "xyzd")
+                a, b = np.ones((len(at), k + 1, k + 1)), np.ones((len(at), k + 1))
+                a[:, :k, :k] = covariance(np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]), model, nugget, sill, reach)
+                a[:, k, k] = 0
+                b[:, :k] = covariance(d, model, nugget, sill, reach)
+                weights = (np.linalg.pinv(a) @ b[:, :, None])[:, :, 0]
+                value[at], variance[at] = (z * weights[:, :k]).sum(1), nugget + sill - (weights * b).sum(1)
+            yield pd.DataFrame({"q": df["q"], "value": value, "variance": variance})
+
+    return lists.mapInPandas(run, "q long, value double, variance double")
+
+
 def ransac(pairs: DataFrame, threshold: float, by: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
     """Control points (x, y, xr, yr) of each group that agree with the best of `rounds` seeded homographies.
 

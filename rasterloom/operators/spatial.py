@@ -40,7 +40,8 @@ def layer_box(boxes: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataFrame:
-    """The k nearest points (id, x, y, z) of each query (q, x, y), ties by id: q, id, z, d, rank.
+    """The k nearest points (id, x, y, z) of each query (q, x, y), ties by id: q, id, z, d, rank,
+    and their places px, py.
 
     Points are searched by rings of cells. In each round a query takes the points of the square of cells of a radius; what
     lies within that radius is certain, and queries with fewer than k certain ones go on with twice the radius.
@@ -59,7 +60,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataF
         ranked = around.join(p, ["__cx", "__cy"]).withColumn("d", d).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
         last = radius > reach
         sure = ranked.withColumn("__n", F.sum(F.when(F.col("d") <= radius * size, 1).otherwise(0)).over(Window.partitionBy("q")))
-        found = (ranked if last else sure.where(F.col("__n") >= wanted).where(F.col("rank") <= wanted)).select("q", "id", "z", "d", "rank")
+        found = (ranked if last else sure.where(F.col("__n") >= wanted).where(F.col("rank") <= wanted)).select("q", "id", "z", "d", "rank", "px", "py")
         out = found if out is None else out.unionByName(found)
         if last:
             return out

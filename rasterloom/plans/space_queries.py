@@ -150,7 +150,7 @@ def _(spark, d):
 @register("krige_solve")
 def _(spark, d):
     p = V.pt_cust(spark, d).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"), "z")
-    return fitting.krige(p.where("id < 100"), p.where("id < 100").withColumnRenamed("id", "q"), "spherical", 0.0, 2.0, 60.0).select("q", F.round("value", 3).alias("value"))
+    return fitting.krige(p, p.withColumnRenamed("id", "q"), "spherical", 0.0, 2.0, 60.0).select("q", F.round("value", 3).alias("value"))
 
 
 @register("ransac_gcps")

@@ -201,6 +201,25 @@ def test_helmert_fit_is_over_all_pairs(spark):
         assert ((t - t.mean(0) - k * (s - s.mean(0)) @ moved.T) ** 2).sum() > (left**2).sum()
 
 
+def test_kriging_beyond_a_dense_system(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    p = [(i, float(x), float(y), float(x + 2 * y)) for i, (x, y) in enumerate(rng.uniform(0, 10, (200, 2)))]
+    points = spark.createDataFrame(p, "id long, x double, y double, z double")
+    queries = spark.createDataFrame([(500, 5.0, 5.0), (501, 1.0, 9.0), (502, p[3][1], p[3][2])], "q long, x double, y double")
+    monkeypatch.setattr(fitting, "MOST_DENSE", 100)
+    got = {r.q: (r.value, r.variance) for r in fitting.krige(points, queries, "spherical", 0.0, 2.0, 6.0, near=12).collect()}
+    place = np.array([r[1:3] for r in p])
+    for q, x, y in queries.collect():
+        d = np.hypot(*(place - [x, y]).T)
+        at = np.argsort(d)[:12]
+        cov = lambda h: np.where(h == 0, 2.0, 2.0 * (1 - np.minimum(h / 6, 1) * (1.5 - 0.5 * np.minimum(h / 6, 1) ** 2)))
+        a, b = np.ones((13, 13)), np.ones(13)
+        a[:12, :12] = cov(np.hypot(*(place[at][:, None] - place[at][None]).transpose(2, 0, 1)))
+        a[12, 12], b[:12] = 0, cov(d[at])
+        w = np.linalg.solve(a, b)
+        assert got[q] == pytest.approx((w[:12] @ [p[i][3] for i in at], 2.0 - w @ b))
+
+
 def test_ransac_judges_every_point_and_small_groups(spark):
     rng = np.random.default_rng(8)
     rows = [(g, float(x), float(y), float(2 * x + 1 + (50 if i % 5 == 0 else 0)), float(y - 3)) for g in (1, 2) for i, (x, y) in enumerate(rng.uniform(0, 100, (3000, 2)))]
@@ -214,6 +233,7 @@ def test_fits_use_the_whole_table(spark):
 
     sf = "/root/testdata/sf0.01"
     ids = {r.id for r in views.pt_cust(spark, sf).select("id").collect()}
+    assert {r.q for r in catalogue.QUERIES["krige_solve"](spark, sf).collect()} == ids
     kept = {r.part: r.kept for r in catalogue.QUERIES["ransac_gcps"](spark, sf).collect()}
     assert kept == {k: sum(i % 2 == k and i % 9 != 0 for i in ids) for k in (0, 1)}
     helmert = catalogue.QUERIES["helmert_solve"](spark, sf).first()
