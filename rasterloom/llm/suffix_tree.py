@@ -107,27 +107,28 @@ def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(at, training, len(distinct)).astype(np.int64)
 
 
+def as_hashes(keys) -> np.ndarray:
+    """Keys of rows as sorted hashes."""
+    return np.unique(np.array(list(keys), np.int64).view(np.uint64))
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
-    """Counts all training words, and n-grams that are common in some block; retains contexts that diverge."""
-    schema = pa.schema([("order", pa.int32()), ("key", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
+def counted(rows: DataFrame, options: Options, order: int = 1, contexts: np.ndarray | None = None, suffixes: np.ndarray | None = None) -> DataFrame:
+    """key, n, context, suffix of all training words, or of all pairs or triples (order 2, 3) of the given contexts and suffixes.
+    Blocks fold what they have of an n-gram into one row, and leave none out."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64())][: 2 if order == 1 else 4])
 
     def count(grams: Grams) -> pa.RecordBatch:
-        """All words of a block; pairs and triples with a quarter of the wanted share in it."""
-        words, n = np.unique(grams.one, return_counts=True)
-        floor = max(2.0, options.follower_share * len(grams.one) / 4)
-        out = [(np.full(len(words), 1, np.int32), words, np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64), n)]
-        for order, key, context, suffix, there in ((2, grams.two, grams.before, grams.one, grams.has_two), (3, grams.three, grams.two_before, grams.two, grams.has_three)):
-            at = np.flatnonzero(there)
-            distinct, first, n = np.unique(key[at], return_index=True, return_counts=True)
-            keep = n >= floor
-            place = at[first[keep]]
-            out.append((np.full(len(place), order, np.int32), distinct[keep], context[place], suffix[place], n[keep]))
-        columns = [np.concatenate(c) for c in zip(*out)]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), *(as_long(c) for c in columns[1:4]), pa.array(columns[4].astype(np.int64))], schema=schema)
+        if order == 1:
+            key, n = np.unique(grams.one, return_counts=True)
+            return pa.RecordBatch.from_arrays([as_long(key), pa.array(n.astype(np.int64))], schema=schema)
+        key, context, suffix, there = (grams.two, grams.before, grams.one, grams.has_two) if order == 2 else (grams.three, grams.two_before, grams.two, grams.has_three)
+        at = np.flatnonzero(there & within(context, contexts) & within(suffix, suffixes))
+        key, first, n = np.unique(key[at], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([as_long(key), pa.array(n.astype(np.int64)), as_long(context[at[first]]), as_long(suffix[at[first]])], schema=schema)
 
     def run(batches):
         held: list = []
@@ -142,18 +143,30 @@ def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
         if held:
             yield count(Grams(*map(np.concatenate, zip(*held))))
 
-    counted = rows.where(~F.col("held_out")).select("text").mapInArrow(run, "order int, key long, context long, suffix long, n long")
-    stage = Stage(counted.groupBy("order", "key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("suffix").alias("suffix")), "word-counts")
-    tokens, distinct = stage.df.where("order = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = stage.df.where(F.col("n") >= options.follower_share * tokens).collect()  # at most 1 / follower_share of each order
+    found = rows.where(~F.col("held_out")).select("text").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
+    return found.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in schema.names[2:]])
+
+
+def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
+    """Counts all training words, then all pairs after words that are common enough for contexts, then all triples after such
+    pairs; shares apply to the summed counts alone. An n-gram occurs no more often than its suffix, so that those of a suffix
+    below the followers' share needn't be sent. Retains contexts that diverge."""
+    stage = Stage(counted(rows, options), "word-counts")
+    tokens, distinct = stage.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    common = [(1, r) for r in stage.df.where(F.col("n") >= options.follower_share * tokens).collect()]  # at most 1 / follower_share of each order
     stage.drop()
+    for order in (2, 3):
+        shorter = [(r["key"], r["n"]) for o, r in common if o == order - 1]
+        contexts = as_hashes(k for k, n in shorter if n >= options.context_share * tokens)
+        if len(contexts):
+            common += [(order, r) for r in counted(rows, options, order, contexts, as_hashes(k for k, _ in shorter)).where(F.col("n") >= options.follower_share * tokens).collect()]
     shape = TreeShape(int(tokens), int(distinct))
-    counts = {(r["order"], r["key"]): r["n"] for r in common}
+    counts = {(order, r["key"]): r["n"] for order, r in common}
     followers: dict[tuple[int, int], list] = {}
-    for r in common:
-        if r["order"] > 1:
-            followers.setdefault((r["order"] - 1, r["context"]), []).append((r["n"], r["suffix"]))
-    suffix_of = {r["key"]: r["suffix"] for r in common if r["order"] == 2}
+    for order, r in common:
+        if order > 1:
+            followers.setdefault((order - 1, r["context"]), []).append((r["n"], r["suffix"]))
+    suffix_of = {r["key"]: r["suffix"] for order, r in common if order == 2}
     kept: dict[int, set] = {1: set(), 2: set()}
     for (length, context), after in sorted(followers.items()):
         own = counts.get((length, context), 0)
@@ -169,8 +182,7 @@ def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
             kept[length].add(context)
             if length == 2:
                 kept[1].add(suffix_of[context])  # a tree has the suffixes of its contexts
-    shape.one = np.unique(np.array(sorted(kept[1]), np.int64).view(np.uint64))
-    shape.two = np.unique(np.array(sorted(kept[2]), np.int64).view(np.uint64))
+    shape.one, shape.two = as_hashes(kept[1]), as_hashes(kept[2])
     return shape
 
 

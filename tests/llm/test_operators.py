@@ -139,6 +139,56 @@ def test_suffix_tree(docs, rows, nothing):
     assert suffix_tree.score_documents(nothing).count() == 0
 
 
+def brute_suffix_tree(rows, options):
+    """score and n_context of each (doc_id, text), from counts of the words themselves."""
+    counts, split = Counter(), {i: [*words_bytes(t), None] for i, t in rows}
+    for i, w in split.items():
+        if not held_out(i, 1):
+            counts.update(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    tokens, distinct = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    common = {g: c for g, c in counts.items() if c >= options.follower_share * tokens}
+    kept = set()
+    for context, own in counts.items():
+        after = {g: c for g, c in common.items() if g[:-1] == context}
+        if len(context) == 3 or own < options.context_share * tokens or not after:
+            continue
+        total = tokens if len(context) == 1 else common.get(context[1:], 0)
+        p, q = [c / own for c in after.values()], [common.get(g[1:], 0) / total for g in after]
+        rest_p, rest_q = max(1 - sum(p), 1e-9), max(1 - sum(q), 1e-9)
+        if sum(x * math.log(x / max(y, 1e-12)) for x, y in zip(p, q)) + rest_p * math.log(rest_p / rest_q) >= options.divergence:
+            kept |= {context, context[1:]} - {()}
+    out = {}
+    for i, w in split.items():
+        score = inside = 0
+        for k in range(len(w)):
+            p, deep = (counts[w[k],] + 0.5) / (tokens + 0.5 * (distinct + 1)), 0
+            for n in (1, 2):
+                if k >= n and (context := tuple(w[k - n : k])) in kept:
+                    worth, deep = options.prior[n - 1] * math.sqrt(counts[context]), 1
+                    p = (counts[*context, w[k]] + worth * p) / (counts[context] + worth)
+            score, inside = score + math.log10(p), inside + deep
+        out[i] = (score, inside)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 60])
+def test_suffix_tree_scores_do_not_depend_on_the_layout(spark, partitions):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        w = [r.choice(words)]
+        for _ in range(30):
+            k = words.index(w[-1])
+            w.append(words[(k * 7 + r.randrange(4)) % 40] if r.random() < 0.5 + k / 100 else r.choice(words))
+        rows.append((i, " ".join(w)))
+    options = suffix_tree.Options(context_share=2e-3, follower_share=1e-4, divergence=1.1, group_tokens=2000)
+    want = brute_suffix_tree(rows, options)
+    assert 0 < sum(x[1] for x in want.values()) < 240 * 30
+    got = {x.doc_id: (x.score, x.n_context) for x in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions), options).collect()}
+    assert got == {i: (pytest.approx(s), n) for i, (s, n) in want.items()}
+
+
 def test_suffix_tree_is_a_distribution_and_helps(spark):
     """Next words of each retained context sum to one, with what is unknown; a held-out text of the same kind scores better."""
     r = random.Random(2)
