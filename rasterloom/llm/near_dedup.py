@@ -111,7 +111,7 @@ def plausible(left: str, right: str) -> Column:
 def signatures(docs: DataFrame, bands: int, width: int) -> DataFrame:
     """row, doc_id, n_shingles, words (digest of the word sequence; null without words), bands, and sketch (level l, counts c,
     bits s) of every document."""
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("l", pa.int32()), ("c", pa.list_(pa.int32())), ("s", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> Stage:
     """Texts of the wanted representatives. `reps`: (row, rep) where row is a representative's own row."""
     rows = wanted.join(reps.select("rep", "row"), "rep")
     rows = Stage(rows.select("row", "rep"), "wanted")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    numbered = docs.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
     return Stage(numbered.join(checked(rows.df), "row").select("rep", "text"), "texts")
 
 
@@ -215,7 +215,7 @@ def hubs_of(left: DataFrame, served: int, hubs: int) -> DataFrame:
 
 
 def decide(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
-    """What `near_duplicates` returns, and the number of each row of `docs` (monotonically_increasing_id of the settled frame)."""
+    """What `near_duplicates` returns, and the number of each row of `docs` (__row of the settled frame)."""
     rows = Stage(classes(docs, bands, width), "classes").df
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
     heads = Stage(rows.groupBy("component").agg(F.min(rank).alias("head")), "heads").df

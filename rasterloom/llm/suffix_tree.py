@@ -195,7 +195,7 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     repeated rows stay (and train, each); without training rows all words are unknown; an empty table gives no rows; other
     columns aren't looked at.
     """
-    rows = settled(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = settled(docs).select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc32_mod5("doc_id") == 1)
     shape = learn_shape(rows, options)
     groups = max(1, round(shape.tokens * 1.25 / options.group_tokens))

@@ -55,7 +55,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     small = F.broadcast if entries <= most_broadcast else (lambda df: df)
 
     host, path = split_url(F.col(url_col).cast("string"))
-    rows = settled(pages).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = settled(pages).select(F.col("__row").alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if not entries:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     marked = rules.withColumn("mark", F.xxhash64("rule"))

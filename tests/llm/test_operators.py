@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact_dedup, extraction, near_dedup, packing, pieces, quality, queries, suffix_tree, syncmers, urls, warc
+from rasterloom.llm import common, exact_dedup, extraction, near_dedup, packing, pieces, quality, queries, suffix_tree, syncmers, urls, warc
 from rasterloom.llm.common import words_bytes
 from tests.parity import assert_same, connect
 
@@ -452,3 +452,24 @@ def test_pipeline_against_brute_force(spark):
     assert tokens == sum(len(words_bytes(t)) + 1 for i, t in left if i in final)
     stage = corpus_pipeline.STAGES[1][1](spark, docs, SF)
     assert stage.columns == docs.columns
+
+
+@pytest.mark.parametrize("decide", [exact_dedup.decide, near_dedup.decide])
+def test_decisions_stay_with_their_rows_when_a_scan_is_split_anew(spark, tmp_path, decide):
+    """As when executors come or go between the jobs that decide and those that drop."""
+    texts = [f"text number {i % 150} " + " ".join(f"w{i % 150}x{k}" for k in range(400)) for i in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).write.option("parquet.block.size", 65536).parquet(f"{tmp_path}/docs")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        docs = common.settled(spark.read.parquet(f"{tmp_path}/docs"))
+        decisions = common.stored(decide(docs), "decisions")
+        want = {r.doc_id for r in decisions.where("kept").collect()}
+        assert len(want) == 150
+        for size in ("20k", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            kept = common.kept_rows(docs, decisions)
+            assert kept.columns == ["doc_id", "text"] and sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
