@@ -5,9 +5,10 @@ takes the value of the first non-empty bin in an order of its own (which is the
 buckets. Documents of equal word sequences are one representative, so copies cost nothing further.
 
 In each bucket the least representative is the hub of a star, and only its edges are candidates. An edge is confirmed on
-full shingle sets. Buckets whose members then lie in several components have further stars, from the next members, to those
-of other components only, until no member of any bucket is left unserved: no link that shares a bucket is lost. Sizes and
-sketches are compared within the join that makes the stars, so that only pairs that may be links become rows. Documents with similarity of 0.75 share no bucket with a chance of 2e-6.
+full shingle sets, as sorted 64-bit hashes. A bucket whose members then lie in several components is compared further, but
+for the members of its largest component among each other: members are dealt to chunks of bounded size, each pair of chunks
+is a block of its own, and within a block sizes and sketches are compared, so that only pairs that may be links become rows
+to confirm. No link that shares a bucket is lost. Documents with similarity of 0.75 share no bucket with a chance of 2e-6.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import Stage, batches_of, checked, settled, words_bytes
@@ -32,10 +33,9 @@ BANDS, BINS_PER_BAND = 48, 5
 #: An odd sketch has so many bits; each shingle of the set, or of a sample of it by hash, flips one. What differs between two
 #: sketches tells the size of the symmetric difference. Pairs that differ by six standard deviations more than a link may are
 #: passed over, which a link is with a chance of 1e-9; all others are confirmed on full sets.
-SKETCH_BITS, SKETCH_SHINGLES = 1024, 512
-SKETCH_WORDS = SKETCH_BITS // 64
-#: Hubs of a bucket in the first further round, and how many times as many each round has as the one before.
-FIRST_HUBS, MORE_HUBS = 8, 32
+SKETCH_BITS, SKETCH_SHINGLES = 2048, 1024
+#: Members of a bucket that one chunk is expected to hold.
+CHUNK = 512
 
 
 @lru_cache(4)
@@ -45,10 +45,14 @@ def donors(bins: int) -> np.ndarray:
     return np.array([rng.permutation(bins) for _ in range(bins)], np.uint16)
 
 
+@lru_cache(4)
+def bin_bounds(bins: int) -> np.ndarray:
+    return (np.arange(bins, dtype=object) * 2**64 // bins).astype(np.uint64)
+
+
 def signature(hashes: np.ndarray, bins: int) -> np.ndarray:
     """One value for each bin of sorted distinct hashes (not empty)."""
-    bounds = (np.arange(bins, dtype=object) * 2**64 // bins).astype(np.uint64)
-    first = np.searchsorted(hashes, bounds)
+    first = np.searchsorted(hashes, bin_bounds(bins))
     ends = np.append(first[1:], len(hashes))
     full = first < ends
     values = np.empty(bins, np.uint64)
@@ -71,163 +75,183 @@ def band_hashes(values: np.ndarray, bands: int, width: int) -> np.ndarray:
     return mix((mix(values.reshape(bands, width)) * odd).sum(1, dtype=np.uint64) + salt).view(np.int64)
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, list[int], np.ndarray]:
-    """The level at which at most SKETCH_SHINGLES shingles are expected, and for it and the next: shingles, and the bits."""
+def sketch(hashes: np.ndarray) -> tuple[int, list[int], list[bytes]]:
+    """The level at which at most SKETCH_SHINGLES shingles are expected, and for it and the next the number of shingles and the
+    bits. The next level is left out (0, no bits) where the set is too small to be linked with one of that level."""
+    part, whole = SIMILARITY
     level = max(0, (max(len(hashes), 1) - 1) // SKETCH_SHINGLES).bit_length()
-    counts, words = [], []
-    for at in (level, level + 1):
-        some = hashes[hashes & np.uint64((1 << at) - 1) == 0]
+    counts, bits = [0, 0], [b"", b""]
+    for i in (0, 1):
+        if i and len(hashes) * whole < part * (SKETCH_SHINGLES << level):
+            break
+        some = hashes[hashes & np.uint64((1 << (level + i)) - 1) == 0]
         parity = np.bincount((some >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-        counts.append(len(some))
-        words.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
-    return level, counts, np.concatenate(words)
-
-
-def sketches_of(signed: DataFrame, wanted: DataFrame) -> Stage:
-    """Two rows for each wanted row number: its sketch at its own level and at the next. rep, n, l (own level), at, c, s0.., bands"""
-    rows = signed.select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), "l", "c", "s", "bands").join(wanted, "rep")
-    rows = rows.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1))))
-    words = [F.get("s", F.col("next") * SKETCH_WORDS + i).alias(f"s{i}") for i in range(SKETCH_WORDS)]
-    return Stage(rows.select("rep", "n", "l", (F.col("l") + F.col("next")).alias("at"), F.get("c", F.col("next")).alias("c"), *words, "bands"), "sketches")
-
-
-def named(sketches: DataFrame, prefix: str, rep: str) -> DataFrame:
-    """Sketches with their columns under a prefix (but `at`), and the number of the row as `rep`."""
-    return sketches.select(F.col("rep").alias(rep), "at", *[F.col(c).alias(prefix + c) for c in sketches.columns if c not in ("rep", "at")])
-
-
-def plausible(left: str, right: str) -> Column:
-    """Whether two documents, with sketches of one level under two prefixes, may be linked: that level is the greater of
-    their own, their sizes allow it, and their sketches don't differ by more than a link's."""
-    part, whole = SIMILARITY
-    a, b = (lambda c: F.col(left + c)), (lambda c: F.col(right + c))
-    differing = sum((F.bit_count(a(f"s{i}").bitwiseXOR(b(f"s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    most = (a("c") + b("c")) * ((whole - part) / (whole + part))  # of a link's symmetric difference
-    expected = SKETCH_BITS / 2 * (1 - F.exp(-2.0 / SKETCH_BITS * most))
-    spread = F.sqrt(2 * most * most / SKETCH_BITS + F.when(F.col("at") > 0, 1.5 * most).otherwise(0.0) + 1)
-    return (F.col("at") == F.greatest(a("l"), b("l"))) & (F.least(a("n"), b("n")) * whole >= F.greatest(a("n"), b("n")) * part) & (differing <= expected + 6 * spread)
+        counts[i], bits[i] = len(some), np.packbits(parity.astype(np.uint8)).tobytes()
+    return level, counts, bits
 
 
 def signatures(docs: DataFrame, bands: int, width: int) -> DataFrame:
-    """row, doc_id, n_shingles, words (digest of the word sequence; null without words), bands, and sketch (level l, counts c,
-    bits s) of every document."""
+    """row, doc_id, n_shingles, words (digest of the word sequence; null without words) and bands of every document."""
     source = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64())), ("l", pa.int32()), ("c", pa.list_(pa.int32())), ("s", pa.list_(pa.int64()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, texts in batches_of(batch, "text"):
-                counts, digests, found, sketches = [], [], [], []
+                counts, digests, found = [], [], []
                 for text in texts:
                     words = words_bytes(text)
                     own = shingles(words, WORDS)
                     counts.append(len(own))
                     digests.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
-                    values = signature(own, bands * width) if words else None
-                    found.append(band_hashes(values, bands, width) if words else np.empty(0, np.int64))
-                    sketches.append(sketch(own))
+                    found.append(band_hashes(signature(own, bands * width), bands, width) if words else np.empty(0, np.int64))
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32), np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(c, schema.field(n).type) for c, n in zip(zip(*sketches), "lcs"))], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists], schema=schema)
 
-    return source.mapInArrow(sign, "row long, doc_id long, n_shingles long, words binary, bands array<long>, l int, c array<int>, s array<long>")
+    return source.mapInArrow(sign, "row long, doc_id long, n_shingles long, words binary, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Which of the pairs (a, b) of representatives are linked, on the full sets of their texts (rep, text)."""
-    both = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("left")), "a")
-    part, whole = SIMILARITY
+def sets_of(docs: DataFrame, wanted: DataFrame, bands: int, width: int) -> Stage:
+    """Of each wanted row (its number is the representative's): rep, n, hashes (the sorted set), and what blocks compare: level,
+    counts and bits of its sketches, and its bands."""
+    numbered = docs.select(F.col("__row").alias("rep"), F.col("text").cast("string").alias("text"))
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("level", pa.int32()), ("c", pa.int64()), ("d", pa.int64()), ("own", pa.binary()), ("next", pa.binary()), ("bands", pa.binary())])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, ones = None, np.empty(0, np.uint64)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for a, left, right in zip(batch.column("a").to_pylist(), batch.column("left"), batch.column("right")):
-                if a != hub:  # a hub's pairs come one after the other
-                    hub, ones = a, shingles(words_bytes(left.as_py()), WORDS)
-                others = shingles(words_bytes(right.as_py()), WORDS)
-                common = len(np.intersect1d(ones, others, assume_unique=True))
-                linked.append(common > 0 and whole * common >= part * (len(ones) + len(others) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            for piece, texts in batches_of(batch, "text"):
+                rows, sets = [], []
+                for text in texts:
+                    own = shingles(words_bytes(text), WORDS)
+                    level, counts, bits = sketch(own)
+                    sets.append(own.view(np.int64))
+                    rows.append((level, *counts, *bits, band_hashes(signature(own, bands * width), bands, width).tobytes()))
+                sizes = [len(s) for s in sets]
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate(sets))
+                yield pa.RecordBatch.from_arrays([piece.column("rep"), pa.array(sizes, pa.int64()), lists, *(pa.array(c, schema.field(3 + i).type) for i, c in enumerate(zip(*rows)))], schema=schema)
+
+    return Stage(numbered.join(checked(wanted), "rep").mapInArrow(make, "rep long, n long, hashes array<long>, level int, c long, d long, own binary, next binary, bands binary"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Which of the pairs (a, b) of representatives are linked, on their full sets (rep, n, hashes). A pair carries the set of b
+    to that of a; adaptive execution splits an `a` with many pairs."""
+    part, whole = SIMILARITY
+    side = lambda end: sets.select(F.col("rep").alias(end), F.col("n").alias("n" + end), F.col("hashes").alias("h" + end))
+    sized = pairs.join(side("b"), "b").join(side("a"), "a")
+    common = F.size(F.array_intersect("ha", "hb"))
+    linked = F.when(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part, (common > 0) & (common * whole >= part * (F.col("na") + F.col("nb") - common))).otherwise(F.lit(False))
+    return sized.where(linked).select("a", "b")
 
-    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
+def compared(block: pa.Table) -> pa.RecordBatch:
+    """Pairs (a, b) of a block's members that may be linked, each in the first band alone in which the two meet. A block's rows
+    are one chunk (all its pairs), or two (pairs across)."""
+    part, whole = SIMILARITY
+    rep, component, chunk, n, level, c, d = (block.column(x).to_numpy() for x in ("rep", "component", "chunk", "n", "level", "c", "d"))
+    bits = lambda x, rows: np.frombuffer(b"".join(block.column(x).take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)
+    bands = bits("bands", np.arange(len(rep)))
+    band, across = block.column("band")[0].as_py(), block.column("lo")[0].as_py() != block.column("hi")[0].as_py()
+    firsts, seconds = [], []
+    for at in np.unique(level):
+        one = np.flatnonzero(level == at)
+        below = np.flatnonzero((level == at - 1) & (d > 0))
+        rows = np.concatenate((one, below))
+        words = np.concatenate((bits("own", one), bits("next", below))) if len(below) else bits("own", one)
+        count = np.concatenate((c[one], d[below])).astype(float)
+        for k, i in enumerate(one):
+            may = np.flatnonzero((component[rows[k + 1 :]] != component[i]) & (np.minimum(n[rows[k + 1 :]], n[i]) * whole >= np.maximum(n[rows[k + 1 :]], n[i]) * part)) + k + 1
+            if across:
+                may = may[chunk[rows[may]] != chunk[i]]
+            if not len(may):
+                continue
+            differing = np.bitwise_count(words[may] ^ words[k]).sum(1, dtype=np.int64)
+            most = (count[may] + count[k]) * ((whole - part) / (whole + part))  # of a link's symmetric difference
+            expected = SKETCH_BITS / 2 * (1 - np.exp(-2.0 / SKETCH_BITS * most))
+            spread = np.sqrt(2 * most * most / SKETCH_BITS + (1.5 * most if at else 0.0) + 1)
+            other = rows[may[differing <= expected + 6 * spread]]
+            other = other[(bands[other] == bands[i]).argmax(1) == band]
+            firsts.append(np.full(len(other), rep[i])), seconds.append(rep[other])
+    x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (firsts, seconds))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def across_components(members: DataFrame, labels: DataFrame, sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) that may be linked, of members (bucket, band, rep) of one bucket that are in different components."""
+    labelled = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    kinds = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("home")).where("kinds > 1")
+    chunks = lambda n: F.ceil(n / chunk).cast("int")
+    mixed = Stage(mixed.select("bucket", F.col("home.component").alias("home"), chunks(F.col("home.n")).alias("inner"), chunks(F.col("n") - F.col("home.n")).alias("outer")), "mixed")
+    some = labelled.join(checked(mixed.df), "bucket")
+    spot, inside, last = F.xxhash64("rep"), F.col("component") == F.col("home"), F.col("inner") + F.col("outer") - 1
+    some = some.withColumn("chunk", F.when(inside, F.pmod(spot, F.col("inner"))).otherwise(F.col("inner") + F.pmod(spot, F.col("outer"))).cast("int"))
+    some = some.withColumn("partners", F.when(inside, F.sequence(F.col("inner"), last)).otherwise(F.sequence(F.lit(0), last)))
+    some = some.select("bucket", "band", "rep", "component", "chunk", "partners").join(sets.drop("hashes"), "rep")
+    some = some.withColumn("partner", F.explode("partners")).drop("partners")
+    blocks = some.select(F.least("chunk", "partner").alias("lo"), F.greatest("chunk", "partner").alias("hi"), *[x for x in some.columns if x != "partner"])
+    key = ["bucket", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the block that the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            keys = np.column_stack([rows.column(x).to_numpy() for x in key])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1)]
+            for start, end in zip(cuts, cuts[1:]):
+                yield compared(rows.slice(start, end - start).combine_chunks())
+            held = rows.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield compared(held.combine_chunks())
 
-def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> Stage:
-    """Texts of the wanted representatives. `reps`: (row, rep) where row is a representative's own row."""
-    rows = wanted.join(reps.select("rep", "row"), "rep")
-    rows = Stage(rows.select("row", "rep"), "wanted")
-    numbered = docs.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
-    return Stage(numbered.join(checked(rows.df), "row").select("rep", "text"), "texts")
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
+def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chunk: int = CHUNK) -> DataFrame:
     """row, doc_id, n_shingles and component (the least row that links reach) of every row of `docs`."""
     docs = settled(docs)
     signed = Stage(signatures(docs, bands, width), "signatures")
     firsts = Stage(signed.df.where("words is not null").groupBy("words").agg(F.min("row").alias("rep")), "representatives")
     keyed = signed.df.select("row", "doc_id", "n_shingles", F.coalesce("words", F.col("row").cast("string").cast("binary")).alias("words"))  # no row waits for a null
     labels = Stage(keyed.join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
-    own = signed.df.join(firsts.df.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.explode("bands").alias("bucket"))
+    own = signed.df.join(checked(firsts.df.select(F.col("rep").alias("row"))), "row", "left_semi").select(F.col("row").alias("rep"), F.posexplode("bands").alias("band", "bucket"))
     sizes = Stage(own.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = Stage(own.join(sizes.df, "bucket").select("bucket", "rep", "hub", "n"), "members")
-    reps = labels.df.where("row = rep").select("row", "rep")
+    members = Stage(own.join(checked(sizes.df), "bucket").select("bucket", "band", "rep", "hub", "n"), "members")
     wanted = Stage(members.df.select("rep").distinct(), "wanted")
-    sketches = sketches_of(signed.df, wanted.df)
-    signed.drop()
-    texts = texts_of(docs, reps, wanted.df)
-
-    stars = members.df.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    drawn = stars.join(named(sketches.df, "b_", "b"), "b").join(named(sketches.df, "a_", "a"), ["a", "at"])
-    pairs = Stage(drawn.where(plausible("a_", "b_")).select("a", "b"), "pairs")
-    tried = pairs.df
-    found = components(Stage(confirm(tried, texts.df), "links").df)
-    served, more_hubs = 1, FIRST_HUBS
-    crowded = members.df.where("n > 2").select("bucket", "rep")
-    while True:
-        # buckets whose members lie in several components, while some of their members haven't served
-        labelled = crowded.join(found.df.select(F.col("id").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n")).where(F.col("c") < F.col("d")).where(F.col("n") > served + 1)
-        left = Stage(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "left")
-        if left.df.isEmpty():
-            break
-        others = left.df.join(named(sketches.df, "rep_", "rep"), "rep")
-        hubs = hubs_of(left.df, served, more_hubs).join(named(sketches.df, "hub_", "hub"), "hub")
-        # a pair is made in the least bucket that both are in, whose turn comes in some round
-        owner = F.array_min(F.array_intersect("rep_bands", "hub_bands")) == F.col("bucket")
-        candidates = others.join(hubs, ["bucket", "at"]).where(F.expr("rep > hub and component <> hub_component") & plausible("rep_", "hub_") & owner)
-        fresh = Stage(candidates.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = Stage(confirm(fresh.df, texts.df), "links")
-        tried = tried.unionByName(fresh.df)
-        if not more.df.isEmpty():
-            found = extended(found.df, more.df)
-        crowded = left.df.select("bucket", "rep")
-        served += more_hubs
-        more_hubs *= MORE_HUBS
+    sets = sets_of(docs, wanted.df, bands, width)
+    for done in (signed, firsts, sizes, wanted):
+        done.drop()
+
+    stars = Stage(members.df.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    first_links = Stage(confirm(stars.df, sets.df), "links")
+    found = components(first_links.df)
+    # with two members, the star is all there is
+    pairs = Stage(across_components(members.df.where("n > 2"), found.df, sets.df, chunk), "pairs")
+    more = Stage(confirm(pairs.df, sets.df), "links")
+    if not more.df.isEmpty():
+        found = extended(found.df, more.df)
+    for done in (members, sets, stars, first_links, pairs, more):
+        done.drop()
     out = labels.df.join(found.df.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
 
 
-def hubs_of(left: DataFrame, served: int, hubs: int) -> DataFrame:
-    """bucket, hub, hub_component: the members of ranks served + 1 to served + hubs of each bucket. The limit on the rank is
-    applied before the shuffle too, so that a large bucket sends a few rows."""
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-    return left.withColumn("rank", rank).where((F.col("rank") > served) & (F.col("rank") <= served + hubs)).select("bucket", F.col("rep").alias("hub"), F.col("component").alias("hub_component"))
-
-
-def decide(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
+def decide(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chunk: int = CHUNK) -> DataFrame:
     """What `near_duplicates` returns, and the number of each row of `docs` (__row of the settled frame)."""
-    rows = Stage(classes(docs, bands, width), "classes").df
+    rows = Stage(classes(docs, bands, width, chunk), "classes").df
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
     heads = Stage(rows.groupBy("component").agg(F.min(rank).alias("head")), "heads").df
     return rows.join(heads, "component").select("row", "doc_id", "n_shingles", F.col("head.b").alias("component_id"), (F.col("row") == F.col("head.c")).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND) -> DataFrame:
+def near_duplicates(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; the set is the distinct 5-word shingles of the whole text, or all
     words as one with fewer; null and empty texts have an empty set and stand alone. component_id is the least doc_id that
     links reach. Repeated rows are in one component and only the first row of its least doc_id is kept; a null id is
-    greater than any other. An empty table gives no rows; other columns aren't looked at.
+    greater than any other. An empty table gives no rows; other columns aren't looked at. Sets are held as
+    64-bit hashes of the shingles: two different shingles of a pair of 10,000 shingles each agree with a chance of 5e-12.
     """
-    return decide(docs, bands, width).drop("row")
+    return decide(docs, bands, width, chunk).drop("row")

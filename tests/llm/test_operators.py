@@ -96,6 +96,17 @@ def test_pack_is_best_fit():
         assert final == [min(n for n in lengths if n >= b[0]) for b in open_]
 
 
+def test_url_rules_of_the_query(spark, tmp_path):
+    """The five rules: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
+    cases = [
+        ("https://a.com/en/1", "com/en/", "block"), ("https://example.com/en/8", "com/en/", "block"), ("https://www.example.com/en/7x", "example.com/en/7", "allow"), ("https://a.net/de/8", "net/de/", "allow"),
+        ("https://example.net/de/7", "net/de/", "allow"), ("https://m.example.net/de/81?q", "example.net/de/8", "block"), ("https://b.org/es/x", "org/es/", "block"), ("https://b.org/en/x", None, "allow"), ("https://xcom/en/", None, "allow"), (None, None, "allow"),
+    ]
+    spark.createDataFrame([(i, u, "") for i, (u, _, _) in enumerate(cases)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, verdict) for i, (_, rule, verdict) in enumerate(cases)}
+
+
 def test_urls(spark):
     listed = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "", "block"), ("a.net", "/x", "allow")]
     given = [(1, "http://A.Example.com/en/71?x#y"), (2, "https://b.com/en/7"), (3, None), (4, "no scheme"), (5, "x://net"), (6, "ftp://q.a.NET/xy?://"), (7, "http://notcom/en/"), (7, "http://notcom/en/"), (8, "://com/en/"), (None, "http://.com/en/"), (9, "http://com?/en/")]
@@ -359,8 +370,10 @@ def test_near_dedup(docs, rows, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_near_dedup_loses_no_link_behind_a_hub(spark):
-    """Chains of edits: neighbours are linked, far ones aren't; the stars of one hub alone would miss links."""
+@pytest.mark.parametrize("chunk", [1024, 5])
+def test_near_dedup_loses_no_link_behind_a_hub(spark, chunk):
+    """Chains of edits: neighbours are linked, far ones aren't; the stars of one hub alone would miss links. Buckets in one
+    block, and split into several."""
     r = random.Random(9)
     words = [str(r.random()) for _ in range(80)]
     rows = []
@@ -368,10 +381,29 @@ def test_near_dedup_loses_no_link_behind_a_hub(spark):
         rows.append((i, " ".join(words)))
         for _ in range(1):
             words[r.randrange(len(words))] = str(r.random())
-    got = sorted(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    got = sorted(map(tuple, near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()), key=str)
     assert got == brute_near(rows)
 
 
+def test_blocks_compare_each_pair_once(spark):
+    """All pairs across components that are alike, and of each bucket's chunks no pair twice, at both levels of sketches."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 1200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, n, replace=False), rng.integers(0, 2**64, 30, dtype=np.uint64)))) for n in rng.integers(930, 1200, 40)]
+    rows = []
+    for i, s in enumerate(sets):
+        level, counts, bits = near_dedup.sketch(s)
+        rows.append((i, len(s), level, *counts, *map(bytearray, bits), bytearray(np.array([7, i % 2, 9]).tobytes())))
+    table = spark.createDataFrame(rows, "rep long, n long, level int, c long, d long, own binary, next binary, bands binary").withColumn("hashes", F.lit(None))
+    members = spark.createDataFrame([(7, 0, i) for i in range(40)] + [(i % 2, 1, i) for i in range(40)] + [(9, 2, i) for i in range(40)], "bucket long, band int, rep long")
+    labels = spark.createDataFrame([(i, i % 5) for i in range(40)], "id long, component long")
+    similar = {(i, j) for j in range(40) for i in range(j) if i % 5 != j % 5 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert len({len(s) > 1024 for s in sets}) == 2 and len(similar) > 50
+    for chunk in (100, 7, 1):
+        got = list(map(tuple, near_dedup.across_components(members, labels, table, chunk).collect()))
+        assert len(got) == len(set(got)) and set(got) >= similar and all(a % 5 != b % 5 for a, b in got)
+
+
 def test_densification_keeps_the_similarity():
     """Equal bins of sparse sets estimate their Jaccard similarity."""
     rng = np.random.default_rng(0)
