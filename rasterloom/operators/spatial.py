@@ -44,7 +44,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataF
     and their places px, py.
 
     Points are searched by rings of cells. In each round a query takes the points of the square of cells of a radius; what
-    lies within that radius is certain, and queries with fewer than k certain ones go on with twice the radius.
+    lies within that radius is certain, and queries with fewer than k certain ones go on with four times the radius.
     """
     cell = lambda c: F.floor(F.col(c) / size).cast("long")
     p = points.select(F.col("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z"), cell("x").alias("__cx"), cell("y").alias("__cy"))
@@ -80,9 +80,10 @@ def inverse_distance(neighbours: DataFrame, p: float = 1.0) -> DataFrame:
 def ratio_matches(queries: DataFrame, descriptors: DataFrame, ratio: float = 0.7) -> DataFrame:
     """Nearest descriptor (id, v) of each query (q, v) where it is nearer than `ratio` times the second: q, id, d1, d2.
 
-    The two least distances are kept by an aggregate that folds them before the shuffle; the query set is stated and broadcast.
+    The limit on the rank keeps two distances of each query and partition before the shuffle. The query set is stated: it is
+    broadcast where Spark's threshold allows it, and otherwise its partitions are paired with those of the descriptors.
     """
-    pairs = descriptors.join(F.broadcast(queries.select("q", F.col("v").alias("qv"))), F.col("q") != F.col("id"))
+    pairs = descriptors.join(queries.select("q", F.col("v").alias("qv")), F.col("q") != F.col("id"))
     d = F.sqrt(F.aggregate(F.zip_with("qv", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     ranked = pairs.select("q", "id", d.alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where("r <= 2")
     two = ranked.groupBy("q").agg(F.max(F.when(F.col("r") == 1, F.col("id"))).alias("id"), F.max(F.when(F.col("r") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("r") == 2, F.col("d"))).alias("d2"))

@@ -8,20 +8,76 @@ from pyspark.sql import functions as F
 from rasterloom.functions import radiometry as R
 
 
+#: Bins of a histogram over which ranks are found.
+BINS = 65_536
+
+
+def binned(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Values __v with their __bin, and __all, the count of their group. Bins are even in the signed logarithm of a value between
+    the least and the greatest, so that a few far values don't put all others in one; they depend on nothing else."""
+    v = F.col("__v").cast("double")
+    level = F.signum(v) * F.log1p(F.abs(v))
+    endless = F.lit(float("inf"))
+    finite = F.abs(v) < endless  # not so for NaN, which comes after all others
+    bounds = counts.groupBy(*by).agg(F.min(F.when(finite, level)).alias("__lo"), F.max(F.when(finite, level)).alias("__hi"), F.sum("__n").alias("__all"))
+    place = F.floor(F.try_divide(level - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BINS)
+    place = F.when(finite, F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0))).when(F.isnan(v), BINS + 1).when(v > 0, BINS).otherwise(-1)
+    return joined_by(counts, bounds, by).withColumn("__bin", place)
+
+
+def joined_by(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
+    """`df` with the rows of `small` of its group (null is a group). There are as many rows as groups, or percentiles of groups."""
+    if not by:
+        return df.crossJoin(F.broadcast(small))
+    names = {c: f"__by_{i}" for i, c in enumerate(by)}
+    same = [df[c].eqNullSafe(F.col(n)) for c, n in names.items()]
+    return df.join(F.broadcast(small.withColumnsRenamed(names)), same).drop(*names.values())
+
+
 def nearest_percentiles(px: DataFrame, value: str, percents: dict[str, float], by: list[str] = (), where: Column | None = None) -> DataFrame:
     """Values at the nearest ranks rint(p / 100 * (n - 1)), a row for each group.
 
-    Works on the table of distinct values with their counts, which for digital numbers is small whatever the number of
-    pixels: pixels are counted before they are shuffled, and only counts are put in order.
+    Pixels are folded to distinct values with their counts before they are shuffled. A histogram of those tells in which bin a
+    rank lies, and only the values of that bin are put in order: no task sees all values, of however many there are.
     """
     by = list(by)
     used = px.where(F.col(value).isNotNull())
     counts = (used if where is None else used.where(where)).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*by).orderBy("__v")
-    runs = counts.withColumn("__last", F.sum("__n").over(order) - 1).withColumn("__all", F.sum("__n").over(Window.partitionBy(*by)))
-    rank = lambda p: F.rint(F.lit(float(p)) / 100.0 * (F.col("__all") - 1))
-    picked = [F.min(F.when(F.col("__last") >= rank(p), F.col("__v"))).alias(name) for name, p in percents.items()]
-    return runs.groupBy(*by).agg(*picked)
+    values = binned(counts, by)
+    bins = values.groupBy(*by, "__bin").agg(F.sum("__n").alias("__m"), F.first("__all").alias("__all"))
+    ends = bins.withColumn("__end", F.sum("__m").over(Window.partitionBy(*by).orderBy("__bin")))  # at most BINS + 3 rows of a group
+    ranks = [F.struct(F.lit(name).alias("name"), F.rint(F.lit(float(p)) / 100.0 * (F.col("__all") - 1)).alias("rank")) for name, p in percents.items()]
+    wanted = ends.withColumn("__t", F.explode(F.array(*ranks))).where((F.col("__end") > F.col("__t.rank")) & (F.col("__end") - F.col("__m") <= F.col("__t.rank")))
+    wanted = wanted.select(*by, F.col("__bin").alias("__its"), F.col("__t.name").alias("__name"), (F.col("__t.rank") - (F.col("__end") - F.col("__m"))).alias("__rank"))
+    inside = joined_by(values, wanted, by).where("__bin = __its")
+    order = Window.partitionBy(*by, "__name").orderBy("__v")
+    reached = inside.withColumn("__last", F.sum("__n").over(order) - 1).where("__last >= __rank")
+    return reached.groupBy(*by).agg(*[F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in percents])
+
+
+def range_of(key: str, width: int) -> Column:
+    return F.expr(f"(`{key}` - pmod(`{key}`, {width}L)) div {width}L")
+
+
+def numbered(df: DataFrame, key: str, out: str, fold: int = 1000) -> DataFrame:
+    """The place, from 1, of each row in the order of a whole number `key` (unique). Rows are put in order within ranges of
+    `fold` keys; counts of ranges, and of ranges of ranges, are folded alike until one range is left, so no task orders more
+    than `fold` rows and what is joined back is a row for each range."""
+    span = df.agg(F.min(key), F.max(key)).first()
+    levels, width = [], 1
+    while span[0] is not None and span[1] // width != span[0] // width:
+        width *= fold
+        levels.append(width)
+    placed, lower = df, F.lit(0).cast("long")
+    for width, below in zip(levels, [None, *levels]):
+        if below is None:
+            placed = placed.withColumn("__before", F.row_number().over(Window.partitionBy(range_of(key, width)).orderBy(key)).cast("long"))
+            continue
+        counts = df.groupBy(range_of(key, below).alias("__range")).agg(F.count("*").alias("__n"))
+        within = Window.partitionBy(range_of("__range", fold)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts.select("__range", F.coalesce(F.sum("__n").over(within), lower).alias("__more"))
+        placed = placed.withColumn("__range", range_of(key, below)).join(sums, "__range").withColumn("__before", F.col("__before") + F.col("__more")).drop("__range", "__more")
+    return placed.withColumnRenamed("__before", out) if levels else placed.withColumn(out, F.lit(1).cast("long"))
 
 
 def subsampled(px: DataFrame, row: str = "row", col: str = "col", step: int = 2) -> DataFrame:

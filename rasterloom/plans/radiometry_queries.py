@@ -204,7 +204,10 @@ def _(spark, d):
     return V.px_ev(spark, d).select("row", "col", F.col("v").cast("float").alias("f"), F.col("v").cast("int").alias("i"))
 
 
-@register("decibel_stretch", f"WITH p AS (SELECT row, col, round(CASE WHEN v > 0 THEN log10(v) END, 6) AS l FROM {V.PX_EMB}), s AS (SELECT {rank_sql('(SELECT l FROM p WHERE l IS NOT NULL)', 1, 'l')} AS low, {rank_sql('(SELECT l FROM p WHERE l IS NOT NULL)', 99, 'l')} AS high) SELECT row, col, {scale_sql('l', 'low', 'high')} AS out FROM p, s")
+@register(
+    "decibel_stretch",
+    f"WITH p AS MATERIALIZED (SELECT row, col, round(CASE WHEN v > 0 THEN log10(v) END, 6) AS l FROM {V.PX_EMB}), k AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS rn, count(*) OVER () - 1 AS last FROM p WHERE l IS NOT NULL), s AS (SELECT max(CASE WHEN rn = round_even(0.01::DOUBLE * last, 0) THEN l END) AS low, max(CASE WHEN rn = round_even(0.99::DOUBLE * last, 0) THEN l END) AS high FROM k) SELECT row, col, {scale_sql('l', 'low', 'high')} AS out FROM p, s",
+)
 def _(spark, d):
     px = V.px_emb(spark, d).withColumn("l", F.round(R.decibel(F.col("v")), 6))
     return S.linear_stretch(px, "l", 1, 1, sample=False).select("row", "col", "out")

@@ -113,24 +113,12 @@ def _(spark, d):
     return X.resample(V.px_ev(spark, d), "v", 4, "nearest")
 
 
-@register("refine_nearest", f"SELECT row * 2 + a AS row, col * 2 + b AS col, v FROM {V.PX_EV}, range(0, 2) s(a), range(0, 2) t(b) WHERE row < 40")
-def _(spark, d):
-    return X.refine(V.px_ev(spark, d).where("row < 40").select("row", "col", "v"), 2)
-
-
-@register("bilinear_resample", f"WITH p AS (SELECT row, col, v FROM {V.PX_EV}), t AS (SELECT row * 1000 + col AS id, row + 0.25::DOUBLE AS r, col + 0.75::DOUBLE AS c FROM p WHERE row % 2 = 0), k AS (SELECT id, CAST(floor(r) AS BIGINT) + i AS row, CAST(floor(c) AS BIGINT) + j AS col, (CASE WHEN i = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * (CASE WHEN j = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM t, range(0, 2) a(i), range(0, 2) b(j)) SELECT id, round(sum(w * v) / sum(w), 6) AS value FROM k JOIN p USING (row, col) GROUP BY id")
-def _(spark, d):
-    px = V.px_ev(spark, d).select("row", "col", "v")
-    t = px.where("row % 2 = 0").select((F.col("row") * 1000 + F.col("col")).alias("id"), (F.col("row") + 0.25).alias("r"), (F.col("col") + 0.75).alias("c"))
-    return X.bilinear_resample(px, "v", t).select("id", F.round("value", 6).alias("value"))
-
-
-@register("refine_nearest_whole", f"SELECT row * 2 + a AS row, col * 2 + b AS col, v FROM {V.PX_EV}, range(0, 2) s(a), range(0, 2) t(b)")
+@register("refine_nearest", f"SELECT row * 2 + a AS row, col * 2 + b AS col, v FROM {V.PX_EV}, range(0, 2) s(a), range(0, 2) t(b)")
 def _(spark, d):
     return X.refine(V.px_ev(spark, d).select("row", "col", "v"), 2)
 
 
-@register("bilinear_resample_whole", f"WITH p AS (SELECT row, col, v FROM {V.PX_EV}), t AS (SELECT row * 1000 + col AS id, row + 0.25::DOUBLE AS r, col + 0.75::DOUBLE AS c FROM p), k AS (SELECT id, CAST(floor(r) AS BIGINT) + i AS row, CAST(floor(c) AS BIGINT) + j AS col, (CASE WHEN i = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * (CASE WHEN j = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM t, range(0, 2) a(i), range(0, 2) b(j)) SELECT id, round(sum(w * v) / sum(w), 6) AS value FROM k JOIN p USING (row, col) GROUP BY id")
+@register("bilinear_resample", f"WITH p AS (SELECT row, col, v FROM {V.PX_EV}), t AS (SELECT row * 1000 + col AS id, row + 0.25::DOUBLE AS r, col + 0.75::DOUBLE AS c FROM p), k AS (SELECT id, CAST(floor(r) AS BIGINT) + i AS row, CAST(floor(c) AS BIGINT) + j AS col, (CASE WHEN i = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * (CASE WHEN j = 1 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM t, range(0, 2) a(i), range(0, 2) b(j)) SELECT id, round(sum(w * v) / sum(w), 6) AS value FROM k JOIN p USING (row, col) GROUP BY id")
 def _(spark, d):
     px = V.px_ev(spark, d).select("row", "col", "v")
     t = px.select((F.col("row") * 1000 + F.col("col")).alias("id"), (F.col("row") + 0.25).alias("r"), (F.col("col") + 0.75).alias("c"))

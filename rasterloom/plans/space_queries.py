@@ -79,23 +79,15 @@ _H = "d / 40.0::DOUBLE"
 _SHAPES = {"exponential": f"exp(-3.0::DOUBLE * {_H})", "spherical": f"1 - least({_H}, 1) * (1.5::DOUBLE - 0.5::DOUBLE * least({_H}, 1) * least({_H}, 1))", "gaussian": f"exp(-3.0::DOUBLE * ({_H}) * ({_H}))", "linear": f"1 - least({_H}, 1)"}
 
 
-@register("variogram_cov", "SELECT a, b, " + ", ".join(f"round(CASE WHEN d = 0 THEN 2.5::DOUBLE ELSE 2.0::DOUBLE * ({e}) END, 6) AS {n}" for n, e in _SHAPES.items()) + f" FROM (SELECT p.id AS a, q.id AS b, sqrt(pow(p.lon - q.lon, 2) + pow(p.lat - q.lat, 2)) AS d FROM {V.PT_CUST} p, {V.PT_CUST} q WHERE p.id < 60 AND q.id < 60)")
-def _(spark, d):
-    p = V.pt_cust(spark, d).where("id < 60")
-    pairs = p.select(F.col("id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y")).crossJoin(F.broadcast(p.select(F.col("id").alias("b"), F.col("lon").alias("u"), F.col("lat").alias("w"))))
-    dist = pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("u"), F.lit(2.0)) + F.pow(F.col("y") - F.col("w"), F.lit(2.0))))
-    return dist.select("a", "b", *[F.round(Y.covariance(m, F.col("d"), 0.5, 2.0, 40.0), 6).alias(m) for m in _SHAPES])
-
-
 _D = "sqrt(pow(p.lon - q.lon, 2) + pow(p.lat - q.lat, 2))"
 
 
-@register("variogram_cov_whole", "SELECT a, b, " + ", ".join(f"round(CASE WHEN d = 0 THEN 2.5::DOUBLE ELSE 2.0::DOUBLE * ({e}) END, 6) AS {n}" for n, e in _SHAPES.items()) + f" FROM (SELECT p.id AS a, q.id AS b, {_D} AS d FROM {V.PT_CUST} p, {V.PT_CUST} q WHERE q.id % 20 = 0)")
+@register("variogram_cov", "SELECT a, b, " + ", ".join(f"round(CASE WHEN d = 0 THEN 2.5::DOUBLE ELSE 2.0::DOUBLE * ({e}) END, 6) AS {n}" for n, e in _SHAPES.items()) + f" FROM (SELECT p.id AS a, q.id AS b, {_D} AS d FROM {V.PT_CUST} p, {V.PT_CUST} q WHERE q.id % 20 = 0)")
 def _(spark, d):
-    """All points against the stated ones."""
+    """All points against the stated ones; Spark pairs the partitions of the two unless the stated ones are small."""
     p = V.pt_cust(spark, d)
     stated = p.where("id % 20 = 0").select(F.col("id").alias("b"), F.col("lon").alias("u"), F.col("lat").alias("w"))
-    pairs = p.select(F.col("id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y")).crossJoin(F.broadcast(stated))
+    pairs = p.select(F.col("id").alias("a"), F.col("lon").alias("x"), F.col("lat").alias("y")).crossJoin(stated)
     dist = pairs.withColumn("d", F.sqrt(F.pow(F.col("x") - F.col("u"), F.lit(2.0)) + F.pow(F.col("y") - F.col("w"), F.lit(2.0))))
     return dist.select("a", "b", *[F.round(Y.covariance(m, F.col("d"), 0.5, 2.0, 40.0), 6).alias(m) for m in _SHAPES])
 
