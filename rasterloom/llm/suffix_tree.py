@@ -1,18 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Contexts of one or two words are candidates when they make up at least `context_share` of the training tokens, and are
-retained when the distribution of what follows them diverges from that of their suffix (the context without its first
-word; at last, the words' own distribution). Each retained context has its own next-word counts, smoothed towards its
+Contexts of up to `longest` words are candidates when they are seen often enough, and are retained when the distribution of
+what follows them diverges from that of their suffix (the context without its first word; at last, the words' own
+distribution) by more than chance would have it. Each retained context has its own next-word counts, smoothed towards its
 suffix's distribution; a word is scored in the longest retained suffix of what stands before it.
 
-What goes to the driver is bounded by the shares alone (contexts: 1 / context_share, followers: 1 / follower_share). All
-counts are exact and over all training documents: documents are dealt to groups of like size, each group sends every n-gram
-it needs once with its own count, the counts are summed by n-gram, and sums that differ from the group's own come back to
-it. A common n-gram thus costs a row for each group, whatever its count, and no table is broadcast.
+How often is enough grows as the root of the corpus: a context needs `root` times the square root of all tokens. The tree
+thus grows with the input, and no level has more than sqrt(tokens) / root contexts, which is the bound on what tasks and
+driver hold of it: 8 million for the 1.5e13 words of 100 TB. Next-word counts are never gathered.
+
+All counts are exact and over all training documents. Divergence is worked out from tables of summed counts. For scoring,
+groups of neighbouring documents ask for every n-gram they need once, with their own count; the counts are summed by n-gram,
+and sums that differ from a group's own come back to it. A common n-gram costs a row for each group, whatever its count, and
+no table is broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,24 +32,39 @@ END = np.uint64(0x5EED0F7E871E9D01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass
+class Contexts:
+    """Contexts of one length: their hashes, ascending, how often each is seen, and the place of its suffix among those that are
+    one word shorter."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    suffix: np.ndarray
+
+    def some(self, at: np.ndarray) -> Contexts:
+        return Contexts(self.hashes[at], self.counts[at], self.suffix[at])
+
+
 @dataclass
 class TreeShape:
-    """Retained contexts, as sorted hashes; training tokens, and distinct ones."""
+    """Training tokens, distinct ones, and the retained contexts of one word, two, and so on."""
 
     tokens: int = 0
     distinct: int = 0
-    one: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
-    two: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    levels: list[Contexts] = field(default_factory=list)
 
 
 @dataclass(frozen=True)
 class Options:
-    context_share: float = 5e-4
-    follower_share: float = 1e-5
-    #: Least divergence, in nats a token, of a retained context.
+    #: A context, and a follower by which divergence is judged, is seen at least max(least, root * sqrt(tokens)) times.
+    root: float = 0.5
+    least: int = 8
+    #: Words of the longest contexts.
+    longest: int = 3
+    #: Least divergence, in nats a token, of a retained context, beyond what chance alone is expected to give.
     divergence: float = 0.02
-    #: Counts that the suffix's distribution is worth, times the root of the context's own, for contexts of one and two words.
-    prior: tuple[float, float] = (40.0, 10.0)
+    #: Counts that the suffix's distribution is worth, times the root of the context's own, by the context's length.
+    prior: tuple[float, ...] = (40.0, 10.0, 10.0)
     #: Tokens of a group of documents.
     group_tokens: int = 3_000_000
 
@@ -53,10 +73,17 @@ def join(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(context * _STEP + word)
 
 
-def within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+def place(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Where each x stands in an ascending array; -1 where it isn't there."""
     if not len(ordered):
-        return np.zeros(len(x), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+    return np.where(ordered[at] == x, at, -1)
+
+
+def shifted(x: np.ndarray) -> np.ndarray:
+    """What stands one token before."""
+    return np.concatenate(([np.uint64(0)], x[:-1])) if len(x) else x
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,34 +98,31 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(counts or [np.empty(0, np.int64)])
 
 
-@dataclass
 class Grams:
-    """The n-grams that end at each token. two, three: hashes, where has_two, has_three say that the document reaches back so far."""
-
-    one: np.ndarray
-    counts: np.ndarray
-
-    def __post_init__(self):
-        n = len(self.one)
-        starts = np.zeros(n, bool)
-        starts[np.concatenate(([0], self.counts.cumsum()[:-1])).astype(np.int64)[: len(self.counts)]] = True
-        self.has_two = ~starts
-        self.has_three = self.has_two & np.concatenate(([False], self.has_two[:-1])) if n else self.has_two
-        self.before = np.concatenate(([np.uint64(0)], self.one[:-1])) if n else self.one
-        self.two = join(self.before, self.one)
-        self.two_before = np.concatenate(([np.uint64(0)], self.two[:-1])) if n else self.two
-        self.three = join(self.two_before, self.one)
-
-    def states(self, shape: TreeShape) -> tuple[np.ndarray, np.ndarray]:
-        """Where the retained context of one word, and that of two, stands before the token."""
-        return self.has_two & within(self.before, shape.one), self.has_three & within(self.two_before, shape.two)
-
-    def needed(self, shape: TreeShape) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the n-grams that scoring looks up, and the places of their tokens."""
-        in_one, in_two = self.states(shape)
-        pairs = np.flatnonzero(in_one | (self.has_two & within(self.two, shape.two)))
-        triples = np.flatnonzero(in_two)
-        return np.concatenate((self.one, self.two[pairs], self.three[triples])), np.concatenate((np.arange(len(self.one)), pairs, triples))
+    """The n-grams that end at each token: of[n] are their hashes, where `reach`, the tokens before it in its document, is n - 1
+    or more."""
+
+    def __init__(self, one: np.ndarray, counts: np.ndarray, longest: int):
+        self.counts = counts
+        self.starts = np.concatenate(([0], counts.cumsum()[:-1])).astype(np.int64)[: len(counts)]
+        self.reach = np.arange(len(one)) - np.repeat(self.starts, counts)
+        self.of = {1: one}
+        for n in range(2, longest + 1):
+            self.of[n] = join(shifted(self.of[n - 1]), one)
+
+    def contexts(self, words: int, ordered: np.ndarray) -> np.ndarray:
+        """The place, among these contexts of so many words, of the one before each token; -1 for others."""
+        return np.where(self.reach >= words, place(shifted(self.of[words]), ordered), -1)
+
+    def needed(self, shape: TreeShape) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Hashes of the n-grams that scoring looks up: of all tokens, and, for each level, of the tokens in its contexts. Also
+        these tokens, and the places of their contexts."""
+        states = []
+        for d, level in enumerate(shape.levels, 1):
+            at = self.contexts(d, level.hashes)
+            inside = np.flatnonzero(at >= 0)
+            states.append((inside, at[inside]))
+        return np.concatenate((self.of[1], *(self.of[d + 1][inside] for d, (inside, _) in enumerate(states, 1)))), states
 
 
 def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,30 +131,19 @@ def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, np.bincount(at, training, len(distinct)).astype(np.int64)
 
 
-def as_hashes(keys) -> np.ndarray:
-    """Keys of rows as sorted hashes."""
-    return np.unique(np.array(list(keys), np.int64).view(np.uint64))
-
-
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def counted(rows: DataFrame, options: Options, order: int = 1, contexts: np.ndarray | None = None, suffixes: np.ndarray | None = None) -> DataFrame:
-    """key, n, context, suffix of all training words, or of all pairs or triples (order 2, 3) of the given contexts and suffixes.
-    Blocks fold what they have of an n-gram into one row, and leave none out."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64())][: 2 if order == 1 else 4])
+def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], longest: int, options: Options) -> DataFrame:
+    """key, n: how often each key of the training documents' tokens occurs. Blocks fold what they have of a key into one row,
+    and leave none out."""
 
-    def count(grams: Grams) -> pa.RecordBatch:
-        if order == 1:
-            key, n = np.unique(grams.one, return_counts=True)
-            return pa.RecordBatch.from_arrays([as_long(key), pa.array(n.astype(np.int64))], schema=schema)
-        key, context, suffix, there = (grams.two, grams.before, grams.one, grams.has_two) if order == 2 else (grams.three, grams.two_before, grams.two, grams.has_three)
-        at = np.flatnonzero(there & within(context, contexts) & within(suffix, suffixes))
-        key, first, n = np.unique(key[at], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([as_long(key), pa.array(n.astype(np.int64)), as_long(context[at[first]]), as_long(suffix[at[first]])], schema=schema)
+    def count(held: list) -> pa.RecordBatch:
+        key, n = np.unique(keys(Grams(*map(np.concatenate, zip(*held)), longest)), return_counts=True)
+        return pa.RecordBatch.from_arrays([as_long(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
         for batch in batches:
@@ -138,52 +151,85 @@ def counted(rows: DataFrame, options: Options, order: int = 1, contexts: np.ndar
                 held.append(tokens_of(texts))
                 size += len(held[-1][0])
                 if size >= options.group_tokens:
-                    yield count(Grams(*map(np.concatenate, zip(*held))))
+                    yield count(held)
                     held, size = [], 0
         if held:
-            yield count(Grams(*map(np.concatenate, zip(*held))))
+            yield count(held)
+
+    return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def gathered(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a frame that is bounded by sqrt(tokens) / root rows, by key."""
+    found = df.select("key", "n").toArrow()
+    keys, n = found.column("key").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(keys.view(np.uint64))
+    return keys[order], n[order]
+
 
-    found = rows.where(~F.col("held_out")).select("text").mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
-    return found.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in schema.names[2:]])
+def diverging(counts: DataFrame, shorter: DataFrame | None, level: Contexts, below: Contexts | None, words: np.ndarray, shares: np.ndarray, options: Options) -> np.ndarray:
+    """Places of the contexts whose followers diverge from those of their suffix. counts, shorter: key (place of the context, times
+    the number of words, and place of the follower among the words) and n, of the level and of the one below."""
+    own = level.counts
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            context, follower = key // len(words), key % len(words)
+            p = batch.column("n").to_numpy() / own[context]
+            up, q = (np.zeros(len(key), np.int64), shares[follower]) if below is None else (level.suffix[context] * len(words) + follower, 1 / below.counts[level.suffix[context]])
+            yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int64)), pa.array(p), pa.array(up.astype(np.int64)), pa.array(q)], names=["context", "p", "up", "q"])
+
+    rows = counts.mapInArrow(facts, "context long, p double, up long, q double")
+    if shorter is not None:
+        rows = rows.join(shorter.select(F.col("key").alias("up"), F.col("n").alias("m")), "up").withColumn("q", F.col("q") * F.col("m"))
+    sums = rows.groupBy("context").agg(F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("d"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.count("*").alias("k"))
+    found = sums.toArrow()  # a row for each context
+    context, d, p, q, k = (found.column(c).to_numpy() for c in ("context", "d", "p", "q", "k"))
+    rest_p, rest_q = np.maximum(1 - p, 1e-9), np.maximum(1 - q, 1e-9)
+    # chance alone is expected to give half the number of followers, over the count
+    beyond = d + rest_p * np.log(rest_p / rest_q) - k / (2 * own[context])
+    return np.sort(context[np.round(beyond, 9) >= options.divergence])
 
 
 def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
-    """Counts all training words, then all pairs after words that are common enough for contexts, then all triples after such
-    pairs; shares apply to the summed counts alone. An n-gram occurs no more often than its suffix, so that those of a suffix
-    below the followers' share needn't be sent. Retains contexts that diverge."""
-    stage = Stage(counted(rows, options), "word-counts")
+    """Counts all training words, and then, while there are common contexts, which of the common words follow them; common
+    n-grams are the next contexts. An n-gram occurs no more often than its parts, so none is missed."""
+    stage = Stage(counted(rows, lambda g: g.of[1], 1, options), "word-counts")
     tokens, distinct = stage.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = [(1, r) for r in stage.df.where(F.col("n") >= options.follower_share * tokens).collect()]  # at most 1 / follower_share of each order
+    least = max(options.least, options.root * tokens**0.5)
+    keys, n = gathered(stage.df.where(F.col("n") >= least))
     stage.drop()
-    for order in (2, 3):
-        shorter = [(r["key"], r["n"]) for o, r in common if o == order - 1]
-        contexts = as_hashes(k for k, n in shorter if n >= options.context_share * tokens)
-        if len(contexts):
-            common += [(order, r) for r in counted(rows, options, order, contexts, as_hashes(k for k, _ in shorter)).where(F.col("n") >= options.follower_share * tokens).collect()]
-    shape = TreeShape(int(tokens), int(distinct))
-    counts = {(order, r["key"]): r["n"] for order, r in common}
-    followers: dict[tuple[int, int], list] = {}
-    for order, r in common:
-        if order > 1:
-            followers.setdefault((order - 1, r["context"]), []).append((r["n"], r["suffix"]))
-    suffix_of = {r["key"]: r["suffix"] for order, r in common if order == 2}
-    kept: dict[int, set] = {1: set(), 2: set()}
-    for (length, context), after in sorted(followers.items()):
-        own = counts.get((length, context), 0)
-        if own < options.context_share * tokens:
-            continue
-        suffix_total = tokens if length == 1 else counts.get((1, suffix_of[context]), 0)
-        # the suffix's counts of the same followers: of the words, or of the pairs of the context's last word and the follower
-        p = np.array([n / own for n, _ in after])
-        q = np.array([counts.get((length, suffix), 0) / max(suffix_total, 1) for _, suffix in after])
-        rest_p, rest_q = max(1 - p.sum(), 1e-9), max(1 - q.sum(), 1e-9)
-        divergence = float((p * np.log(p / np.maximum(q, 1e-12))).sum() + rest_p * np.log(rest_p / rest_q))
-        if divergence >= options.divergence:
-            kept[length].add(context)
-            if length == 2:
-                kept[1].add(suffix_of[context])  # a tree has the suffixes of its contexts
-    shape.one, shape.two = as_hashes(kept[1]), as_hashes(kept[2])
-    return shape
+    words = keys.view(np.uint64)
+    shares = n / max(tokens, 1)
+    at = np.flatnonzero(words != END)
+    levels, kept, tables = [Contexts(words[at], n[at], np.zeros(len(at), np.int64))], [], []
+    while len(levels[-1].hashes):
+        d, level = len(levels), levels[-1]
+        ordered = level.hashes
+
+        def followers(grams: Grams) -> np.ndarray:
+            context, follower = grams.contexts(d, ordered), place(grams.of[1], words)
+            inside = np.flatnonzero((context >= 0) & (follower >= 0))
+            return context[inside] * len(words) + follower[inside]
+
+        tables.append(Stage(counted(rows, followers, d, options), "followers"))
+        below = levels[-2] if d > 1 else None
+        kept.append(diverging(tables[-1].df, tables[-2].df if d > 1 else None, level, below, words, shares, options))
+        if d == options.longest:
+            break
+        keys, n = gathered(tables[-1].df.where(F.col("n") >= least))
+        context, follower = keys // len(words), keys % len(words)
+        go = np.flatnonzero(words[follower] != END)
+        context, follower, n = context[go], follower[go], n[go]
+        suffix = words[follower] if d == 1 else join(below.hashes[level.suffix[context]], words[follower])
+        more = Contexts(join(level.hashes[context], words[follower]), n, place(suffix, level.hashes))
+        levels.append(more.some(np.argsort(more.hashes)))
+    for table in tables:
+        table.drop()
+    for d in range(len(kept) - 1, 0, -1):  # a tree has the suffixes of its contexts
+        kept[d - 1] = np.union1d(kept[d - 1], levels[d].suffix[kept[d]])
+    return TreeShape(int(tokens), int(distinct), [level.some(at) for level, at in zip(levels, kept) if len(at)])
 
 
 def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -193,51 +239,69 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     and one end. base_score: the words' own smoothed distribution; score: the tree's log10 probability of the whole text;
     n_context: tokens scored in a retained context. Null and empty texts are one end; a null id counts as the empty id;
     repeated rows stay (and train, each); without training rows all words are unknown; an empty table gives no rows; other
-    columns aren't looked at.
+    columns aren't looked at. Ids are whole numbers, or texts of them.
     """
-    rows = settled(docs).select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = settled(docs).select(F.col("__rasterloom_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc32_mod5("doc_id") == 1)
     shape = learn_shape(rows, options)
-    groups = max(1, round(shape.tokens * 1.25 / options.group_tokens))
-    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("dealt"), "doc_id", "text", "held_out")
+    longest = len(shape.levels) + 1
+    # neighbours in a file are a group, of as many rows as have so many tokens on the average
+    size = max(1, round(options.group_tokens * rows.count() / max(1, shape.tokens * 1.25)))
+    dealt = rows.select(F.expr(f"row div {size}L").alias("dealt"), "doc_id", "text", "held_out")
+
+    def gather(parts: list) -> Grams:
+        return Grams(*map(np.concatenate, zip(*parts)), longest)
 
-    def grams_of(documents: pa.Table) -> tuple[Grams, np.ndarray]:
-        parts = [tokens_of([t or "" for t in documents.column("text").slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)]
-        grams = Grams(*map(np.concatenate, zip(*parts)))
-        return grams, np.repeat(~documents.column("held_out").to_numpy(), grams.counts)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, training, tokens = None, [], [], 0
 
-    def ask(documents: pa.Table) -> pa.Table:
-        grams, training = grams_of(documents)
-        keys, at = grams.needed(shape)
-        keys, n = tally(keys, training[at])
-        return pa.table({"key": as_long(keys), "dealt": pa.array(np.full(len(keys), documents.column("dealt")[0].as_py(), np.int64)), "n": pa.array(n)})
+        def asked() -> pa.RecordBatch:
+            grams = gather(held)
+            keys, states = grams.needed(shape)
+            trains = np.repeat(np.concatenate(training), grams.counts)
+            keys, n = tally(keys, np.concatenate((trains, *(trains[inside] for inside, _ in states))))
+            return pa.RecordBatch.from_arrays([as_long(keys), pa.array(np.full(len(keys), group, np.int64)), pa.array(n)], names=["key", "dealt", "n"])
+
+        for batch in batches:
+            for piece, texts in batches_of(batch, "text"):
+                groups, trains = piece.column("dealt").to_numpy(), ~piece.column("held_out").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
+                for start, end in zip(cuts, cuts[1:]):
+                    if held and (groups[start] != group or tokens >= options.group_tokens):
+                        yield asked()
+                        held, training, tokens = [], [], 0
+                    group = groups[start]
+                    held.append(tokens_of(texts[start:end])), training.append(trains[start:end])
+                    tokens += len(held[-1][0])
+        if held:
+            yield asked()
 
-    asked = dealt.groupBy("dealt").applyInArrow(ask, "key long, dealt long, n long")
-    # a key has a row for each group at most
-    summed = asked.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total <> n").select("dealt", "key", "total")
+    questions = dealt.select("dealt", "text", "held_out").mapInArrow(ask, "key long, dealt long, n long")
+    # a key has a row for each group, or two where a scan cuts a group
+    summed = questions.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total <> n").select("dealt", "key", "total")
 
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, training = grams_of(documents)
-        keys, at = grams.needed(shape)
-        keys, n = tally(keys, training[at])
+        column = documents.column("text")
+        grams = gather([tokens_of([t or "" for t in column.slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)])
+        training = np.repeat(~documents.column("held_out").to_numpy(), grams.counts)
+        keys, states = grams.needed(shape)
+        keys, n = tally(keys, np.concatenate((training, *(training[inside] for inside, _ in states))))
         if answers.num_rows:
-            place = np.searchsorted(keys, answers.column("key").to_numpy().view(np.uint64))
-            n[place] = answers.column("total").to_numpy()
+            n[np.searchsorted(keys, answers.column("key").to_numpy().view(np.uint64))] = answers.column("total").to_numpy()
         find = lambda x: n[np.searchsorted(keys, x)]
-        count = find(grams.one)
+        count = find(grams.of[1])
         p = (count + 0.5) / (shape.tokens + 0.5 * (shape.distinct + 1))
         base = np.log10(p)
-        in_one, in_two = grams.states(shape)
-        for prior, inside, context, gram in ((options.prior[0], in_one, grams.before, grams.two), (options.prior[1], in_two, grams.two_before, grams.three)):
-            i = np.flatnonzero(inside)
-            own = find(context[i])
-            worth = prior * np.sqrt(own)
-            p[i] = (find(gram[i]) + worth * p[i]) / (own + worth)
-        starts = np.concatenate(([0], grams.counts.cumsum()[:-1]))
-        total = lambda x: np.add.reduceat(x, starts)
+        known = np.zeros(len(p), np.int64)
+        for d, (level, (inside, at)) in enumerate(zip(shape.levels, states), 1):
+            own = level.counts[at]
+            worth = options.prior[min(d, len(options.prior)) - 1] * np.sqrt(own)
+            p[inside] = (find(grams.of[d + 1][inside]) + worth * p[inside]) / (own + worth)
+            known[inside] = 1
+        total = lambda x: np.add.reduceat(x, grams.starts)
         return pa.table({
             "doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"), "n_tokens": pa.array(grams.counts.astype(np.int64)), "n_known": pa.array(total((count > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(starts), shape.tokens, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p))), "n_context": pa.array(total((in_one | in_two).astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(grams.counts), shape.tokens, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p))), "n_context": pa.array(total(known)),
         })
 
     def scored(documents: pa.Table, answers: pa.Table) -> pa.Table:
