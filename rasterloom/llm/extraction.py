@@ -15,6 +15,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,8 +55,8 @@ BUCKETS = 32
 ABOVE = ["nav", "header", "footer", "aside", "form", "article", "main", "li"]
 N_PLAIN = 22
 
-_TAG = re.compile(r"""<(?:!--(.*?)(?:--!?>|\Z)|([!?][^>]*>)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -74,8 +75,10 @@ class Node:
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", "", text), ("open", tag, attributes) and ("close", tag, "") in page order; a `<` that opens no tag is text."""
-    at, n = 0, len(page)
+    """("text", "", text), ("open", tag, attributes) and ("close", tag, "") in page order; a `<` that opens no tag is text. Quoted
+    values may hold `>`; from the first tag on whose quotes don't close, a tag ends at the next `>` whatever is quoted. No part
+    of a page is read more than a few times."""
+    at, n, last, quoted = 0, len(page), page.rfind(">"), True
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -83,25 +86,34 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             return
         if lt > at:
             yield "text", "", page[at:lt]
-        m = _TAG.match(page, lt)
-        if not m:
-            m = _LOOSE.match(page, lt)
-            if not m:
+        if page.startswith("<!--", lt):
+            end = page.find("--", lt + 4)
+            while 0 <= end and not page.startswith((">", "!>"), end + 2):
+                end = page.find("--", end + 1)
+            at = n if end < 0 else page.index(">", end) + 1
+            continue
+        name = _NAME.match(page, lt + 1) if lt < last else None
+        if lt > last or not (name or page.startswith(("<!", "<?"), lt)):
+            yield "text", "", "<"
+            at = lt + 1
+            continue
+        if not name:
+            at = page.index(">", lt) + 1
+            continue
+        end = _ATTRIBUTES.match(page, name.end()).end() if quoted else n
+        if end >= n or page[end] != ">":
+            quoted, end = False, page.find(">", name.end())
+            if end < 0:
                 yield "text", "", "<"
                 at = lt + 1
                 continue
-            closing, tag, attributes = m[1], m[2].lower(), m[3]
-        else:
-            closing, tag, attributes = m[3], m[4] and m[4].lower(), m[5]
-        at = m.end()
-        if not tag:
-            continue
+        closing, tag, attributes, at = name[1], name[2].lower(), page[name.end() : end], end + 1
         if closing:
             yield "close", tag, ""
             continue
-        yield "open", tag, attributes or ""
-        if tag in _RAW_END and not (attributes or "").endswith("/"):
-            end = _RAW_END[tag].search(page, at)
+        yield "open", tag, attributes
+        if tag in _RAW_END and not attributes.endswith("/"):
+            end = _RAW_END[tag].search(page, at) if at < last else None
             at = end.end() if end else n
             yield "close", tag, ""
 
@@ -125,6 +137,14 @@ def parse(page: str) -> list[Node]:
         run, links = [], 0
 
     link_count = 0
+    opened: Counter[str] = Counter()  # tags of the elements that are open
+
+    def leave(to: Node) -> None:
+        nonlocal here
+        while here is not to:
+            opened[here.tag] -= 1
+            here = here.parent
+
     for kind, tag, value in pieces(page):
         if kind == "text":
             if not silent:
@@ -149,25 +169,30 @@ def parse(page: str) -> list[Node]:
             if tag in VOID:
                 continue
             stop = SAME_CLOSES.get(tag)
-            up = here
-            while up.parent and (up.tag not in SCOPES or (stop and up.tag in stop)):
-                if (tag in CLOSES_P and up.tag == "p") or (stop and up.tag in stop):
-                    here = up.parent
-                up = up.parent
+            if (tag in CLOSES_P and opened["p"]) or (stop and any(opened[t] for t in stop)):
+                up = to = here
+                while up.parent and (up.tag not in SCOPES or (stop and up.tag in stop)):
+                    if (tag in CLOSES_P and up.tag == "p") or (stop and up.tag in stop):
+                        to = up.parent
+                    up = up.parent
+                leave(to)
             if re.match("h[1-6]", here.tag) and re.match("h[1-6]", tag):
-                here = here.parent
+                leave(here.parent)
             child = Node(tag, here, value)
             here.children.append(child)
             nodes.append(child)
             here = child
+            opened[tag] += 1
         else:
             flush()
             link_count = 0
+            if not opened[tag]:
+                continue
             up = here
             while up.parent and up.tag != tag and not (tag not in ("body", "html") and up.tag in SCOPES and tag == "p"):
                 up = up.parent
             if up.parent and up.tag == tag:
-                here = up.parent
+                leave(up.parent)
     flush()
     gather(nodes)
     return nodes
