@@ -1,8 +1,9 @@
 """Best-fit packing into bins of several permitted lengths.
 
-Pieces are taken longest first. A piece goes to the open bin that it leaves fullest; where none has room, a bin is opened
-whose length costs least for each token that it is expected to hold (the piece, and what remains to fill it). At the end
-each bin is downsized to the least permitted length that holds its contents.
+Pieces are taken longest first. A piece goes to the open bin that it leaves fullest; where none has room, a bin is opened. All
+permitted lengths are then tried together: each is filled with the piece and, the longest that fit first, with pieces that are
+still left, and the length whose cost is least for each token so held is opened. At the end each bin is downsized to the least
+permitted length that holds its contents. A bin costs its length, a fixed overhead, and what attention adds to long sequences.
 
 Bins are formed within blocks of rows of one input partition: nothing is shuffled, no key can grow hot, and memory is
 bounded by the block. The same files and split settings give the same bins.
@@ -11,6 +12,7 @@ bounded by the block. The same files and split settings give the same bins.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,32 +23,59 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import batches_of, words_bytes
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-#: Tokens' worth of cost that each bin has besides its length (padding to lengths, a step's fixed work).
+#: Tokens' worth of cost that each bin has besides its length (a step's fixed work).
 OVERHEAD = 32
+#: At this length attention, which grows with the square of the length, costs as much as all the rest.
+ATTENTION = 65_536
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+def bin_cost(length: int, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
+    return length + length * length / attention + overhead
+
+
+class Left:
+    """How many pieces of each size are left, for trial fills."""
+
+    def __init__(self, sizes: Sequence[int]):
+        self.count = Counter(sizes)
+        self.there = sum(1 << s for s in self.count)  # the bits of the sizes that are left
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.there ^= 1 << size
+
+    def fill(self, room: int) -> int:
+        """Tokens that pieces which are left would put into so much room, the longest that fits first."""
+        free = most = room
+        while small := self.there & ((2 << most) - 1):
+            size = small.bit_length() - 1
+            free -= size * min(self.count[size], free // size)
+            most = min(free, size - 1)
+        return room - free
+
+
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION) -> tuple[list[int], list[int], list[int]]:
     """Bin of each piece, offset of each piece in its bin, and the length of each bin. No piece may exceed the longest bin."""
     lengths = sorted(lengths)
+    costs = {n: bin_cost(n, overhead, attention) for n in lengths}
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left = sum(sizes)
+    left = Left(sizes)
     room: list[list[int]] = [[] for _ in range(lengths[-1] + 1)]  # open bins by free tokens
     rooms = 0  # the bits of free tokens that some bin has
-    bins, offsets, used, opened = [0] * len(sizes), [0] * len(sizes), [], []
+    bins, offsets, used = [0] * len(sizes), [0] * len(sizes), []
     for i in order:
         size = sizes[i]
-        left -= size
+        left.take(size)
         if fits := rooms >> size:
             free = size + (fits & -fits).bit_length() - 1
             b = room[free].pop()
             if not room[free]:
                 rooms ^= 1 << free
         else:
-            choices = [n for n in lengths if n >= size]
-            length = min(choices, key=lambda n: ((n + overhead) / max(1, size + min(n - size, left)), n))
+            length = min((n for n in lengths if n >= size), key=lambda n: (costs[n] / (size + left.fill(n - size)), n))
             b, free = len(used), length
             used.append(0)
-            opened.append(length)
         bins[i], offsets[i] = b, used[b]
         used[b] += size
         if free > size:
@@ -55,7 +84,7 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, overhead: int =
     return bins, offsets, [lengths[bisect_left(lengths, n)] for n in used]
 
 
-def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, block: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION, block: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every whole document: tokens are its words and one end. A longer document than the longest bin is cut into
     pieces of that length and a rest. Returns a row per piece: doc_id, piece, start and n_tokens (in the document), bin_id,
     bin_offset, bin_length, bin_tokens.
@@ -70,7 +99,7 @@ def pack_documents(docs: DataFrame, lengths: Sequence[int] = LENGTHS, overhead:
 
     def packed(rows: list[tuple], first_bin: int) -> tuple[pa.RecordBatch, int]:
         ids, piece, start, size = zip(*rows)
-        bins, offsets, bin_lengths = pack(size, lengths, overhead)
+        bins, offsets, bin_lengths = pack(size, lengths, overhead, attention)
         at = np.asarray(bins)
         held = np.bincount(at, weights=np.asarray(size)).astype(np.int64)
         columns = [ids, piece, start, size, at + first_bin, offsets, np.asarray(bin_lengths)[at], held[at]]
