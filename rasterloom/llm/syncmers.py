@@ -2,13 +2,15 @@
 
 A run of K bytes is a closed syncmer when the least hash of its inner runs of S bytes is that of its first or last one.
 Whether a run is chosen depends on the run alone, so equal passages have equal anchors wherever they stand. A fingerprint
-is the SKETCH least hashes of a text's distinct anchors, and the likeness of two fingerprints estimates the share of
-anchors that the texts have in common (Jaccard).
+is the SKETCH least hashes of a text's distinct anchors, each with the place where it first stands. The likeness of two
+fingerprints estimates the share of anchors that the texts have in common and in the same order: of the common ones, those
+count that form the longest run of places ascending in both texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,24 +59,41 @@ def _chosen(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero((inner[:m] == least) | (inner[span - 1 : span - 1 + m] == least))
 
 
+#: A hash and a place, in hexadecimal digits.
+DIGITS = 16
+
+
 def fingerprint(text: str) -> str:
-    """Hexadecimal digits of the sketch, eight for each anchor, ascending; empty for an empty text."""
-    _, hashes = syncmers(text.encode("utf-8", "surrogatepass"))
-    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH].astype(">u4").tobytes().hex()
+    """Hexadecimal digits of the sketch, eight for the hash and eight for the place (in UTF-8 bytes) of each anchor, ascending by
+    hash; empty for an empty text."""
+    positions, hashes = syncmers(text.encode("utf-8", "surrogatepass"))
+    short, first = np.unique((hashes >> np.uint64(32)).astype(np.uint32), return_index=True)
+    return np.column_stack((short[:SKETCH], positions[first[:SKETCH]].astype(np.uint32))).astype(">u4").tobytes().hex()
+
+
+def in_order(places: list[int]) -> int:
+    """Length of the longest ascending run that is left when others are passed over."""
+    ends: list[int] = []
+    for x in places:
+        at = bisect_left(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
 
 
 def likeness(one: str, other: str) -> float:
-    """Estimated Jaccard similarity; 1 for equal fingerprints, 0 where just one is empty."""
+    """Estimated share of common anchors in the same order; 1 for equal fingerprints, 0 where just one is empty."""
     if one == other:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(x), ">u4") for x in (one, other))
+    a, b = (np.frombuffer(bytes.fromhex(x), ">u4").reshape(-1, 2) for x in (one, other))
     if not len(a) or not len(b):
         return 0.0
-    both = np.union1d(a, b)
+    both = np.union1d(a[:, 0], b[:, 0])
     if len(a) == SKETCH or len(b) == SKETCH:
         both = both[:SKETCH]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, common, assume_unique=True).sum() / len(both))
+    common, at, there = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
+    inside = common <= both[-1]
+    places = a[at[inside], 1].astype(np.int64), b[there[inside], 1].astype(np.int64)
+    return in_order(places[1][np.argsort(places[0])].tolist()) / len(both)
 
 
 def edited(text: str, following: str) -> str:
