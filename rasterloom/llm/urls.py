@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
 A list entry is a host and a start of a path, with an action; it fits its host and all subdomains where the URL's path
-starts with its path. The keys that could fit a URL are its host's suffixes, each with the starts of its path that have the
-length of some listed path. They are probed in a blocked Bloom filter (a block of four words of 64 bits for each key, eight
+starts with its path. The keys that could fit a URL are the suffixes of its host that have as many labels as some
+listed host, each with the starts of its path that have the length of some listed path. They are probed in a blocked Bloom filter (a block of four words of 64 bits for each key, eight
 bits set in it); possible hits go to a hash join with the list, which removes false positives. The longest entry wins.
 
 The filter's blocks are a table of at most bits_per_key / 256 rows for each entry; blocks and list are broadcast only up to
@@ -46,16 +46,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
 
     A null URL, or one without `://`, has an empty host and path and fits no entry. Repeated rows stay, a row for each; of
     entries of equal length the greater string wins; of repeated entries the greater action. An empty list lets all pass
-    as `default`; an empty table gives no rows; other columns aren't looked at.
+    as `default`; an empty table gives no rows; other columns aren't looked at. A host of any length has as many keys as the list
+    has label counts and path lengths.
     """
-    rules = listed.select(F.concat(F.translate("host", UPPER, LOWER), "path").alias("rule"), F.length("path").alias("path_length"), "action").groupBy("rule", "path_length").agg(F.max("action").alias("action"))
+    rules = listed.select(F.concat(F.translate("host", UPPER, LOWER), "path").alias("rule"), F.length("path").alias("path_length"), F.size(F.split("host", r"\.")).alias("labels"), "action").groupBy("rule", "path_length", "labels").agg(F.max("action").alias("action"))
     lengths = sorted(r[0] for r in rules.select("path_length").distinct().collect())  # distinct lengths of paths, at most the longest
+    labels = sorted(r[0] for r in rules.select("labels").distinct().collect())  # at most the labels of the longest host
     entries = rules.count()
     blocks = max(1, -(-entries * bits_per_key // 256))
     small = F.broadcast if entries <= most_broadcast else (lambda df: df)
 
     host, path = split_url(F.col(url_col).cast("string"))
-    rows = settled(pages).select(F.col("__row").alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = settled(pages).select(F.col("__rasterloom_row").alias("row"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if not entries:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     marked = rules.withColumn("mark", F.xxhash64("rule"))
@@ -63,7 +65,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     filled = filled.groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(4)])
 
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
+    suffixes = F.filter(F.array(*[F.when(F.size(parts) >= n, F.concat_ws(".", F.slice(parts, -n, n))) for n in labels]), lambda s: s.isNotNull())
     starts = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
     asked = rows.where(F.col("host") != "").select("row", F.explode(keys).alias("rule")).withColumn("mark", F.xxhash64("rule"))
