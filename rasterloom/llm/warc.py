@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, new_path, stored
+from rasterloom.llm.common import Stage, batches_of, drop_path, new_path, stored
 
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 2000
+#: A file has at most so many records, and fewer where so many bytes of payload are expected to be in fewer.
+RECORDS_PER_FILE, BYTES_PER_FILE = 2000, 64_000_000
 _NAMESPACE = uuid.UUID("5f1a3c2e-7d3b-4f0e-9a55-3f6d0f3a9b11")
 
 
@@ -71,8 +72,13 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], int, memoryview]]:
         at = after + 4
 
 
-def write_text_records(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def records_per_file(payload_bytes: float | None) -> int:
+    """For payloads of so many bytes on the average."""
+    return max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / max(payload_bytes or 0, 1))))
+
+
+def write_text_records(records: DataFrame, path: str, per_file: int) -> None:
+    records.write.option("lineSep", END + END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -88,13 +94,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     out.append(record("response", str(uuid.uuid5(_NAMESPACE, f"{page_id}:{row}")), page_id, url, digest(data), len(data), payload))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    write_text_records(source.mapInArrow(make, "value string"), path)
+    size = source.agg(F.avg(F.octet_length("payload"))).first()[0]
+    write_text_records(source.mapInArrow(make, "value string"), path, records_per_file(size))
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """record_id, page_id, url, record_type, payload_bytes, payload_digest, refers_to_record (and payload) of each record.
 
-    The digest of a response is taken from its payload anew and must be the one its header names.
+    The digest of a response is taken from its payload anew and must be the one its header names. An archive without records
+    gives no rows; a record that isn't whole raises.
     """
     fields = [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_record", pa.string())]
     schema = pa.schema(fields + [("payload", pa.string())] * with_payload)
@@ -127,10 +135,13 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 def resolve_revisits(spark: SparkSession, path: str, out: str, min_bytes: int = 0) -> None:
     """Writes the archives of `path` anew to `out`. Of records with equal payloads of at least min_bytes bytes, the one with
-    the largest page_id (null is the least; then the largest record id) stays a response; the others become revisits."""
-    headers = stored(read_archives(spark, path), "headers")
+    the largest page_id (null is the least; then the largest record id) stays a response; the others become revisits. Archives
+    without records give one without records."""
+    head_stage = Stage(read_archives(spark, path), "headers")
+    headers = head_stage.df
     long_enough = headers.where(F.col("payload_bytes") >= min_bytes)
-    originals = stored(long_enough.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id")).alias("original")), "originals")
+    original_stage = Stage(long_enough.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "record_id")).alias("original")), "originals")
+    originals = original_stage.df
     decided = long_enough.join(originals, ["payload_digest", "payload_bytes"]).where(F.col("record_id") != F.col("original.record_id")).select("record_id", F.col("original.record_id").alias("refers_to"))
     records = read_archives(spark, path, with_payload=True).drop("refers_to_record").join(decided, "record_id", "left")
 
@@ -142,7 +153,9 @@ def resolve_revisits(spark: SparkSession, path: str, out: str, min_bytes: int =
                 out = [record("revisit" if to else "response", rid, page_id, url, sha1, size, payload, to) for rid, page_id, url, sha1, size, to, payload in values]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    write_text_records(records.mapInArrow(make, "value string"), out)
+    size = headers.where("record_type = 'response'").agg(F.avg("payload_bytes")).first()[0]
+    write_text_records(records.mapInArrow(make, "value string"), out, records_per_file(size))
+    head_stage.drop(), original_stage.drop()
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -157,6 +170,7 @@ def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_archives(pages, first)
     resolve_revisits(spark, first, second, min_bytes)
     records = stored(read_archives(spark, second), "records")
+    drop_path(spark, first), drop_path(spark, second)
     shown = records.select("page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers_to_record")
     responses, revisits = shown.where("record_type = 'response'"), shown.where("record_type <> 'response'")
     targets = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
