@@ -64,10 +64,10 @@ FILE_ROWS = 1 << 40
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of `df`, and as `__row` a number of each that stays with it however often, and in whatever partitions, the frame
+    """The rows of `df`, and as `__rasterloom_row` a number of each that stays with it however often, and in whatever partitions, the frame
     is evaluated: of a parquet scan with projections and filters, by file and place in the file; anything else is written with
     its numbers to a table. What numbers rows more than once starts from this."""
-    if "__row" in df.columns:
+    if "__rasterloom_row" in df.columns:
         return df
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = {m for m in re.findall(r"^[\s:+\-|']*(\w+)", plan, re.M)}
@@ -77,8 +77,8 @@ def settled(df: DataFrame) -> DataFrame:
         placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
         files = sorted(r[0] for r in placed.select("__file").distinct().collect())
         order = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(files)), "__nth long, __file string"))
-        return placed.join(order, "__file").select(*[F.col(f"`{c}`") for c in names], (F.col("__nth") * FILE_ROWS + F.col("__index")).alias("__row"))
-    return stored(df.withColumn("__row", F.monotonically_increasing_id()), "settled")
+        return placed.join(order, "__file").select(*[F.col(f"`{c}`") for c in names], (F.col("__nth") * FILE_ROWS + F.col("__index")).alias("__rasterloom_row"))
+    return stored(df.withColumn("__rasterloom_row", F.monotonically_increasing_id()), "settled")
 
 
 #: Up to so many row numbers (of 8 bytes) are broadcast; beyond, rows are joined by a shuffle.
@@ -92,8 +92,8 @@ def checked(side: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of `docs`, a settled frame, that the decisions (row, kept) keep; all columns but the number."""
-    dropped = stored(decisions.where("not kept").select(F.col("row").alias("__row")), "dropped")
-    return docs.join(checked(dropped), "__row", "left_anti").drop("__row")
+    dropped = stored(decisions.where("not kept").select(F.col("row").alias("__rasterloom_row")), "dropped")
+    return docs.join(checked(dropped), "__rasterloom_row", "left_anti").drop("__rasterloom_row")
 
 
 def in_slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

@@ -31,7 +31,7 @@ def blocks_of(docs: DataFrame, block_bytes: int, bits: int) -> DataFrame:
     """A row for each block: row (of the document), at, block, mark, size; the first block of a document also carries its
     facts (doc_id, n_chars, text_sha256, n_blocks)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = settled(docs).select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, WHITE, "").cast("binary").alias("data"))
+    rows = settled(docs).select(F.col("__rasterloom_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.regexp_replace(text, WHITE, "").cast("binary").alias("data"))
     rows = rows.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("data") / F.lit(block_bytes))).cast("int"))
     facts = F.struct("row", "doc_id", "n_chars", F.sha2("data", 256).alias("text_sha256"), "n_blocks")
     cut = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda i: F.substring(F.col("data"), i * block_bytes + 1, F.lit(block_bytes)))
@@ -86,7 +86,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64)
 
 
 def decide(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bits: int = 64) -> DataFrame:
-    """What `dedup` returns, and the number of each row of `docs` (__row of the settled frame)."""
+    """What `dedup` returns, and the number of each row of `docs` (__rasterloom_row of the settled frame)."""
     rank = F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
     rows = Stage(identities(docs, block_bytes, bits).withColumn("rank", rank), "identities").df
     groups = Stage(rows.groupBy("n_blocks", "name").agg(F.min("rank").alias("first"), F.count("*").alias("group_size")), "groups").df

@@ -92,7 +92,7 @@ def sketch(hashes: np.ndarray) -> tuple[int, list[int], list[bytes]]:
 
 def signatures(docs: DataFrame, bands: int, width: int) -> DataFrame:
     """row, doc_id, n_shingles, words (digest of the word sequence; null without words) and bands of every document."""
-    source = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = docs.select(F.col("__rasterloom_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, bands: int, width: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame, bands: int, width: int) -> Stage:
     """Of each wanted row (its number is the representative's): rep, n, hashes (the sorted set), and what blocks compare: level,
     counts and bits of its sketches, and its bands."""
-    numbered = docs.select(F.col("__row").alias("rep"), F.col("text").cast("string").alias("text"))
+    numbered = docs.select(F.col("__rasterloom_row").alias("rep"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64())), ("level", pa.int32()), ("c", pa.int64()), ("d", pa.int64()), ("own", pa.binary()), ("next", pa.binary()), ("bands", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chu
 
 
 def decide(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chunk: int = CHUNK) -> DataFrame:
-    """What `near_duplicates` returns, and the number of each row of `docs` (__row of the settled frame)."""
+    """What `near_duplicates` returns, and the number of each row of `docs` (__rasterloom_row of the settled frame)."""
     rows = Stage(classes(docs, bands, width, chunk), "classes").df
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
     heads = Stage(rows.groupBy("component").agg(F.min(rank).alias("head")), "heads").df

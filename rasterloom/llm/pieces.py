@@ -32,6 +32,9 @@ class ChunkTable:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         if any(re.search(f"[^{MARK}]{MARK}", self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size())):
             raise ValueError("pieces of this vocabulary cross whitespace markers")
+        probe = "Ａ  ﬁe\u0301\u00a0x\tB "  # what other normalisers would change
+        if self.sp.normalize(probe) != "".join(MARK + c for c in self.chunks(probe)):
+            raise ValueError("this model changes characters before it segments them")
         self.max_chunks, self.ids, self.text = max_chunks, {}, {}
         self.start, self.end = struct.pack("<I", self.sp.bos_id()), struct.pack("<I", self.sp.eos_id())
 

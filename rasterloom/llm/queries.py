@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,12 @@ from rasterloom.llm.common import table
 
 
 def tokenizer_path(name: str) -> str:
-    """A file of the installed package public_tokenizers (the folder is a parameter: RASTERLOOM_TOKENIZERS)."""
-    folder = os.environ.get("RASTERLOOM_TOKENIZERS") or os.path.dirname(importlib.util.find_spec("public_tokenizers").origin)
-    return os.path.join(folder, name)
+    """A file of the folder RASTERLOOM_TOKENIZERS, or of the installed package public_tokenizers."""
+    if folder := os.environ.get("RASTERLOOM_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

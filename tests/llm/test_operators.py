@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -79,16 +81,22 @@ def test_pack_is_best_fit():
     for _ in range(50):
         lengths = sorted(r.sample([8, 16, 32, 64, 100], 3))
         sizes = [r.randrange(1, lengths[-1] + 1) for _ in range(r.randrange(0, 60))]
-        bins, offsets, final = packing.pack(sizes, lengths, 3)
-        open_, left = [], sum(sizes)
+        bins, offsets, final = packing.pack(sizes, lengths, 3, 300)
+        open_, left = [], list(sizes)
         for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            left -= sizes[i]
+            left.remove(sizes[i])
             free = [b[1] - b[0] for b in open_ if b[1] - b[0] >= sizes[i]]
             if free:
                 assert open_[bins[i]][1] - open_[bins[i]][0] == min(free)
             else:
                 assert bins[i] == len(open_)
-                cost = {n: (n + 3) / max(1, sizes[i] + min(n - sizes[i], left)) for n in lengths if n >= sizes[i]}
+                cost = {}
+                for n in lengths:
+                    if n >= sizes[i]:
+                        held = sizes[i]
+                        for other in sorted(left, reverse=True):
+                            held += other if held + other <= n else 0
+                        cost[n] = (n + n * n / 300 + 3) / held
                 open_.append([0, min(cost, key=lambda n: (cost[n], n))])
             assert offsets[i] == open_[bins[i]][0]
             open_[bins[i]][0] += sizes[i]
@@ -96,6 +104,16 @@ def test_pack_is_best_fit():
         assert final == [min(n for n in lengths if n >= b[0]) for b in open_]
 
 
+def test_several_lengths_are_chosen():
+    """Bins of several lengths, whose padding is less than with any single length."""
+    r = random.Random(3)
+    sizes = [min(8192, max(1, int(r.lognormvariate(6, 1.2)))) for _ in range(5000)]
+    padding = lambda lengths: sum(packing.pack(sizes, lengths)[2]) - sum(sizes)
+    final = Counter(packing.pack(sizes)[2])
+    assert len(final) >= 4 and max(final.values()) < 0.9 * sum(final.values())
+    assert padding(packing.LENGTHS) < padding((8192,))
+
+
 def test_url_rules_of_the_query(spark, tmp_path):
     """The five rules: block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/."""
     cases = [
@@ -126,6 +144,14 @@ def test_urls(spark):
     assert urls.filter_urls(pages, spark.createDataFrame([], "host string, path string, action string")).where("verdict <> 'allow'").isEmpty()
 
 
+def test_urls_of_very_long_hosts(spark):
+    """A host of 100,000 labels has as many keys as the list has label counts."""
+    host = "a." * 100_000
+    listed = spark.createDataFrame([("com", "/x", "block"), ("b.c.com", "/", "allow")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, f"http://{host}com/xy"), (2, f"http://{host}b.c.com/xy"), (3, f"http://{host}"), (4, "http://com/x")], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, listed).collect()} == {1: ("com/x", "block"), 2: ("b.c.com/", "allow"), 3: (None, "allow"), 4: ("com/x", "block")}
+
+
 def test_bloom_filter_lets_few_through(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/").alias("path"), F.lit("block").alias("action"))
     pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id").cast("string"), F.lit(".com/a")).alias("url"))
@@ -133,7 +159,7 @@ def test_bloom_filter_lets_few_through(spark):
 
 
 def test_suffix_tree(docs, rows, nothing):
-    options = suffix_tree.Options(context_share=5e-3, follower_share=1e-4, divergence=0.0, group_tokens=9000)
+    options = suffix_tree.Options(divergence=-1.0, group_tokens=9000)
     got = sorted(map(tuple, suffix_tree.score_documents(docs, options).collect()), key=str)
     train, tokens = Counter(), []
     for i, t in rows:
@@ -151,35 +177,37 @@ def test_suffix_tree(docs, rows, nothing):
 
 
 def brute_suffix_tree(rows, options):
-    """score and n_context of each (doc_id, text), from counts of the words themselves."""
+    """score and n_context of each (doc_id, text), and how many contexts of each length, from counts of the words themselves."""
     counts, split = Counter(), {i: [*words_bytes(t), None] for i, t in rows}
     for i, w in split.items():
         if not held_out(i, 1):
-            counts.update(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+            counts.update(tuple(w[k : k + n]) for n in range(1, options.longest + 2) for k in range(len(w) - n + 1))
     tokens, distinct = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
-    common = {g: c for g, c in counts.items() if c >= options.follower_share * tokens}
+    least = max(options.least, options.root * tokens**0.5)
     kept = set()
     for context, own in counts.items():
-        after = {g: c for g, c in common.items() if g[:-1] == context}
-        if len(context) == 3 or own < options.context_share * tokens or not after:
+        if len(context) > options.longest or own < least or context[-1] is None:
+            continue
+        after = {g: c for g, c in counts.items() if g[:-1] == context and counts[g[-1],] >= least}
+        if not after:
             continue
-        total = tokens if len(context) == 1 else common.get(context[1:], 0)
-        p, q = [c / own for c in after.values()], [common.get(g[1:], 0) / total for g in after]
+        total = tokens if len(context) == 1 else counts[context[1:]]
+        p, q = [c / own for c in after.values()], [counts[g[1:]] / total for g in after]
         rest_p, rest_q = max(1 - sum(p), 1e-9), max(1 - sum(q), 1e-9)
-        if sum(x * math.log(x / max(y, 1e-12)) for x, y in zip(p, q)) + rest_p * math.log(rest_p / rest_q) >= options.divergence:
-            kept |= {context, context[1:]} - {()}
+        if sum(x * math.log(x / y) for x, y in zip(p, q)) + rest_p * math.log(rest_p / rest_q) - len(p) / (2 * own) >= options.divergence:
+            kept |= {context[k:] for k in range(len(context))}
     out = {}
     for i, w in split.items():
         score = inside = 0
         for k in range(len(w)):
             p, deep = (counts[w[k],] + 0.5) / (tokens + 0.5 * (distinct + 1)), 0
-            for n in (1, 2):
+            for n in range(1, options.longest + 1):
                 if k >= n and (context := tuple(w[k - n : k])) in kept:
                     worth, deep = options.prior[n - 1] * math.sqrt(counts[context]), 1
                     p = (counts[*context, w[k]] + worth * p) / (counts[context] + worth)
             score, inside = score + math.log10(p), inside + deep
         out[i] = (score, inside)
-    return out
+    return out, Counter(map(len, kept))
 
 
 @pytest.mark.parametrize("partitions", [1, 60])
@@ -193,9 +221,9 @@ def test_suffix_tree_scores_do_not_depend_on_the_layout(spark, partitions):
             k = words.index(w[-1])
             w.append(words[(k * 7 + r.randrange(4)) % 40] if r.random() < 0.5 + k / 100 else r.choice(words))
         rows.append((i, " ".join(w)))
-    options = suffix_tree.Options(context_share=2e-3, follower_share=1e-4, divergence=1.1, group_tokens=2000)
-    want = brute_suffix_tree(rows, options)
-    assert 0 < sum(x[1] for x in want.values()) < 240 * 30
+    options = suffix_tree.Options(root=0.05, divergence=0.3, group_tokens=2000)
+    want, lengths = brute_suffix_tree(rows, options)
+    assert 0 < sum(x[1] for x in want.values()) and all(lengths[n] for n in (1, 2, 3))
     got = {x.doc_id: (x.score, x.n_context) for x in suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions), options).collect()}
     assert got == {i: (pytest.approx(s), n) for i, (s, n) in want.items()}
 
@@ -211,13 +239,26 @@ def test_suffix_tree_is_a_distribution_and_helps(spark):
         rows.append((i, " ".join(words)))
     got = suffix_tree.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert got[1] > 0.7 * got[0]
-    # one word after "a", for every known word and one unknown
-    known = ["a", "b", "c", "d"]
-    more = rows + [(10_000 + k, "c a " + w) for k, w in enumerate(known + ["zz"]) if True]
-    ids = [i for i in range(10_000, 10_100) if held_out(i, 1)][: len(known) + 2]
-    tests = list(zip(ids, ["c a " + w for w in known + ["zz"]] + ["c a"]))
-    scored = {r.doc_id: r.score for r in suffix_tree.score_documents(spark.createDataFrame(rows + tests, "doc_id long, text string")).where("doc_id >= 10000").collect()}
-    assert len(more) > len(rows) and all(math.isfinite(s) for s in scored.values())
+    # what may follow "c a", of all known words and all unknown ones: half a count, as one word, for those
+    known, total = ["a", "b", "c", "d"], 0.0
+    ids = [i for i in range(10_000, 10_100) if held_out(i, 1)][:6]
+    tests = dict(zip(ids, ["c a", *("c a " + w for w in known), "c a zz"]))
+    scored = {r.doc_id: r.score for r in suffix_tree.score_documents(spark.createDataFrame(rows + list(tests.items()), "doc_id long, text string")).where("doc_id >= 10000").collect()}
+    want, _ = brute_suffix_tree(rows + list(tests.items()), suffix_tree.Options())
+    assert scored == {i: pytest.approx(want[i][0]) for i in tests}
+
+
+@pytest.mark.parametrize("inside", ["a", "c a", "a b c"])
+def test_next_words_of_a_context_sum_to_one(inside):
+    """By the recursion itself: counts of followers, over own count and the prior's worth, on a distribution that sums to one."""
+    r = random.Random(len(inside))
+    base = np.array([r.random() for _ in range(9)])
+    p = base / base.sum()
+    for prior in suffix_tree.Options().prior:
+        follow = np.array([r.randrange(0, 50) for _ in p])
+        worth = prior * math.sqrt(follow.sum())
+        p = (follow + worth * p) / (follow.sum() + worth)
+        assert p.sum() == pytest.approx(1)
 
 
 def test_extraction(spark):
@@ -231,6 +272,45 @@ def test_extraction(spark):
     assert extraction.extract_pages(pages.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("page", ["<" + "a" * 1_000_000, "<a " * 300_000, "<a '" * 250_001, "<a '>'" * 150_000 + '"', "<script" * 140_000, "</script " * 110_000 + "<script>" + "</script " * 10, "<x>" * 300_000 + "</y>" * 100_000, "<!-- " * 200_000, "<p><x>" * 150_000, "<li" * 300_000 + ">"])
+def test_long_odd_pages_take_linear_time(page):
+    start = time.time()
+    nodes = extraction.parse(page)
+    assert nodes[0].tag == "#root" and time.time() - start < 20
+
+
+def test_pieces_of_a_page():
+    got = list(extraction.pieces("""a<b c='>' d>x</B><!-- <i> -->y<!doctype z><script>1<2</script >s< t<p e=">q<i f='g'>r<!--u"""))
+    text = lambda t: ("text", "", t)
+    assert got == [text("a"), ("open", "b", " c='>' d"), text("x"), ("close", "b", ""), text("y"), ("open", "script", ""), ("close", "script", ""), text("s"), text("<"), text(" t"), ("open", "p", ' e="'), text("q"), ("open", "i", " f='g'"), text("r")]
+
+
+def test_decoding_is_the_best_of_all_labellings():
+    """On small trees, against every labelling in which chosen nodes have chosen parents and chosen elements a chosen child."""
+    r = random.Random(8)
+    for _ in range(60):
+        nodes = [extraction.Node("#root", None)]
+        for _ in range(r.randrange(1, 9)):
+            up = r.choice([n for n in nodes if n.tag != "#text"])
+            nodes.append(extraction.Node(r.choice(["div", "#text", "#text"]), up))
+            up.children.append(nodes[-1])
+        nodes = [n for n in walk(nodes[0])]
+        for i, n in enumerate(nodes):
+            n.index = i
+        p = np.array([r.random() for _ in nodes])
+        value = lambda y: sum(math.log(p[i] if on else 1 - p[i]) for i, on in enumerate(y))  # noqa: B023,E731
+        fits = lambda y: all((not on or n.parent is None or y[n.parent.index]) and (not on or n.tag == "#text" or any(y[c.index] for c in n.children)) for n, on in zip(nodes, y))  # noqa: B023,E731
+        best = max(value(y) for y in itertools.product([False, True], repeat=len(nodes)) if fits(y))
+        got = extraction.decode(nodes, p)
+        assert fits(got) and value(got) == pytest.approx(best)
+
+
+def walk(node):
+    yield node
+    for child in node.children:
+        yield from walk(child)
+
+
 def test_extraction_on_unseen_pages():
     model = extraction.trained()
     right = total = 0
@@ -281,6 +361,38 @@ def test_syncmers(rows):
     assert {h for p, h in a.items() if p >= 9 + 0} & set(b.values())
 
 
+def brute_anchors(text):
+    """Half-hash and first place of each anchor."""
+    at, hashes = syncmers.syncmers(text.encode())
+    out = {}
+    for place, h in zip(at.tolist(), hashes.tolist()):
+        out.setdefault(h >> 32, place)
+    return out
+
+
+def test_likeness_counts_what_stands_in_order():
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    first, second = words(60), words(60)
+    one, turned, longer = first + " " + second, second + " " + first, first + " " + words(8) + " " + second
+    near = lambda a, b: syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b))
+    assert near(one, one) == 1 and near(one, longer) > 0.75 and 0.35 < near(one, turned) < 0.7 and near(one, words(120)) < 0.1
+    for _ in range(200):
+        x = [r.randrange(20) for _ in range(r.randrange(9))]
+        x = list(dict.fromkeys(x))
+        assert syncmers.in_order(x) == max(len(c) for n in range(len(x) + 1) for c in itertools.combinations(x, n) if list(c) == sorted(c))
+
+
+def test_anchors(docs, rows):
+    got = sorted((r.doc_id, r.position, r.hash) for r in syncmers.anchors(docs).where("doc_id < 9").collect())
+    want = []
+    for i, t in rows:
+        if i is not None and i < 9:
+            at, hashes = syncmers.syncmers((t or "").encode())
+            want += [(i, p, h) for p, h in zip(at.tolist(), hashes.view(np.int64).tolist())]
+    assert got == sorted(want)
+
+
 def test_fingerprints(docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 20)
     got = sorted(map(tuple, syncmers.fingerprints(docs).collect()), key=str)
@@ -292,6 +404,12 @@ def test_fingerprints(docs, rows, nothing, monkeypatch):
         own, other, next_ = map(syncmers.fingerprint, (t, changed, after))
         want.append((i, len(t), hashlib.sha256(changed.encode()).hexdigest(), own, other, syncmers.likeness(own, other), syncmers.likeness(own, next_)))
     assert got == sorted(want, key=str)
+    own, other = (dict(brute_anchors(t)) for t in (rows[3][1], rows[0][1]))
+    assert bytes.fromhex(syncmers.fingerprint(rows[3][1])) == b"".join(h.to_bytes(4, "big") + at.to_bytes(4, "big") for h, at in sorted(own.items())[:64])
+    union = sorted(own | other)[:64]
+    common = sorted((own[h], other[h]) for h in union if h in own and h in other)
+    longest = max(len(c) for n in range(len(common) + 1) for c in ([common[:n]] if [y for _, y in common[:n]] == sorted(y for _, y in common[:n]) else [[]]))
+    assert syncmers.likeness(*map(syncmers.fingerprint, (rows[3][1], rows[0][1]))) == longest / len(union)
     assert syncmers.edited("abcde", "XYZ") == "abcXY" and syncmers.edited("abcd", "X") == "abX"
     assert syncmers.fingerprints(nothing).count() == 0
 
@@ -505,3 +623,44 @@ def test_decisions_stay_with_their_rows_when_a_scan_is_split_anew(spark, tmp_pat
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_pipeline_stages_on_odd_tables(spark, docs, rows, nothing, k):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    odd = docs.withColumn("__rasterloom", F.lit("clash")).withColumn("__row", F.lit(7))
+    got = stage(spark, odd, SF)
+    empty = stage(spark, nothing, SF)
+    if k < 3:
+        assert got.columns == odd.columns and empty.columns == nothing.columns
+        left = Counter((r.doc_id, r.text) for r in got.collect())
+        assert not left - Counter(rows) and empty.count() == 0
+        if k == 1:
+            bare = lambda t: re.sub(WHITE, "", t or "")
+            assert sorted(bare(t) for _, t in left) == sorted({bare(t) for _, t in rows}) and max(left.values()) == 1
+        if k == 2:
+            assert sorted(left.elements(), key=str) == sorted(((i, t) for (i, t), r in zip(rows, kept_near(rows)) if r), key=str)
+    else:
+        assert got.agg(F.sum("n_tokens")).first()[0] == sum(len(words_bytes(t or "")) + 1 for _, t in rows) and empty.count() == 0
+
+
+def kept_near(rows):
+    """Whether each row is the one of its group that stays, the first of the least id."""
+    sets = []
+    for _, t in rows:
+        w = words_bytes(t or "")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 100 * common >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    heads = {}
+    for i, g in enumerate(group):
+        heads[g] = min(heads.get(g, (True, 0, len(rows))), (rows[i][0] is None, rows[i][0] or 0, i))
+    return [heads[g][2] == i for i, g in enumerate(group)]
