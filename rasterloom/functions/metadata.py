@@ -170,3 +170,33 @@ def longitude_token(name: Column) -> Column:
 def tile_of_name(name: Column) -> tuple[Column, Column, Column]:
     """x, y, z of `x=<x>&y=<y>&z=<z>` (z: all digits)."""
     return tuple(F.regexp_extract(name, r"x=(\d+)&y=(\d+)&z=(\d+)", i).cast("int") for i in (1, 2, 3))
+
+
+def listed_files(page: Column, year: Column, day: Column, product: str, collection: int, cells: str, characters: int) -> Column:
+    """Paths of a day's files of a product in a page that lists them: those of the cells (a pattern), with so many characters
+    from the cell to the suffix."""
+    folder = F.concat(F.lit(f"/archive/allData/{collection}/{product}/"), year.cast("string"), F.lit("/"), day.cast("string"), F.lit("/"))
+    start = F.concat(folder, F.lit(product + ".A"), year.cast("string"), day.cast("string"))
+    return F.regexp_extract_all(page, F.concat(F.lit("("), F.replace(start, F.lit("."), F.lit("\\.")), F.lit(f"{cells}.{{{characters}}}hdf)")), F.lit(1))
+
+
+def aerosol_files(page: Column, year: Column, day: Column) -> Column:
+    return listed_files(page, year, day, "MYD04_3K", 61, "", 24)
+
+
+def temperature_files(page: Column, year: Column, day: Column, aqua: bool = False) -> Column:
+    return listed_files(page, year, day, "MYD11A1" if aqua else "MOD11A1", 6, r"\.h2[6-7]v04", 19)
+
+
+def of_tile(display_id: Column, tile: Column) -> Column:
+    """Whether a found scene (its second part, without the leading letter) is of the tile that was asked for."""
+    return F.substring(F.element_at(F.split(display_id, "_"), 2), 2, 100) == tile
+
+
+def scene_archive(base: Column, product: Column) -> Column:
+    return F.concat(base, product, F.lit(".SAFE.zip"))
+
+
+def stated_extent(abstract: Column) -> Column:
+    """Numbers of the text in which a product's record states its extent."""
+    return F.transform(F.filter(F.split(abstract, " "), lambda x: x != ""), lambda x: x.cast("double"))

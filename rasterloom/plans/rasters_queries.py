@@ -199,14 +199,21 @@ def _(spark, d):
 
 @register("ccl_polygons")
 def _(spark, d):
-    return regions.regions(V.px_ev(spark, d), F.col("dn") > 60, 64).select("win_row", "win_col", "region", "cells", "wkt")
+    return regions.regions(V.px_ev(spark, d), F.col("dn") > 60).select("row", "col", "cells", "wkt")
 
 
 @register("sieve_regions")
 def _(spark, d):
-    return regions.sieve(regions.regions(V.px_ev(spark, d), F.col("dn") > 20, 64), 3).select("win_row", "win_col", "region", "cells")
+    return regions.sieve(regions.regions(V.px_ev(spark, d), F.col("dn") > 20), 3).select("row", "col", "cells")
 
 
-@register("reproject_mercator")
+def mercator_row_sql(lat: str) -> str:
+    return f"ln(tan(pi() / 4 + radians({lat}) / 2))"
+
+
+_ROWS = f"SELECT CAST(r AS INTEGER) AS row, CAST(floor((60 - degrees(2 * atan(exp({mercator_row_sql('60.0::DOUBLE')} - (r + 0.5::DOUBLE) / 100 * ({mercator_row_sql('60.0::DOUBLE')} - {mercator_row_sql('-60.0::DOUBLE')}))) - pi() / 2)) / (120 / 100.0::DOUBLE)) AS BIGINT) AS src FROM range(0, 100) t(r)"
+
+
+@register("reproject_mercator", f"SELECT m.row, p.col, p.v FROM {V.PX_EV} p JOIN ({_ROWS}) m ON p.row = m.src")
 def _(spark, d):
     return X.to_mercator(V.px_ev(spark, d), "v", 100, 100, -60.0, 60.0)

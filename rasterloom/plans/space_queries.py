@@ -151,7 +151,7 @@ def _(spark, d):
     return fitting.ransac(p, 1e-3, ["part"]).groupBy("part").agg(F.count("*").alias("kept"))
 
 
-@register("rpc_corners")
+@register("rpc_corners", f"SELECT id, round(xmin, 6) AS xmin, round(ymin + 5 - 5.1::DOUBLE, 6) AS ymin, round(xmin + 10, 6) AS xmax, round(ymin + 5 + 5.1::DOUBLE, 6) AS ymax FROM {V.BB_SUPP}")
 def _(spark, d):
     e = lambda i: F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(20)])
     line = F.array(*[F.lit({2: -1.0, 1: 0.02}.get(j, 0.0)) for j in range(20)])

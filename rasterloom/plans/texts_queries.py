@@ -274,3 +274,63 @@ def _(spark, d):
     t = V.name_part(spark, d).groupBy((F.col("id") % 400).alias("img")).agg(F.sum(F.when(F.col("id") % 3 == 0, 0).otherwise(1)).alias("k"))
     w = Window.partitionBy("k").orderBy(F.md5(F.col("img").cast("string").cast("binary")), "img")
     return t.withColumn("r", F.row_number().over(w)).where("r <= 100").groupBy(F.col("k").alias("n_ships")).agg(F.count("*").alias("n"))
+
+
+_DAY = "(SELECT DISTINCT year(o_orderdate) AS y, dayofyear(o_orderdate) AS n FROM orders)"
+_TAIL = "'.1234.061.2018159163511.hdf'"
+
+
+def _days(spark, d):
+    return V.table(spark, d, "orders").select(F.year("o_orderdate").alias("y"), F.dayofyear("o_orderdate").alias("n")).distinct()
+
+
+@register("listing_aerosol", f"SELECT y, n, '/archive/allData/61/MYD04_3K/' || y || '/' || n || '/MYD04_3K.A' || y || n || {_TAIL} AS path FROM {_DAY} WHERE n % 3 <> 0")
+def _(spark, d):
+    """The day's files in a listing that also has files of another product, and of no day."""
+    start = F.concat(F.lit("/archive/allData/61/MYD04_3K/"), F.col("y").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit("/MYD04_3K.A"), F.col("y").cast("string"), F.col("n").cast("string"))
+    page = F.concat(F.lit('<a href="/archive/allData/61/MOD04_3K/1/x.hdf">x</a>'), F.when(F.col("n") % 3 != 0, F.concat(F.lit('<a href="'), start, F.lit('.1234.061.2018159163511.hdf">f</a>'))).otherwise(F.lit("")))
+    return _days(spark, d).select("y", "n", F.explode(M.aerosol_files(page, F.col("y"), F.col("n"))).alias("path"))
+
+
+@register("listing_temperature", f"SELECT y, n, '/archive/allData/6/MYD11A1/' || y || '/' || n || '/MYD11A1.A' || y || n || '.h2' || h || 'v04.006.2018159163511.hdf' AS path FROM {_DAY}, range(6, 8) t(h)")
+def _(spark, d):
+    """Cells h26 and h27 of row 4 alone, of listings with cells h25 to h28."""
+    text = lambda c: F.col(c).cast("string")
+    line = lambda h: F.concat(F.lit('<a href="/archive/allData/6/MYD11A1/'), text("y"), F.lit("/"), text("n"), F.lit("/MYD11A1.A"), text("y"), text("n"), F.lit(f'.h{h}v04.006.2018159163511.hdf">'))
+    page = F.concat(*[line(h) for h in (25, 26, 27, 28)])
+    return _days(spark, d).select("y", "n", F.explode(M.temperature_files(page, F.col("y"), F.col("n"), True)).alias("path"))
+
+
+@register("scenes_of_tile", f"SELECT id, 'L1C_T' || CASE WHEN id % 3 = 0 THEN '50TMK' ELSE '50TLK' END || '_A015373' AS display FROM {V.NAME_PART} WHERE id % 3 = 0")
+def _(spark, d):
+    t = V.name_part(spark, d).select("id", F.concat(F.lit("L1C_T"), F.when(F.col("id") % 3 == 0, "50TMK").otherwise("50TLK"), F.lit("_A015373")).alias("display"))
+    return t.where(M.of_tile(F.col("display"), F.lit("50TMK")))
+
+
+@register("clear_scene_urls", f"SELECT id, 'https://code-de.org/download/' || name || '.SAFE.zip' AS url FROM {V.NAME_PART} WHERE id % 100 < 30")
+def _(spark, d):
+    """Archives of the products whose cloud cover, in percent, is below the most that is wanted."""
+    t = V.name_part(spark, d).withColumn("cover", (F.col("id") % 100).cast("string").cast("double")).where("cover < 30")
+    return t.select("id", M.scene_archive(F.lit("https://code-de.org/download/"), F.col("name")).alias("url"))
+
+
+@register("stated_extent", f"SELECT id, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN id / 10.0::DOUBLE ELSE id % 90 END AS v FROM {V.NAME_PART}, range(0, 2) t(k)")
+def _(spark, d):
+    abstract = F.concat(F.lit(" "), (F.col("id") / 10).cast("string"), F.lit("  "), (F.col("id") % 90).cast("string"), F.lit(" "))
+    return V.name_part(spark, d).select("id", F.posexplode(M.stated_extent(abstract)).alias("k", "v"))
+
+
+@register("split_by_crs", f"SELECT id, CASE WHEN id % 4 = (SELECT min(id) FROM {V.NAME_PART}) % 4 THEN 1 ELSE 2 END AS part FROM {V.NAME_PART}")
+def _(spark, d):
+    """Datasets of the first one's reference system, and the others."""
+    t = V.name_part(spark, d).select("id", F.concat(F.lit("EPSG:326"), (F.col("id") % 4).cast("string")).alias("crs"))
+    first = t.agg(F.min_by("crs", "id").alias("first"))
+    return t.join(F.broadcast(first), F.lit(True)).select("id", F.when(F.col("crs") == F.col("first"), 1).otherwise(2).alias("part"))
+
+
+@register("image_pairs", f"SELECT id, kind, name || '_' || kind || '.tif' AS file FROM {V.NAME_PART}, (VALUES ('PAN'), ('MSS')) t(kind)")
+def _(spark, d):
+    """Both files of each pair of a JSON list."""
+    pairs = V.name_part(spark, d).select("id", F.to_json(F.struct(F.concat("name", F.lit("_PAN.tif")).alias("pan_file"), F.concat("name", F.lit("_MSS.tif")).alias("mss_file"))).alias("j"))
+    pair = pairs.select("id", F.from_json("j", "pan_file string, mss_file string").alias("p"))
+    return pair.select("id", F.explode(F.create_map(F.lit("PAN"), F.col("p.pan_file"), F.lit("MSS"), F.col("p.mss_file"))).alias("kind", "file"))

@@ -8,27 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def kml(tx: Column, ty: Column, tz: Column, swne: list[Column], children: Column, suffix: str = "png", size: int = 256) -> Column:
-    """KML of a tile: its region, overlay and links to its children (array of structs tz, tx, ty)."""
-    lod = F.when(F.size(children) > 0, size * 8).otherwise(-1)
+#: What KML viewers are told of a list of tiles.
+STYLE = '<Style><ListStyle id="hideChildren"><listItemType>checkHideChildren</listItemType></ListStyle></Style>'
+SWNE = ["south", "west", "north", "east"]
+
+
+def box(kind: str, swne: list[Column]) -> Column:
     south, west, north, east = swne
-    box = F.format_string("<Region><LatLonAltBox><north>%.14f</north><south>%.14f</south><east>%.14f</east><west>%.14f</west></LatLonAltBox><Lod><minLodPixels>%d</minLodPixels><maxLodPixels>%d</maxLodPixels></Lod></Region>", north, south, east, west, F.lit(size // 2), lod)
-    overlay = F.format_string(f"<GroundOverlay><drawOrder>%d</drawOrder><Icon><href>%d.{suffix}</href></Icon></GroundOverlay>", F.when(tx == 0, 2 * tz + 1).otherwise(2 * tz), ty)
-    links = F.concat_ws("", F.transform(children, lambda c: F.format_string("<NetworkLink><Link><href>../../%d/%d/%d.kml</href></Link></NetworkLink>", c.tz, c.tx, c.ty)))
-    return F.concat(F.lit('<?xml version="1.0" encoding="utf-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), box, overlay, links, F.lit("</Document></kml>"))
+    return F.format_string(f"<{kind}><north>%.14f</north><south>%.14f</south><east>%.14f</east><west>%.14f</west></{kind}>", north, south, east, west)
+
+
+def region(swne: list[Column], low: Column, high: Column) -> Column:
+    lod = F.format_string("<Lod><minLodPixels>%d</minLodPixels><maxLodPixels>%d</maxLodPixels></Lod>", low, high)
+    return F.concat(F.lit("<Region>"), box("LatLonAltBox", swne), lod, F.lit("</Region>"))
+
+
+def kml(tx: Column, ty: Column, tz: Column, swne: list[Column], children: Column, suffix: str = "png", size: int = 256, url: str = "../../") -> Column:
+    """KML of a tile: its name, region, overlay with its box, and links to its children, each with its own region (array of
+    structs tz, tx, ty, south, west, north, east)."""
+    low = F.lit(size // 2)
+    own = region(swne, low, F.when(F.size(children) > 0, size * 8).otherwise(-1))
+    overlay = F.concat(F.format_string(f"<GroundOverlay><drawOrder>%d</drawOrder><Icon><href>%d.{suffix}</href></Icon>", F.when(tx == 0, 2 * tz + 1).otherwise(2 * tz), ty), box("LatLonBox", swne), F.lit("</GroundOverlay>"))
+    link = lambda c: F.concat(F.format_string(f"<NetworkLink><name>%d/%d/%d.{suffix}</name>", c.tz, c.tx, c.ty), region([c[x] for x in SWNE], low, F.lit(-1)), F.format_string(f"<Link><href>{url}%d/%d/%d.kml</href><viewRefreshMode>onRegion</viewRefreshMode><viewFormat/></Link></NetworkLink>", c.tz, c.tx, c.ty))
+    head = F.format_string(f'<?xml version="1.0" encoding="utf-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>%d/%d/%d.kml</name><description></description>{STYLE}', tz, tx, ty)
+    return F.concat(head, own, overlay, F.concat_ws("", F.transform(children, link)), F.lit("</Document></kml>"))
+
+
+def root_kml(title: str, children: Column, suffix: str = "png", size: int = 256) -> Column:
+    """KML of a whole tree: a name and links to the tiles of its least zoom."""
+    link = lambda c: F.concat(F.format_string(f"<NetworkLink><name>%d/%d/%d.{suffix}</name>", c.tz, c.tx, c.ty), region([c[x] for x in SWNE], F.lit(size // 2), F.lit(-1)), F.format_string("<Link><href>%d/%d/%d.kml</href><viewRefreshMode>onRegion</viewRefreshMode><viewFormat/></Link></NetworkLink>", c.tz, c.tx, c.ty))
+    head = f'<?xml version="1.0" encoding="utf-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{escape(title)}</name><description></description>{STYLE}'
+    return F.concat(F.lit(head), F.concat_ws("", F.transform(children, link)), F.lit("</Document></kml>"))
 
 
 def children(tiles: DataFrame) -> DataFrame:
-    """Each tile (tz, tx, ty) with its children that exist."""
-    below = tiles.select((F.col("tz") - 1).alias("tz"), F.floor(F.col("tx") / 2).cast("int").alias("tx"), F.floor(F.col("ty") / 2).cast("int").alias("ty"), F.struct("tz", "tx", "ty").alias("c"))
+    """Each tile (tz, tx, ty, south, west, north, east) with its children that exist."""
+    child = F.struct("tz", "tx", "ty", *SWNE)
+    below = tiles.select((F.col("tz") - 1).alias("tz"), F.floor(F.col("tx") / 2).cast("int").alias("tx"), F.floor(F.col("ty") / 2).cast("int").alias("ty"), child.alias("c"))
     kids = below.groupBy("tz", "tx", "ty").agg(F.array_sort(F.collect_list("c")).alias("children"))  # four at most
-    return tiles.join(kids, ["tz", "tx", "ty"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<struct<tz: int, tx: int, ty: int>>")))
+    none = F.array().cast("array<struct<tz: int, tx: int, ty: int, south: double, west: double, north: double, east: double>>")
+    return tiles.join(kids, ["tz", "tx", "ty"], "left").withColumn("children", F.coalesce("children", none))
 
 
-def tilemap(title: str, profile: str, low: int, high: int, bounds: tuple[float, float, float, float], suffix: str = "png", size: int = 256) -> str:
-    """The TMS resource document."""
-    first = {"mercator": 156543.0339, "geodetic": 0.703125}[profile]
-    srs = {"mercator": "EPSG:3857", "geodetic": "EPSG:4326"}[profile]
-    sets = "".join(f'<TileSet href="{z}" units-per-pixel="{first / 2**z:.14f}" order="{z}"/>' for z in range(low, high + 1))
+def tilemap(title: str, profile: str, low: int, high: int, bounds: tuple[float, float, float, float], suffix: str = "png", size: int = 256, url: str = "", srs: str = "", pixel: float = 1.0) -> str:
+    """The TMS resource document. Of the profile raster, srs and the size of a pixel at the highest zoom are given."""
+    srs = {"mercator": "EPSG:3857", "geodetic": "EPSG:4326"}.get(profile, srs)
+    units = lambda z: {"mercator": 156543.0339 / 2**z, "geodetic": 0.703125 / 2**z}.get(profile, pixel * 2 ** (high - z))
+    sets = "".join(f'<TileSet href="{escape(url)}{z}" units-per-pixel="{units(z):.14f}" order="{z}"/>' for z in range(low, high + 1))
     west, south, east, north = bounds
-    return f'<?xml version="1.0" encoding="utf-8"?><TileMap version="1.0.0"><Title>{escape(title)}</Title><SRS>{srs}</SRS><BoundingBox minx="{west:.14f}" miny="{south:.14f}" maxx="{east:.14f}" maxy="{north:.14f}"/><TileFormat width="{size}" height="{size}" extension="{suffix}"/><TileSets profile="{profile}">{sets}</TileSets></TileMap>'
+    corner = f'<BoundingBox minx="{west:.14f}" miny="{south:.14f}" maxx="{east:.14f}" maxy="{north:.14f}"/><Origin x="{west:.14f}" y="{south:.14f}"/>'
+    kind = f'<TileFormat width="{size}" height="{size}" mime-type="image/{suffix}" extension="{suffix}"/>'
+    return f'<?xml version="1.0" encoding="utf-8"?><TileMap version="1.0.0" tilemapservice="http://tms.osgeo.org/1.0.0"><Title>{escape(title)}</Title><Abstract></Abstract><SRS>{escape(srs)}</SRS>{corner}{kind}<TileSets profile="{profile}">{sets}</TileSets></TileMap>'

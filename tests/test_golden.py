@@ -1,6 +1,7 @@
 """Known values and properties of functions and operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -128,14 +129,53 @@ def test_ransac_drops_outliers(spark):
     assert kept.count() == 34
 
 
-def test_regions_are_four_connected(spark):
+@pytest.mark.parametrize("window", [64, 3, 2])
+def test_regions_are_four_connected(spark, window):
     grid = ["##..#", "#..##", "..#..", "###.."]
     px = spark.createDataFrame([(r, c, v) for r, line in enumerate(grid) for c, v in enumerate(line)], "row long, col long, v string")
-    got = regions.regions(px, F.col("v") == "#", 64).collect()
+    got = regions.regions(px, F.col("v") == "#", window).collect()
     assert sorted(r.cells for r in got) == [3, 3, 4]
     assert any(r.wkt == "POLYGON ((0 0, 2 0, 2 1, 1 1, 1 2, 0 2, 0 0))" for r in got)
 
 
+@pytest.mark.parametrize("window", [100, 7])
+def test_regions_are_whole_across_windows(spark, window):
+    """Against labels of the whole raster; outlines less holes cover as much as the cells, and a sieve goes by whole regions."""
+    rng = np.random.default_rng(12)
+    there = rng.random((40, 33)) < 0.6
+    rows, cols = np.nonzero(there)
+    label = regions.label_cells(rows, cols)
+    want = {(int(rows[k]), int(cols[k])): int((label == k).sum()) for k in np.unique(label)}
+    px = spark.createDataFrame([(r, c, bool(v)) for (r, c), v in np.ndenumerate(there)], "row long, col long, v boolean")
+    found = regions.regions(px, F.col("v"), window)
+    got = found.collect()
+    assert {(r.row, r.col): r.cells for r in got} == want
+    for r in got:
+        rings = [[tuple(map(int, p.split())) for p in ring.split(", ")] for ring in re.findall(r"\(([^()]+)\)", r.wkt)]
+        areas = [sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:])) / 2 for ring in rings]
+        assert sum(areas) == r.cells and areas[0] > 0 and all(a < 0 for a in areas[1:])
+    assert regions.sieve(found, 5).count() == sum(n >= 5 for n in want.values())
+
+
+def test_rows_are_numbered_in_order(spark):
+    ids = sorted({int(x) for x in np.random.default_rng(1).integers(-3000, 5_000_000, 4000)})
+    got = S.numbered(spark.createDataFrame([(i,) for i in ids], "k long").repartition(5), "k", "n", 10).collect()
+    assert sorted((r.k, r.n) for r in got) == [(k, n) for n, k in enumerate(ids, 1)]
+
+
+def test_percentiles_of_far_values_and_groups(spark):
+    """Against numpy's nearest ranks, with values that are far off, infinite and NaN, and in no task all values of a group."""
+    rng = np.random.default_rng(3)
+    values = {"a": np.concatenate((rng.normal(0, 5, 3000), [1e38, -1e30, np.inf, -np.inf, np.nan])), None: np.array([7.0] * 5), "b": rng.integers(0, 4, 500).astype(float)}
+    rows = [(g, float(v)) for g, x in values.items() for v in x]
+    got = S.nearest_percentiles(spark.createDataFrame(rows, "g string, v double"), "v", {"p2": 2, "p50": 50, "p100": 100}, by=["g"]).collect()
+    for r in got:
+        x = np.sort(values[r.g])
+        for name, p in (("p2", 2), ("p50", 50), ("p100", 100)):
+            assert r[name] == x[int(np.rint(p / 100 * (len(x) - 1)))] or (np.isnan(r[name]) and np.isnan(x[-1]))
+    assert len(got) == 3
+
+
 def test_nearest_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     pts = rng.uniform(-50, 50, (300, 2))

@@ -1,5 +1,7 @@
 import io
+import struct
 import zipfile
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -69,8 +71,44 @@ def test_tables_and_points(spark, tmp_path):
 
 
 def test_tile_documents(spark):
-    t = spark.createDataFrame([(1, 0, 0), (0, 0, 0)], "tz int, tx int, ty int")
-    docs = tiles.children(t).select("tz", tiles.kml(F.col("tx"), F.col("ty"), F.col("tz"), [F.lit(float(v)) for v in (-1, -2, 1, 2)], F.col("children")).alias("kml"))
-    got = {r.tz: r.kml for r in docs.collect()}
-    assert got[0].count("NetworkLink>") == 2 and "NetworkLink" not in got[1] and "<maxLodPixels>-1<" in got[1]
-    assert tiles.tilemap("t", "geodetic", 0, 3, (-180, -90, 180, 90)).count("<TileSet ") == 4
+    t = spark.createDataFrame([(1, 0, 0, -1.0, -2.0, 0.5, 1.5), (0, 0, 0, -1.0, -2.0, 1.0, 2.0)], "tz int, tx int, ty int, south double, west double, north double, east double")
+    swne = [F.col(c) for c in tiles.SWNE]
+    docs = tiles.children(t).select("tz", tiles.kml(F.col("tx"), F.col("ty"), F.col("tz"), swne, F.col("children")).alias("kml"), tiles.root_kml("a & b", F.col("children")).alias("root"))
+    got = {r.tz: ElementTree.fromstring(r.kml.encode()) for r in docs.collect()}
+    k = "{http://www.opengis.net/kml/2.2}"
+    text = lambda e, path: e.findtext("/".join(k + x for x in path.split("/")))
+    top, leaf = got[0].find(k + "Document"), got[1].find(k + "Document")
+    assert text(top, "name") == "0/0/0.kml" and text(leaf, "name") == "1/0/0.kml"
+    assert [float(text(top, f"GroundOverlay/LatLonBox/{x}")) for x in ("north", "south", "east", "west")] == [1, -1, 2, -2]
+    assert text(top, "GroundOverlay/drawOrder") == "1" and text(leaf, "GroundOverlay/drawOrder") == "3" and text(leaf, "GroundOverlay/Icon/href") == "0.png"
+    links = top.findall(k + "NetworkLink")
+    assert len(links) == 1 and not leaf.findall(k + "NetworkLink")
+    assert text(links[0], "name") == "1/0/0.png" and text(links[0], "Link/href") == "../../1/0/0.kml" and float(text(links[0], "Region/LatLonAltBox/north")) == 0.5
+    assert text(links[0], "Link/viewRefreshMode") == "onRegion" and text(top, "Region/Lod/maxLodPixels") == "2048" and text(leaf, "Region/Lod/maxLodPixels") == "-1"
+    root = ElementTree.fromstring(docs.where("tz = 0").first().root.encode()).find(k + "Document")
+    assert text(root, "name") == "a & b" and text(root, "NetworkLink/Link/href") == "1/0/0.kml"
+    tms = ElementTree.fromstring(tiles.tilemap("t", "geodetic", 0, 3, (-180, -90, 180, 90), url="http://x/").encode())
+    assert [s.get("href") for s in tms.iter("TileSet")] == [f"http://x/{z}" for z in range(4)] and float(tms.find("Origin").get("x")) == -180 and tms.find("TileFormat").get("mime-type") == "image/png"
+    raster = ElementTree.fromstring(tiles.tilemap("t", "raster", 1, 3, (0, 0, 8, 8), srs="EPSG:32650", pixel=2.5).encode())
+    assert [float(s.get("units-per-pixel")) for s in raster.iter("TileSet")] == [10, 5, 2.5] and raster.findtext("SRS") == "EPSG:32650"
+
+
+def test_features_round_trip(spark, tmp_path):
+    ring = lambda x: [(x, 0.0), (x, 2.0), (x + 2, 2.0), (x, 0.0)]
+    rows = [("a", [[{"x": x, "y": y} for x, y in ring(float(i))]], i, i / 4 if i else None, f"né {i}" if i != 2 else None, i % 2 == 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "layer string, rings array<array<struct<x: double, y: double>>>, n long, share double, label string, even boolean")
+    assert vectors.write_features(df, f"{tmp_path}/out", "layer").collect()[0].features == 4
+    got = vectors.read_features(spark, f"{tmp_path}/out").orderBy("feature").collect()
+    assert [r.attributes for r in got] == [{"n": str(i), "share": f"{i / 4:.15g}" if i else None, "label": f"né {i}" if i != 2 else None, "even": "T" if i % 2 == 0 else "F"} for i in range(4)]
+    assert [r.rings[0][0].x for r in got] == [0, 1, 2, 3]
+    shp, shx = ((tmp_path / "out" / f"a.{x}").read_bytes() for x in ("shp", "shx"))
+    places = struct.unpack_from(">8I", shx, 100)
+    assert len(shx) == 132 and [struct.unpack_from(">I", shp, 2 * at)[0] for at in places[::2]] == [1, 2, 3, 4]
+
+
+def test_json_and_xml_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a & b"), (2, None)], "id long, name string")
+    vectors.write_json(df, f"{tmp_path}/j")
+    assert sorted(map(tuple, vectors.read_json(spark, f"{tmp_path}/j", "id long, name string", whole=False).collect())) == [(1, "a & b"), (2, None)]
+    vectors.write_xml(df, f"{tmp_path}/x", "scene", "scenes")
+    assert sorted(map(tuple, vectors.read_scenes(spark, f"{tmp_path}/x", "scene", "id long, name string").collect())) == [(1, "a & b"), (2, None)]
