@@ -57,7 +57,7 @@ class TreeShape:
 @dataclass(frozen=True)
 class Options:
     #: A context, and a follower by which divergence is judged, is seen at least max(least, root * sqrt(tokens)) times.
-    root: float = 0.5
+    root: float = 0.7
     least: int = 8
     #: Words of the longest contexts.
     longest: int = 3
@@ -105,7 +105,7 @@ class Grams:
     def __init__(self, one: np.ndarray, counts: np.ndarray, longest: int):
         self.counts = counts
         self.starts = np.concatenate(([0], counts.cumsum()[:-1])).astype(np.int64)[: len(counts)]
-        self.reach = np.arange(len(one)) - np.repeat(self.starts, counts)
+        self.reach = (np.arange(len(one)) - np.repeat(self.starts, counts)).astype(np.int32)
         self.of = {1: one}
         for n in range(2, longest + 1):
             self.of[n] = join(shifted(self.of[n - 1]), one)
@@ -114,15 +114,21 @@ class Grams:
         """The place, among these contexts of so many words, of the one before each token; -1 for others."""
         return np.where(self.reach >= words, place(shifted(self.of[words]), ordered), -1)
 
-    def needed(self, shape: TreeShape) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Hashes of the n-grams that scoring looks up: of all tokens, and, for each level, of the tokens in its contexts. Also
-        these tokens, and the places of their contexts."""
+    def needed(self, shape: TreeShape) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level, the tokens in its contexts, the places of these contexts, and the hashes of the n-grams that scoring
+        looks up for them. Longer n-grams than words are let go."""
         states = []
         for d, level in enumerate(shape.levels, 1):
             at = self.contexts(d, level.hashes)
             inside = np.flatnonzero(at >= 0)
-            states.append((inside, at[inside]))
-        return np.concatenate((self.of[1], *(self.of[d + 1][inside] for d, (inside, _) in enumerate(states, 1)))), states
+            states.append((inside, at[inside], self.of[d + 1][inside]))
+        self.of = {1: self.of[1]}
+        return states
+
+    def tallied(self, states: list, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of all tokens and of those in contexts, and how often each is in a training document."""
+        keys = np.concatenate((self.of[1], *(key for _, _, key in states)))
+        return tally(keys, np.concatenate((training, *(training[inside] for inside, _, _ in states))))
 
 
 def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +263,7 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
         def asked() -> pa.RecordBatch:
             grams = gather(held)
-            keys, states = grams.needed(shape)
-            trains = np.repeat(np.concatenate(training), grams.counts)
-            keys, n = tally(keys, np.concatenate((trains, *(trains[inside] for inside, _ in states))))
+            keys, n = grams.tallied(grams.needed(shape), np.repeat(np.concatenate(training), grams.counts))
             return pa.RecordBatch.from_arrays([as_long(keys), pa.array(np.full(len(keys), group, np.int64)), pa.array(n)], names=["key", "dealt", "n"])
 
         for batch in batches:
@@ -284,24 +288,24 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
         column = documents.column("text")
         grams = gather([tokens_of([t or "" for t in column.slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)])
         training = np.repeat(~documents.column("held_out").to_numpy(), grams.counts)
-        keys, states = grams.needed(shape)
-        keys, n = tally(keys, np.concatenate((training, *(training[inside] for inside, _ in states))))
+        states = grams.needed(shape)
+        keys, n = grams.tallied(states, training)
         if answers.num_rows:
             n[np.searchsorted(keys, answers.column("key").to_numpy().view(np.uint64))] = answers.column("total").to_numpy()
         find = lambda x: n[np.searchsorted(keys, x)]
         count = find(grams.of[1])
         p = (count + 0.5) / (shape.tokens + 0.5 * (shape.distinct + 1))
         base = np.log10(p)
-        known = np.zeros(len(p), np.int64)
-        for d, (level, (inside, at)) in enumerate(zip(shape.levels, states), 1):
+        known = np.zeros(len(p), bool)
+        for d, (level, (inside, at, key)) in enumerate(zip(shape.levels, states), 1):
             own = level.counts[at]
             worth = options.prior[min(d, len(options.prior)) - 1] * np.sqrt(own)
-            p[inside] = (find(grams.of[d + 1][inside]) + worth * p[inside]) / (own + worth)
-            known[inside] = 1
+            p[inside] = (find(key) + worth * p[inside]) / (own + worth)
+            known[inside] = True
         total = lambda x: np.add.reduceat(x, grams.starts)
         return pa.table({
             "doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"), "n_tokens": pa.array(grams.counts.astype(np.int64)), "n_known": pa.array(total((count > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(grams.counts), shape.tokens, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p))), "n_context": pa.array(total(known)),
+            "train_tokens": pa.array(np.full(len(grams.counts), shape.tokens, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p))), "n_context": pa.array(total(known.astype(np.int64))),
         })
 
     def scored(documents: pa.Table, answers: pa.Table) -> pa.Table:
