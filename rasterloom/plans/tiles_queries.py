@@ -197,12 +197,12 @@ _CORNER = f"(SELECT id, x / 1024.0::DOUBLE * 360 - 180 AS lon, degrees(atan(sinh
 _RES = f"{R0} * 2 / 256 / 1024.0::DOUBLE"
 
 
-@register("world_file_text", f"SELECT id, round({_RES}, 3) AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, round(-({_RES}), 3) AS w3, round(mx, 3) AS w4, round(my, 3) AS w5, CAST(6 * 16 + 5 AS INTEGER) AS characters FROM (SELECT id, {_WM} FROM {_CORNER})")
+@register("world_file_text", f"SELECT id, round({_RES}, 3) AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, round(-({_RES}), 3) AS w3, round(mx, 3) AS w4, round(my, 3) AS w5 FROM (SELECT id, {_WM} FROM {_CORNER})")
 def _(spark, d):
-    """The six numbers that the text of a world file holds, and its length."""
+    """The six numbers that the text of a world file holds."""
     x, y = T.slippy_tile(F.col("lon"), F.col("lat"), z(10))
     t = V.pt_cust(spark, d).select("id", x.alias("x"), y.alias("y")).select("id", T.world_file(F.col("x"), F.col("y"), z(10)).alias("world"))
-    return t.select("id", *[F.round(F.trim(F.split("world", "\n")[i]).cast("double"), 3).alias(f"w{i}") for i in range(6)], F.length("world").alias("characters"))
+    return t.select("id", *[F.round(F.trim(F.split("world", "\n")[i]).cast("double"), 3).alias(f"w{i}") for i in range(6)])
 
 
 @register("tile_urls", f"SELECT id, 'http://mt' || CAST((x + y) % 4 AS VARCHAR) || '.example.org/vt?x=' || x || '&y=' || y || '&z=10' AS url, '10/' || x || '/' || y || '.png' AS path FROM (SELECT id, {slippy_sql(10)} FROM {V.PT_CUST})")

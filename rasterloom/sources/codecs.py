@@ -1,4 +1,4 @@
-"""Encoders and decoders of raster files, in Python and numpy: GeoTIFF (strips, raw or deflate), PNG, NPY, JP2 headers."""
+"""Encoders and decoders of raster files, in Python and numpy: GeoTIFF (strips and tiles; raw, deflate, LZW, PackBits), PNG, NPY, JP2 headers."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ import numpy as np
 
 # TIFF tags and sample formats.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS_PER_STRIP, COUNTS, PLANAR, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339
-PIXEL_SCALE, TIEPOINT, NODATA = 33550, 33922, 42113
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PIXEL_SCALE, TIEPOINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
+# Geo keys of the model, and of the reference system, projected or geographic.
+MODEL_TYPE, PROJECTED, GEOGRAPHIC = 1024, 3072, 2048
 TYPE_SIZES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8)}
 KINDS = {1: "u", 2: "i", 3: "f"}
 
@@ -42,18 +45,96 @@ def decode_tiff(data: bytes) -> Raster:
         tags[tag] = raw.rstrip(b"\0").decode("ascii") if kind == 2 else struct.unpack(order + code * n, raw)
     width, height, bits = tags[WIDTH][0], tags[HEIGHT][0], tags.get(BITS, (8,))[0]
     samples, packed, planar = tags.get(SAMPLES, (1,))[0], tags.get(COMPRESSION, (1,))[0], tags.get(PLANAR, (1,))[0]
-    if packed not in (1, 8, 32946):
-        raise ValueError(f"TIFF compression {packed} isn't supported")
-    strips = [data[o : o + c] for o, c in zip(tags[OFFSETS], tags[COUNTS])]
-    pixels = np.frombuffer(b"".join(s if packed == 1 else zlib.decompress(s) for s in strips), f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{bits // 8}")
-    bands = pixels.reshape(samples, height, width) if planar == 2 else pixels.reshape(height, width, samples).transpose(2, 0, 1)
+    dtype = np.dtype(f"{order}{KINDS[tags.get(FORMAT, (1,))[0]]}{bits // 8}")
+    tiled = TILE_OFFSETS in tags
+    high, wide = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(height, tags.get(ROWS_PER_STRIP, (height,))[0]), width)
+    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
+    depth = 1 if planar == 2 else samples
+    across, down = -(-width // wide), -(-height // high)
+    bands = np.zeros((samples, height, width), dtype.newbyteorder("="))
+    for k, (offset, count) in enumerate(zip(offsets, counts)):
+        plane, place = divmod(k, across * down)
+        top, left = place // across * high, place % across * wide
+        rows = high if tiled else min(high, height - top)
+        chunk = np.frombuffer(unpacked(data[offset : offset + count], packed), dtype, rows * wide * depth).astype(bands.dtype).reshape(rows, wide, depth)
+        chunk = undone(chunk, tags.get(PREDICTOR, (1,))[0])
+        part = chunk[: height - top, : width - left].transpose(2, 0, 1)
+        bands[plane if planar == 2 else slice(None), top : top + part.shape[1], left : left + part.shape[2]] = part[0] if planar == 2 else part
     transform = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
     if PIXEL_SCALE in tags and TIEPOINT in tags:
         sx, sy = tags[PIXEL_SCALE][:2]
         i, j, _, x, y, _ = tags[TIEPOINT][:6]
         transform = (x - i * sx, sx, 0.0, y + j * sy, 0.0, -sy)
     nodata = tags.get(NODATA)
-    return Raster(bands, transform, float(nodata) if nodata else None, {"width": width, "height": height, "count": samples, "dtype": str(bands.dtype.newbyteorder("="))})
+    return Raster(bands, transform, float(nodata) if nodata else None, {"width": width, "height": height, "count": samples, "dtype": str(bands.dtype), "epsg": epsg(tags.get(GEO_KEYS, ()))})
+
+
+def epsg(keys: tuple) -> int | None:
+    """Code of the reference system among the geo keys of a file."""
+    found = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
+    code = found.get(PROJECTED if found.get(MODEL_TYPE) == 1 else GEOGRAPHIC)
+    return code if code and code != 32767 else None
+
+
+def unpacked(chunk: bytes, packed: int) -> bytes:
+    if packed == 1:
+        return chunk
+    if packed in (8, 32946):
+        return zlib.decompress(chunk)
+    if packed == 5:
+        return unpack_lzw(chunk)
+    if packed == 32773:
+        return unpack_runs(chunk)
+    raise ValueError(f"TIFF compression {packed} isn't supported")
+
+
+def undone(chunk: np.ndarray, predictor: int) -> np.ndarray:
+    """Rows whose values are kept as differences from their left neighbours, as values again."""
+    if predictor == 1:
+        return chunk
+    if predictor != 2 or chunk.dtype.kind == "f":
+        raise ValueError(f"TIFF predictor {predictor} isn't supported for {chunk.dtype}")
+    return np.cumsum(chunk, axis=1, dtype=chunk.dtype)
+
+
+def unpack_runs(chunk: bytes) -> bytes:
+    """PackBits: a count and so many bytes as they are, or a negative one and a byte that is repeated."""
+    out, at = bytearray(), 0
+    while at < len(chunk):
+        n = chunk[at]
+        if n < 128:
+            out += chunk[at + 1 : at + 2 + n]
+            at += 2 + n
+        elif n > 128:
+            out += chunk[at + 1 : at + 2] * (257 - n)
+            at += 2
+        else:
+            at += 1
+    return bytes(out)
+
+
+def unpack_lzw(chunk: bytes) -> bytes:
+    """Codes of 9 to 12 bits, most significant first; 256 starts a new table, 257 ends, and codes widen one entry early."""
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, held, bits, before, out = first[:], 9, 0, 0, b"", []
+    for byte in chunk:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = first[:], 9, b""
+            continue
+        entry = table[code] if code < len(table) else before + before[:1]
+        out.append(entry)
+        if before:
+            table.append(before + entry[:1])
+        before = entry
+        width = min(12, (len(table) + 1).bit_length())
+    return b"".join(out)
 
 
 def encode_tiff(raster: Raster, compress: bool = True) -> bytes:
@@ -70,6 +151,9 @@ def encode_tiff(raster: Raster, compress: bool = True) -> bytes:
         (OFFSETS, 4, [0] * n), (SAMPLES, 3, [n]), (ROWS_PER_STRIP, 4, [height]), (COUNTS, 4, [len(b) for b in body]), (PLANAR, 3, [2]), (FORMAT, 3, [kind] * n),
         (PIXEL_SCALE, 12, [xres, -yres, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, x0, y0, 0.0]),
     ]
+    if code := raster.meta.get("epsg"):
+        projected = not 4000 <= code < 5000
+        entries.append((GEO_KEYS, 3, [1, 1, 0, 2, MODEL_TYPE, 0, 1, 1 if projected else 2, PROJECTED if projected else GEOGRAPHIC, 0, 1, code]))
     if raster.nodata is not None:
         entries.append((NODATA, 2, list(f"{raster.nodata:g}\0".encode())))
     head = 8 + 2 + 12 * len(entries) + 4

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.sources import codecs
 
-META = "path string, width int, height int, count int, dtype string, nodata double, transform array<double>"
+META = "path string, width int, height int, count int, dtype string, nodata double, transform array<double>, epsg int"
 LINES = "path string, band int, row int, values array<double>"
 
 
@@ -27,8 +27,8 @@ def read_metadata(spark: SparkSession, path: str, glob: str = "*.tif*") -> DataF
             rows = []
             for p, c in zip(df["path"], df["content"]):
                 r = codecs.decode_tiff(c)
-                rows.append((p, r.meta["width"], r.meta["height"], r.meta["count"], r.meta["dtype"], r.nodata, list(r.transform)))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "count", "dtype", "nodata", "transform"])
+                rows.append((p, r.meta["width"], r.meta["height"], r.meta["count"], r.meta["dtype"], r.nodata, list(r.transform), r.meta["epsg"]))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "count", "dtype", "nodata", "transform", "epsg"]).astype({"epsg": "Int32"})
 
     return _files(spark, path, glob).mapInPandas(run, META)
 
@@ -58,7 +58,7 @@ def lines(px: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     return px.groupBy(*by, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.col(value).cast("double").alias("v")))), lambda s: s.v).alias("values"))
 
 
-def write_rasters(rows: DataFrame, folder: str, by: str, kind: str = "tiff", dtype: str = "uint8", transform: tuple = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), nodata: float | None = None) -> DataFrame:
+def write_rasters(rows: DataFrame, folder: str, by: str, kind: str = "tiff", dtype: str = "uint8", transform: tuple = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), nodata: float | None = None, epsg: int | None = None) -> DataFrame:
     """A file for each value of `by` from lines (by, band, row, values): name, bytes. `folder` must be one that executors
     share. A group is one raster, which its file format holds as a whole."""
     suffix = {"tiff": "tif", "png": "png", "npy": "npy"}[kind]
@@ -67,7 +67,7 @@ def write_rasters(rows: DataFrame, folder: str, by: str, kind: str = "tiff", dty
         df = df.sort_values(["band", "row"])
         bands = np.array([np.vstack(g["values"].to_list()) for _, g in df.groupby("band")])
         bands = bands.astype(dtype) if dtype.startswith("float") else np.trunc(bands).astype(dtype)
-        data = {"tiff": lambda: codecs.encode_tiff(codecs.Raster(bands, transform, nodata)), "png": lambda: codecs.encode_png(bands), "npy": lambda: codecs.encode_npy(bands)}[kind]()
+        data = {"tiff": lambda: codecs.encode_tiff(codecs.Raster(bands, transform, nodata, {"epsg": epsg})), "png": lambda: codecs.encode_png(bands), "npy": lambda: codecs.encode_npy(bands)}[kind]()
         name = os.path.join(folder, f"{df[by].iloc[0]}.{suffix}")
         os.makedirs(os.path.dirname(name), exist_ok=True)
         with open(name + ".part", "wb") as f:

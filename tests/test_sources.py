@@ -1,6 +1,7 @@
 import io
 import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import numpy as np
@@ -18,6 +19,77 @@ def test_tiff_round_trip(dtype, compress):
     assert (got.bands == bands).all() and got.transform == (10.0, 0.5, 0.0, 20.0, 0.0, -0.25) and got.nodata == -1
 
 
+def tiff(width, height, samples, chunks, entries, order="<"):
+    """A TIFF file of such chunks; entries: tag, kind, values; of the chunks' places only the tags are given."""
+    fixed = [(256, 4, [width]), (257, 4, [height]), (258, 3, [16] * samples), (277, 3, [samples]), (339, 3, [1] * samples)]
+    head = b"II*\0" if order == "<" else b"MM\0*"
+    at, places, body = 8, [], b""
+    for c in chunks:
+        places.append(at + len(body))
+        body += c + b"\0" * (len(c) % 2)
+    all_ = sorted(fixed + [(t, k, places if v == "places" else [len(c) for c in chunks] if v == "sizes" else v) for t, k, v in entries])
+    sizes, table, tail = {3: "H", 4: "I"}, b"", b""
+    start = at + len(body)
+    after = start + 2 + 12 * len(all_) + 4
+    for tag, kind, values in all_:
+        raw = struct.pack(order + sizes[kind] * len(values), *values)
+        table += struct.pack(order + "HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", after + len(tail)))
+        tail += raw if len(raw) > 4 else b""
+    return head + struct.pack(order + "I", start) + body + struct.pack(order + "H", len(all_)) + table + b"\0" * 4 + tail
+
+
+def pack_lzw(data):
+    table, codes, word, width = {bytes([i]): i for i in range(256)}, [(256, 9)], b"", 9
+    for i in range(len(data)):
+        x = data[i : i + 1]
+        if word + x in table:
+            word += x
+            continue
+        codes.append((table[word], width))
+        table[word + x] = len(table) + 2
+        width = min(12, (len(table) + 2).bit_length())
+        if len(table) + 2 >= 4094:
+            codes.append((256, width))
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        word = x
+    codes += [(table[word], width), (257, min(12, (len(table) + 3).bit_length()))]
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def pack_runs(data):
+    return b"".join(bytes([257 - n if n > 1 else 0]) + data[i : i + 1] for i, n in ((i, 1) for i in range(len(data))))
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("packed,pack", [(1, bytes), (8, zlib.compress), (5, pack_lzw), (32773, pack_runs)])
+@pytest.mark.parametrize("planar,predictor", [(1, 1), (1, 2), (2, 2)])
+def test_tiled_and_packed_tiffs(order, packed, pack, planar, predictor):
+    bands = np.random.default_rng(packed).integers(0, 700, (2, 37, 50)).astype(np.uint16)
+    for high, wide in ((16, 32), (10, None)):
+        padded = np.pad(bands, ((0, 0), (0, -37 % high), (0, -50 % (wide or 50)))) if wide else bands
+        chunks = []
+        for group in ([padded] if planar == 1 else [padded[:1], padded[1:]]):
+            for top in range(0, group.shape[1], high):
+                for left in range(0, group.shape[2], wide or 50):
+                    part = group[:, top : top + high, left : left + (wide or 50)].transpose(1, 2, 0).copy()
+                    if predictor == 2:
+                        part[:, 1:] = np.diff(part, axis=1)
+                    chunks.append(pack(part.astype(f"{order}u2").tobytes()))
+        shape = [(322, 4, [wide]), (323, 4, [high]), (324, 4, "places"), (325, 4, "sizes")] if wide else [(278, 4, [high]), (273, 4, "places"), (279, 4, "sizes")]
+        keys = [(34735, 3, [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 32650])]
+        got = codecs.decode_tiff(tiff(50, 37, 2, chunks, [*shape, *keys, (259, 3, [packed]), (284, 3, [planar]), (317, 3, [predictor])], order))
+        assert (got.bands == bands).all() and got.meta["epsg"] == 32650 and got.meta["dtype"] == "uint16"
+
+
+def test_packbits_runs_and_reference_systems():
+    assert codecs.unpack_runs(b"\xfe\xaa\x02\x80\x00\x2a\x80\xfd\xaa") == b"\xaa\xaa\xaa\x80\x00\x2a\xaa\xaa\xaa\xaa"
+    for code in (4326, 3857, 32650, None):
+        assert codecs.decode_tiff(codecs.encode_tiff(codecs.Raster(np.zeros((1, 2, 2), np.uint8), meta={"epsg": code}))).meta["epsg"] == code
+    with pytest.raises(ValueError):
+        codecs.unpacked(b"", 7)
+
+
 def test_png_and_npy_round_trip():
     bands = np.random.default_rng(1).integers(0, 256, (3, 6, 9), dtype=np.uint8)
     assert (codecs.decode_png(codecs.encode_png(bands)) == bands).all()
