@@ -66,7 +66,7 @@ class Options:
     #: Counts that the suffix's distribution is worth, times the root of the context's own, by the context's length.
     prior: tuple[float, ...] = (40.0, 10.0, 10.0)
     #: Tokens of a group of documents.
-    group_tokens: int = 3_000_000
+    group_tokens: int = 2_500_000
 
 
 def join(context: np.ndarray, word: np.ndarray) -> np.ndarray:
