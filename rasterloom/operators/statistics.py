@@ -63,21 +63,19 @@ def numbered(df: DataFrame, key: str, out: str, fold: int = 1000) -> DataFrame:
     """The place, from 1, of each row in the order of a whole number `key` (unique). Rows are put in order within ranges of
     `fold` keys; counts of ranges, and of ranges of ranges, are folded alike until one range is left, so no task orders more
     than `fold` rows and what is joined back is a row for each range."""
-    span = df.agg(F.min(key), F.max(key)).first()
-    levels, width = [], 1
-    while span[0] is not None and span[1] // width != span[0] // width:
-        width *= fold
-        levels.append(width)
-    placed, lower = df, F.lit(0).cast("long")
-    for width, below in zip(levels, [None, *levels]):
-        if below is None:
-            placed = placed.withColumn("__before", F.row_number().over(Window.partitionBy(range_of(key, width)).orderBy(key)).cast("long"))
-            continue
-        counts = df.groupBy(range_of(key, below).alias("__range")).agg(F.count("*").alias("__n"))
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None or low == high:
+        return df.withColumn(out, F.lit(1).cast("long"))
+    keyed = df.withColumn("__key", (F.col(key) - F.lit(low)).cast("long"))  # from 0, so that all keys meet in one range at last
+    placed = keyed.withColumn("__before", F.row_number().over(Window.partitionBy(range_of("__key", fold)).orderBy("__key")).cast("long"))
+    width = fold
+    while (high - low) // width:
+        counts = keyed.groupBy(range_of("__key", width).alias("__range")).agg(F.count("*").alias("__n"))
         within = Window.partitionBy(range_of("__range", fold)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-        sums = counts.select("__range", F.coalesce(F.sum("__n").over(within), lower).alias("__more"))
-        placed = placed.withColumn("__range", range_of(key, below)).join(sums, "__range").withColumn("__before", F.col("__before") + F.col("__more")).drop("__range", "__more")
-    return placed.withColumnRenamed("__before", out) if levels else placed.withColumn(out, F.lit(1).cast("long"))
+        sums = counts.select("__range", F.coalesce(F.sum("__n").over(within), F.lit(0)).alias("__more"))
+        placed = placed.withColumn("__range", range_of("__key", width)).join(sums, "__range").withColumn("__before", F.col("__before") + F.col("__more")).drop("__range", "__more")
+        width *= fold
+    return placed.drop("__key").withColumnRenamed("__before", out)
 
 
 def subsampled(px: DataFrame, row: str = "row", col: str = "col", step: int = 2) -> DataFrame:
