@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -200,3 +201,15 @@ def scene_archive(base: Column, product: Column) -> Column:
 def stated_extent(abstract: Column) -> Column:
     """Numbers of the text in which a product's record states its extent."""
     return F.transform(F.filter(F.split(abstract, " "), lambda x: x != ""), lambda x: x.cast("double"))
+
+
+def scene_folder(scene: Column, store: str = "s3") -> Column:
+    """Where a Landsat scene's files are in the public stores of Amazon (s3) and Google (gs)."""
+    root = {"s3": "s3://landsat-pds/c1/L8/", "gs": "gs://gcp-public-data-landsat/LC08/01/"}[store]
+    return F.concat(F.lit(root), F.substring(scene, 11, 3), F.lit("/"), F.substring(scene, 14, 3), F.lit("/"), scene, F.lit("/"))
+
+
+def is_listed(key: Column, pattern: str) -> Column:
+    """Whether a listing of `pattern` shows the key: * stands for anything within a folder, ** for anything at all."""
+    anything = {"*": "[^/]*", "**": ".*"}
+    return key.rlike("(?s)^" + "".join(anything.get(x) or re.escape(x) for x in re.split(r"(\*\*?)", pattern)) + "$")

@@ -51,3 +51,13 @@ def beijing_window(d: Column) -> tuple[Column, Column]:
     """Start and end in UTC of the product search for a day in Beijing."""
     t = d.cast("timestamp_ntz")
     return to_iso(t - F.expr("INTERVAL '8' HOUR"), False), to_iso(t + F.expr("INTERVAL '15' HOUR"), False)
+
+
+def current_date() -> Column:
+    """The day on which the query runs, as ISO text; one and the same for all rows."""
+    return to_iso(F.current_timestamp())
+
+
+def one_hour() -> Column:
+    """An interval to add to times."""
+    return F.expr("INTERVAL '1' HOUR")

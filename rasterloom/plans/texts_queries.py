@@ -334,3 +334,22 @@ def _(spark, d):
     pairs = V.name_part(spark, d).select("id", F.to_json(F.struct(F.concat("name", F.lit("_PAN.tif")).alias("pan_file"), F.concat("name", F.lit("_MSS.tif")).alias("mss_file"))).alias("j"))
     pair = pairs.select("id", F.from_json("j", "pan_file string, mss_file string").alias("p"))
     return pair.select("id", F.explode(F.create_map(F.lit("PAN"), F.col("p.pan_file"), F.lit("MSS"), F.col("p.mss_file"))).alias("kind", "file"))
+
+
+@register("bucket_folders", f"SELECT id, 's3://landsat-pds/c1/L8/' || substr(s, 11, 3) || '/' || substr(s, 14, 3) || '/' || s || '/' AS s3, 'gs://gcp-public-data-landsat/LC08/01/' || substr(s, 11, 3) || '/' || substr(s, 14, 3) || '/' || s || '/' AS gs FROM (SELECT id, 'LC08_L1TP_' || lpad(CAST(113 + id % 39 AS VARCHAR), 3, '0') || lpad(CAST(23 + id % 27 AS VARCHAR), 3, '0') || '_20170304_20170316_01_T1' AS s FROM {V.NAME_PART})")
+def _(spark, d):
+    s = F.concat(F.lit("LC08_L1TP_"), M.path_row(113 + F.col("id") % 39, 23 + F.col("id") % 27), F.lit("_20170304_20170316_01_T1"))
+    return V.name_part(spark, d).select("id", M.scene_folder(s).alias("s3"), M.scene_folder(s, "gs").alias("gs"))
+
+
+@register("bucket_listing", f"SELECT id, 'S2A_2020' || lpad(CAST(1 + id % 12 AS VARCHAR), 2, '0') || '11.SAFE' AS product FROM {V.NAME_PART} WHERE id % 12 = 9 AND id % 5 <> 0")
+def _(spark, d):
+    """Products of a month in a listing of a tile; what lies in their folders isn't shown."""
+    product = F.concat(F.lit("S2A_2020"), F.lpad((1 + F.col("id") % 12).cast("string"), 2, "0"), F.lit("11.SAFE"))
+    key = F.concat(F.lit("gs://gcp-public-data-sentinel-2/tiles/50/S/MJ/"), product, F.when(F.col("id") % 5 == 0, "/GRANULE").otherwise(""))
+    return V.name_part(spark, d).where(M.is_listed(key, "gs://gcp-public-data-sentinel-2/tiles/50/S/MJ/*202010*")).select("id", product.alias("product"))
+
+
+@register("hour_later", "SELECT o_orderkey AS id, strftime(CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') AS t FROM orders")
+def _(spark, d):
+    return V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), D.to_iso(F.col("o_orderdate").cast("timestamp_ntz") + D.one_hour(), False).alias("t"))

@@ -1,5 +1,6 @@
 """Known values and properties of functions and operators."""
 
+import datetime
 import math
 import re
 
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as Y
+from rasterloom.functions import metadata as M
 from rasterloom.functions import radiometry as R
 from rasterloom.functions import tiling as T
 from rasterloom.functions import times as D
@@ -278,3 +280,17 @@ def test_fits_use_the_whole_table(spark):
     assert kept == {k: sum(i % 2 == k and i % 9 != 0 for i in ids) for k in (0, 1)}
     helmert = catalogue.QUERIES["helmert_solve"](spark, sf).first()
     assert list(helmert) == pytest.approx([1e-4, 2e-4, 3e-4, 1e-5, 0], abs=2e-6)
+
+
+def test_current_date_is_one_day_for_all_rows(spark):
+    before = datetime.date.today().isoformat()
+    found = [r.d for r in spark.range(3).select(D.current_date().alias("d")).collect()]
+    assert len(set(found)) == 1 and before <= found[0] <= datetime.date.today().isoformat()
+
+
+def test_listing_patterns(spark):
+    keys = ["gs://b/50/S/MJ/a202010b", "gs://b/50/S/MJ/a202010b/GRANULE", "gs://b/50/S/MJ/a202011b", "gs://b/50/S/MJ/x.SAFE/TCI.jp2", "gs://b/50/S/MJ/xSAFE/TCI.jp2"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    shown = lambda pattern: [keys.index(r.k) for r in df.where(M.is_listed(F.col("k"), pattern)).collect()]
+    assert shown("gs://b/50/S/MJ/*202010*") == [0] and shown("gs://b/50/S/MJ/*202010**") == [0, 1]
+    assert shown("gs://b/50/S/MJ/*.SAFE/*TCI.jp2") == [3] and shown("gs://b/50/S/MJ/**") == [0, 1, 2, 3, 4]
