@@ -30,6 +30,8 @@ from rasterloom.llm.hashing import mix, word_hashes
 
 END = np.uint64(0x5EED0F7E871E9D01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Keys that are looked up at a time, and rows of a batch that a task gives.
+PLACED, BATCH = 1 << 18, 1 << 17
 
 
 @dataclass
@@ -77,8 +79,12 @@ def place(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Where each x stands in an ascending array; -1 where it isn't there."""
     if not len(ordered):
         return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
-    return np.where(ordered[at] == x, at, -1)
+    found = np.empty(len(x), np.int64)
+    for i in range(0, len(x), PLACED):  # so that the arrays in between stay small
+        part = x[i : i + PLACED]
+        at = np.minimum(np.searchsorted(ordered, part), len(ordered) - 1)
+        found[i : i + PLACED] = np.where(ordered[at] == part, at, -1)
+    return found
 
 
 def shifted(x: np.ndarray) -> np.ndarray:
@@ -99,55 +105,78 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """The n-grams that end at each token: of[n] are their hashes, where `reach`, the tokens before it in its document, is n - 1
-    or more."""
+    """The n-grams that end at each token. `one` has the words' own hashes, and `reach` the tokens before each in its document: an
+    n-gram is whole where that is n - 1 or more."""
 
-    def __init__(self, one: np.ndarray, counts: np.ndarray, longest: int):
-        self.counts = counts
+    def __init__(self, one: np.ndarray, counts: np.ndarray):
+        self.one, self.counts = one, counts
         self.starts = np.concatenate(([0], counts.cumsum()[:-1])).astype(np.int64)[: len(counts)]
         self.reach = (np.arange(len(one)) - np.repeat(self.starts, counts)).astype(np.int32)
-        self.of = {1: one}
-        for n in range(2, longest + 1):
-            self.of[n] = join(shifted(self.of[n - 1]), one)
 
-    def contexts(self, words: int, ordered: np.ndarray) -> np.ndarray:
-        """The place, among these contexts of so many words, of the one before each token; -1 for others."""
-        return np.where(self.reach >= words, place(shifted(self.of[words]), ordered), -1)
+    def before(self, words: int) -> np.ndarray:
+        """Hashes of the so many words before each token."""
+        ending = self.one
+        for _ in range(words - 1):
+            ending = join(shifted(ending), self.one)
+        return shifted(ending)
+
+    def contexts(self, words: int, before: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+        """The place of the so many words before each token among these contexts; -1 for others."""
+        at = place(before, ordered)
+        at[self.reach < words] = -1
+        return at
 
     def needed(self, shape: TreeShape) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each level, the tokens in its contexts, the places of these contexts, and the hashes of the n-grams that scoring
-        looks up for them. Longer n-grams than words are let go."""
-        states = []
+        looks up for them."""
+        states, ending = [], self.one
         for d, level in enumerate(shape.levels, 1):
-            at = self.contexts(d, level.hashes)
+            before = shifted(ending)
+            at = self.contexts(d, before, level.hashes)
             inside = np.flatnonzero(at >= 0)
-            states.append((inside, at[inside], self.of[d + 1][inside]))
-        self.of = {1: self.of[1]}
+            ending = join(before, self.one)
+            states.append((inside, at[inside], ending[inside]))
         return states
 
     def tallied(self, states: list, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of all tokens and of those in contexts, and how often each is in a training document."""
-        keys = np.concatenate((self.of[1], *(key for _, _, key in states)))
-        return tally(keys, np.concatenate((training, *(training[inside] for inside, _, _ in states))))
+        keys = distinct_keys(np.concatenate((self.one, *(key for _, _, key in states))))
+        found, n = np.unique(np.concatenate((self.one[training], *(key[training[inside]] for inside, _, key in states))), return_counts=True)
+        counts = np.zeros(len(keys), np.int64)
+        counts[np.searchsorted(keys, found)] = n
+        return keys, counts
 
 
-def tally(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and how often each is in a training document."""
-    distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(at, training, len(distinct)).astype(np.int64)
+def distinct_keys(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, ascending; sorts the array given."""
+    keys.sort()
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], longest: int, options: Options) -> DataFrame:
+def gathered_grams(held: list) -> Grams:
+    """Of the parts that tokens_of gave; empties the list."""
+    one, counts = map(np.concatenate, zip(*held))
+    held.clear()
+    return Grams(one, counts)
+
+
+def in_batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict(columns)
+    for start in range(0, whole.num_rows, BATCH):
+        yield whole.slice(start, BATCH)
+
+
+def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], options: Options) -> DataFrame:
     """key, n: how often each key of the training documents' tokens occurs. Blocks fold what they have of a key into one row,
     and leave none out."""
 
-    def count(held: list) -> pa.RecordBatch:
-        key, n = np.unique(keys(Grams(*map(np.concatenate, zip(*held)), longest)), return_counts=True)
-        return pa.RecordBatch.from_arrays([as_long(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+    def count(held: list) -> Iterator[pa.RecordBatch]:
+        key, n = np.unique(keys(gathered_grams(held)), return_counts=True)
+        return in_batches({"key": as_long(key), "n": pa.array(n.astype(np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -157,10 +186,10 @@ def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], longest: int,
                 held.append(tokens_of(texts))
                 size += len(held[-1][0])
                 if size >= options.group_tokens:
-                    yield count(held)
-                    held, size = [], 0
+                    yield from count(held)
+                    size = 0
         if held:
-            yield count(held)
+            yield from count(held)
 
     return rows.where(~F.col("held_out")).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -201,7 +230,7 @@ def diverging(counts: DataFrame, shorter: DataFrame | None, level: Contexts, bel
 def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
     """Counts all training words, and then, while there are common contexts, which of the common words follow them; common
     n-grams are the next contexts. An n-gram occurs no more often than its parts, so none is missed."""
-    stage = Stage(counted(rows, lambda g: g.of[1], 1, options), "word-counts")
+    stage = Stage(counted(rows, lambda g: g.one, options), "word-counts")
     tokens, distinct = stage.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(options.least, options.root * tokens**0.5)
     keys, n = gathered(stage.df.where(F.col("n") >= least))
@@ -215,11 +244,11 @@ def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
         ordered = level.hashes
 
         def followers(grams: Grams) -> np.ndarray:
-            context, follower = grams.contexts(d, ordered), place(grams.of[1], words)
+            context, follower = grams.contexts(d, grams.before(d), ordered), place(grams.one, words)
             inside = np.flatnonzero((context >= 0) & (follower >= 0))
             return context[inside] * len(words) + follower[inside]
 
-        tables.append(Stage(counted(rows, followers, d, options), "followers"))
+        tables.append(Stage(counted(rows, followers, options), "followers"))
         below = levels[-2] if d > 1 else None
         kept.append(diverging(tables[-1].df, tables[-2].df if d > 1 else None, level, below, words, shares, options))
         if d == options.longest:
@@ -250,21 +279,18 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     rows = settled(docs).select(F.col("__rasterloom_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", crc32_mod5("doc_id") == 1)
     shape = learn_shape(rows, options)
-    longest = len(shape.levels) + 1
     # neighbours in a file are a group, of as many rows as have so many tokens on the average
     size = max(1, round(options.group_tokens * rows.count() / max(1, shape.tokens * 1.25)))
     dealt = rows.select(F.expr(f"row div {size}L").alias("dealt"), "doc_id", "text", "held_out")
 
-    def gather(parts: list) -> Grams:
-        return Grams(*map(np.concatenate, zip(*parts)), longest)
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, training, tokens = None, [], [], 0
 
-        def asked() -> pa.RecordBatch:
-            grams = gather(held)
+        def asked() -> Iterator[pa.RecordBatch]:
+            grams = gathered_grams(held)
             keys, n = grams.tallied(grams.needed(shape), np.repeat(np.concatenate(training), grams.counts))
-            return pa.RecordBatch.from_arrays([as_long(keys), pa.array(np.full(len(keys), group, np.int64)), pa.array(n)], names=["key", "dealt", "n"])
+            del grams
+            return in_batches({"key": as_long(keys), "dealt": pa.array(np.full(len(keys), group, np.int64)), "n": pa.array(n)})
 
         for batch in batches:
             for piece, texts in batches_of(batch, "text"):
@@ -272,13 +298,13 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
                 cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
                 for start, end in zip(cuts, cuts[1:]):
                     if held and (groups[start] != group or tokens >= options.group_tokens):
-                        yield asked()
-                        held, training, tokens = [], [], 0
+                        yield from asked()
+                        training, tokens = [], 0
                     group = groups[start]
                     held.append(tokens_of(texts[start:end])), training.append(trains[start:end])
                     tokens += len(held[-1][0])
         if held:
-            yield asked()
+            yield from asked()
 
     questions = dealt.select("dealt", "text", "held_out").mapInArrow(ask, "key long, dealt long, n long")
     # a key has a row for each group, or two where a scan cuts a group
@@ -286,14 +312,14 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
         column = documents.column("text")
-        grams = gather([tokens_of([t or "" for t in column.slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)])
+        grams = gathered_grams([tokens_of([t or "" for t in column.slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)])
         training = np.repeat(~documents.column("held_out").to_numpy(), grams.counts)
         states = grams.needed(shape)
         keys, n = grams.tallied(states, training)
         if answers.num_rows:
             n[np.searchsorted(keys, answers.column("key").to_numpy().view(np.uint64))] = answers.column("total").to_numpy()
         find = lambda x: n[np.searchsorted(keys, x)]
-        count = find(grams.of[1])
+        count = find(grams.one)
         p = (count + 0.5) / (shape.tokens + 0.5 * (shape.distinct + 1))
         base = np.log10(p)
         known = np.zeros(len(p), bool)
