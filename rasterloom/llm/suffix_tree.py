@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import SLICE_CHARS, Stage, batches_of, crc32_mod5, in_slices, settled, words_bytes
+from rasterloom.llm.common import Stage, batches_of, crc32_mod5, in_slices, settled, words_bytes
 from rasterloom.llm.hashing import mix, word_hashes
 
 END = np.uint64(0x5EED0F7E871E9D01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Keys that are looked up at a time, and rows of a batch that a task gives.
-PLACED, BATCH = 1 << 18, 1 << 17
+#: Keys that are looked up at a time, rows of a batch that a task gives, and characters that are made tokens at a time.
+PLACED, BATCH, CHARS = 1 << 18, 1 << 17, 400_000
 
 
 @dataclass
@@ -95,7 +95,7 @@ def shifted(x: np.ndarray) -> np.ndarray:
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end after its words, and the number of tokens of each."""
     hashes, counts = [], []
-    for start, end in in_slices(texts, SLICE_CHARS):
+    for start, end in in_slices(texts, CHARS):
         split = [words_bytes(t) for t in texts[start:end]]
         sizes = np.array([len(s) for s in split])
         words = word_hashes([w for s in split for w in s], 1)
@@ -182,7 +182,7 @@ def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], options: Optio
         held: list = []
         size = 0
         for batch in batches:
-            for _, texts in batches_of(batch, "text"):
+            for _, texts in batches_of(batch, "text", CHARS):
                 held.append(tokens_of(texts))
                 size += len(held[-1][0])
                 if size >= options.group_tokens:
@@ -293,7 +293,7 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
             return in_batches({"key": as_long(keys), "dealt": pa.array(np.full(len(keys), group, np.int64)), "n": pa.array(n)})
 
         for batch in batches:
-            for piece, texts in batches_of(batch, "text"):
+            for piece, texts in batches_of(batch, "text", CHARS):
                 groups, trains = piece.column("dealt").to_numpy(), ~piece.column("held_out").to_numpy(zero_copy_only=False)
                 cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
                 for start, end in zip(cuts, cuts[1:]):
