@@ -129,13 +129,20 @@ class Grams:
     def needed(self, shape: TreeShape) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each level, the tokens in its contexts, the places of these contexts, and the hashes of the n-grams that scoring
         looks up for them."""
-        states, ending = [], self.one
-        for d, level in enumerate(shape.levels, 1):
-            before = shifted(ending)
-            at = self.contexts(d, before, level.hashes)
-            inside = np.flatnonzero(at >= 0)
-            ending = join(before, self.one)
-            states.append((inside, at[inside], ending[inside]))
+        found: list[list] = [[] for _ in shape.levels]
+        for start in range(0, len(self.one), PLACED):  # so that the arrays in between stay small
+            first = max(0, start - len(shape.levels))
+            one, reach = (x[first : start + PLACED] for x in (self.one, self.reach))
+            ending = one
+            for d, level in enumerate(shape.levels, 1):
+                before = shifted(ending)
+                at = place(before, level.hashes)
+                at[reach < d] = -1
+                at[: start - first] = -1
+                inside = np.flatnonzero(at >= 0)
+                ending = join(before, one)
+                found[d - 1].append((inside + first, at[inside], ending[inside]))
+        states = [tuple(map(np.concatenate, zip(*parts))) for parts in found]
         return states
 
     def tallied(self, states: list, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
