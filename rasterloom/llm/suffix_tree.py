@@ -32,6 +32,8 @@ END = np.uint64(0x5EED0F7E871E9D01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Keys that are looked up at a time, rows of a batch that a task gives, and characters that are made tokens at a time.
 PLACED, BATCH, CHARS = 1 << 18, 1 << 17, 400_000
+#: Keys are sorted by ranges of so many of their first bits, so that one range at a time is copied.
+RANGE_BITS = 3
 
 
 @dataclass
@@ -145,13 +147,33 @@ class Grams:
         states = [tuple(map(np.concatenate, zip(*parts))) for parts in found]
         return states
 
-    def tallied(self, states: list, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of all tokens and of those in contexts, and how often each is in a training document."""
-        keys = distinct_keys(np.concatenate((self.one, *(key for _, _, key in states))))
-        found, n = np.unique(np.concatenate((self.one[training], *(key[training[inside]] for inside, _, key in states))), return_counts=True)
-        counts = np.zeros(len(keys), np.int64)
-        counts[np.searchsorted(keys, found)] = n
-        return keys, counts
+    def parts(self) -> Iterator[tuple[slice, Grams]]:
+        """Ranges of documents with their n-grams, each of one document or of at most PLACED tokens."""
+        bounds = np.append(self.starts, len(self.one))
+        first = 0
+        while first < len(self.counts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PLACED, "right")) - 1)
+            yield slice(first, last), Grams(self.one[bounds[first] : bounds[last]], self.counts[first:last])
+            first = last
+
+    def tallied(self, shape: TreeShape, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of all tokens and of those in contexts, ascending, and how often each is in a training document (`training`
+        has a flag for each document)."""
+        keys, trained = [], []
+        for documents, grams in self.parts():
+            flags = np.repeat(training[documents], grams.counts)
+            states = grams.needed(shape)
+            keys += [grams.one, *(key for _, _, key in states)]
+            trained += [flags, *(flags[inside] for inside, _, _ in states)]
+        found, counts = [], []
+        for top in range(1 << RANGE_BITS):
+            chosen = [key >> np.uint64(64 - RANGE_BITS) == top for key in keys]
+            mine = np.concatenate([key[at] for key, at in zip(keys, chosen)])
+            seen, n = np.unique(mine[np.concatenate([flags[at] for flags, at in zip(trained, chosen)])], return_counts=True)
+            found.append(distinct_keys(mine))
+            counts.append(np.zeros(len(found[-1]), np.int64))
+            counts[-1][np.searchsorted(found[-1], seen)] = n
+        return np.concatenate(found), np.concatenate(counts)
 
 
 def distinct_keys(keys: np.ndarray) -> np.ndarray:
@@ -160,10 +182,6 @@ def distinct_keys(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
-def as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def gathered_grams(held: list) -> Grams:
     """Of the parts that tokens_of gave; empties the list."""
     one, counts = map(np.concatenate, zip(*held))
@@ -171,10 +189,11 @@ def gathered_grams(held: list) -> Grams:
     return Grams(one, counts)
 
 
-def in_batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_pydict(columns)
-    for start in range(0, whole.num_rows, BATCH):
-        yield whole.slice(start, BATCH)
+def in_batches(keys: np.ndarray, n: np.ndarray, **same: int) -> Iterator[pa.RecordBatch]:
+    """key, the columns that have the same value in all rows, and n."""
+    for start in range(0, len(keys), BATCH):
+        key, count = keys[start : start + BATCH].view(np.int64), n[start : start + BATCH].astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key), **{name: pa.array(np.full(len(key), value, np.int64)) for name, value in same.items()}, "n": pa.array(count)})
 
 
 def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], options: Options) -> DataFrame:
@@ -182,8 +201,7 @@ def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], options: Optio
     and leave none out."""
 
     def count(held: list) -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(keys(gathered_grams(held)), return_counts=True)
-        return in_batches({"key": as_long(key), "n": pa.array(n.astype(np.int64))})
+        return in_batches(*np.unique(np.concatenate([keys(grams) for _, grams in gathered_grams(held).parts()]), return_counts=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -295,9 +313,9 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
         def asked() -> Iterator[pa.RecordBatch]:
             grams = gathered_grams(held)
-            keys, n = grams.tallied(grams.needed(shape), np.repeat(np.concatenate(training), grams.counts))
+            keys, n = grams.tallied(shape, np.concatenate(training))
             del grams
-            return in_batches({"key": as_long(keys), "dealt": pa.array(np.full(len(keys), group, np.int64)), "n": pa.array(n)})
+            return in_batches(keys, n, dealt=group)
 
         for batch in batches:
             for piece, texts in batches_of(batch, "text", CHARS):
@@ -320,25 +338,26 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
         column = documents.column("text")
         grams = gathered_grams([tokens_of([t or "" for t in column.slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)])
-        training = np.repeat(~documents.column("held_out").to_numpy(), grams.counts)
-        states = grams.needed(shape)
-        keys, n = grams.tallied(states, training)
-        if answers.num_rows:
-            n[np.searchsorted(keys, answers.column("key").to_numpy().view(np.uint64))] = answers.column("total").to_numpy()
+        keys, n = grams.tallied(shape, ~documents.column("held_out").to_numpy())
+        for batch in answers.to_batches():
+            n[np.searchsorted(keys, batch.column("key").to_numpy().view(np.uint64))] = batch.column("total").to_numpy()
         find = lambda x: n[np.searchsorted(keys, x)]
-        count = find(grams.one)
-        p = (count + 0.5) / (shape.tokens + 0.5 * (shape.distinct + 1))
-        base = np.log10(p)
-        known = np.zeros(len(p), bool)
-        for d, (level, (inside, at, key)) in enumerate(zip(shape.levels, states), 1):
-            own = level.counts[at]
-            worth = options.prior[min(d, len(options.prior)) - 1] * np.sqrt(own)
-            p[inside] = (find(key) + worth * p[inside]) / (own + worth)
-            known[inside] = True
-        total = lambda x: np.add.reduceat(x, grams.starts)
+        sums = []
+        for _, part in grams.parts():
+            count = find(part.one)
+            p = (count + 0.5) / (shape.tokens + 0.5 * (shape.distinct + 1))
+            base = np.log10(p)
+            known = np.zeros(len(p), bool)
+            for d, (level, (inside, at, key)) in enumerate(zip(shape.levels, part.needed(shape)), 1):
+                own = level.counts[at]
+                worth = options.prior[min(d, len(options.prior)) - 1] * np.sqrt(own)
+                p[inside] = (find(key) + worth * p[inside]) / (own + worth)
+                known[inside] = True
+            sums.append([np.add.reduceat(x, part.starts) for x in ((count > 0).astype(np.int64), base, np.log10(p), known.astype(np.int64))])
+        n_known, base, total, n_context = map(np.concatenate, zip(*sums))
         return pa.table({
-            "doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"), "n_tokens": pa.array(grams.counts.astype(np.int64)), "n_known": pa.array(total((count > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(grams.counts), shape.tokens, np.int64)), "base_score": pa.array(total(base)), "score": pa.array(total(np.log10(p))), "n_context": pa.array(total(known.astype(np.int64))),
+            "doc_id": documents.column("doc_id"), "held_out": documents.column("held_out"), "n_tokens": pa.array(grams.counts.astype(np.int64)), "n_known": pa.array(n_known),
+            "train_tokens": pa.array(np.full(len(grams.counts), shape.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(total), "n_context": pa.array(n_context),
         })
 
     def scored(documents: pa.Table, answers: pa.Table) -> pa.Table:
