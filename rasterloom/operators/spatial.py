@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.geometry import boxes_meet
+from rasterloom.storage import checkpointed
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -43,31 +44,35 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataF
     """The k nearest points (id, x, y, z) of each query (q, x, y), ties by id: q, id, z, d, rank,
     and their places px, py.
 
-    Points are searched by rings of cells. In each round a query takes the points of the square of cells of a radius; what
-    lies within that radius is certain, and queries with fewer than k certain ones go on with four times the radius.
+    A query takes the points of the nine cells around it, of `size` at first. What lies within a cell's size is certain; queries
+    with fewer than k certain points go on with cells four times as large. A round's findings and the queries that go on are
+    stored, so that no round is evaluated again.
     """
-    cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    p = points.select(F.col("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z"), cell("x").alias("__cx"), cell("y").alias("__cy"))
     spread = points.agg(F.count("*"), F.max(F.abs(F.col("x"))), F.max(F.abs(F.col("y")))).first()
     least = queries.agg(F.max(F.abs(F.col("x"))), F.max(F.abs(F.col("y")))).first()
-    reach = max(v or 0 for v in (*spread[1:], *least)) * 2 / size + 2
+    reach = max(v or 0 for v in (*spread[1:], *least)) * 2
     wanted = min(k, spread[0])
-    left, radius, out = queries.select("q", "x", "y"), 1, None
+    left, out = queries.select("q", "x", "y"), None
     rank = Window.partitionBy("q").orderBy("d", "id")
     while True:
-        around = left.withColumn("__cx", F.explode(F.sequence(cell("x") - radius, cell("x") + radius))).withColumn("__cy", F.explode(F.sequence(cell("y") - radius, cell("y") + radius)))
+        cell = lambda c, size=size: F.floor(F.col(c) / size).cast("long")
+        p = points.select(F.col("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z"), cell("x").alias("__cx"), cell("y").alias("__cy"))
+        around = left.withColumn("__cx", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn("__cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
         d = F.sqrt(F.pow(F.col("px") - F.col("x"), F.lit(2.0)) + F.pow(F.col("py") - F.col("y"), F.lit(2.0)))
         ranked = around.join(p, ["__cx", "__cy"]).withColumn("d", d).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        last = radius > reach
-        sure = ranked.withColumn("__n", F.sum(F.when(F.col("d") <= radius * size, 1).otherwise(0)).over(Window.partitionBy("q")))
+        last = size > reach
+        # a little less than the size, for rounding at the edges of cells
+        sure = ranked.withColumn("__n", F.sum(F.when(F.col("d") <= size * (1 - 1e-9), 1).otherwise(0)).over(Window.partitionBy("q")))
         found = (ranked if last else sure.where(F.col("__n") >= wanted).where(F.col("rank") <= wanted)).select("q", "id", "z", "d", "rank", "px", "py")
+        if not last:
+            found = checkpointed(found)
         out = found if out is None else out.unionByName(found)
         if last:
             return out
-        left = left.join(found.select("q").distinct(), "q", "left_anti")
+        left = checkpointed(left.join(found.select("q").distinct(), "q", "left_anti"))
         if left.isEmpty():
             return out
-        radius *= 4
+        size *= 4
 
 
 def inverse_distance(neighbours: DataFrame, p: float = 1.0) -> DataFrame:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the folder that driver and executors share (spark.checkpoint.dir; one of our own where that is
-    unset, as in tests), so that a lost executor costs a reread."""
+    """The frame, written to the folder that driver and executors share (spark.checkpoint.dir), so that a lost executor
+    costs a reread. Where that is unset, it is a folder of our own in local mode, as in tests; on a cluster it raises."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
