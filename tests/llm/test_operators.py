@@ -228,6 +228,31 @@ def test_suffix_tree_scores_do_not_depend_on_the_layout(spark, partitions):
     assert got == {i: (pytest.approx(s), n) for i, (s, n) in want.items()}
 
 
+@pytest.mark.parametrize("placed", [1, 7, 40, 10_000])
+def test_grams_by_ranges_of_documents(monkeypatch, placed):
+    monkeypatch.setattr(suffix_tree, "PLACED", placed)
+    rng = np.random.default_rng(placed)
+    words = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
+    counts = rng.integers(1, 20, 30)
+    one = rng.choice(words, counts.sum())
+    grams = suffix_tree.Grams(one, counts)
+    parts = list(grams.parts())
+    assert np.array_equal(np.concatenate([part.one for _, part in parts]), one)
+    assert [n for documents, _ in parts for n in counts[documents]] == counts.tolist()
+    assert all(len(part.one) <= placed or len(part.counts) == 1 for _, part in parts)
+
+    level = suffix_tree.Contexts(np.sort(words[:5]), np.ones(5, np.int64), np.zeros(5, np.int64))
+    training = rng.random(30) < 0.5
+    keys, n = grams.tallied(suffix_tree.TreeShape(len(one), 12, [level]), training)
+    want = {}
+    for start, size, trains in zip(grams.starts, counts, training):
+        for i in range(start, start + size):
+            found = [one[i]] + ([suffix_tree.join(one[i - 1 : i], one[i : i + 1])[0]] if i > start and one[i - 1] in level.hashes else [])
+            for key in found:
+                want[int(key)] = want.get(int(key), 0) + bool(trains)
+    assert list(zip(keys.tolist(), n.tolist())) == sorted(want.items())
+
+
 def test_suffix_tree_is_a_distribution_and_helps(spark):
     """Next words of each retained context sum to one, with what is unknown; a held-out text of the same kind scores better."""
     r = random.Random(2)
