@@ -191,6 +191,17 @@ def test_nearest_matches_brute_force(spark):
         assert got[q] == np.argsort(np.hypot(*(pts - at).T))[:4].tolist()
 
 
+def test_nearest_goes_on_until_all_are_found(spark):
+    """Points far apart against the cells, on their edges and in one place, fewer than wanted, and none at all."""
+    rows = [(0, 0.0, 0.0, 0.0), (1, 3.0, 0.0, 1.0), (2, -3.0, 0.0, 2.0), (3, -3.0, 0.0, 3.0), (4, 4000.0, 0.0, 4.0)]
+    schema = "id long, x double, y double, z double"
+    queries = spark.createDataFrame([(7, 0.0, 0.0), (8, 3999.0, 1.0)], "q long, x double, y double")
+    ids = lambda k, points: {q: [r.id for r in sorted(rs, key=lambda r: r.rank)] for q, rs in ((q, [r for r in spatial.nearest(queries, points, k, 3.0).collect() if r.q == q]) for q in (7, 8))}
+    assert ids(3, spark.createDataFrame(rows, schema)) == {7: [0, 1, 2], 8: [4, 1, 0]}
+    assert ids(9, spark.createDataFrame(rows, schema)) == {7: [0, 1, 2, 3, 4], 8: [4, 1, 0, 2, 3]}
+    assert ids(2, spark.createDataFrame([], schema)) == {7: [], 8: []}
+
+
 def test_partitions_do_not_matter(spark):
     px = spark.range(400).select((F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), ((F.col("id") * 37) % 101).alias("v"))
     runs = [sorted(map(tuple, S.linear_stretch(px.repartition(n), "v").select("row", "col", "out").collect())) for n in (1, 7)]
