@@ -131,6 +131,19 @@ def part(batch: pa.RecordBatch, column: str, start: int, end: int) -> tuple[pa.R
     return piece, [t or "" for t in piece.column(column).to_pylist()]
 
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def white_slices(data: bytes, limit: int = 4_000_000) -> Iterator[bytes]:
+    """Slices of about `limit` bytes, cut at white space (a longer word stays whole)."""
+    start = 0
+    while start < len(data):
+        cut = _WHITE.search(data, start + limit) if len(data) - start > limit else None
+        end = cut.start() if cut else len(data)
+        yield data[start:end]
+        start = end
+
+
 def crc32_mod5(column: str):
     """crc32(doc_id as text) mod 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5

@@ -1,38 +1,13 @@
-"""Hashes of many spans of text at once, in numpy.
+"""Hashes of words and of runs of words.
 
-A span's hash is a difference of prefix sums of a polynomial over its bytes, modulo 2**64, with a random value for each
-byte, brought to one origin and then mixed. Equal spans have equal hashes wherever they stand.
+A word's hash is 64 bits of xxh3 over its bytes. A run's hash takes up its words one by one, each mixed with the hash so far, in
+numpy for all runs at once, so it depends on every word and on their order. Equal runs have equal hashes wherever they stand.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 1 << 20
-
-
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
-    return values, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, _SLICE)
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+from xxhash import xxh3_64_intdigest
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,33 +19,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each span of an array of bytes."""
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_tables()[0][data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def word_spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words joined by one space, and where each starts and ends."""
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    gaps = np.flatnonzero(data == 32)
-    return data, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
-
-
-def word_hashes(words: list[bytes], width: int = 1, slice_words: int = 200_000) -> np.ndarray:
-    """Hashes of all runs of `width` words, in order; a long text is taken in slices that overlap by width - 1 words."""
-    out = []
-    for at in range(0, max(1, len(words) - width + 1), slice_words):
-        part = words[at : at + slice_words + width - 1]
-        if len(part) < width:
-            break
-        data, start, end = word_spans(part)
-        n = len(part) - width + 1
-        out.append(span_hashes(data, start[:n], end[width - 1 : width - 1 + n]))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def word_hashes(words: list[bytes], width: int = 1) -> np.ndarray:
+    """Hashes of all runs of `width` words, in order."""
+    one = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    runs = max(0, len(words) - width + 1)
+    h = mix(one[:runs] + np.uint64(width))
+    for k in range(1, width):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + one[k : k + runs])
+    return h
 
 
 def shingles(words: list[bytes], width: int) -> np.ndarray:
