@@ -93,6 +93,16 @@ def checked(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= MOST_BROADCAST else side
 
 
+#: Up to so many characters, as JSON, of a table of facts are broadcast; beyond, it is joined by a shuffle.
+MOST_BROADCAST_CHARS = 8_000_000
+
+
+def broadcast_checked(side: DataFrame) -> DataFrame:
+    """A stored frame of groups and facts, broadcast where all its rows together are short."""
+    size = side.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(side) if size <= MOST_BROADCAST_CHARS else side
+
+
 def kept_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of `docs`, a settled frame, that the decisions (row, kept) keep; all columns but the number."""
     dropped = stored(decisions.where("not kept").select(F.col("row").alias("__rasterloom_row")), "dropped")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import exact_dedup, extraction, near_dedup, packing, pieces, prefix_trie, quality, repetition, suffix_tree, syncmers, urls, warc
+from rasterloom.llm import divergence, exact_dedup, extraction, near_dedup, packing, pieces, prefix_trie, quality, repetition, suffix_tree, syncmers, urls, warc
 from rasterloom.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def _repetition_sql() -> str:
     """Base and method of op11 in SQL: words numbered, n-grams as lists, windows over their places."""
     words = "SELECT k, p, w, length(w) AS n FROM (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS p FROM d)"
@@ -117,9 +121,35 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_repetition": op11_repetition,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
+    "op13_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), w AS (
+            SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), kept AS MATERIALIZED (
+            SELECT lang, term, count(*) AS total FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 3
+        ), l AS (
+            SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang
+        ), c AS MATERIALIZED (
+            SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+        ), g AS (
+            SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = s.lang AND c.source = s.source), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN (SELECT lang, v FROM l) USING (lang)
+        ), p AS MATERIALIZED (
+            SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (g.n + g.v) AS p, 1 + 1000000000 * (kept.total + 1)::HUGEINT // (l.n + l.v) AS q
+            FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+        ), pair AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), every_row AS (
+            SELECT lang, source, 'pair' AS part, item, value FROM pair
+            UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+        )
+        SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every_row QUALIFY part = 'pair' OR rank <= 200
+    """,
     "op12_prefix_trie": r"""
         WITH t AS (
             SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
