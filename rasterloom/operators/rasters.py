@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,17 +181,21 @@ def destripe(px: DataFrame, value: str, first: int, n: int) -> DataFrame:
     return joined.withColumn(value, F.when(F.col("row").between(first, first + n - 1), new).otherwise(F.col(value))).drop("__a", "__d")
 
 
-def mercator_rows(height: int, south: float, north: float) -> Column:
+def mercator_rows(height: int, south: float, north: float, row: Column) -> Column:
     """Source row (of equal steps of latitude) of a target row of equal mercator steps between two latitudes."""
-    import math
-
     y = lambda lat: math.log(math.tan(math.radians(45 + lat / 2)))
     step = (y(north) - y(south)) / height
-    lat = F.degrees(2 * F.atan(F.exp(F.lit(y(north)) - (F.col("row") + 0.5) * step)) - math.pi / 2)
-    return F.floor((F.lit(north) - lat) / ((north - south) / height)).cast("int")
+    lat = F.degrees(2 * F.atan(F.exp(F.lit(y(north)) - (row + 0.5) * step)) - math.pi / 2)
+    return F.floor((F.lit(north) - lat) / ((north - south) / height)).cast("long")
 
 
-def to_mercator(px: DataFrame, value: str, width: int, height: int, south: float, north: float) -> DataFrame:
-    """Reprojects a raster of longitude and latitude to mercator by the nearest pixel."""
-    target = px.sparkSession.range(height).select(F.col("id").cast("int").alias("row")).withColumn("src", mercator_rows(height, south, north))
-    return px.withColumnRenamed("row", "src").join(F.broadcast(target), "src").select("row", "col", value)
+def to_mercator(px: DataFrame, value: str, height: int, south: float, north: float) -> DataFrame:
+    """Reprojects a raster of longitude and latitude to mercator by the nearest pixel. A source row goes to the target rows whose centres
+    are in it: one too many on either side are tried, so that rounding loses none, and nothing is joined."""
+    y = lambda lat: math.log(math.tan(math.radians(45 + lat / 2)))
+    step = (y(north) - y(south)) / height
+    at = lambda r: (F.lit(y(north)) - F.log(F.tan(F.radians(45 + (F.lit(north) - r * ((north - south) / height)) / 2)))) / step
+    source = F.col("row").cast("double")
+    wanted = F.sequence(F.floor(at(source)) - 1, F.floor(at(source + 1)) + 1)
+    tried = px.where(F.col("row").between(0, height - 1)).withColumn("__row", F.explode(wanted)).where(F.col("__row").between(0, height - 1))
+    return tried.where(mercator_rows(height, south, north, F.col("__row")) == F.col("row")).select(F.col("__row").alias("row"), "col", value)

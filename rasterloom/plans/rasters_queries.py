@@ -211,9 +211,12 @@ def mercator_row_sql(lat: str) -> str:
     return f"ln(tan(pi() / 4 + radians({lat}) / 2))"
 
 
-_ROWS = f"SELECT CAST(r AS INTEGER) AS row, CAST(floor((60 - degrees(2 * atan(exp({mercator_row_sql('60.0::DOUBLE')} - (r + 0.5::DOUBLE) / 100 * ({mercator_row_sql('60.0::DOUBLE')} - {mercator_row_sql('-60.0::DOUBLE')}))) - pi() / 2)) / (120 / 100.0::DOUBLE)) AS BIGINT) AS src FROM range(0, 100) t(r)"
+_NORTH, _SOUTH = mercator_row_sql("60.0::DOUBLE"), mercator_row_sql("-60.0::DOUBLE")
+_ROWS = f"SELECT r AS row, CAST(floor((60 - degrees(2 * atan(exp({_NORTH} - (r + 0.5::DOUBLE) * (({_NORTH} - {_SOUTH}) / h))) - pi() / 2)) / (120 / h::DOUBLE)) AS BIGINT) AS src FROM (SELECT max(row) + 1 AS h FROM {V.PX_EV}), range(0, h) t(r)"
 
 
 @register("reproject_mercator", f"SELECT m.row, p.col, p.v FROM {V.PX_EV} p JOIN ({_ROWS}) m ON p.row = m.src")
 def _(spark, d):
-    return X.to_mercator(V.px_ev(spark, d), "v", 100, 100, -60.0, 60.0)
+    px = V.px_ev(spark, d)
+    height = (px.agg(F.max("row")).first()[0] or 0) + 1
+    return X.to_mercator(px, "v", height, -60.0, 60.0)
