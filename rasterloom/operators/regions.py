@@ -1,4 +1,4 @@
-"""Connected regions of cells, their outlines, and polygon clipping."""
+"""Connected regions of cells and their outlines."""
 
 from __future__ import annotations
 
@@ -135,34 +135,6 @@ def footprint(px: DataFrame, valid: Column) -> DataFrame:
     return px.where(valid).agg(F.min("col").alias("xmin"), F.min("row").alias("ymin"), (F.max("col") + 1).alias("xmax"), (F.max("row") + 1).alias("ymax"))
 
 
-def clipped_area(pairs: DataFrame) -> DataFrame:
-    """Area of the intersection of convex rings a and b (arrays of [x, y], counter-clockwise) of each row: id, area."""
-
-    def clip(ring: list, by: list) -> list:
-        for (x1, y1), (x2, y2) in zip(by, by[1:] + by[:1]):
-            side = lambda p: (x2 - x1) * (p[1] - y1) - (y2 - y1) * (p[0] - x1)  # noqa: B023,E731
-            out = []
-            for p, q in zip(ring, ring[1:] + ring[:1]):
-                a, b = side(p), side(q)
-                if a >= 0:
-                    out.append(p)
-                if a * b < 0:
-                    t = a / (a - b)
-                    out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-            ring = out
-        return ring
-
-    def run(batches):
-        for df in batches:
-            areas = []
-            for a, b in zip(df["a"], df["b"]):
-                ring = clip([tuple(p) for p in a], [tuple(p) for p in b])
-                areas.append(abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))) / 2)
-            yield pd.DataFrame({"id": df["id"], "area": areas})
-
-    return pairs.select("id", "a", "b").mapInPandas(run, "id long, area double")
-
-
 def dissolve(cells: DataFrame, field: str) -> DataFrame:
     """Cells (row, col) that share a field, made distinct, as one shape each: field, cells and area box."""
     return cells.select(field, "row", "col").distinct().groupBy(field).agg(F.count("*").alias("cells"), F.min("col").alias("xmin"), F.min("row").alias("ymin"), (F.max("col") + 1).alias("xmax"), (F.max("row") + 1).alias("ymax"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as Y
 from rasterloom.functions import tiling as T
-from rasterloom.operators import fitting, regions, spatial
+from rasterloom.operators import fitting, polygons, regions, spatial
 from rasterloom.operators import statistics as S
 from rasterloom.plans import views as V
 from rasterloom.plans.catalogue import register
@@ -161,9 +161,10 @@ def _(spark, d):
 
 @register("area_intersection", f"SELECT a.id * 100000 + b.id AS id, round(greatest(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin), 0) * greatest(least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin), 0), 6) AS area FROM {V.BB_ORD} a JOIN {V.BB_SUPP} b ON {_MEET}")
 def _(spark, d):
-    ring = lambda p: F.array(*[F.array(F.col(p + x), F.col(p + y)) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"))])
-    pairs = spatial.box_join(V.boxes(spark, d), V.boxes(spark, d, "suppliers"), 10.0).select((F.col("a_id") * 100000 + F.col("b_id")).alias("id"), ring("a_").alias("a"), ring("b_").alias("b"))
-    return regions.clipped_area(pairs).select("id", F.round("area", 6).alias("area"))
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    shapes = lambda t: t.select("id", F.array(F.array(p("xmin", "ymin"), p("xmax", "ymin"), p("xmax", "ymax"), p("xmin", "ymax"))).alias("rings"))
+    areas = polygons.intersection_areas(shapes(V.boxes(spark, d)), shapes(V.boxes(spark, d, "suppliers")), 10.0, 5.0, touching=True)
+    return areas.select((F.col("a_id") * 100000 + F.col("b_id")).alias("id"), F.round("area", 6).alias("area"))
 
 
 @register("ring_area", f"SELECT id, round((xmax - xmin) * (ymax - ymin), 6) AS area FROM {V.BB_ORD}")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the folder that driver and executors share (spark.checkpoint.dir), so that a lost executor
-    costs a reread. Where that is unset, it is a folder of our own in local mode, as in tests; on a cluster it raises."""
+    """The frame, written as a table to the folder that driver and executors share (spark.checkpoint.dir), so that a lost executor costs
+    a reread, and its size is that of the table. (A checkpoint keeps what was guessed of its size; over the joins of a loop, guesses
+    multiply.) Where the setting is unset, it is a folder of our own in local mode, as in tests; on a cluster it raises."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -18,6 +20,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
