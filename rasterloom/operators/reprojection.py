@@ -130,33 +130,34 @@ def block_for(target: Grid, source: Grid, most: int = 1024) -> int:
     return int(max(8, min(256, 2 ** math.floor(math.log2(max(most / ratio, 1))))))
 
 
-def reprojected_blocks(px: DataFrame, value: str, source: Grid, target: Grid, kind: str = "nearest", block: int | None = None, side: int = 256) -> DataFrame:
-    """by, bx, values of the target's blocks that have a value: block * block values by rows, null where there is none."""
+def reprojected_blocks(px: DataFrame, bands: list[str], source: Grid, target: Grid, kind: str = "nearest", block: int | None = None, side: int = 256) -> DataFrame:
+    """by, bx, values of the target's blocks that have a value: of each band, block * block values by rows, null where there is none."""
     if kind not in REACH:
         raise ValueError(f"kind must be one of {', '.join(REACH)}")
     block = block or block_for(target, source)
     needs = block_needs(target, source, block, side, REACH[kind], px.sparkSession)
-    cells = px.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    cells = cells.withColumns({"sy": F.floor(F.col("row") / side), "sx": F.floor(F.col("col") / side)})
-    wanted = cells.join(needs, ["sy", "sx"]).where("row between r0 and r1 and col between c0 and c1").select("by", "bx", "r0", "r1", "c0", "c1", "row", "col", "v")
+    cells = px.select(*[F.col(c).cast("long").alias(c) for c in ("row", "col")], *[F.nanvl(F.col(b).cast("double"), F.lit(None)).alias(f"v{i}") for i, b in enumerate(bands)])
+    cells = cells.where(F.coalesce(*[f"v{i}" for i in range(len(bands))]).isNotNull()).withColumns({"sy": F.floor(F.col("row") / side), "sx": F.floor(F.col("col") / side)})
+    wanted = cells.join(needs, ["sy", "sx"]).where("row between r0 and r1 and col between c0 and c1").drop("sy", "sx")
 
     def fill(df: pd.DataFrame) -> pd.DataFrame:
         by, bx, r0, r1, c0, c1 = (int(df[c].iloc[0]) for c in ("by", "bx", "r0", "r1", "c0", "c1"))
-        window = np.full((r1 - r0 + 1, c1 - c0 + 1), np.nan)
-        window[df["row"].to_numpy() - r0, df["col"].to_numpy() - c0] = df["v"].to_numpy()
         row, col = np.mgrid[by * block : (by + 1) * block, bx * block : (bx + 1) * block]
-        x, y = target.xy(row + 0.5, col + 0.5)
-        r, c = source.rc(*P.transform(target.epsg, source.epsg, x, y, np))
+        r, c = source.rc(*P.transform(target.epsg, source.epsg, *target.xy(row + 0.5, col + 0.5), np))
         inside = (row < target.height) & (col < target.width) & (r >= 0) & (r < source.height) & (c >= 0) & (c < source.width)
-        values = np.where(inside, sampled(window, np.where(inside, r, 0) - r0, np.where(inside, c, 0) - c0, kind), np.nan)
-        return pd.DataFrame({"by": [by], "bx": [bx], "values": [values.ravel()]})[[bool((~np.isnan(values)).any())]]
+        out = []
+        for i in range(len(bands)):
+            window = np.full((r1 - r0 + 1, c1 - c0 + 1), np.nan)
+            window[df["row"].to_numpy() - r0, df["col"].to_numpy() - c0] = df[f"v{i}"].to_numpy()
+            out.append(np.where(inside, sampled(window, np.where(inside, r, 0) - r0, np.where(inside, c, 0) - c0, kind), np.nan).ravel())
+        return pd.DataFrame({"by": [by], "bx": [bx], "values": [out]})[[bool((~np.isnan(out)).any())]]
 
-    return wanted.groupBy("by", "bx").applyInPandas(fill, "by long, bx long, values array<double>")
+    return wanted.groupBy("by", "bx").applyInPandas(fill, "by long, bx long, values array<array<double>>")
 
 
 def block_pixels(blocks: DataFrame, value: str, block: int) -> DataFrame:
-    """Blocks in long form (row, col, value), without pixels that have no value."""
-    flat = blocks.select("by", "bx", F.posexplode("values").alias("__at", value)).where(F.col(value).isNotNull())
+    """The first band of blocks in long form (row, col, value), without pixels that have no value."""
+    flat = blocks.select("by", "bx", F.posexplode(F.get("values", 0)).alias("__at", value)).where(F.col(value).isNotNull())
     return flat.select((F.col("by") * block + F.expr(f"__at div {block}")).alias("row"), (F.col("bx") * block + F.col("__at") % block).alias("col"), value)
 
 
@@ -174,4 +175,4 @@ def reproject(px: DataFrame, value: str, source: Grid, target: Grid, kind: str =
         inside = (r >= 0) & (r < target.height) & (c >= 0) & (c < target.width)
         return px.where(F.col(value).isNotNull() & inside).select(F.floor(r).alias("row"), F.floor(c).alias("col"), F.col(value)).groupBy("row", "col").agg(AGGREGATES[kind](F.col(value)).alias(value))
     block = block or block_for(target, source)
-    return block_pixels(reprojected_blocks(px, value, source, target, kind, block, side), value, block)
+    return block_pixels(reprojected_blocks(px, [value], source, target, kind, block, side), value, block)

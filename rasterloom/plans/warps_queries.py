@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from rasterloom.functions import projections as P
 from rasterloom.operators import reprojection as W
+from rasterloom.operators import tile_tree as T
 from rasterloom.plans import views as V
 from rasterloom.plans.catalogue import register
+from rasterloom.sources import codecs, tiles
 
 #: Upper left corner and pixel of the events' raster in degrees, and in metres of UTM zone 32.
 DEGREES, METRES, UTM = (7.0, 55.0, 0.01), (400000.0, 6100000.0, 1000.0), 32632
@@ -124,3 +128,38 @@ def _(spark, d):
     target = W.target_grid(source, UTM, 4000.0)
     mean, n = (W.reproject(px, c, source, target, how) for c, how in (("v", "average"), ("one", "sum")))
     return mean.join(n, ["row", "col"]).select("row", "col", F.round("v", 6).alias("v"), F.col("one").alias("n"))
+
+
+#: Tiles of 32 pixels, whose zoom 10 has about the resolution of the raster in degrees.
+SIZE, LOW, HIGH = 32, 8, 10
+_EDGE = f"{T.EDGE!r}::DOUBLE"
+_RES = f"({_EDGE} * 2 / {SIZE} / {2**HIGH})"
+_DOWN = lambda lat: f"CAST(floor(({_EDGE} - asinh(tan(radians({lat}))) * {P.SEMI_MAJOR}) / {_RES}) AS BIGINT)"
+_LEVEL = "SELECT {z} AS tz, gx // 2 AS gx, gy // 2 AS gy, (2 * sum(v) + count(*)) // (2 * count(*)) AS v, (sum(alpha) + 2) // 4 AS alpha FROM {below} GROUP BY ALL"
+
+
+@register(
+    "tile_tree",
+    f"""WITH h AS (SELECT max(row) + 1 AS h FROM {V.PX_EV}),
+    g AS (SELECT gx, gy, degrees((-{_EDGE} + (gx + 0.5::DOUBLE) * {_RES}) / {P.SEMI_MAJOR}) AS lon, degrees(atan(sinh(({_EDGE} - (gy + 0.5::DOUBLE) * {_RES}) / {P.SEMI_MAJOR}))) AS lat
+        FROM h, range(CAST(187 / 360.0 * {SIZE * 2**HIGH} AS BIGINT) - 2, CAST(188 / 360.0 * {SIZE * 2**HIGH} AS BIGINT) + 2) a(gx), range({_DOWN(DEGREES[1])} - 2, {_DOWN(f'{DEGREES[1]} - h * {DEGREES[2]}')} + 2) b(gy)),
+    z10 AS (SELECT 10 AS tz, gx, gy, CAST(dn AS BIGINT) AS v, 255 AS alpha FROM g JOIN {V.PX_EV} p ON p.row = CAST(floor(({DEGREES[1]} - lat) / {DEGREES[2]}) AS BIGINT) AND p.col = CAST(floor((lon - {DEGREES[0]}) / {DEGREES[2]}) AS BIGINT)),
+    z9 AS ({_LEVEL.format(z=9, below='z10')}), z8 AS ({_LEVEL.format(z=8, below='z9')})
+    SELECT CAST(tz AS INTEGER) AS tz, CAST(gx // {SIZE} AS INTEGER) AS tx, CAST(2 ** tz - 1 - gy // {SIZE} AS INTEGER) AS ty, count(*) AS seen, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (gx % {SIZE} + 1)) AS BIGINT) AS across, CAST(sum(v * (gy % {SIZE} + 1)) AS BIGINT) AS down, CAST(sum(alpha) AS BIGINT) AS alpha
+    FROM (SELECT * FROM z10 UNION ALL SELECT * FROM z9 UNION ALL SELECT * FROM z8) GROUP BY ALL""",
+)
+def _(spark, d):
+    """Every tile by sums over the pixels of its image: of values, and of values times places."""
+    px = V.px_ev(spark, d)
+    images = tiles.encoded(T.tile_tree(px, ["dn"], degrees_grid(px), LOW, HIGH, SIZE), SIZE)
+    place = np.arange(1, SIZE + 1)
+
+    def sums(batches):
+        for df in batches:
+            rows = []
+            for tz, tx, ty, png in zip(df["tz"], df["tx"], df["ty"], df["png"]):
+                v, alpha = codecs.decode_png(png).astype(np.int64)
+                rows.append((tz, tx, ty, int((alpha > 0).sum()), int(v.sum()), int((v * place).sum()), int((v * place[:, None]).sum()), int(alpha.sum())))
+            yield pd.DataFrame(rows, columns=["tz", "tx", "ty", "seen", "total", "across", "down", "alpha"])
+
+    return images.mapInPandas(sums, "tz int, tx int, ty int, seen long, total long, across long, down long, alpha long")

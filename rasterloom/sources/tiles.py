@@ -1,12 +1,16 @@
-"""Sinks of tile trees: paths, KML and TMS documents."""
+"""Sinks of tile trees: images, paths, KML and TMS documents."""
 
 from __future__ import annotations
 
 from xml.sax.saxutils import escape
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.sources import codecs
+
 
 #: What KML viewers are told of a list of tiles.
 STYLE = '<Style><ListStyle id="hideChildren"><listItemType>checkHideChildren</listItemType></ListStyle></Style>'
@@ -59,3 +63,36 @@ def tilemap(title: str, profile: str, low: int, high: int, bounds: tuple[float,
     corner = f'<BoundingBox minx="{west:.14f}" miny="{south:.14f}" maxx="{east:.14f}" maxy="{north:.14f}"/><Origin x="{west:.14f}" y="{south:.14f}"/>'
     kind = f'<TileFormat width="{size}" height="{size}" mime-type="image/{suffix}" extension="{suffix}"/>'
     return f'<?xml version="1.0" encoding="utf-8"?><TileMap version="1.0.0" tilemapservice="http://tms.osgeo.org/1.0.0"><Title>{escape(title)}</Title><Abstract></Abstract><SRS>{escape(srs)}</SRS>{corner}{kind}<TileSets profile="{profile}">{sets}</TileSets></TileMap>'
+
+
+def encoded(tiles: DataFrame, size: int = 256) -> DataFrame:
+    """tz, tx, ty, path (zoom/x/y.png) and png of tiles (tz, tx, ty, data, alpha) of one or three bands."""
+
+    def run(batches):
+        for df in batches:
+            images = [codecs.encode_png(np.frombuffer(d + a, np.uint8).reshape(-1, size, size)) for d, a in zip(df["data"], df["alpha"])]
+            paths = [f"{z}/{x}/{y}.png" for z, x, y in zip(df["tz"], df["tx"], df["ty"])]
+            yield pd.DataFrame({"tz": df["tz"], "tx": df["tx"], "ty": df["ty"], "path": paths, "png": images})
+
+    return tiles.mapInPandas(run, "tz int, tx int, ty int, path string, png binary")
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes images (path, png) below a folder, each from the task that has it: path and bytes. The folder is an address that pyarrow's
+    file systems know (a mounted folder, or that of a store), and must be one that executors share. A tile that is written again
+    is whole either way, as it is put in place by renaming."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for df in batches:
+            for path, png in zip(df["path"], df["png"]):
+                place = f"{root.rstrip('/')}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(place + ".part") as out:
+                    out.write(png)
+                store.move(place + ".part", place)
+            yield pd.DataFrame({"path": df["path"], "bytes": df["png"].map(len)})
+
+    return images.select("path", "png").mapInPandas(run, "path string, bytes long")
