@@ -6,23 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry as R
+from rasterloom.storage import checkpointed
 
-
-#: Bins of a histogram over which ranks are found.
-BINS = 65_536
-
-
-def binned(counts: DataFrame, by: list[str]) -> DataFrame:
-    """Values __v with their __bin, and __all, the count of their group. Bins are even in the signed logarithm of a value between
-    the least and the greatest, so that a few far values don't put all others in one; they depend on nothing else."""
-    v = F.col("__v").cast("double")
-    level = F.signum(v) * F.log1p(F.abs(v))
-    endless = F.lit(float("inf"))
-    finite = F.abs(v) < endless  # not so for NaN, which comes after all others
-    bounds = counts.groupBy(*by).agg(F.min(F.when(finite, level)).alias("__lo"), F.max(F.when(finite, level)).alias("__hi"), F.sum("__n").alias("__all"))
-    place = F.floor(F.try_divide(level - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BINS)
-    place = F.when(finite, F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0))).when(F.isnan(v), BINS + 1).when(v > 0, BINS).otherwise(-1)
-    return joined_by(counts, bounds, by).withColumn("__bin", place)
+#: Bins of a histogram over which ranks are found, and distinct values of a group that one task puts in order.
+BINS, FEW = 65_536, 200_000
 
 
 def joined_by(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
@@ -34,22 +21,60 @@ def joined_by(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     return df.join(F.broadcast(small.withColumnsRenamed(names)), same).drop(*names.values())
 
 
-def nearest_percentiles(px: DataFrame, value: str, percents: dict[str, float], by: list[str] = (), where: Column | None = None) -> DataFrame:
+def bin_of(v: Column, low: Column, high: Column, bins: int, curved: bool) -> Column:
+    """Place of a value among even bins between two finite values, or, curved, among those even in the signed logarithm; endless values
+    and NaN, which comes after all others, have bins of their own. The two ends lie in different bins if they differ."""
+    v = v.cast("double")
+    level = (lambda x: F.signum(x) * F.log1p(F.abs(x))) if curved else (lambda x: x / 2)
+    share = F.try_divide(level(v) - level(low), level(high) - level(low))
+    place = F.coalesce(F.least(F.greatest(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)), F.lit(0))
+    return F.when(F.abs(v) < F.lit(float("inf")), place).when(F.isnan(v), bins + 1).when(v > 0, bins).otherwise(-1)
+
+
+def intervals(counts: DataFrame, by: list[str], percents: dict[str, float], few: int, bins: int) -> DataFrame:
+    """For each group and percentile the interval of values (__from, __to) that holds its rank, and the rank counted from there, such
+    that no interval has more than `few` distinct values: a histogram tells the rank's bin, whose own least and greatest value are the
+    next one's ends, until the bin is small."""
+    v, finite = F.col("__v").cast("double"), F.abs(F.col("__v").cast("double")) < F.lit(float("inf"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in percents.items()])
+    ends = [F.min("__v").alias("__from"), F.max("__v").alias("__to"), F.min(F.when(finite, v)).alias("__low"), F.max(F.when(finite, v)).alias("__high"), F.sum("__n").alias("__all"), F.count("*").alias("__rows")]
+    state = counts.groupBy(*by).agg(*ends).withColumn("__t", F.explode(ranks))
+    state = checkpointed(state.select(*by, F.col("__t.name").alias("__name"), F.rint(F.col("__t.p") / 100.0 * (F.col("__all") - 1)).alias("__rank"), "__from", "__to", "__low", "__high", "__rows"))
+    curved, done = True, None
+    while True:
+        small = state.where(F.col("__rows") <= few)
+        done = small if done is None else done.unionByName(small)
+        large = state.where(F.col("__rows") > few)
+        if large.isEmpty():
+            return done
+        inside = joined_by(counts, large.select(*by, "__name", "__from", "__to", "__low", "__high"), by).where(F.col("__v").between(F.col("__from"), F.col("__to")))
+        binned = inside.withColumn("__bin", bin_of(F.col("__v"), F.col("__low"), F.col("__high"), bins, curved)).groupBy(*by, "__name", "__bin").agg(*ends)
+        ranked = joined_by(binned, large.select(*by, F.col("__name").alias("__its"), "__rank"), by).where("__name = __its").drop("__its")
+        before = F.coalesce(F.sum("__all").over(Window.partitionBy(*by, "__name").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most bins + 3 rows
+        found = ranked.withColumn("__before", before).where((F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__all")))
+        state = checkpointed(found.select(*by, "__name", (F.col("__rank") - F.col("__before")).alias("__rank"), "__from", "__to", "__low", "__high", "__rows"))
+        curved = not curved  # far values part by logarithms, near ones evenly
+
+
+def nearest_percentiles(px: DataFrame, value: str, percents: dict[str, float], by: list[str] = (), where: Column | None = None, few: int = FEW, bins: int = BINS) -> DataFrame:
     """Values at the nearest ranks rint(p / 100 * (n - 1)), a row for each group.
 
-    Pixels are folded to distinct values with their counts before they are shuffled. A histogram of those tells in which bin a
-    rank lies, and only the values of that bin are put in order: no task sees all values, of however many there are.
+    Pixels are folded to distinct values with their counts before they are shuffled. Where a group has more than `few` of those,
+    the interval that holds a rank is narrowed by histograms until it has no more, so no task puts more than `few` values in order,
+    however they are spread. few and bins change the work, never the result.
     """
     by = list(by)
     used = px.where(F.col(value).isNotNull())
     counts = (used if where is None else used.where(where)).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    values = binned(counts, by)
-    bins = values.groupBy(*by, "__bin").agg(F.sum("__n").alias("__m"), F.first("__all").alias("__all"))
-    ends = bins.withColumn("__end", F.sum("__m").over(Window.partitionBy(*by).orderBy("__bin")))  # at most BINS + 3 rows of a group
-    ranks = [F.struct(F.lit(name).alias("name"), F.rint(F.lit(float(p)) / 100.0 * (F.col("__all") - 1)).alias("rank")) for name, p in percents.items()]
-    wanted = ends.withColumn("__t", F.explode(F.array(*ranks))).where((F.col("__end") > F.col("__t.rank")) & (F.col("__end") - F.col("__m") <= F.col("__t.rank")))
-    wanted = wanted.select(*by, F.col("__bin").alias("__its"), F.col("__t.name").alias("__name"), (F.col("__t.rank") - (F.col("__end") - F.col("__m"))).alias("__rank"))
-    inside = joined_by(values, wanted, by).where("__bin = __its")
+    most = counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most <= few:
+        order = Window.partitionBy(*by).orderBy("__v")
+        placed = counts.select(*by, "__v", F.sum("__n").over(order).alias("__end"), F.sum("__n").over(Window.partitionBy(*by)).alias("__all"))
+        reached = lambda p: F.min(F.when(F.col("__end") > F.rint(F.lit(float(p)) / 100.0 * (F.col("__all") - 1)), F.col("__v")))
+        return placed.groupBy(*by).agg(*[reached(p).alias(name) for name, p in percents.items()])
+    counts = checkpointed(counts)
+    wanted = intervals(counts, by, percents, few, bins).select(*by, "__name", "__rank", "__from", "__to")
+    inside = joined_by(counts, wanted, by).where(F.col("__v").between(F.col("__from"), F.col("__to")))
     order = Window.partitionBy(*by, "__name").orderBy("__v")
     reached = inside.withColumn("__last", F.sum("__n").over(order) - 1).where("__last >= __rank")
     return reached.groupBy(*by).agg(*[F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in percents])

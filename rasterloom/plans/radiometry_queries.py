@@ -206,7 +206,7 @@ def _(spark, d):
 
 @register(
     "decibel_stretch",
-    f"WITH p AS MATERIALIZED (SELECT row, col, round(CASE WHEN v > 0 THEN log10(v) END, 6) AS l FROM {V.PX_EMB}), k AS (SELECT l, row_number() OVER (ORDER BY l) - 1 AS rn, count(*) OVER () - 1 AS last FROM p WHERE l IS NOT NULL), s AS (SELECT max(CASE WHEN rn = round_even(0.01::DOUBLE * last, 0) THEN l END) AS low, max(CASE WHEN rn = round_even(0.99::DOUBLE * last, 0) THEN l END) AS high FROM k) SELECT row, col, {scale_sql('l', 'low', 'high')} AS out FROM p, s",
+    f"WITH p AS MATERIALIZED (SELECT row, col, round(CASE WHEN v > 0 THEN log10(v) END, 6) AS l FROM {V.PX_EMB}), k AS (SELECT l, sum(count(*)) OVER (ORDER BY l) AS upto, sum(count(*)) OVER () - 1 AS last FROM p WHERE l IS NOT NULL GROUP BY l), s AS (SELECT min(l) FILTER (upto > round_even(0.01::DOUBLE * last, 0)) AS low, min(l) FILTER (upto > round_even(0.99::DOUBLE * last, 0)) AS high FROM k) SELECT row, col, {scale_sql('l', 'low', 'high')} AS out FROM p, s",
 )
 def _(spark, d):
     px = V.px_emb(spark, d).withColumn("l", F.round(R.decibel(F.col("v")), 6))

@@ -305,3 +305,38 @@ def test_listing_patterns(spark):
     shown = lambda pattern: [keys.index(r.k) for r in df.where(M.is_listed(F.col("k"), pattern)).collect()]
     assert shown("gs://b/50/S/MJ/*202010*") == [0] and shown("gs://b/50/S/MJ/*202010**") == [0, 1]
     assert shown("gs://b/50/S/MJ/*.SAFE/*TCI.jp2") == [3] and shown("gs://b/50/S/MJ/**") == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize(("few", "bins"), [(200_000, 65_536), (40, 64), (5, 256)])
+def test_percentiles_of_crowded_values(spark, few, bins):
+    """Values close together beside far, endless and equal ones: refinement finds the same ranks as sorting."""
+    import random
+
+    r = random.Random(3)
+    groups = {
+        "crowded": [1000 + r.random() / 100 for _ in range(400)] + [1e9],
+        "wide": [r.choice([-1, 1]) * 10 ** r.uniform(-12, 300) for _ in range(300)] + [0.0, -0.0, 5e-324, -5e-324],
+        "ends": [float("inf"), float("-inf"), float("nan"), 1.7e308, -1.7e308, 1.0, 1.0, 2.0] * 3,
+        "one": [4.0] * 9,
+        None: [1.0, 2.0, 3.0],
+    }
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("one", None)]
+    r.shuffle(rows)
+    percents = {"p0": 0, "p2": 2, "p50": 50, "p97": 97.5, "p100": 100}
+    got = {x.g: x for x in S.nearest_percentiles(spark.createDataFrame(rows, "g string, v double"), "v", percents, by=["g"], few=few, bins=bins).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        order = sorted(vs, key=lambda v: (v != v, v))
+        for name, p in percents.items():
+            want = order[round(p / 100 * (len(order) - 1))]
+            assert got[g][name] == want or (want != want and got[g][name] != got[g][name]), (g, name)
+
+
+def test_percentiles_order_few_values_in_a_task(spark):
+    """200,000 values within a hundredth and a far one: at the end no interval holds more values than asked for."""
+    px = spark.range(200_001).select(F.when(F.col("id") == 200_000, 1e9).otherwise(1000 + F.col("id") * 5e-8).alias("v"))
+    counts = px.groupBy(F.col("v").alias("__v")).agg(F.count("*").alias("__n"))
+    rows = S.intervals(counts, [], {"a": 1, "b": 50, "c": 99}, 500, 1024).collect()
+    assert len(rows) == 3 and all(r["__rows"] <= 500 for r in rows)
+    found = S.nearest_percentiles(px, "v", {"a": 1, "b": 50, "c": 99}, few=500, bins=1024).first()
+    assert [found.a, found.b, found.c] == [1000 + k * 5e-8 for k in (2000, 100_000, 198_000)]
