@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.geometry import polynomial_terms
 from rasterloom.operators.spatial import nearest
+from rasterloom.storage import broadcast_few, checkpointed
 
 
 def polynomial_fit(points: DataFrame, target: str, degree: int = 1, x: str = "x", y: str = "y") -> DataFrame:
@@ -85,10 +86,6 @@ def helmert_fit(pairs: DataFrame, limit: float = 1e-10, rounds: int = 100) -> Da
     return rows.crossJoin(F.broadcast(fit)).groupBy(*columns).agg(F.sqrt(F.sum(sum(e * e for e in missed)) / F.greatest(F.lit(1), 3 * F.count("*") - 7)).alias("sigma"))
 
 
-#: Up to so many points are kriged as one dense system.
-MOST_DENSE = 2000
-
-
 def covariance(d: np.ndarray, model: str, nugget: float, sill: float, reach: float) -> np.ndarray:
     r = np.minimum(d / reach, 1)
     c = {"exponential": np.exp(-3 * d / reach), "spherical": 1 - r * (1.5 - 0.5 * r * r), "gaussian": np.exp(-3 * (d / reach) ** 2), "linear": 1 - r}[model]
@@ -96,32 +93,11 @@ def covariance(d: np.ndarray, model: str, nugget: float, sill: float, reach: flo
 
 
 def krige(points: DataFrame, queries: DataFrame, model: str = "exponential", nugget: float = 0.0, sill: float = 1.0, reach: float = 1.0, near: int = 16) -> DataFrame:
-    """Ordinary kriging of queries (q, x, y) from points (x, y, z): one dense system of up to 2,000 points, and beyond, a system
-    of the `near` nearest points (id, x, y, z) for each query."""
-    rows = points.select("x", "y", "z").limit(MOST_DENSE + 1).collect()
-    if len(rows) > MOST_DENSE:
-        return krige_near(points, queries, model, nugget, sill, reach, near)
-    p = np.array([tuple(r) for r in rows], float)
-    n = len(p)
-    cov = lambda d: covariance(d, model, nugget, sill, reach)
-    a = np.ones((n + 1, n + 1))
-    a[:n, :n] = cov(np.hypot(p[:, None, 0] - p[None, :, 0], p[:, None, 1] - p[None, :, 1]))
-    a[n, n] = 0
-
-    def run(batches):
-        inverse = np.linalg.pinv(a)
-        for df in batches:
-            b = np.ones((n + 1, len(df)))
-            b[:n] = cov(np.hypot(p[:, None, 0] - df["x"].to_numpy(float), p[:, None, 1] - df["y"].to_numpy(float)))
-            w = inverse @ b
-            yield pd.DataFrame({"q": df["q"], "value": p[:, 2] @ w[:n], "variance": nugget + sill - (w * b).sum(0)})
-
-    return queries.select("q", "x", "y").mapInPandas(run, "q long, value double, variance double")
-
-
-def krige_near(points: DataFrame, queries: DataFrame, model: str, nugget: float, sill: float, reach: float, near: int) -> DataFrame:
-    """Ordinary kriging of each query (q, x, y) from its `near` nearest points (id, x, y, z)."""
+    """Ordinary kriging of each query (q, x, y) from its `near` nearest points (id, x, y, z): q, value, variance. With at least as many as
+    there are points, it is one system of all points; without points there are no rows."""
     n, w, h = points.agg(F.count("*"), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    if not n:
+        return queries.select("q", F.lit(0.0).alias("value"), F.lit(0.0).alias("variance")).where("false")
     # cells of about as many points as are wanted, however many there are in all
     size = float(np.sqrt(max(w, 1e-9) * max(h, 1e-9) * near / n))
     found = nearest(queries, points, near, size)
@@ -174,50 +150,15 @@ def ransac(pairs: DataFrame, threshold: float, by: list[str], rounds: int = 200,
     order = Window.partitionBy(*by, "__bucket").orderBy("__hash", *coordinates)
     chosen = hashed.withColumn("__r", F.row_number().over(order)).where("__r <= 4").select(*by, *coordinates)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.select(*by).schema)
-    found = chosen.groupBy(*by).applyInPandas(models, f"{kinds}, __round int, " + ", ".join(f"{c} double" for c in cells))
+    found = checkpointed(chosen.groupBy(*by).applyInPandas(models, f"{kinds}, __round int, " + ", ".join(f"{c} double" for c in cells)))
 
     h = [F.col(c) for c in cells]
     row = lambda i: h[i] * F.col("x") + h[i + 1] * F.col("y") + h[i + 2]
     miss = lambda i, to: F.try_divide(row(i), row(6)) - F.col(to)
     inside = F.coalesce(F.sqrt(miss(0, "xr") * miss(0, "xr") + miss(3, "yr") * miss(3, "yr")) < threshold, F.lit(False))
-    counts = pairs.join(F.broadcast(found), by).groupBy(*by, "__round").agg(F.sum(inside.cast("long")).alias("__n"))
+    counts = pairs.join(broadcast_few(found), by).groupBy(*by, "__round").agg(F.sum(inside.cast("long")).alias("__n"))
     best = counts.groupBy(*by).agg(F.max_by("__round", F.struct("__n", -F.col("__round"))).alias("__round"))
     chosen_model = found.join(best, [*by, "__round"])
-    small = pairs.groupBy(*by).agg(F.count("*").alias("__n")).where("__n < 4").select(*by, F.lit(True).alias("__few"))
-    judged = pairs.join(F.broadcast(chosen_model), by, "left").join(F.broadcast(small), by, "left")
+    small = checkpointed(pairs.groupBy(*by).agg(F.count("*").alias("__n")).where("__n < 4").select(*by, F.lit(True).alias("__few")))
+    judged = pairs.join(broadcast_few(checkpointed(chosen_model)), by, "left").join(broadcast_few(small), by, "left")
     return judged.where(F.col("__few") | inside).select(*pairs.columns)
-
-
-def rpc_corners(scenes: DataFrame, rounds: int = 20) -> DataFrame:
-    """Box of the four corners (at height 0) of scenes with rational polynomial coefficients.
-
-    Columns: id, width, height, and arrays offsets, scales (line, sample, latitude, longitude, height), line_num, line_den,
-    samp_num, samp_den (20 each). Places are found by Newton steps on the forward model.
-    """
-
-    def terms(p: float, l: float, h: float) -> np.ndarray:
-        return np.array([1, l, p, h, l * p, l * h, p * h, l * l, p * p, h * h, p * l * h, l**3, l * p * p, l * h * h, l * l * p, p**3, p * h * h, l * l * h, p * p * h, h**3])
-
-    def ground(r, line: float, sample: float) -> tuple[float, float]:
-        o, s = r["offsets"], r["scales"]
-        want = np.array([(line - o[0]) / s[0], (sample - o[1]) / s[1]])
-        at, h = np.zeros(2), -o[4] / s[4]
-        forward = lambda a: np.array([np.dot(r["line_num"], t := terms(a[0], a[1], h)) / np.dot(r["line_den"], t), np.dot(r["samp_num"], t) / np.dot(r["samp_den"], t)])
-        for _ in range(rounds):
-            miss = want - forward(at)
-            if np.abs(miss).max() < 1e-12:
-                break
-            jacobian = np.column_stack([(forward(at + d) - forward(at - d)) / 2e-6 for d in np.eye(2) * 1e-6])
-            at = at + np.linalg.solve(jacobian, miss)
-        return float(at[1] * s[3] + o[3]), float(at[0] * s[2] + o[2])
-
-    def run(batches):
-        for df in batches:
-            out = []
-            for _, r in df.iterrows():
-                xy = [ground(r, line, sample) for sample, line in ((0, 0), (0, r["height"]), (r["width"], r["height"]), (r["width"], 0))]
-                xs, ys = zip(*xy)
-                out.append((r["id"], min(xs), min(ys), max(xs), max(ys)))
-            yield pd.DataFrame(out, columns=["id", "xmin", "ymin", "xmax", "ymax"])
-
-    return scenes.mapInPandas(run, "id long, xmin double, ymin double, xmax double, ymax double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as Y
 from rasterloom.functions import tiling as T
-from rasterloom.operators import fitting, polygons, regions, spatial
+from rasterloom.operators import fitting, polygons, regions, rpc, spatial
 from rasterloom.operators import statistics as S
 from rasterloom.plans import views as V
 from rasterloom.plans.catalogue import register
@@ -156,7 +156,7 @@ def _(spark, d):
     e = lambda i: F.array(*[F.lit(1.0 if j == i else 0.0) for j in range(20)])
     line = F.array(*[F.lit({2: -1.0, 1: 0.02}.get(j, 0.0)) for j in range(20)])
     s = V.boxes(spark, d, "suppliers").select("id", F.lit(1000).alias("width"), F.lit(800).alias("height"), F.array(F.lit(400.0), F.lit(500.0), F.col("ymin") + 5, F.col("xmin") + 5, F.lit(0.0)).alias("offsets"), F.array(*[F.lit(v) for v in (400.0, 500.0, 5.0, 5.0, 500.0)]).alias("scales"), line.alias("line_num"), e(0).alias("line_den"), e(1).alias("samp_num"), e(0).alias("samp_den"))
-    return fitting.rpc_corners(s).select("id", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    return rpc.rpc_corners(s).select("id", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @register("area_intersection", f"SELECT a.id * 100000 + b.id AS id, round(greatest(least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin), 0) * greatest(least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin), 0), 6) AS area FROM {V.BB_ORD} a JOIN {V.BB_SUPP} b ON {_MEET}")

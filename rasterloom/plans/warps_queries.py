@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import projections as P
 from rasterloom.operators import reprojection as W
+from rasterloom.operators import rpc
 from rasterloom.operators import tile_tree as T
 from rasterloom.plans import views as V
 from rasterloom.plans.catalogue import register
@@ -163,3 +164,22 @@ def _(spark, d):
             yield pd.DataFrame(rows, columns=["tz", "tx", "ty", "seen", "total", "across", "down", "alpha"])
 
     return images.mapInPandas(sums, "tz int, tx int, ty int, seen long, total long, across long, down long, alpha long")
+
+
+#: A model of the events' raster that bends: shares of the image by shares l and p of a degree east of 10 and north of 40.
+_LINE, _SAMPLE = "(-p + 0.02 * l + 0.01 * l * p + 0.004 * l * l) / (1 + 0.01 * p)", "(l + 0.03 * p - 0.006 * p * p + 0.002 * l * l * l) / (1 - 0.02 * l)"
+
+
+def tilted(px) -> rpc.RpcImage:
+    rows = height(px)
+    fill = lambda **at: tuple(at.get(f"t{i}", 0.0) for i in range(20))
+    return rpc.RpcImage(100, rows, (rows / 2, 50.0, 40.0, 10.0, 0.0), (rows / 2, 50.0, 1.0, 1.0, 500.0), fill(t2=-1.0, t1=0.02, t4=0.01, t7=0.004), fill(t0=1.0, t2=0.01), fill(t1=1.0, t2=0.03, t8=-0.006, t11=0.002), fill(t0=1.0, t1=-0.02))
+
+
+@register(
+    "rpc_orthorectify",
+    f"WITH h AS (SELECT max(row) + 1 AS h FROM {V.PX_EV}), g AS (SELECT row, col, h, 41.2::DOUBLE - (row + 0.5::DOUBLE) * 0.02 - 40 AS p, 8.8::DOUBLE + (col + 0.5::DOUBLE) * 0.02 - 10 AS l FROM h, range(0, 120) a(row), range(0, 120) b(col)), t AS (SELECT row, col, h, {_LINE} * (h / 2.0::DOUBLE) + h / 2.0::DOUBLE AS r, {_SAMPLE} * 50 + 50 AS c FROM g) SELECT t.row, t.col, v FROM t JOIN {V.PX_EV} p ON p.row = CAST(floor(r) AS BIGINT) AND p.col = CAST(floor(c) AS BIGINT) WHERE r >= 0 AND r < h AND c >= 0 AND c < 100",
+)
+def _(spark, d):
+    px = V.px_ev(spark, d)
+    return rpc.orthorectify(px, "v", tilted(px), W.Grid(4326, 8.8, 41.2, 0.02, 0.02, 120, 120))

@@ -1,4 +1,4 @@
-"""Cutting lineage in loops."""
+"""Cutting lineage in loops, and broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a stored table of numbers that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -23,3 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_few(side: DataFrame) -> DataFrame:
+    """A stored frame of short rows, broadcast if it has few."""
+    return F.broadcast(side) if side.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else side

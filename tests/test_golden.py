@@ -118,8 +118,8 @@ def test_helmert_fit_recovers_parameters(spark):
 
 
 def test_kriging_goes_through_its_points(spark):
-    p = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 2.0), (2, 0.0, 1.0, 4.0)], "q long, x double, y double, z double")
-    got = {r.q: r.value for r in fitting.krige(p, p, "exponential", 0.0, 1.0, 5.0).collect()}
+    p = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 2.0), (2, 0.0, 1.0, 4.0)], "id long, x double, y double, z double")
+    got = {r.q: r.value for r in fitting.krige(p, p.withColumnRenamed("id", "q"), "exponential", 0.0, 1.0, 5.0).collect()}
     assert [got[i] for i in range(3)] == pytest.approx([1, 2, 4])
 
 
@@ -259,7 +259,6 @@ def test_kriging_beyond_a_dense_system(spark, monkeypatch):
     p = [(i, float(x), float(y), float(x + 2 * y)) for i, (x, y) in enumerate(rng.uniform(0, 10, (200, 2)))]
     points = spark.createDataFrame(p, "id long, x double, y double, z double")
     queries = spark.createDataFrame([(500, 5.0, 5.0), (501, 1.0, 9.0), (502, p[3][1], p[3][2])], "q long, x double, y double")
-    monkeypatch.setattr(fitting, "MOST_DENSE", 100)
     got = {r.q: (r.value, r.variance) for r in fitting.krige(points, queries, "spherical", 0.0, 2.0, 6.0, near=12).collect()}
     place = np.array([r[1:3] for r in p])
     for q, x, y in queries.collect():
@@ -340,3 +339,33 @@ def test_percentiles_order_few_values_in_a_task(spark):
     assert len(rows) == 3 and all(r["__rows"] <= 500 for r in rows)
     found = S.nearest_percentiles(px, "v", {"a": 1, "b": 50, "c": 99}, few=500, bins=1024).first()
     assert [found.a, found.b, found.c] == [1000 + k * 5e-8 for k in (2000, 100_000, 198_000)]
+
+
+def test_kriging_has_one_method_at_all_sizes(spark):
+    """With all points near, the system is that of all points, however many there are; without points there are no rows."""
+    rng = np.random.default_rng(5)
+    p = [(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rng.uniform(0, 10, (40, 3)))]
+    points = spark.createDataFrame(p, "id long, x double, y double, z double")
+    queries = spark.createDataFrame([(0, 1.0, 2.0), (1, 9.5, 9.0), (2, -5.0, 40.0)], "q long, x double, y double")
+    got = {r.q: r.value for r in fitting.krige(points, queries, "exponential", 0.1, 2.0, 6.0, near=100).collect()}
+    place, z = np.array([r[1:3] for r in p]), np.array([r[3] for r in p])
+    cov = lambda h: np.where(h == 0, 2.1, 2.0 * np.exp(-3 * h / 6))
+    a = np.ones((41, 41))
+    a[:40, :40], a[40, 40] = cov(np.hypot(*(place[:, None] - place[None]).transpose(2, 0, 1))), 0
+    for q, x, y in queries.collect():
+        w = np.linalg.solve(a, np.append(cov(np.hypot(*(place - [x, y]).T)), 1))
+        assert got[q] == pytest.approx(w[:40] @ z)
+    assert fitting.krige(points.where("false"), queries).collect() == []
+
+
+def test_ransac_without_broadcast(spark, monkeypatch):
+    from rasterloom import storage
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x), float(y), float(2 * x + 1 + (50 if i < 6 else 0)), float(y - 3)) for g in (1, 2) for i, (x, y) in enumerate(rng.uniform(0, 100, (40, 2)))]
+    rows += [(3, 0.0, 0.0, 1.0, 1.0)] * 2
+    pairs = spark.createDataFrame(rows, "g int, x double, y double, xr double, yr double")
+    kept = [sorted(map(tuple, fitting.ransac(pairs, 1e-6, ["g"]).collect()))]
+    monkeypatch.setattr(storage, "MOST_BROADCAST", 0)
+    kept.append(sorted(map(tuple, fitting.ransac(pairs, 1e-6, ["g"]).collect())))
+    assert kept[0] == kept[1] and len(kept[0]) == 70
