@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from rasterloom.functions import projections as P
 
 #: Pixels from a target place on which a kernel draws.
-REACH = {"nearest": 0, "bilinear": 1, "cubic": 2, "cubicspline": 2, "lanczos": 3}
+REACH = {"nearest": 0, "bilinear": 1, "cubic": 2, "cubicspline": 2, "lanczos": 3, "spline": 32}
+#: What a sample counts in the coefficients of a spline falls to this share from one pixel to the next.
+POLE = 3**0.5 - 2
 AGGREGATES = {"average": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "med": lambda v: F.percentile(v, 0.5), "q1": lambda v: F.percentile(v, 0.25), "q3": lambda v: F.percentile(v, 0.75), "mode": lambda v: F.mode(v, True)}
 
 
@@ -77,6 +79,18 @@ def kernel(t: np.ndarray, kind: str) -> np.ndarray:
     raise ValueError("kind must be nearest, bilinear, cubic, cubicspline or lanczos")
 
 
+def spline_coefficients(window: np.ndarray, far: int = 30) -> np.ndarray:
+    """Coefficients of the cubic spline that goes through all pixels, which are mirrored at the edges. A recursive filter would carry what
+    is before and after a pixel without end; as that falls below rounding within `far` pixels, its weights are summed up that
+    far, so a window with as wide a margin has the coefficients of the whole image."""
+    weights = POLE ** np.abs(np.arange(-far, far + 1)) * (-6 * POLE / (1 - POLE**2))
+    for axis in (0, 1):
+        n = window.shape[axis]
+        padded = np.pad(window, [(far, far) if a == axis else (0, 0) for a in (0, 1)], "reflect")
+        window = sum(w * np.take(padded, range(k, k + n), axis) for k, w in enumerate(weights))
+    return window
+
+
 def sampled(window: np.ndarray, r: np.ndarray, c: np.ndarray, kind: str) -> np.ndarray:
     """Values at fractional rows and columns of a window (NaN: no pixel). Weights are those of the pixels there are; without the
     pixel that a place is in, there is none."""
@@ -85,6 +99,15 @@ def sampled(window: np.ndarray, r: np.ndarray, c: np.ndarray, kind: str) -> np.n
     own = at(np.floor(r).astype(np.int64), np.floor(c).astype(np.int64))
     if kind == "nearest":
         return own
+    if kind == "spline":
+        c0 = np.pad(spline_coefficients(np.nan_to_num(window)), 2, "reflect")
+        top, left = np.floor(r - 0.5).astype(np.int64), np.floor(c - 0.5).astype(np.int64)
+        total = np.zeros(r.shape)
+        for i in range(-1, 3):
+            down = kernel(r - 0.5 - (top + i), "cubicspline")
+            for j in range(-1, 3):
+                total += down * kernel(c - 0.5 - (left + j), "cubicspline") * c0[np.clip(top + i + 2, 0, tall + 3), np.clip(left + j + 2, 0, wide + 3)]
+        return np.where(np.isnan(own), np.nan, total)
     reach = REACH[kind]
     top, left = np.floor(r - 0.5).astype(np.int64), np.floor(c - 0.5).astype(np.int64)
     total, weights = np.zeros(r.shape), np.zeros(r.shape)
@@ -162,8 +185,8 @@ def block_pixels(blocks: DataFrame, value: str, block: int) -> DataFrame:
 
 
 def reproject(px: DataFrame, value: str, source: Grid, target: Grid, kind: str = "nearest", block: int | None = None, side: int = 256) -> DataFrame:
-    """A raster (row, col, value) in the target's grid, sampled by a kernel at the centres of pixels: nearest, bilinear, cubic, cubicspline or
-    lanczos; or, of the source's pixels whose centres lie in a target pixel, their average, sum, min, max, med, q1, q3 or mode (the
+    """A raster (row, col, value) in the target's grid, sampled by a kernel at the centres of pixels: nearest, bilinear, cubic, cubicspline, lanczos
+    or spline (which goes through all pixels; missing ones count as 0 there); or, of the source's pixels whose centres lie in a target pixel, their average, sum, min, max, med, q1, q3 or mode (the
     least of ties).
 
     Pixels beyond the source, or in a pixel without a value, are left out. block and side (of target and source blocks) change
@@ -176,3 +199,28 @@ def reproject(px: DataFrame, value: str, source: Grid, target: Grid, kind: str =
         return px.where(F.col(value).isNotNull() & inside).select(F.floor(r).alias("row"), F.floor(c).alias("col"), F.col(value)).groupBy("row", "col").agg(AGGREGATES[kind](F.col(value)).alias(value))
     block = block or block_for(target, source)
     return block_pixels(reprojected_blocks(px, [value], source, target, kind, block, side), value, block)
+
+
+@dataclass(frozen=True)
+class Stretched:
+    """An image whose first and last pixels' centres are laid to those of a grid of another size (tall, wide)."""
+
+    height: int
+    width: int
+    tall: int
+    wide: int
+    epsg: int = 4326
+
+    def rc(self, x, y):
+        step = lambda n, m: (n - 1) / (m - 1) if m > 1 else 0.0
+        return (-y - 0.5) * step(self.height, self.tall) + 0.5, (x - 0.5) * step(self.width, self.wide) + 0.5
+
+
+def zoom(px: DataFrame, value: str, height: int, width: int, down: float, across: float, order: int = 3, block: int | None = None, side: int = 256) -> DataFrame:
+    """A whole raster (row, col, value) with `down` and `across` times as many rows and columns (rounded), by splines of order 0 (nearest),
+    1 (linear) or 3 (cubic, through all pixels, mirrored at the edges): corner pixels stay corner pixels."""
+    kinds = {0: "nearest", 1: "bilinear", 3: "spline"}
+    if order not in kinds:
+        raise ValueError("order must be 0, 1 or 3")
+    tall, wide = round(height * down), round(width * across)
+    return reproject(px, value, Stretched(height, width, tall, wide), Grid(4326, 0.0, 0.0, 1.0, 1.0, wide, tall), kinds[order], block, side)

@@ -125,6 +125,17 @@ def _(spark, d):
     return X.bilinear_resample(px, "v", t).select("id", F.round("value", 6).alias("value"))
 
 
+def _kernel(a: str) -> str:
+    return f"(CASE WHEN {a} < 1 THEN 1.5 * {a}*{a}*{a} - 2.5 * {a}*{a} + 1 WHEN {a} < 2 THEN -0.5 * {a}*{a}*{a} + 2.5 * {a}*{a} - 4 * {a} + 2 ELSE 0 END)"
+
+
+@register("kernel_resample", f"WITH p AS (SELECT row, col, v FROM {V.PX_EV}), t AS (SELECT row * 1000 + col AS id, row + 0.3::DOUBLE AS r, col + 0.7::DOUBLE AS c FROM p), k AS (SELECT id, r, c, CAST(floor(r) AS BIGINT) + i AS row, CAST(floor(c) AS BIGINT) + j AS col FROM t, range(-1, 3) a(i), range(-1, 3) b(j)) SELECT id, round(sum({_kernel('abs(r - row)')} * {_kernel('abs(c - col)')} * v) / sum({_kernel('abs(r - row)')} * {_kernel('abs(c - col)')}), 9) AS value FROM k JOIN p USING (row, col) GROUP BY id")
+def _(spark, d):
+    px = V.px_ev(spark, d).select("row", "col", "v")
+    t = px.select((F.col("row") * 1000 + F.col("col")).alias("id"), (F.col("row") + 0.3).alias("r"), (F.col("col") + 0.7).alias("c"))
+    return X.kernel_resample(px, "v", t, "cubic").select("id", F.round("value", 9).alias("value"))
+
+
 def _level(k: int) -> str:
     return f"SELECT {k} AS level, row, col, v FROM l{k}"
 
@@ -202,11 +213,25 @@ def _(spark, d):
     return regions.regions(V.px_ev(spark, d), F.col("dn") > 60).select("row", "col", "cells", "wkt")
 
 
-@register("sieve_regions")
+#: Regions (4-connected) of cells of p: labels, from the first cell on, go from cell to cell until none changes.
+_REGIONS = """WITH RECURSIVE p AS MATERIALIZED (SELECT row, col, row * 4294967296 + col AS cell FROM {px} WHERE {wanted}),
+    near AS MATERIALIZED (SELECT a.cell AS cell, b.cell AS other FROM p a JOIN p b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1),
+    l AS (SELECT 0 AS k, cell, cell AS label, 1 AS moving FROM p UNION ALL
+        SELECT k, cell, least(label, before) AS label, max(CASE WHEN label < before THEN 1 ELSE 0 END) OVER () AS moving FROM (SELECT any_value(l.k) + 1 AS k, n.cell, min(l.label) AS label, min(CASE WHEN n.cell = n.other THEN l.label END) AS before FROM near n JOIN l ON l.cell = n.other WHERE l.moving = 1 GROUP BY n.cell)),
+    last AS (SELECT cell, min(label) AS label FROM l GROUP BY cell)
+    SELECT label // 4294967296 AS row, label % 4294967296 AS col, count(*) AS cells FROM last GROUP BY label"""
+
+
+@register("sieve_regions", _REGIONS.format(px=V.PX_EV, wanted="dn > 20") + " HAVING count(*) >= 3")
 def _(spark, d):
     return regions.sieve(regions.regions(V.px_ev(spark, d), F.col("dn") > 20), 3).select("row", "col", "cells")
 
 
+@register("region_cells", _REGIONS.format(px=V.PX_EV, wanted="dn > 60"))
+def _(spark, d):
+    return regions.regions(V.px_ev(spark, d), F.col("dn") > 60).select("row", "col", "cells")
+
+
 def mercator_row_sql(lat: str) -> str:
     return f"ln(tan(pi() / 4 + radians({lat}) / 2))"
 

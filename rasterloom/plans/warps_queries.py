@@ -183,3 +183,22 @@ def tilted(px) -> rpc.RpcImage:
 def _(spark, d):
     px = V.px_ev(spark, d)
     return rpc.orthorectify(px, "v", tilted(px), W.Grid(4326, 8.8, 41.2, 0.02, 0.02, 120, 120))
+
+
+_MIRROR = "(CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > {1} THEN 2 * ({1}) - ({0}) ELSE {0} END)"
+_WEIGHT = f"power({W.POLE!r}::DOUBLE, abs(k)) * {-6 * W.POLE / (1 - W.POLE**2)!r}::DOUBLE"
+_ZOOMED = f"""h AS (SELECT max(row) + 1 AS h FROM {V.PX_EV}), p AS MATERIALIZED (SELECT row, col, v FROM {V.PX_EV}), a AS (SELECT h.h, k, row, col, {_MIRROR.format('row + k', 'h - 1')} AS far FROM p, h, range(-20, 21) q(k)),
+    b AS MATERIALIZED (SELECT a.row, a.col, sum(p.v * {_WEIGHT}) AS v FROM a JOIN p ON p.row = far AND p.col = a.col GROUP BY ALL), c AS (SELECT k, row, col, {_MIRROR.format('col + k', '99')} AS far FROM p, range(-20, 21) q(k)),
+    d AS MATERIALIZED (SELECT c.row, c.col, sum(b.v * {_WEIGHT}) AS v FROM c JOIN b ON b.col = far AND b.row = c.row GROUP BY ALL),
+    t AS (SELECT row, col, h, row * (h - 1) / (2 * h - 1) AS r, col * 99 / 199.0::DOUBLE AS c FROM h, range(0, 2 * h) x(row), range(0, 200) y(col)),
+    e AS (SELECT row, col, h, r, c, CAST(floor(r) AS BIGINT) + i AS pr, CAST(floor(c) AS BIGINT) + j AS pc FROM t, range(-1, 3) x(i), range(-1, 3) y(j))"""
+
+
+def _spline(a: str) -> str:
+    return f"CASE WHEN {a} < 1 THEN (4 - 6 * {a}*{a} + 3 * {a}*{a}*{a}) / 6 WHEN {a} < 2 THEN (2 - {a})*(2 - {a})*(2 - {a}) / 6 ELSE 0 END"
+
+
+@register("zoom_spline", f"WITH {_ZOOMED} SELECT e.row, e.col, round(sum(d.v * ({_spline('abs(r - pr)')}) * ({_spline('abs(c - pc)')})), 4) AS v FROM e JOIN d ON d.row = {_MIRROR.format('pr', 'h - 1')} AND d.col = {_MIRROR.format('pc', '99')} GROUP BY ALL")
+def _(spark, d):
+    px = V.px_ev(spark, d)
+    return W.zoom(px, "v", height(px), 100, 2, 2).select("row", "col", F.round("v", 4).alias("v"))

@@ -138,3 +138,28 @@ def test_odd_rasters(spark):
     with pytest.raises(ValueError, match="kind"):
         W.reproject(empty, "v", source, target, "median")
     assert W.block_for(W.Grid(4326, 8.0, 50.0, 1.0, 1.0, 30, 40), W.Grid(4326, 8.0, 50.0, 0.001, 0.001, 30000, 40000)) == 8
+
+
+@pytest.mark.parametrize(("block", "side"), [(None, 256), (11, 9)])
+def test_splines_go_through_their_pixels(spark, block, side):
+    values = np.random.default_rng(6).uniform(0, 100, (30, 25))
+    px = spark.createDataFrame([(r, c, float(values[r, c])) for r in range(30) for c in range(25)], "row long, col long, v double")
+    got = {(r.row, r.col): r.v for r in W.zoom(px, "v", 30, 25, 59 / 30, 49 / 25, 3, block, side).collect()}
+    assert len(got) == 59 * 49
+    assert all(abs(got[2 * r, 2 * c] - values[r, c]) < 1e-9 for r in range(30) for c in range(25))
+
+
+def test_spline_coefficients_solve_the_spline():
+    """(c[i - 1] + 4 c[i] + c[i + 1]) / 6 is the pixel, with mirrored neighbours at the edges."""
+    values = np.random.default_rng(7).uniform(-5, 5, (9, 1))
+    c = np.pad(W.spline_coefficients(values), ((1, 1), (0, 0)), "reflect")
+    assert np.abs((c[:-2] + 4 * c[1:-1] + c[2:]) / 6 - values).max() < 1e-12
+
+
+@pytest.mark.parametrize(("order", "want"), [(0, [0.0, 0.0, 10.0, 10.0, 20.0]), (1, [0.0, 5.0, 10.0, 15.0, 20.0])])
+def test_lower_orders(spark, order, want):
+    px = spark.createDataFrame([(0, c, 10.0 * c) for c in range(3)], "row long, col long, v double")
+    got = [r.v for r in W.zoom(px, "v", 1, 3, 1, 5 / 3, order).orderBy("col").collect()]
+    assert got[1::2] == want[1::2] if order else got[0] == 0 and got[-1] == 20
+    with pytest.raises(ValueError, match="order"):
+        W.zoom(px, "v", 1, 3, 1, 2, 2)
