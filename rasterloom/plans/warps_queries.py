@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from rasterloom.functions import projections as P
+from rasterloom.operators import keypoints as K
 from rasterloom.operators import reprojection as W
 from rasterloom.operators import rpc
 from rasterloom.operators import tile_tree as T
@@ -202,3 +203,16 @@ def _spline(a: str) -> str:
 def _(spark, d):
     px = V.px_ev(spark, d)
     return W.zoom(px, "v", height(px), 100, 2, 2).select("row", "col", F.round("v", 4).alias("v"))
+
+
+@register("keypoints")
+def _(spark, d):
+    return K.keypoints(V.px_ev(spark, d), "v", K.Scales(first=0.8, count=8, contrast=0.2, edge=20.0)).select("row", "col", "scale", "angle", "response")
+
+
+@register("keypoint_matches")
+def _(spark, d):
+    """The raster and itself, moved by 7 rows and 4 columns."""
+    px = V.px_ev(spark, d)
+    a, b = (K.keypoints(p, "v", K.Scales(first=0.8, count=8, contrast=0.2, edge=20.0)) for p in (px, px.select((F.col("row") + 7).alias("row"), (F.col("col") + 4).alias("col"), "v")))
+    return K.matched(a, b, 512, 60)
