@@ -15,7 +15,8 @@ import html as entities
 import random
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -137,14 +138,17 @@ def parse(page: str) -> list[Node]:
         run, links = [], 0
 
     link_count = 0
-    opened: Counter[str] = Counter()  # tags of the elements that are open
+    opened: defaultdict[str, list[Node]] = defaultdict(list)  # the elements that are open, by tag, innermost last
 
     def leave(to: Node) -> None:
         nonlocal here
         while here is not to:
-            opened[here.tag] -= 1
+            opened[here.tag].pop()
             here = here.parent
 
+    def innermost_scope(but: set[str] = frozenset()) -> int:
+        return max((opened[t][-1].depth for t in SCOPES if t not in but and opened[t]), default=0)
+
     for kind, tag, value in pieces(page):
         if kind == "text":
             if not silent:
@@ -169,30 +173,24 @@ def parse(page: str) -> list[Node]:
             if tag in VOID:
                 continue
             stop = SAME_CLOSES.get(tag)
-            if (tag in CLOSES_P and opened["p"]) or (stop and any(opened[t] for t in stop)):
-                up = to = here
-                while up.parent and (up.tag not in SCOPES or (stop and up.tag in stop)):
-                    if (tag in CLOSES_P and up.tag == "p") or (stop and up.tag in stop):
-                        to = up.parent
-                    up = up.parent
-                leave(to)
+            ending = ({"p"} if tag in CLOSES_P else set()) | (stop or set())
+            if any(opened[t] for t in ending):
+                scope = innermost_scope(stop or frozenset())
+                within = [opened[t][k] for t in ending if (k := bisect_right(opened[t], scope, key=lambda n: n.depth)) < len(opened[t])]
+                if within:
+                    leave(min(within, key=lambda n: n.depth).parent)
             if re.match("h[1-6]", here.tag) and re.match("h[1-6]", tag):
                 leave(here.parent)
             child = Node(tag, here, value)
             here.children.append(child)
             nodes.append(child)
             here = child
-            opened[tag] += 1
+            opened[tag].append(child)
         else:
             flush()
             link_count = 0
-            if not opened[tag]:
-                continue
-            up = here
-            while up.parent and up.tag != tag and not (tag not in ("body", "html") and up.tag in SCOPES and tag == "p"):
-                up = up.parent
-            if up.parent and up.tag == tag:
-                leave(up.parent)
+            if opened[tag] and not (tag == "p" and innermost_scope() > opened[tag][-1].depth):
+                leave(opened[tag][-1].parent)
     flush()
     gather(nodes)
     return nodes
@@ -223,25 +221,36 @@ def gather(nodes: list[Node]) -> None:
             up.end = max(up.end, node.end)
 
 
+#: Nodes whose features are held at once.
+SLICE_NODES = 20_000
+
+
 def describe(nodes: list[Node]) -> np.ndarray:
-    """A row of features for each node. Rows of a parent come before those of its children, which take over what stands above."""
+    """A row of features for each node."""
+    return np.concatenate(list(described(nodes)))
+
+
+def described(nodes: list[Node], size: int = SLICE_NODES) -> Iterator[np.ndarray]:
+    """Rows of features in page order, of up to `size` nodes at a time. A parent comes before its children, which take over what stands
+    above: of all rows, only that is kept."""
     log = np.log1p
     page = max(nodes[0].chars, 1)
     width_tags, width_groups = len(TAG_GROUPS), len(TOKEN_GROUPS)
     a, b, c, d, e = (N_PLAIN + k for k in (0, width_tags, 2 * width_tags, 2 * width_tags + len(ABOVE), 2 * width_tags + len(ABOVE) + width_groups))
     f = e + width_groups
-    out = np.zeros((len(nodes), f + BUCKETS), np.float32)
-    plain = np.zeros((len(nodes), N_PLAIN))
+    tops, groups = np.zeros((len(nodes), len(ABOVE)), bool), np.zeros((len(nodes), width_groups), bool)  # above and, groups, in a node
     for node in nodes:
-        i, up = node.index, node.parent
+        i, up = node.index % size, node.parent
+        if i == 0:
+            out = np.zeros((min(size, len(nodes) - node.index), f + BUCKETS), np.float32)
+            plain = np.zeros((len(out), N_PLAIN))
         row = out[i]
         siblings = up.children if up else [node]
         n = len(siblings)
         chars, tags = node.chars, node.tags
         if up:
-            above = out[up.index]
-            row[c : c + len(ABOVE)] = above[c : c + len(ABOVE)]
-            row[e : e + width_groups] = np.maximum(above[e : e + width_groups], above[d : d + width_groups])
+            row[c : c + len(ABOVE)] = tops[up.index]
+            row[e : e + width_groups] = groups[up.index]
             if up.tag in ABOVE:
                 row[c + ABOVE.index(up.tag)] = 1
             if (k := TAG_INDEX.get(up.tag)) is not None:
@@ -254,15 +263,18 @@ def describe(nodes: list[Node]) -> np.ndarray:
                 row[d + k] = 1
             else:
                 row[f + zlib.crc32(token.encode()) % BUCKETS] = 1
+        tops[node.index] = row[c : c + len(ABOVE)]
+        groups[node.index] = np.maximum(row[d : d + width_groups], row[e : e + width_groups])
         at = node_place(node, siblings)
         before, after = (siblings[at - 1].chars if at else 0), (siblings[at + 1].chars if at + 1 < n else 0)
         least = max(chars, 1)
         parent_chars = max(up.chars, 1) if up else least
         plain[i] = (node.depth, chars, node.links / least, tags, chars / (tags + 1), chars / page, node.start / page, node.end / page, at / n, n, before, after, node.marks / least, node.n_links, node.n_li, node.n_p, node.n_inputs, chars / parent_chars, len(node.children), up.links / parent_chars if up else 0, up.n_p if up else 0, page)
-    for k in (1, 3, 4, 9, 10, 11, 13, 14, 15, 16, 18, 20, 21):
-        plain[:, k] = log(plain[:, k])
-    out[:, :N_PLAIN] = plain
-    return out
+        if i == len(out) - 1:
+            for k in (1, 3, 4, 9, 10, 11, 13, 14, 15, 16, 18, 20, 21):
+                plain[:, k] = log(plain[:, k])
+            out[:, :N_PLAIN] = plain
+            yield out
 
 
 def node_place(node: Node, siblings: list[Node]) -> int:
@@ -447,12 +459,26 @@ def trained(pages: int = 500, seed: int = 20240607) -> BoostedTrees:
 
 
 def extract(pages: list[str], model: BoostedTrees) -> list[str]:
-    trees = [parse(p) for p in pages]
-    if not trees:
-        return []
-    p = model.probability(np.concatenate([describe(t) for t in trees]))
-    ends = np.cumsum([len(t) for t in trees])
-    return [main_text(t, p[e - len(t) : e]) for t, e in zip(trees, ends)]
+    found: list[str] = []
+    waiting: list[list[Node]] = []
+
+    def settle() -> None:
+        if waiting:
+            p = model.probability(np.concatenate([describe(t) for t in waiting]))
+            ends = np.cumsum([len(t) for t in waiting])
+            found.extend(main_text(t, p[e - len(t) : e]) for t, e in zip(waiting, ends))
+            waiting.clear()
+
+    for page in pages:
+        nodes = parse(page)
+        if len(nodes) + sum(map(len, waiting)) > SLICE_NODES:
+            settle()
+        if len(nodes) > SLICE_NODES:
+            found.append(main_text(nodes, np.concatenate([model.probability(x) for x in described(nodes)])))
+        else:
+            waiting.append(nodes)
+    settle()
+    return found
 
 
 def extract_pages(pages: DataFrame, model: BoostedTrees | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import divergence, hashing, near_dedup, prefix_trie, repetition, suffix_tree
+from rasterloom.llm import divergence, extraction, hashing, near_dedup, prefix_trie, repetition, suffix_tree
 from tests.parity import plain
 
 CLASHING = ("row", "n", "c", "d", "o", "w", "value", "rank", "term", "count", "p", "q", "at", "pos", "n_words", "kept", "first", "length", "low", "high", "digest", "size", "need")
@@ -280,3 +282,31 @@ def test_runs_of_words_depend_on_order_and_place():
         runs = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
         assert len(set(zip(runs, hashes))) == len(set(runs)) == len(set(hashes))
     assert len(hashing.word_hashes(words, 9)) == 0
+
+
+# long pages
+
+
+@pytest.mark.parametrize("page", ["<p><td>" + "<x>" * 140_000 + "</p>" * 140_000, "<li><ul>" + "<x>" * 120_000 + "<li>" * 120_000, "<p>" + "<div><p></div>" * 70_000], ids=["unclosed", "items", "blocks"])
+def test_deep_pages_take_linear_time(page):
+    start = time.time()
+    assert len(extraction.parse(page)) > 100_000 and time.time() - start < 20
+
+
+def test_features_of_a_long_page_are_not_held_at_once():
+    nodes = extraction.parse("<p class=ad>x" * 60_000)
+    whole = extraction.describe(nodes)
+    tracemalloc.start()
+    for at, part in enumerate(extraction.described(nodes, 1000)):
+        assert np.array_equal(part, whole[at * 1000 : at * 1000 + 1000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < whole.nbytes / 5
+
+
+def test_pages_long_and_short_keep_their_order(monkeypatch):
+    model = extraction.trained(60)
+    pages = [f"<article><p>{'Some words of an article, as it were. ' * (1 + k % 7)}{k}</p></article>" * (1 + 9 * (k % 4 == 0)) for k in range(12)]
+    want = [extraction.extract([p], model)[0] for p in pages]
+    monkeypatch.setattr(extraction, "SLICE_NODES", 8)
+    assert extraction.extract(pages, model) == want
