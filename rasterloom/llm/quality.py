@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bounds:
     def texts(wanted: set) -> DataFrame:
         side = docs.sparkSession.createDataFrame([(i, ids[i]) for i in sorted(wanted)], "doc_id long, label int")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return rows.join(F.broadcast(side), "doc_id").where(F.length("text") <= bounds.max_chars).select("doc_id", "label", "text")
+        near = rows.join(F.broadcast(side), "doc_id").where(F.length("text") <= bounds.max_chars)
+        return near.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # an id that is repeated has one text
 
     samples: dict[int, list] = {0: [], 1: []}
     if first[0] or first[1]:
