@@ -145,9 +145,15 @@ def _(spark, d):
     return V.px_ev(spark, d).select("row", "col", F.round(R.emissive_radiance(R.brightness_temperature(1 + F.col("v") / 100.0, "31"), "31"), 6).alias("rad"))
 
 
-@register("modis_band_table", "SELECT * FROM (VALUES " + ", ".join(f"('{b}', {w!r}::DOUBLE, {s!r}::DOUBLE, {i!r}::DOUBLE)" for b, (w, s, i) in R.MODIS_BANDS.items()) + ") t(band, wavenumber, slope, intercept)")
+_BAND_TABLE = "(VALUES " + ", ".join(f"('{b}', {w!r}::DOUBLE, {s!r}::DOUBLE, {i!r}::DOUBLE)" for b, (w, s, i) in R.MODIS_BANDS.items()) + ") t(band, wavenumber, slope, intercept)"
+
+
+@register("modis_band_table", f"SELECT band, wavenumber, slope, intercept, count(*) AS n FROM {_BAND_TABLE} JOIN lineitem ON band = CAST(20 + l_orderkey % 17 AS VARCHAR) GROUP BY ALL")
 def _(spark, d):
-    return spark.createDataFrame([(b, *v) for b, v in R.MODIS_BANDS.items()], "band string, wavenumber double, slope double, intercept double")
+    """The bands that rows name, and how many do."""
+    bands = spark.createDataFrame([(b, *v) for b, v in R.MODIS_BANDS.items()], "band string, wavenumber double, slope double, intercept double")
+    named = V.table(spark, d, "lineitem").groupBy((20 + F.col("l_orderkey") % 17).cast("string").alias("band")).agg(F.count("*").alias("n"))
+    return F.broadcast(bands).join(named, "band")
 
 
 _NAMES = "CASE dn % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '17' ELSE '99' END"

@@ -186,10 +186,10 @@ def _(spark, d):
     return o.groupBy("key").agg(F.max("y").alias("y"), F.max_by("gain", "at").alias("gain"))
 
 
-@register("calibration_asof", "SELECT k AS sensor, CAST(2010 + (k % 5) AS INTEGER) AS y, k * 100 + (k % 5) AS gain FROM range(0, 50) t(k)")
+@register("calibration_asof", "SELECT o_custkey AS sensor, CAST(max(year(o_orderdate)) AS INTEGER) AS y, max(o_orderkey) FILTER (year(o_orderdate) = last) AS gain FROM (SELECT *, max(year(o_orderdate)) OVER (PARTITION BY o_custkey) AS last FROM orders WHERE year(o_orderdate) <= 1995) GROUP BY o_custkey")
 def _(spark, d):
-    facts = spark.range(50).select(F.col("id").alias("sensor"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("sensor", (2010 + F.col("i")).alias("y"), (F.col("sensor") * 100 + F.col("i")).alias("gain"), (F.col("i") <= F.col("sensor") % 5).alias("there"))
-    return spatial.latest_before(facts.where("there").drop("there"), "sensor", "y", 2018)
+    facts = V.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("sensor"), F.year("o_orderdate").alias("y")).agg(F.max("o_orderkey").alias("gain"))
+    return spatial.latest_before(facts, "sensor", "y", 1995)
 
 
 @register("footprint_parts", f"SELECT id, CAST(k AS INTEGER) AS part, round(xmin + k, 6) AS x FROM {V.BB_SUPP}, range(0, 3) t(k)")

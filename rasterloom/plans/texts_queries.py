@@ -189,11 +189,16 @@ def _(spark, d):
     return V.table(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<p>)"))).cast("long").alias("n"))
 
 
-@register("missing_tiles", "SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM range(0, 20) a(x), range(0, 20) b(y) WHERE (x + y) % 3 <> 0")
+_CELL = "SELECT DISTINCT CAST(c_custkey * 7 % 500 AS INTEGER) AS x, CAST(c_custkey * 13 % 300 AS INTEGER) AS y FROM customer"
+
+
+@register("missing_tiles", f"SELECT x, y FROM ({_CELL}) WHERE (x + y) % 3 <> 0")
 def _(spark, d):
-    there = spark.range(20).select(F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(19)))).where("(x + y) % 3 = 0").select(F.format_string("x=%d&y=%d&z=10", "x", "y").alias("name"))
+    """Tiles of customers that aren't among the names of those that are there."""
+    k = F.col("c_custkey")
+    wanted = V.table(spark, d, "customer").select((k * 7 % 500).cast("int").alias("x"), (k * 13 % 300).cast("int").alias("y")).distinct()
+    there = wanted.where("(x + y) % 3 = 0").select(F.format_string("x=%d&y=%d&z=10", "x", "y").alias("name"))
     x, y, _z = M.tile_of_name(F.col("name"))
-    wanted = spark.range(20).select(F.col("id").cast("int").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(19))))
     return wanted.join(there.select(x.alias("x"), y.alias("y")), ["x", "y"], "left_anti")
 
 

@@ -46,9 +46,11 @@ def _(spark, d):
     return V.pt_cust(spark, d).select("id", F.round(mx, 4).alias("mx"), F.round(my, 4).alias("my"))
 
 
-@register("mercator_res", f"SELECT CAST(z AS INTEGER) AS z, round({R0} * 2 / 256 / pow(2, z), 9) AS res FROM range(0, 24) t(z)")
+@register("mercator_res", f"SELECT DISTINCT c_nationkey AS z, round({R0} * 2 / 256 / pow(2, c_nationkey), 9) AS res FROM customer")
 def _(spark, d):
-    return spark.range(24).select(F.col("id").cast("int").alias("z")).select("z", F.round(T.mercator_resolution(F.col("z")), 9).alias("res"))
+    """Of the zooms that customers name."""
+    zooms = V.table(spark, d, "customer").select(F.col("c_nationkey").alias("z")).distinct()
+    return zooms.select("z", F.round(T.mercator_resolution(F.col("z")), 9).alias("res"))
 
 
 _MXY = f"SELECT id, lon * {SHIFT} / 180.0::DOUBLE AS mx, ln(tan((90 + lat) * {PI} / 360.0::DOUBLE)) / ({PI} / 180.0::DOUBLE) * {SHIFT} / 180.0::DOUBLE AS my FROM {V.PT_CUST}"
@@ -212,9 +214,17 @@ def _(spark, d):
     return t.select("id", T.tile_url("http://mt{server}.example.org/vt?", F.col("x"), F.col("y"), z(10)).alias("url"), T.tile_path(F.col("x"), F.col("y"), z(10)).alias("path"))
 
 
-@register("tile_cover", "SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 8 AS z FROM range(205, 216) a(x), range(90, 99) b(y)")
+def rows_of(spark, d) -> int:
+    """Rows of the events' raster."""
+    return (V.px_ev(spark, d).agg(F.max("row")).first()[0] or 0) + 1
+
+
+@register("tile_cover", f"WITH b AS (SELECT CAST(floor((min(xmin) + 180) / 2) AS BIGINT) AS x0, CAST(floor((max(xmax) + 180) / 2) AS BIGINT) AS x1, CAST(floor((min(ymin) + 90) / 2) AS BIGINT) AS y0, CAST(floor((max(ymax) + 90) / 2) AS BIGINT) AS y1 FROM {V.BB_SUPP}) SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, 8 AS z FROM b, range(x0, x1 + 1) a(x), range(y0, y1 + 1) c(y)")
 def _(spark, d):
-    return G.tile_cover(spark, 205, 90, 215, 98, 8)
+    """Tiles of two degrees over the box of all suppliers."""
+    place = lambda f, c, low: F.floor((f(c) + low) / 2)
+    box = V.boxes(spark, d, "suppliers").agg(place(F.min, "xmin", 180), place(F.min, "ymin", 90), place(F.max, "xmax", 180), place(F.max, "ymax", 90)).first()
+    return G.tile_cover(spark, *box, 8)
 
 
 for _name, _sign, _compat in (("world2pixel", -1, False), ("world2pixel_compat", 1, True)):
@@ -231,9 +241,9 @@ def _(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), *[c.alias(n) for c, n in zip(e, ("llx", "lly", "urx", "ury"))])
 
 
-@register("window_grid", "SELECT CAST(r AS INTEGER) AS win_row, CAST(c AS INTEGER) AS win_col, CAST(c * 1280 AS INTEGER) AS col_off, CAST(r * 1280 AS INTEGER) AS row_off, CAST(least(1280, 10980 - c * 1280) AS INTEGER) AS width, CAST(least(1280, 5642 - r * 1280) AS INTEGER) AS height FROM range(0, 5) a(r), range(0, 9) b(c)")
+@register("window_grid", f"WITH h AS (SELECT max(row) + 1 AS h FROM {V.PX_EV}) SELECT CAST(r AS INTEGER) AS win_row, CAST(c AS INTEGER) AS win_col, CAST(c * 32 AS INTEGER) AS col_off, CAST(r * 32 AS INTEGER) AS row_off, CAST(least(32, 100 - c * 32) AS INTEGER) AS width, CAST(least(32, h - r * 32) AS INTEGER) AS height FROM h, range(0, (h + 31) // 32) a(r), range(0, 4) b(c)")
 def _(spark, d):
-    return G.windows(spark, 10980, 5642, 1280)
+    return G.windows(spark, 100, rows_of(spark, d), 32)
 
 
 @register("window_of_pixel", f"SELECT CAST(row // 16 AS INTEGER) AS win_row, CAST(col // 16 AS INTEGER) AS win_col, count(*) AS n, round(sum(v), 4) AS s FROM {V.PX_EV} GROUP BY 1, 2")
@@ -246,24 +256,25 @@ def _(spark, d):
     return G.fishnet(V.boxes(spark, d, "suppliers"), 4.0, 3.0).select("id", "name", F.col("left").alias("l"), F.col("top").alias("t"))
 
 
-@register("dist_matrix", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sqrt(CAST(least(i, 33 - i) AS DOUBLE) * least(i, 33 - i) + CAST(least(j, 33 - j) AS DOUBLE) * least(j, 33 - j)), 9) AS d FROM range(0, 33) a(i), range(0, 33) b(j)")
+@register("dist_matrix", f"WITH h AS (SELECT max(row) + 1 AS n FROM {V.PX_EV}) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sqrt(CAST(least(i, n - i) AS DOUBLE) * least(i, n - i) + CAST(least(j, n - j) AS DOUBLE) * least(j, n - j)), 9) AS d FROM h, range(0, n) a(i), range(0, n) b(j)")
 def _(spark, d):
-    return G.distance_matrix(spark, 33).select("i", "j", F.round("d", 9).alias("d"))
+    return G.distance_matrix(spark, rows_of(spark, d)).select("i", "j", F.round("d", 9).alias("d"))
 
 
-@register("disk_kernel", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST((i - 7) * (i - 7) + (j - 7) * (j - 7) <= 49 AS INTEGER) AS v FROM range(0, 15) a(i), range(0, 15) b(j)")
+@register("disk_kernel", "WITH r AS (SELECT max(l_linenumber) AS r FROM lineitem) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST((i - r) * (i - r) + (j - r) * (j - r) <= r * r AS INTEGER) AS v FROM r, range(0, 2 * r + 1) a(i), range(0, 2 * r + 1) b(j)")
 def _(spark, d):
-    return G.disk(spark, 7)
+    """As wide as an order has lines at most."""
+    return G.disk(spark, V.table(spark, d, "lineitem").agg(F.max("l_linenumber")).first()[0])
 
 
-@register("value_range", "SELECT CAST(id // 300 AS INTEGER) AS row, CAST(id % 300 AS INTEGER) AS col, CAST(id % 256 AS INTEGER) AS v FROM range(0, 90000) t(id)")
+@register("value_range", "SELECT CAST(id // 300 AS INTEGER) AS row, CAST(id % 300 AS INTEGER) AS col, CAST(id % 256 AS INTEGER) AS v FROM range(0, (SELECT count(*) FROM events)) t(id)")
 def _(spark, d):
-    return G.value_range(spark, 90000, 300)
+    return G.value_range(spark, V.table(spark, d, "events").count(), 300)
 
 
-@register("triangle_wave", "SELECT CAST(id // 200 AS INTEGER) AS row, CAST(id % 200 AS INTEGER) AS col, CAST(-2000 + CASE WHEN id % 24000 <= 12000 THEN id % 24000 ELSE 24000 - id % 24000 END AS INTEGER) AS v FROM range(0, 40000) t(id)")
+@register("triangle_wave", f"WITH h AS (SELECT max(row) + 1 AS n FROM {V.PX_EV}) SELECT CAST(id // n AS INTEGER) AS row, CAST(id % n AS INTEGER) AS col, CAST(-2000 + CASE WHEN id % 24000 <= 12000 THEN id % 24000 ELSE 24000 - id % 24000 END AS INTEGER) AS v FROM h, range(0, n * n) t(id)")
 def _(spark, d):
-    return G.triangle_wave(spark, 200)
+    return G.triangle_wave(spark, rows_of(spark, d))
 
 
 @register("xyz_base_tiles", f"SELECT tx, ty, count(*) AS n, round(avg(z), 4) AS mean FROM (SELECT t.*, p.z FROM ({tms_sql(7)}) t JOIN {V.PT_CUST} p USING (id)) GROUP BY tx, ty")
