@@ -87,8 +87,8 @@ def intersection_areas(a: DataFrame, b: DataFrame, cell: float, slab: float, tou
 SPAN = 1024
 
 
-def spans(polygons: DataFrame, grid: Grid) -> DataFrame:
-    """row, first, last: the runs of columns whose centres some polygon (id, rings) covers, without overlaps, cut at multiples of SPAN.
+def runs_of(polygons: DataFrame, grid: Grid) -> DataFrame:
+    """id, row, first, last: the runs of columns whose centres each polygon (id, rings) covers.
 
     An edge crosses the scanlines (centres of rows) between its ends; along a scanline, the crossings of a polygon in order of x are by
     turns where it begins and where it ends, whatever the directions of its rings."""
@@ -99,9 +99,14 @@ def spans(polygons: DataFrame, grid: Grid) -> DataFrame:
     crossed = lines.where(low <= high).withColumn("row", F.explode(F.sequence(low, high))).where((F.col("y1") > y) != (F.col("y2") > y))
     x = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     order = Window.partitionBy("id", "row").orderBy("x")  # the edges of a polygon that cross one scanline
-    turns = crossed.select("id", "row", x.alias("x")).select("row", "x", F.lead("x").over(order).alias("end"), F.row_number().over(order).alias("nth")).where("nth % 2 = 1")
+    turns = crossed.select("id", "row", x.alias("x")).select("id", "row", "x", F.lead("x").over(order).alias("end"), F.row_number().over(order).alias("nth")).where("nth % 2 = 1")
     column = lambda x: F.ceil((x - grid.ulx) / grid.xres - 0.5)
-    runs = turns.select("row", F.greatest(column(F.col("x")), F.lit(0)).alias("first"), F.least(column(F.col("end")) - 1, F.lit(grid.width - 1)).alias("last")).where("first <= last")
+    return turns.select("id", "row", F.greatest(column(F.col("x")), F.lit(0)).alias("first"), F.least(column(F.col("end")) - 1, F.lit(grid.width - 1)).alias("last")).where("first <= last")
+
+
+def spans(polygons: DataFrame, grid: Grid) -> DataFrame:
+    """row, first, last: the runs of columns whose centres some polygon (id, rings) covers, without overlaps, cut at multiples of SPAN."""
+    runs = runs_of(polygons, grid)
     cut = runs.withColumn("part", F.explode(F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN))))
     cut = cut.select("row", "part", F.greatest("first", F.col("part") * SPAN).alias("first"), F.least("last", F.col("part") * SPAN + SPAN - 1).alias("last"))
     cut = cut.groupBy("row", "part", "first").agg(F.max("last").alias("last"))  # SPAN rows of a part at most
@@ -123,6 +128,12 @@ def burn_table(px: DataFrame, polygons: DataFrame, grid: Grid, inside: int = 0,
     return px.join(found, ["row", "col"], "left").withColumn("mask", F.coalesce("mask", F.lit(outside)))
 
 
+def clip_by_table(px: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
+    """The raster (row, col, ...) under each polygon of a table (id, rings): a row for each polygon that covers a pixel's centre."""
+    cells = runs_of(polygons, grid).select("id", "row", F.explode(F.sequence("first", "last")).alias("col"))
+    return px.join(cells, ["row", "col"])
+
+
 def gml_polygons(texts: DataFrame, xml: str = "xml") -> DataFrame:
     """id (position in the text), rings and other columns of the polygons of GML texts: positions `x y x y ...`, the first list of a
     polygon its outer ring. A text without polygons gives no rows."""

@@ -20,5 +20,5 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-for _part in ("radiometry", "tiles", "space", "rasters", "texts", "pipelines", "warps", "shapes"):
+for _part in ("radiometry", "tiles", "space", "rasters", "texts", "pipelines", "warps", "shapes", "pyramids"):
     importlib.import_module(f"rasterloom.plans.{_part}_queries")
