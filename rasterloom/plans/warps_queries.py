@@ -186,7 +186,7 @@ def _(spark, d):
     return rpc.orthorectify(px, "v", tilted(px), W.Grid(4326, 8.8, 41.2, 0.02, 0.02, 120, 120))
 
 
-_MIRROR = "(CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > {1} THEN 2 * ({1}) - ({0}) ELSE {0} END)"
+_MIRROR = "least(abs({0}) % (2 * ({1})), 2 * ({1}) - abs({0}) % (2 * ({1})))"
 _WEIGHT = f"power({W.POLE!r}::DOUBLE, abs(k)) * {-6 * W.POLE / (1 - W.POLE**2)!r}::DOUBLE"
 _ZOOMED = f"""h AS (SELECT max(row) + 1 AS h FROM {V.PX_EV}), p AS MATERIALIZED (SELECT row, col, v FROM {V.PX_EV}), a AS (SELECT h.h, k, row, col, {_MIRROR.format('row + k', 'h - 1')} AS far FROM p, h, range(-20, 21) q(k)),
     b AS MATERIALIZED (SELECT a.row, a.col, sum(p.v * {_WEIGHT}) AS v FROM a JOIN p ON p.row = far AND p.col = a.col GROUP BY ALL), c AS (SELECT k, row, col, {_MIRROR.format('col + k', '99')} AS far FROM p, range(-20, 21) q(k)),
