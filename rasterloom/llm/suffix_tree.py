@@ -19,19 +19,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import Stage, batches_of, crc32_mod5, in_slices, settled, words_bytes
-from rasterloom.llm.hashing import mix, word_hashes
+from rasterloom.llm.common import Stage, crc32_mod5, settled
+from rasterloom.llm.hashing import hashes_at, mix
 
 END = np.uint64(0x5EED0F7E871E9D01)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Keys that are looked up at a time, rows of a batch that a task gives, and characters that are made tokens at a time.
-PLACED, BATCH, CHARS = 1 << 18, 1 << 17, 400_000
+#: Keys that are looked up at a time, rows of a batch that a task gives, and bytes of text that are made tokens at a time.
+PLACED, BATCH, BYTES = 1 << 18, 1 << 17, 400_000
 #: Keys are sorted by ranges of so many of their first bits, so that one range at a time is copied.
 RANGE_BITS = 3
 
@@ -89,21 +91,43 @@ def place(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return found
 
 
-def shifted(x: np.ndarray) -> np.ndarray:
-    """What stands one token before."""
-    return np.concatenate(([np.uint64(0)], x[:-1])) if len(x) else x
-
-
-def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, each text's end after its words, and the number of tokens of each."""
-    hashes, counts = [], []
-    for start, end in in_slices(texts, CHARS):
-        split = [words_bytes(t) for t in texts[start:end]]
-        sizes = np.array([len(s) for s in split])
-        words = word_hashes([w for s in split for w in s], 1)
-        hashes.append(np.insert(words, sizes.cumsum(), END))
-        counts.append(sizes + 1)
-    return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(counts or [np.empty(0, np.int64)])
+def found_at(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Where each x stands in an ascending array that has all of them. They are looked up in their order, which keeps to the cache."""
+    order = np.argsort(x)
+    at = np.empty(len(x), np.int64)
+    at[order] = np.searchsorted(ordered, x[order])
+    return at
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in slices of one row or of at most BYTES of text."""
+    ends = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, BYTES + (ends[start - 1] if start else 0), "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts (null is empty), each text's end after its words, and the number of tokens of each."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    bounds, first = bounds - bounds[0], int(bounds[0])
+    size = int(bounds[-1])
+    data = np.zeros(size + 8, np.uint8)
+    if size:
+        data[:size] = np.frombuffer(texts.buffers()[2], np.uint8, size, first)
+    data |= ((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)  # A-Z
+    white = (data[:size] == 32) | ((data[:size] - np.uint8(9)) < 5)
+    starting, ending = ~white, ~white
+    starting[1:] &= white[:-1]
+    ending[:-1] &= white[1:]
+    for marks, at in ((starting, bounds[:-1][bounds[:-1] < size]), (ending, bounds[1:][bounds[1:] > 0] - 1)):
+        marks[at] = ~white[at]  # no word goes on in the next text
+    starts = np.flatnonzero(starting)
+    before = np.searchsorted(starts, bounds[1:])
+    return np.insert(hashes_at(data, starts, np.flatnonzero(ending) + 1 - starts), before, END), np.diff(before, prepend=0) + 1
 
 
 class Grams:
@@ -113,39 +137,32 @@ class Grams:
     def __init__(self, one: np.ndarray, counts: np.ndarray):
         self.one, self.counts = one, counts
         self.starts = np.concatenate(([0], counts.cumsum()[:-1])).astype(np.int64)[: len(counts)]
-        self.reach = (np.arange(len(one)) - np.repeat(self.starts, counts)).astype(np.int32)
 
-    def before(self, words: int) -> np.ndarray:
-        """Hashes of the so many words before each token."""
-        ending = self.one
-        for _ in range(words - 1):
-            ending = join(shifted(ending), self.one)
-        return shifted(ending)
+    @cached_property
+    def reach(self) -> np.ndarray:
+        return (np.arange(len(self.one)) - np.repeat(self.starts, self.counts)).astype(np.int32)
 
-    def contexts(self, words: int, before: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-        """The place of the so many words before each token among these contexts; -1 for others."""
-        at = place(before, ordered)
-        at[self.reach < words] = -1
-        return at
+    def before(self, words: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the so many words before each of these tokens, which must have as many before them."""
+        found = self.one[at - words]
+        for k in range(words - 1, 0, -1):
+            found = join(found, self.one[at - k])
+        return found
 
     def needed(self, shape: TreeShape) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each level, the tokens in its contexts, the places of these contexts, and the hashes of the n-grams that scoring
-        looks up for them."""
+        looks up for them. A tree has the suffixes of its contexts, so what is in none of a level is in none of the next."""
         found: list[list] = [[] for _ in shape.levels]
         for start in range(0, len(self.one), PLACED):  # so that the arrays in between stay small
-            first = max(0, start - len(shape.levels))
-            one, reach = (x[first : start + PLACED] for x in (self.one, self.reach))
-            ending = one
+            inside = np.arange(start, min(start + PLACED, len(self.one)))
             for d, level in enumerate(shape.levels, 1):
-                before = shifted(ending)
+                inside = inside[self.reach[inside] >= d]
+                before = self.before(d, inside)
                 at = place(before, level.hashes)
-                at[reach < d] = -1
-                at[: start - first] = -1
-                inside = np.flatnonzero(at >= 0)
-                ending = join(before, one)
-                found[d - 1].append((inside + first, at[inside], ending[inside]))
-        states = [tuple(map(np.concatenate, zip(*parts))) for parts in found]
-        return states
+                chosen = at >= 0
+                inside = inside[chosen]
+                found[d - 1].append((inside, at[chosen], join(before[chosen], self.one[inside])))
+        return [tuple(map(np.concatenate, zip(*parts))) for parts in found]
 
     def parts(self) -> Iterator[tuple[slice, Grams]]:
         """Ranges of documents with their n-grams, each of one document or of at most PLACED tokens."""
@@ -159,18 +176,18 @@ class Grams:
     def tallied(self, shape: TreeShape, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys of all tokens and of those in contexts, ascending, and how often each is in a training document (`training`
         has a flag for each document)."""
-        keys, trained = [], []
+        trained, others = [], []
         for documents, grams in self.parts():
             flags = np.repeat(training[documents], grams.counts)
-            states = grams.needed(shape)
-            keys += [grams.one, *(key for _, _, key in states)]
-            trained += [flags, *(flags[inside] for inside, _, _ in states)]
+            for keys, mine in ((grams.one, flags), *((key, flags[inside]) for inside, _, key in grams.needed(shape))):
+                trained.append(np.sort(keys[mine]))
+                others.append(distinct_keys(keys[~mine]))
+        tops = np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS)
+        ranges = lambda parts: zip(*(np.split(keys, np.searchsorted(keys, tops)) for keys in parts))
         found, counts = [], []
-        for top in range(1 << RANGE_BITS):
-            chosen = [key >> np.uint64(64 - RANGE_BITS) == top for key in keys]
-            mine = np.concatenate([key[at] for key, at in zip(keys, chosen)])
-            seen, n = np.unique(mine[np.concatenate([flags[at] for flags, at in zip(trained, chosen)])], return_counts=True)
-            found.append(distinct_keys(mine))
+        for mine, rest in zip(ranges(trained), ranges(others)):
+            seen, n = np.unique(np.concatenate(mine), return_counts=True)
+            found.append(distinct_keys(np.concatenate([seen, *rest])))
             counts.append(np.zeros(len(found[-1]), np.int64))
             counts[-1][np.searchsorted(found[-1], seen)] = n
         return np.concatenate(found), np.concatenate(counts)
@@ -207,8 +224,8 @@ def counted(rows: DataFrame, keys: Callable[[Grams], np.ndarray], options: Optio
         held: list = []
         size = 0
         for batch in batches:
-            for _, texts in batches_of(batch, "text", CHARS):
-                held.append(tokens_of(texts))
+            for piece in pieces_of(batch):
+                held.append(tokens_of(piece.column("text")))
                 size += len(held[-1][0])
                 if size >= options.group_tokens:
                     yield from count(held)
@@ -269,9 +286,14 @@ def learn_shape(rows: DataFrame, options: Options) -> TreeShape:
         ordered = level.hashes
 
         def followers(grams: Grams) -> np.ndarray:
-            context, follower = grams.contexts(d, grams.before(d), ordered), place(grams.one, words)
-            inside = np.flatnonzero((context >= 0) & (follower >= 0))
-            return context[inside] * len(words) + follower[inside]
+            follower = place(grams.one, words)
+            common = follower >= 0
+            whole = common & (grams.reach >= d)
+            for k in range(1, d + 1):  # a context has common words only
+                whole[k:] &= common[:-k]
+            at = np.flatnonzero(whole)
+            context = place(grams.before(d, at), ordered)
+            return context[context >= 0] * len(words) + follower[at[context >= 0]]
 
         tables.append(Stage(counted(rows, followers, options), "followers"))
         below = levels[-2] if d > 1 else None
@@ -318,8 +340,8 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
             return in_batches(keys, n, dealt=group)
 
         for batch in batches:
-            for piece, texts in batches_of(batch, "text", CHARS):
-                groups, trains = piece.column("dealt").to_numpy(), ~piece.column("held_out").to_numpy(zero_copy_only=False)
+            for piece in pieces_of(batch):
+                groups, texts, trains = piece.column("dealt").to_numpy(), piece.column("text"), ~piece.column("held_out").to_numpy(zero_copy_only=False)
                 cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(groups)]
                 for start, end in zip(cuts, cuts[1:]):
                     if held and (groups[start] != group or tokens >= options.group_tokens):
@@ -336,12 +358,11 @@ def score_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     summed = questions.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total <> n").select("dealt", "key", "total")
 
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
-        column = documents.column("text")
-        grams = gathered_grams([tokens_of([t or "" for t in column.slice(i, 500).to_pylist()]) for i in range(0, documents.num_rows, 500)])
+        grams = gathered_grams([tokens_of(piece.column("text")) for batch in documents.to_batches() for piece in pieces_of(batch)])
         keys, n = grams.tallied(shape, ~documents.column("held_out").to_numpy())
         for batch in answers.to_batches():
-            n[np.searchsorted(keys, batch.column("key").to_numpy().view(np.uint64))] = batch.column("total").to_numpy()
-        find = lambda x: n[np.searchsorted(keys, x)]
+            n[found_at(batch.column("key").to_numpy().view(np.uint64), keys)] = batch.column("total").to_numpy()
+        find = lambda x: n[found_at(x, keys)]
         sums = []
         for _, part in grams.parts():
             count = find(part.one)
