@@ -133,15 +133,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, bands: int, width: int) -> Stage
     return Stage(numbered.join(checked(wanted), "rep").mapInArrow(make, "rep long, n long, hashes array<long>, level int, c long, d long, own binary, next binary, bands binary"), "sets")
 
 
+def few_files(rows: DataFrame) -> DataFrame:
+    """Small rows that are left of many or of large ones, dealt out anew by their own size, so that they aren't stored as a file for
+    each task that made them (on a local disk, without its native library, Hadoop starts three processes for each file)."""
+    return rows.hint("rebalance")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Which of the pairs (a, b) of representatives are linked, on their full sets (rep, n, hashes). A pair carries the set of b
-    to that of a; adaptive execution splits an `a` with many pairs."""
+    """Which of the pairs (a, b) of representatives, a stored frame, are linked, on their full sets (rep, n, hashes). Pairs are
+    broadcast to the sets of b where they are few enough, so that these sets don't move by themselves; a pair carries the set of b
+    to that of a, and no sets but those of an `a` are dealt out to meet it. Adaptive execution splits an `a` with many pairs."""
     part, whole = SIMILARITY
-    side = lambda end: sets.select(F.col("rep").alias(end), F.col("n").alias("n" + end), F.col("hashes").alias("h" + end))
-    sized = pairs.join(side("b"), "b").join(side("a"), "a")
+    side = lambda some, end: some.select(F.col("rep").alias(end), F.col("n").alias("n" + end), F.col("hashes").alias("h" + end))
+    hubs = pairs.select(F.col("a").alias("rep")).distinct()
+    sized = side(sets, "b").join(checked(pairs), "b").join(side(sets.join(checked(hubs), "rep", "left_semi"), "a"), "a")
     common = F.size(F.array_intersect("ha", "hb"))
     linked = F.when(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part, (common > 0) & (common * whole >= part * (F.col("na") + F.col("nb") - common))).otherwise(F.lit(False))
-    return sized.where(linked).select("a", "b")
+    return few_files(sized.where(linked).select("a", "b"))
 
 
 def compared(block: pa.Table) -> pa.RecordBatch:
@@ -205,7 +213,7 @@ def across_components(members: DataFrame, labels: DataFrame, sets: DataFrame, ch
         if held is not None and held.num_rows:
             yield compared(held.combine_chunks())
 
-    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return few_files(blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long"))
 
 
 def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chunk: int = CHUNK) -> DataFrame:
@@ -216,7 +224,7 @@ def classes(docs: DataFrame, bands: int = BANDS, width: int = BINS_PER_BAND, chu
     keyed = signed.df.select("row", "doc_id", "n_shingles", F.coalesce("words", F.col("row").cast("string").cast("binary")).alias("words"))  # no row waits for a null
     labels = Stage(keyed.join(firsts.df, "words", "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "named")
     own = signed.df.join(checked(firsts.df.select(F.col("rep").alias("row"))), "row", "left_semi").select(F.col("row").alias("rep"), F.posexplode("bands").alias("band", "bucket"))
-    sizes = Stage(own.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    sizes = Stage(few_files(own.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")), "buckets")
     members = Stage(own.join(checked(sizes.df), "bucket").select("bucket", "band", "rep", "hub", "n"), "members")
     wanted = Stage(members.df.select("rep").distinct(), "wanted")
     sets = sets_of(docs, wanted.df, bands, width)

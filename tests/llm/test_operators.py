@@ -586,6 +586,25 @@ def test_near_dedup_loses_no_link_behind_a_hub(spark, chunk):
     assert got == brute_near(rows)
 
 
+def test_confirming_moves_few_sets_and_leaves_few_files(spark):
+    """Links on full sets: the sets of `b` go along with their pairs only, and what is left isn't a file for each task."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63, 2500)
+    sets = {i: {*rng.choice(base, 2000 + 10 * (i % 40), replace=False).tolist()} for i in range(400)}
+    pairs = [(i % 7, i) for i in range(7, 400)] + [(9, i) for i in range(10, 60)]
+    table = common.stored(spark.createDataFrame([(i, len(s), sorted(s)) for i, s in sets.items()], "rep long, n long, hashes array<long>").repartition(4), "sets")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = near_dedup.confirm(common.stored(spark.createDataFrame(pairs, "a long, b long"), "stars"), table)
+        assert links._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+        found = common.stored(links, "links")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted((a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    assert 50 < len(want) < 400 and sorted(map(tuple, found.collect())) == want
+    assert len(found.inputFiles()) == 1
+
+
 def test_blocks_compare_each_pair_once(spark):
     """All pairs across components that are alike, and of each bucket's chunks no pair twice, at both levels of sketches."""
     rng = np.random.default_rng(5)
