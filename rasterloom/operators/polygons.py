@@ -12,7 +12,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.geometry import in_ring
 from rasterloom.operators.reprojection import Grid
 from rasterloom.operators.spatial import box_join
 from rasterloom.storage import checkpointed
@@ -173,25 +172,27 @@ def followed(lines: DataFrame, field: str) -> DataFrame:
 
 
 def ranked(chain: DataFrame) -> DataFrame:
-    """ring (least id of the ring) and place (from 0, from that id on) of each id of a chain (id, after) of rings. Both are found by
-    doubling the distance looked at, so rounds grow with the logarithm of a ring's length."""
-    state = checkpointed(chain.select("id", "after", F.least("id", "after").alias("ring")))
+    """ring (least id of the ring) and place (from 0, from that id on) of each id of a chain (id, after) of rings.
+
+    Each id knows the least id of as many as it has looked at, itself included, how far that is, and which comes after it. That
+    number is doubled in each round, so rounds grow with the logarithm of a ring's length. A ring is done when the id after its
+    least one sees that one around the ring; short rings don't take part in the rounds of long ones."""
+    state = checkpointed(chain.select("id", "after", F.struct(F.col("id").alias("ring"), F.lit(0).cast("long").alias("far"), F.col("after").alias("second")).alias("best")))
+    out, reach, turn = None, 1, 0
     while True:
-        far = state.select(F.col("id").alias("after"), F.col("after").alias("further"), F.col("ring").alias("theirs"))
-        step = checkpointed(state.join(far, "after").select("id", F.col("further").alias("after"), F.least("ring", "theirs").alias("ring"), (F.col("theirs") < F.col("ring")).alias("moved")))
-        state = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
-    rings = state.select("id", "ring")
-    # steps to the first edge of the ring, where all stop
-    first = F.col("id") == F.col("ring")
-    steps = checkpointed(chain.join(rings, "id").select("id", "ring", F.when(first, F.col("id")).otherwise(F.col("after")).alias("after"), F.when(first, 0).otherwise(1).cast("long").alias("left")))
-    while not steps.where("after <> ring").isEmpty():
-        far = steps.select(F.col("id").alias("after"), F.col("after").alias("further"), F.col("left").alias("more"))
-        steps = checkpointed(steps.join(far, "after").select("id", "ring", F.col("further").alias("after"), (F.col("left") + F.col("more")).alias("left")))
-    # the first edge has none left, the next one all but one of the ring
-    sizes = steps.groupBy("ring").agg((F.max("left") + 1).alias("size"))
-    return steps.join(sizes, "ring").select("id", "ring", F.when(F.col("left") == 0, 0).otherwise(F.col("size") - F.col("left")).alias("place"))
+        far = state.select(F.col("id").alias("after"), F.col("after").alias("further"), F.col("best").alias("theirs"))
+        passed = F.struct(F.col("theirs.ring").alias("ring"), (F.col("theirs.far") + reach).alias("far"), F.col("theirs.second").alias("second"))
+        state = checkpointed(state.join(far, "after").select("id", F.col("further").alias("after"), F.when(F.col("theirs.ring") < F.col("best.ring"), passed).otherwise(F.col("best")).alias("best")))
+        reach, turn = reach * 2, turn + 1
+        if turn % 3:
+            continue
+        closed = state.where(F.col("id") == F.col("best.second")).select(F.col("best.ring").alias("ring"), (F.col("best.far") + 1).alias("size"))
+        marked = checkpointed(state.withColumn("ring", F.col("best.ring")).join(closed, "ring", "left"))
+        done = marked.where("size is not null").select("id", "ring", F.when(F.col("best.far") == 0, 0).otherwise(F.col("size") - F.col("best.far")).alias("place"))
+        out = done if out is None else out.unionByName(done)
+        state = marked.where("size is null").select("id", "after", "best")
+        if state.isEmpty():
+            return out
 
 
 def ring_text(points: Column) -> Column:
@@ -209,34 +210,78 @@ def without_straights(points: Column) -> Column:
     return F.filter(points, turns)
 
 
+def owners_of(lines: DataFrame, holes: DataFrame) -> DataFrame:
+    """hole and ring (the shell around it) of the rings that are holes, by the edges (__key, ring, x1, y1, x2, y2) of all rings.
+
+    To the left of a hole's leftmost corner is the part that it lies in, up to the first edge there, which belongs to that part's
+    shell or to a hole of it further to the left; so holes are followed from one to the next. An edge stands in the cells that
+    it crosses; a corner looks in its own cell and the one to the left, and where these have no edge that is certain to be the
+    first, in cells four times as wide. Only edges move, never a ring.
+    """
+    mine = lines.join(holes, "ring").select("__key", "ring", *[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")).alias(f"p{i}") for i in (1, 2)])
+    # whether the hole goes up from its first corner, or down only
+    ends = mine.select("__key", "ring", F.explode(F.array(*[F.struct(F.col(f"p{i}").alias("at"), (F.col(f"p{3 - i}.y") > F.col(f"p{i}.y")).alias("up")) for i in (1, 2)])).alias("e"))
+    first = ends.groupBy("__key", "ring").agg(F.max_by("e", F.struct(-F.col("e.at.x"), -F.col("e.at.y"), F.col("e.up"))).alias("e"))
+    left = checkpointed(first.select("__key", F.col("ring").alias("hole"), F.col("e.at.x").alias("x"), F.col("e.at.y").alias("y"), F.col("e.up").alias("up")))
+    steep = lines.where("y1 <> y2")
+    size, low, high = steep.agg(F.avg(F.abs(F.col("y2") - F.col("y1"))), F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2"))).first()
+    tall = wide = 2.0 ** math.ceil(math.log2(size))
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    at = lambda y: F.when(y == F.col("y1"), F.col("x1")).when(y == F.col("y2"), F.col("x2")).otherwise(F.col("x1") + (y - F.col("y1")) * slope)
+    banded = steep.withColumn("__cy", F.explode(F.sequence(F.floor(bottom / tall), F.floor(top / tall))))
+    ends_x = [at(F.greatest(bottom, F.col("__cy") * tall)), at(F.least(top, (F.col("__cy") + 1) * tall))]
+    banded = checkpointed(banded.select("__key", "__cy", F.col("ring").alias("hit"), bottom.alias("bottom"), top.alias("top"), "x1", "y1", "x2", "y2", F.least(*ends_x).alias("from"), F.greatest(*ends_x).alias("to")))
+    hits = None
+    while True:
+        cell = lambda c, wide=wide: F.floor(F.col(c) / wide)
+        stood = banded.withColumn("__cx", F.explode(F.sequence(cell("from"), cell("to"))))
+        asked = left.withColumns({"__cy": F.floor(F.col("y") / tall), "own": cell("x")}).withColumn("__cx", F.explode(F.array(F.col("own") - 1, F.col("own"))))
+        near = asked.join(stood, ["__key", "__cy", "__cx"]).where(F.when(F.col("up"), (F.col("bottom") <= F.col("y")) & (F.col("y") < F.col("top"))).otherwise((F.col("bottom") < F.col("y")) & (F.col("y") <= F.col("top"))))
+        near = near.select("hole", "hit", "own", F.col("x").alias("mine"), at(F.col("y")).alias("x"), F.when(F.col("up"), slope).otherwise(-slope).alias("lean")).where("x < mine")
+        last = wide > high - low
+        nearest = near.groupBy("hole").agg(F.max_by("hit", F.struct("x", "lean")).alias("hit"), F.max("x").alias("x"), F.first("own").alias("own"))
+        if not last:
+            nearest = nearest.where(F.col("x") >= (F.col("own") - 1) * wide)
+        nearest = checkpointed(nearest.select("hole", "hit"))
+        hits = nearest if hits is None else hits.unionByName(nearest)
+        if last:
+            break
+        left = checkpointed(left.join(nearest, "hole", "left_anti"))
+        if left.isEmpty():
+            break
+        wide *= 4
+    # from hole to hole, twice as far each time, up to a shell
+    while True:
+        step = hits.join(hits.select(F.col("hole").alias("hit"), F.col("hit").alias("further")), "hit", "left")
+        moved = checkpointed(step.select("hole", F.coalesce("further", "hit").alias("hit"), F.col("further").isNotNull().alias("moved")))
+        hits = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return hits.select("hole", F.col("hit").alias("ring"))
+
+
 def dissolve_polygons(polygons: DataFrame, field: str) -> DataFrame:
     """The union of polygons (field, rings) that share a field, a row for each of its parts: field, area, holes, xmin, ymin, xmax, ymax
     and outline in WKT with its holes.
 
     Polygons of a field meet in whole edges or not at all, as cells, parcels and other coverages do; copies count once. Edges that two
     of them share cancel in one grouping; what is left is followed from edge to edge, ring by ring, over all partitions, and
-    holes are laid to the least part around them. Null is a field of its own.
+    holes are laid to the part around them by the edges to their left. Null is a field of its own.
     """
     null_safe = polygons.select(F.to_json(F.struct(F.col(field).alias("f"))).alias("__key"), F.col(field).alias("__field"), "rings")
     names = null_safe.groupBy("__key").agg(F.first("__field").alias(field))
-    lines = followed(boundary(null_safe.select("__key", "rings"), "__key"), "__key")
-    placed = lines.join(ranked(lines.select("id", "after")), "id")
+    lines = checkpointed(followed(boundary(null_safe.select("__key", "rings"), "__key"), "__key"))
+    placed = checkpointed(lines.join(ranked(lines.select("id", "after")), "id").select("__key", "ring", "place", "x1", "y1", "x2", "y2"))
     corner = F.struct("place", F.col("x1").alias("x"), F.col("y1").alias("y"))
     rings = placed.groupBy("__key", "ring").agg(F.transform(F.array_sort(F.collect_list(corner)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("points"), (F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
     rings = checkpointed(rings.withColumn("points", without_straights(F.col("points"))))
     side = lambda f, c: f(F.transform("points", lambda p: p[c]))
     shells = rings.where("area > 0").select("__key", "ring", "area", "points", side(F.array_min, "x").alias("xmin"), side(F.array_min, "y").alias("ymin"), side(F.array_max, "x").alias("xmax"), side(F.array_max, "y").alias("ymax"))
-    # a hole is in the parts that hold the middle of one of its sides, which is on no other ring
-    p, q = F.get(F.col("points"), 0), F.get(F.col("points"), 1)
-    holes = rings.where("area < 0").select("__key", F.col("ring").alias("hole"), F.col("area").alias("minus"), ring_text(F.col("points")).alias("text"), ((p.x + q.x) / 2).alias("x"), ((p.y + q.y) / 2).alias("y"))
+    holes = rings.where("area < 0").select(F.col("ring").alias("hole"), F.col("area").alias("minus"), ring_text(F.col("points")).alias("text"))
     if holes.isEmpty():
         found = shells.withColumns({"holes": F.lit(0).cast("long"), "minus": F.lit(0.0), "inner": F.array().cast("array<string>")})
     else:
-        wide = shells.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
-        size = 2.0 ** math.ceil(math.log2(wide))
-        points = holes.select("__key", "hole", "x", "y", F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
-        met = box_join(points, shells, size).where("a___key = b___key").where(in_ring(F.col("a_x"), F.col("a_y"), F.col("b_points")))
-        owners = met.groupBy(F.col("a_hole").alias("hole")).agg(F.min_by("b_ring", "b_area").alias("ring"))
+        owners = owners_of(placed, rings.where("area < 0").select("ring"))
         inner = holes.join(owners, "hole").groupBy("ring").agg(F.count("*").alias("holes"), F.sum("minus").alias("minus"), F.array_sort(F.collect_list("text")).alias("inner"))
         none = F.array().cast("array<string>")
         found = shells.join(inner, "ring", "left").withColumns({"holes": F.coalesce("holes", F.lit(0)), "minus": F.coalesce("minus", F.lit(0.0)), "inner": F.coalesce("inner", none)})

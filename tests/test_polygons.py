@@ -184,6 +184,16 @@ def test_long_rings(spark):
     assert 1190 < len(parsed(got[0].wkt)[0]) < 1210
 
 
+def test_holes_find_their_part_without_rings(spark, monkeypatch):
+    """Holes behind holes, an island in a hole that bends around it, and a part far longer than the rest; no ring is joined."""
+    monkeypatch.setattr(G, "box_join", None)
+    gone = {(2, c) for c in range(2, 400, 3)} | {(r, c) for r in range(5, 12) for c in range(50, 57) if max(abs(r - 8), abs(c - 53)) in (2, 3)} | {(8, 53)} | {(6, 70), (7, 71)}
+    cells = [("wide", r, c) for r in range(14) for c in range(402) if (r, c) not in gone] + [("wide", 30 + 2 * i, 2 * i) for i in range(20)]
+    got = G.dissolve_polygons(cells_table(spark, cells), "field").collect()
+    assert sorted(((x.area, x.holes) for x in got), reverse=True)[:2] == [(14 * 402 - len(gone) - 8, 133 + 1 + 1), (8.0, 1)]
+    assert len(got) == 22 and sum(x.area for x in got) == len(cells)
+
+
 def test_nothing_to_dissolve(spark):
     assert G.dissolve_polygons(cells_table(spark, []), "field").collect() == []
     assert G.intersection_areas(table(spark, {}), table(spark, {}), 1.0, 1.0).collect() == []
