@@ -81,6 +81,23 @@ def test_area_without_python(spark, shapes):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
 
 
+def test_pairs_of_small_polygons_are_not_shuffled(spark, shapes):
+    plan = G.intersection_areas(table(spark, shapes), table(spark, shapes), 5.0, 2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a_id" not in plan and "hashpartitioning(b_id" not in plan
+
+
+def test_large_polygons_by_slabs(spark, shapes, monkeypatch):
+    """Whether a polygon brings its edges along or has them joined by slabs, areas are the same; boxes are among both."""
+    some = {**dict(list(shapes.items())[:12]), 90: [[(1.0, 1.0), (9.0, 1.0), (9.0, 8.0), (1.0, 8.0)]], 91: [[(4.0, 3.0), (4.0, 15.0), (14.0, 15.0), (14.0, 3.0), (4.0, 3.0)]], 92: [[(2.0, 2.0), (12.0, 2.0), (2.0, 9.0)]]}
+    found = []
+    for few in (64, 12, 0):
+        monkeypatch.setattr(G, "FEW", few)
+        found.append({(r.a_id, r.b_id): r.area for r in G.intersection_areas(table(spark, some), table(spark, some), 5.0, 2.0).collect()})
+    assert found[0].keys() == found[1].keys() == found[2].keys() and len(found[0]) > 40
+    assert all(abs(found[0][k] - other[k]) < 1e-9 for other in found[1:] for k in other)
+    assert found[0][90, 91] == 25.0 and abs(found[0][92, 92] - 35.0) < 1e-9
+
+
 def test_burning_many_polygons(spark, shapes):
     grid = Grid(0, -3.0, 27.0, 0.25, 0.5, 120, 60)
     got = {(r.row, r.col) for r in G.covered_cells(table(spark, shapes), grid).collect()}
