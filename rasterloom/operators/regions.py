@@ -104,6 +104,20 @@ def labelled(px: DataFrame, wanted: Column, window: int) -> DataFrame:
     return out.select("row", "col", F.coalesce("component", "piece").alias("region"), (F.col("sides") - F.coalesce("closed", F.lit(0))).alias("sides"))
 
 
+def measured(cells: DataFrame) -> DataFrame:
+    """region, cells and box of the regions of labelled cells; nothing of a region comes together."""
+    return cells.groupBy("region").agg(F.count("*").alias("cells"), F.min("col").alias("xmin"), F.min("row").alias("ymin"), (F.max("col") + 1).alias("xmax"), (F.max("row") + 1).alias("ymax"))
+
+
+#: Row and column of a region's first cell.
+FIRST = ["region div 4294967296L AS row", "region % 4294967296L AS col"]
+
+
+def region_sizes(px: DataFrame, wanted: Column, window: int = 1024) -> DataFrame:
+    """What regions() gives, but for the outlines, which needn't be drawn then."""
+    return measured(labelled(px, wanted, window)).selectExpr(*FIRST, "cells", "xmin", "ymin", "xmax", "ymax")
+
+
 def regions(px: DataFrame, wanted: Column, window: int = 1024) -> DataFrame:
     """Regions (4-connected) of wanted cells, over the whole raster: row and col of the first cell, cells, box, and outline in WKT
     with its holes.
@@ -111,7 +125,6 @@ def regions(px: DataFrame, wanted: Column, window: int = 1024) -> DataFrame:
     A task labels one window at a time. Of a region, only the sides of its outline come together, which is what its row holds.
     """
     cells = labelled(px, wanted, window)
-    facts = cells.groupBy("region").agg(F.count("*").alias("cells"), F.min("col").alias("xmin"), F.min("row").alias("ymin"), (F.max("col") + 1).alias("xmax"), (F.max("row") + 1).alias("ymax"))
 
     def draw(df: pd.DataFrame) -> pd.DataFrame:
         starts, ends = [], []
@@ -123,7 +136,7 @@ def regions(px: DataFrame, wanted: Column, window: int = 1024) -> DataFrame:
         return pd.DataFrame({"region": [df["region"].iloc[0]], "wkt": [f"POLYGON ({text})"]})
 
     drawn = cells.where("sides > 0").groupBy("region").applyInPandas(draw, "region long, wkt string")
-    return facts.join(drawn, "region").select(F.expr("region div 4294967296L").alias("row"), F.expr("region % 4294967296L").alias("col"), "cells", "xmin", "ymin", "xmax", "ymax", "wkt")
+    return measured(cells).join(drawn, "region").selectExpr(*FIRST, "cells", "xmin", "ymin", "xmax", "ymax", "wkt")
 
 
 def sieve(found: DataFrame, least: int = 10) -> DataFrame:

@@ -26,3 +26,8 @@ def test_rounded_as_sql(spark):
     values = [0.0, 0.0000005, 0.0000015, 1.0000005, 2.5, 2.4999995, 0.49999949999999997, 1.2345675, 123.4567885]
     got = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", Y.rounded(F.col("v"), 6).alias("r"))
     assert [r.r for r in got.orderBy("i").collect()] == [connect(SF).execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_sizes_of_regions_draw_no_outlines(spark):
+    for name in ("sieve_regions", "region_cells"):
+        assert "Pandas" not in plan(catalogue.QUERIES[name](spark, SF))
