@@ -31,3 +31,9 @@ def test_rounded_as_sql(spark):
 def test_sizes_of_regions_draw_no_outlines(spark):
     for name in ("sieve_regions", "region_cells"):
         assert "Pandas" not in plan(catalogue.QUERIES[name](spark, SF))
+
+
+def test_semi_join_makes_no_pairs(spark):
+    for name in ("semi_images_in_region", "anti_missing"):
+        found = plan(catalogue.QUERIES[name](spark, SF))
+        assert "Inner" not in found and "LeftSemi" in found and "NestedLoop" not in found
