@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as Y
+from rasterloom.operators import spatial
 from rasterloom.plans import catalogue, space_queries
 from tests.parity import connect
 
@@ -37,3 +38,21 @@ def test_semi_join_makes_no_pairs(spark):
     for name in ("semi_images_in_region", "anti_missing"):
         found = plan(catalogue.QUERIES[name](spark, SF))
         assert "Inner" not in found and "LeftSemi" in found and "NestedLoop" not in found
+
+
+def test_close_points_have_small_cells(spark):
+    """40,000 points in one of the cells that a query asks for: it meets only those around it, and finds the nearest."""
+    points = spark.range(40000).select("id", (F.col("id") % 200 / 100).alias("x"), (F.expr("id div 200") / 100).alias("y"), F.col("id").cast("double").alias("z"))
+    assert 0.01 < spatial.close_size(points, 6) < 0.1
+    queries = points.where("id % 4003 = 0").select(F.col("id").alias("q"), (F.col("x") + 0.003).alias("x"), (F.col("y") + 0.001).alias("y"))
+    got = {(r.q, r["rank"]): r.id for r in spatial.nearest(queries, points, 3, 5.0).collect()}
+    at = {r.id: (r.x, r.y) for r in points.collect()}
+    for q, x, y in queries.collect():
+        want = sorted(at, key=lambda i: (math.sqrt((at[i][0] - x) ** 2 + (at[i][1] - y) ** 2), i))[:3]
+        assert [got[q, k] for k in (1, 2, 3)] == want
+
+
+def test_cells_of_odd_points(spark):
+    line = spark.range(100).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    assert spatial.close_size(line, 5) == 99 * 2 * 5 / 100
+    assert spatial.close_size(line.where("x = 3"), 5) == spatial.close_size(line.where("false"), 5) == math.inf
