@@ -1,6 +1,7 @@
 """That work grows with rows and results, not with what a task or row would have to hold."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,20 @@ def test_cells_of_odd_points(spark):
     line = spark.range(100).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
     assert spatial.close_size(line, 5) == 99 * 2 * 5 / 100
     assert spatial.close_size(line.where("x = 3"), 5) == spatial.close_size(line.where("false"), 5) == math.inf
+
+
+def test_matches_by_blocks(spark, monkeypatch):
+    """Vectors with copies, over several blocks, against all distances; ties go by the id."""
+    monkeypatch.setattr(spatial, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(spatial, "BLOCK", 11)
+    r = random.Random(5)
+    vectors = {i: [r.choice([0.0, 1.0, 0.1, 2.5]) for _ in range(4)] for i in range(90)}
+    vectors |= {1000: [1e6, 1e6, 1e6, 1e6], 1001: [1e6, 1e6, 1e6, 1e6 + 1e-3], 1002: [1e6, 1e6, 1e6, 1e6 - 3e-3]}
+    e = spark.createDataFrame(list(vectors.items()), "id long, v array<double>").repartition(3)
+    found = spatial.ratio_matches(e.where("id % 3 <> 1").withColumnRenamed("id", "q"), e.unionByName(spark.createDataFrame([(5000, None)], e.schema)), 0.95)
+    want = {}
+    for q in vectors:
+        near = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(vectors[q], v))), i) for i, v in vectors.items() if i != q)
+        if q % 3 != 1 and near[0][0] < 0.95 * near[1][0]:
+            want[q] = (near[0][1], near[0][0], near[1][0])
+    assert {x.q: (x.id, x.d1, x.d2) for x in found.collect()} == want and len(want) > 3
