@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rasterloom.operators.reprojection import Grid
 from rasterloom.operators.spatial import box_join
@@ -200,10 +203,60 @@ def burn_table(px: DataFrame, polygons: DataFrame, grid: Grid, inside: int = 0,
     return px.join(found, ["row", "col"], "left").withColumn("mask", F.coalesce("mask", F.lit(outside)))
 
 
+#: Rows of a raster that are clipped in one group, with SPAN columns.
+BAND = 16
+
+
+def cells_under(ids: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, grid: Grid, band: range, part: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polygon, row and col of the cells of some rows and columns whose centres are within polygons, by all their edges (numbers ids) in
+    these rows: as runs_of(), for a window."""
+    rows = np.arange(max(band.start, 0), min(band.stop, grid.height))
+    y = grid.uly - (rows + 0.5) * grid.yres
+    edge, at = np.nonzero((y1[:, None] > y) != (y2[:, None] > y))
+    x = (x2[edge] - x1[edge]) * (y[at] - y1[edge]) / (y2[edge] - y1[edge]) + x1[edge]
+    order = np.lexsort((x, at, ids[edge]))
+    of, at, x = ids[edge][order], at[order], x[order]
+    # rings are closed, so crossings of a polygon and row come in pairs
+    column = lambda v: np.ceil((v - grid.ulx) / grid.xres - 0.5)
+    low, high = max(part.start, 0), min(part.stop, grid.width) - 1
+    first, last = np.clip(column(x[0::2]), low, high + 1).astype(np.int64), np.clip(column(x[1::2]) - 1, low - 1, high).astype(np.int64)
+    wide = np.maximum(last - first + 1, 0)
+    step = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    return np.repeat(of[0::2], wide), np.repeat(rows[at[0::2]], wide), np.repeat(first, wide) + step
+
+
 def clip_by_table(px: DataFrame, polygons: DataFrame, grid: Grid) -> DataFrame:
-    """The raster (row, col, ...) under each polygon of a table (id, rings): a row for each polygon that covers a pixel's centre."""
-    cells = runs_of(polygons, grid).select("id", "row", F.explode(F.sequence("first", "last")).alias("col"))
-    return px.join(cells, ["row", "col"])
+    """The raster (row, col, ...) under each polygon of a table (id, rings): a row for each polygon that covers a pixel's centre.
+
+    Edges go to the bands of rows that they cross, in each part that their polygon's box has, and meet the pixels there, so neither
+    runs nor cells of polygons are rows before the result."""
+    placed = edges(boxed(polygons, "rings"), "id", "xmin", "xmax").where("y1 <> y2")
+    place = lambda y: (F.lit(grid.uly) - y) / grid.yres - 0.5
+    low, high = F.greatest(F.floor(place(F.greatest("y1", "y2"))), F.lit(0)), F.least(F.ceil(place(F.least("y1", "y2"))), F.lit(grid.height - 1))
+    banded = placed.where(low <= high).withColumn("__band", F.explode(F.sequence(F.floor(low / BAND), F.floor(high / BAND))))
+    column = lambda c: (F.col(c) - grid.ulx) / grid.xres
+    left, right = F.greatest(F.floor(column("xmin")), F.lit(0)), F.least(F.floor(column("xmax")), F.lit(grid.width - 1))
+    parted = banded.where(left <= right).withColumn("__part", F.explode(F.sequence(F.floor(left / SPAN), F.floor(right / SPAN)))).drop("xmin", "xmax")
+    inside = F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)
+    cells = px.where(inside).withColumns({"__band": F.floor(F.col("row") / BAND), "__part": F.floor(F.col("col") / SPAN)})
+    names, tall, wide = px.columns, BAND, SPAN
+
+    def clip(pixels: pa.Table, lines: pa.Table) -> pa.Table:
+        coded = lines.column("id").combine_chunks().dictionary_encode(null_encoding="encode")
+        number = lambda t, c: t.column(c).to_numpy()
+        if not (pixels.num_rows and lines.num_rows):
+            return pixels.select(names).slice(0, 0).append_column("id", coded.dictionary.slice(0, 0))
+        of, row, col = cells_under(coded.indices.to_numpy(zero_copy_only=False), *[number(lines, c) for c in ("x1", "y1", "x2", "y2")], grid, *[range(k * n, k * n + n) for k, n in ((int(number(pixels, "__band")[0]), tall), (int(number(pixels, "__part")[0]), wide))])
+        code = number(pixels, "row").astype(np.int64) * grid.width + number(pixels, "col").astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        asked, code = row * grid.width + col, code[order]
+        begin = np.searchsorted(code, asked, "left")
+        n = np.searchsorted(code, asked, "right") - begin
+        take = order[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return pixels.select(names).take(pa.array(take)).append_column("id", coded.dictionary.take(pa.array(np.repeat(of, n))))
+
+    schema = StructType([*px.schema.fields, StructField("id", polygons.schema["id"].dataType)])
+    return cells.groupBy("__band", "__part").cogroup(parted.groupBy("__band", "__part")).applyInArrow(clip, schema)
 
 
 def gml_polygons(texts: DataFrame, xml: str = "xml") -> DataFrame:

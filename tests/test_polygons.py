@@ -109,6 +109,22 @@ def test_burning_many_polygons(spark, shapes):
     assert masks == {k: 0 if k in want else 1 for k in [(0, 0), (30, 60), (1000, 5)]}
 
 
+def test_clips_by_bands(spark, shapes, monkeypatch):
+    """Pixels under each polygon, over several bands and parts, with pixels twice, beyond the grid, and values that are null; no run of a
+    polygon is dealt out by itself."""
+    monkeypatch.setattr(G, "BAND", 8)
+    monkeypatch.setattr(G, "SPAN", 32)
+    grid = Grid(0, -3.0, 27.0, 0.25, 0.5, 120, 60)
+    rows = [(r, c, None if c % 7 == 0 else f"{r}") for r in range(-1, 61) for c in range(-1, 121, 2)] + [(30, 61, "again")]
+    found = G.clip_by_table(spark.createDataFrame(rows, "row long, col int, name string"), table(spark, shapes), grid)
+    assert found.dtypes == [("row", "bigint"), ("col", "int"), ("name", "string"), ("id", "bigint")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    want = [(r, c, n, i) for r, c, n in rows for i, s in shapes.items() if 0 <= r < 60 and 0 <= c < 120 and inside(s, -3 + (c + 0.5) * 0.25, 27 - (r + 0.5) * 0.5)]
+    key = lambda x: (x[3], x[0], x[1], str(x[2]))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key) and len(want) > 1000
+
+
 def test_spans_over_several_parts(spark, monkeypatch):
     monkeypatch.setattr(G, "SPAN", 4)
     square = {1: [[(1.0, 0.0), (11.0, 0.0), (11.0, 2.0), (1.0, 2.0)]], 2: [[(2.0, 0.0), (3.0, 0.0), (3.0, 2.0), (2.0, 2.0)]], 3: [[(-5.0, 1.0), (99.0, 1.0), (99.0, 1.9), (-5.0, 1.9)]]}
