@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as Y
-from rasterloom.operators import spatial
+from rasterloom.operators import grids, spatial
 from rasterloom.plans import catalogue, space_queries
 from tests.parity import connect
 
@@ -74,3 +74,13 @@ def test_matches_by_blocks(spark, monkeypatch):
         if q % 3 != 1 and near[0][0] < 0.95 * near[1][0]:
             want[q] = (near[0][1], near[0][0], near[1][0])
     assert {x.q: (x.id, x.d1, x.d2) for x in found.collect()} == want and len(want) > 3
+
+
+def test_equal_distances_lie_together(spark):
+    for n in (1, 2, 7, 8):
+        got = [(r.i, r.j, r.d) for r in grids.distance_matrix(spark, n).collect()]
+        near = lambda k, n=n: min(k, n - k)
+        assert sorted(got) == [(i, j, math.sqrt(near(i) ** 2 + near(j) ** 2)) for i in range(n) for j in range(n)]
+        places = [(near(i), near(j)) for i, j, _ in got]
+        assert sum(a != b for a, b in zip(places, places[1:])) == len(set(places)) - 1
+    assert grids.distance_matrix(spark, 0).collect() == []
